@@ -16,9 +16,15 @@ def col(c) -> Column:
 
 
 def rounded(c, digits: int = 6) -> Column:
-    """Half-up rounding by floor, null stays null."""
+    """Half-up rounding by floor; null, NaN, infinities and very large values stay as they are."""
     scale = float(10 ** digits)
-    return F.floor(col(c) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    x = col(c).cast("double")
+    return F.when(F.abs(x) < 1e11, F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)).otherwise(x)
+
+
+def rounded_all(df, names, digits: int = 6):
+    """The table with the named columns rounded."""
+    return df.select(*[rounded(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def cents(c) -> Column:

@@ -194,6 +194,55 @@ CTE["mixed"] = """
 CTE["sampled_tx"] = f"""
   SELECT tx_id FROM mixed WHERE xor(x::UBIGINT, (x // 1073741824::UHUGEINT)::UBIGINT) % 1000000 < {SAMPLE_PPM}"""
 
+CTE["slot_list"] = """
+  SELECT slot, row_number() OVER (ORDER BY slot) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT slot FROM tx)"""
+
+CTE["bounds"] = """
+  SELECT min(slot) AS first_slot, max(slot) FILTER (rn = round_even(n * 0.7::DOUBLE, 0)) AS train_hi,
+         max(slot) FILTER (rn = round_even(n * (0.7::DOUBLE + 0.15::DOUBLE), 0)) AS val_hi, max(slot) AS last_slot, max(n) AS n
+  FROM slot_list"""
+
+CTE["split_tx"] = """
+  SELECT tx.*, CASE WHEN slot <= train_hi THEN 'train' WHEN slot <= val_hi THEN 'val' ELSE 'test' END AS split FROM tx, bounds"""
+
+CTE["scored"] = """
+  SELECT g.*, CASE WHEN slot <= train_hi THEN 'train' WHEN slot <= val_hi THEN 'val' ELSE 'test' END AS split,
+         ((g.tx_id * 7919) % 211 + CASE WHEN n_pos > 0 THEN 40 ELSE 0 END + n_occurrences) / 300e0 AS arb_score,
+         (amount % 1000003) / 1000003e0 AS p2, (amount % 7919 + n_occurrences) / 1000e0 AS size_pred,
+         ((g.tx_id * 7919) % 211 + CASE WHEN n_pos > 0 THEN 40 ELSE 0 END + n_occurrences) / 300e0 * amount / 1000000e0 AS ev,
+         CASE WHEN label = 'UNKNOWN' AND s.tx_id IS NOT NULL THEN 1 ELSE 0 END AS pair_sample,
+         CASE WHEN target IS NOT NULL THEN 1 WHEN s.tx_id IS NOT NULL THEN 4 ELSE 0 END AS weight
+  FROM grouped g CROSS JOIN bounds LEFT JOIN sampled_tx s ON s.tx_id = g.tx_id"""
+
+CTE["scored_cov"] = """
+  SELECT s.*, c.* EXCLUDE (tx_id), coalesce(z.n_seen, 0) AS n_seen_in_train
+  FROM scored s LEFT JOIN cover_counts c ON c.tx_id = s.tx_id
+  LEFT JOIN (SELECT tx_id, count(*) AS n_seen FROM pos_routes WHERE route IN
+             (SELECT route FROM pos_routes r JOIN scored q ON q.tx_id = r.tx_id WHERE q.split = 'train') GROUP BY tx_id) z ON z.tx_id = s.tx_id"""
+
+CTE["spairs"] = """
+  SELECT p.*, -p.pack_rank::DOUBLE AS static, ((p.tx_id * 31 + k.gain * 17) % 101) / 101e0 AS learned
+  FROM pairs p JOIN packs k ON k.pack_id = p.pack_id"""
+
+
+def r6(e: str, digits: int = 6) -> str:
+    """Half-up rounding, the SQL twin of functions.numbers.rounded."""
+    return f"(floor(CAST({e} AS DOUBLE) * 1e{digits} + 0.5) / 1e{digits})"
+
+
+def auc_sql(source: str, y: str, p: str, by: str = "") -> str:
+    """n, positives, base_rate, pr_auc, roc_auc of a source, per group when `by` names columns."""
+    part = f"PARTITION BY {by} " if by else ""
+    lead = f"{by}, " if by else ""
+    grp = f" GROUP BY {by}" if by else ""
+    return f"""SELECT {lead}sum(n) AS n, sum(pos) AS positives, sum(pos) / sum(n) AS base_rate,
+      CASE WHEN max(tp) > 0 AND max(tp) < max(tn) THEN sum(pos / tp * (cp / cn)) END AS pr_auc,
+      CASE WHEN max(tp) > 0 AND max(tp) < max(tn)
+           THEN (sum(pos * (tn - cn + (n + 1) / 2e0)) - max(tp) * (max(tp) + 1) / 2e0) / (max(tp)::DOUBLE * (max(tn) - max(tp))) END AS roc_auc
+      FROM (SELECT *, sum(pos) OVER ({part}ORDER BY p DESC) AS cp, sum(n) OVER ({part}ORDER BY p DESC) AS cn,
+                   sum(pos) OVER ({part}) AS tp, sum(n) OVER ({part}) AS tn
+            FROM (SELECT {lead}{p} AS p, count(*) AS n, sum({y}) AS pos FROM {source} WHERE {y} IS NOT NULL GROUP BY {lead}{p})){grp}"""
+
 
 def with_ctes(*names_and_body: str) -> str:
     """WITH clause of every role the body or another role mentions, followed by the body."""
