@@ -1,4 +1,4 @@
 """Registered queries. Importing a module registers its keys."""
 
-from txlens.plans import label_queries, metric_queries  # noqa: F401
+from txlens.plans import label_queries, landing_queries, metric_queries, pool_queries  # noqa: F401
 from txlens.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -98,7 +98,8 @@ def q_slot_folds(spark, d):
 
 
 @query("split_disjoint", with_ctes("""
-  SELECT split, min(slot) AS lo, max(slot) AS hi, false AS overlaps_previous,
+  SELECT split, min(slot) AS lo, max(slot) AS hi,
+         coalesce(lag(max(slot)) OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END) >= min(slot), false) AS overlaps_previous,
          (SELECT count(*) FROM (SELECT tx_id FROM split_tx GROUP BY tx_id HAVING count(DISTINCT split) > 1)) AS ids_in_two_splits
   FROM split_tx GROUP BY split"""))
 def q_split_disjoint(spark, d):
@@ -137,7 +138,8 @@ def q_embargo(spark, d):
 
 
 @query("global_windows", with_ctes("""
-  SELECT split, min(slot) AS slot_lo, max(slot) AS slot_hi, min(id) AS id_lo, max(id) AS id_hi, count(*) AS n, false AS ids_overlap
+  SELECT split, min(slot) AS slot_lo, max(slot) AS slot_hi, min(id) AS id_lo, max(id) AS id_hi, count(*) AS n,
+         coalesce(lag(max(id)) OVER (ORDER BY min(slot)) >= min(id), false) AS ids_overlap
   FROM (SELECT split, slot, slot * 1099511627776 + tx_id AS id FROM split_tx) GROUP BY split"""))
 def q_global_windows(spark, d):
     b = bounds(spark, d)
