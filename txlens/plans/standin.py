@@ -21,6 +21,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def epoch_seconds(c: str):
+    """Whole seconds of a zone-less timestamp, independent of the session zone."""
+    t = F.col(c)
+    return (F.datediff(t, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
+
+
+def epoch_micros(c: str):
+    part = F.date_part(F.lit("SECOND"), F.col(c)) - F.second(c)
+    return epoch_seconds(c) * 1000000 + F.floor(part * 1000000).cast("bigint")
+
+
 CTE: dict[str, str] = {}
 
 CTE["tx"] = """
