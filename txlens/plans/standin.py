@@ -279,7 +279,7 @@ def with_ctes(*names_and_body: str) -> str:
         visit_name(e)
     visit(body)
     parts = [f"{n} AS ({CTE[n]})" for n in need]
-    m = re.match(r"\s*WITH\s+", body, re.I)
+    m = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body, re.I)
     if m and parts:
-        return "WITH " + ",\n".join(parts) + ",\n" + body[m.end():]
+        return f"WITH {m.group(1) or ''}" + ",\n".join(parts) + ",\n" + body[m.end():]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
