@@ -47,6 +47,6 @@ def sampled(ident: Column, ppm: int) -> Column:
     return mix_mod(SAMPLE_SEED, ident, 1_000_000) < F.lit(ppm)
 
 
-def unsigned_order(c: Column) -> Column:
-    """Sort key that orders a BIGINT bit pattern as an unsigned number."""
-    return F.when(c < 0, c.cast("decimal(20,0)") + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(c.cast("decimal(20,0)"))
+def unsigned_order(c: Column) -> tuple[Column, Column]:
+    """Sort keys that order a BIGINT bit pattern as an unsigned number: negatives come last, each half in order."""
+    return (c < 0).asc(), c.asc()
