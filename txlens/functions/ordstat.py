@@ -1,9 +1,11 @@
 """Order statistics over a whole table without a one-task window.
 
-The table is first aggregated by distinct value, so a value that repeats in a third of all rows becomes one row.
-Range edges (a few dozen numbers from `approxQuantile`) turn the value into a bucket number; bucket totals give each
-bucket its starting offset, and a window inside (keys, bucket) adds the rest. Edges are literals of the plan, so every
-part of the plan uses the same ones. They only decide how evenly the work spreads; the sums are exact for any edges.
+The table is first aggregated by distinct value, so a value that repeats in a third of all rows becomes one row. That
+aggregate is written once to the shared folder: whatever it came from is computed a single time and cannot be lost with
+an executor. Its size is then known. Up to `SMALL_ROWS` rows it is a plain window. Above that, range edges (a few dozen
+to a thousand numbers from `approxQuantile`) turn the value into a bucket number; bucket totals give each bucket its
+starting offset, and a window inside (keys, bucket) adds the rest. Edges are literals of the plan, so every part of the
+plan uses the same ones. They only decide how evenly the work spreads; the sums are exact for any edges.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from txlens.session import materialise
+
+SMALL_ROWS = 200_000
+
 
 def range_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Cut points for about `buckets` even ranges of `value`."""
@@ -40,34 +46,33 @@ def bucket_of(value: Column, edges: Sequence[float]) -> Column:
     return build(0, len(edges))
 
 
-def cumulate(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequence[str] = (),
-             desc: bool = False, edges: Sequence[float] | None = None) -> DataFrame:
+def cumulate(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequence[str] = (), desc: bool = False,
+             small_rows: int | None = None) -> DataFrame:
     """One row per (by, value): each measure m, its running sum `cum_m` in value order, its group total `tot_m`.
 
     `measures` are sum-like aggregates. Null values of `value` are left out.
     """
-    by = list(by)
-    df = df.where(F.col(value).isNotNull())
-    if edges is None:
-        edges = range_edges(df, value)
-    names = list(measures)
-    per_value = df.groupBy(*by, value).agg(*[m.alias(n) for n, m in measures.items()])
-    per_value = per_value.withColumn("_b", bucket_of(F.col(value), edges))
+    by, names = list(by), list(measures)
+    per_value = materialise(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[m.alias(n) for n, m in measures.items()]), "values")
+    order = F.col(value).desc() if desc else F.col(value).asc()
+    keys = by or [F.lit(0)]
+    if per_value.count() <= (SMALL_ROWS if small_rows is None else small_rows):
+        run, whole = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)  # bounded by the count just taken
+        return per_value.select("*", *[F.sum(n).over(run).alias(f"cum_{n}") for n in names], *[F.sum(n).over(whole).alias(f"tot_{n}") for n in names])
+    per_value = per_value.withColumn("_b", bucket_of(F.col(value), range_edges(per_value, value)))
     totals = per_value.groupBy(*by, "_b").agg(*[F.sum(n).alias(n) for n in names])
-    direction = F.col("_b").desc() if desc else F.col("_b").asc()
-    # At most len(edges)+1 rows in each group of keys.
-    ahead = W.partitionBy(*(by or [F.lit(0)])).orderBy(direction)
-    whole = W.partitionBy(*(by or [F.lit(0)]))
+    # At most len(edges) + 1 rows in each group of keys.
+    ahead = W.partitionBy(*keys).orderBy(F.col("_b").desc() if desc else F.col("_b").asc())
+    whole = W.partitionBy(*keys)
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in by], F.col("_b").alias("_ob"),
         *[(F.sum(n).over(ahead) - F.col(n)).alias(f"_off_{n}") for n in names],
         *[F.sum(n).over(whole).alias(f"tot_{n}") for n in names])
-    on = (per_value["_b"] == offsets["_ob"])
+    on = per_value["_b"] == offsets["_ob"]
     for k in by:
         on = on & per_value[k].eqNullSafe(offsets[f"_k_{k}"])
-    order = F.col(value).desc() if desc else F.col(value).asc()
     inside = W.partitionBy(*by, "_b").orderBy(order)
-    side = F.broadcast(offsets) if not by else offsets
+    side = offsets if by else F.broadcast(offsets)  # without keys: one row per bucket
     joined = per_value.join(side, on, "inner")
     return joined.select(
         *by, value, *names,
@@ -75,9 +80,8 @@ def cumulate(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequ
         *[f"tot_{n}" for n in names])
 
 
-def counts(df: DataFrame, value: str, by: Sequence[str] = (), desc: bool = False,
-           edges: Sequence[float] | None = None) -> DataFrame:
-    return cumulate(df, value, {"n": F.count(F.lit(1))}, by, desc, edges)
+def counts(df: DataFrame, value: str, by: Sequence[str] = (), desc: bool = False, small_rows: int | None = None) -> DataFrame:
+    return cumulate(df, value, {"n": F.count(F.lit(1))}, by, desc, small_rows)
 
 
 def index_percentiles(df: DataFrame, value: str, ps: Mapping[str, float], by: Sequence[str] = (),
@@ -144,17 +148,19 @@ def average_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ())
 
 
 def number_rows(df: DataFrame, value: str, ties: Sequence[str], name: str, desc: bool = False,
-                start: int = 0) -> DataFrame:
+                start: int = 0, small_rows: int | None = None) -> DataFrame:
     """Number all rows in order of (value, ties) without a one-task sort: range buckets plus offsets.
 
     Rows that share one value must be few (ties break inside one bucket).
     """
-    edges = range_edges(df, value)
-    marked = df.withColumn("_b", bucket_of(F.col(value), edges))
+    df = materialise(df, "rows")
+    order = [F.col(value).desc() if desc else F.col(value).asc(), *[F.col(t) for t in ties]]
+    if df.count() <= (SMALL_ROWS if small_rows is None else small_rows):
+        return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1 + F.lit(start)).cast("bigint"))  # bounded by the count
+    marked = df.withColumn("_b", bucket_of(F.col(value), range_edges(df, value)))
     sizes = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.orderBy(F.col("_b").desc() if desc else F.col("_b").asc())  # at most len(edges)+1 rows
     offsets = sizes.select(F.col("_b").alias("_ob"), (F.sum("_n").over(ahead) - F.col("_n")).alias("_off"))
-    inside = W.partitionBy("_b").orderBy(F.col(value).desc() if desc else F.col(value).asc(), *[F.col(t) for t in ties])
-    out = marked.withColumn("_r", F.row_number().over(inside))
+    out = marked.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order)))
     return (out.join(F.broadcast(offsets), out["_b"] == offsets["_ob"])
             .withColumn(name, (F.col("_off") + F.col("_r") - 1 + F.lit(start)).cast("bigint")).drop("_b", "_ob", "_off", "_r"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from txlens.functions import ordstat
 from txlens.functions.numbers import BASE_FEE, LAMPORTS_PER_COIN, count_if, ratio, sum_if, wilson_bounds
+from txlens.session import materialise
 
 NEG_INF = float("-inf")
 POS_INF = float("inf")
@@ -81,10 +82,13 @@ def budget_threshold(df: DataFrame, score: str, weight: str, budgets: Sequence[f
     return keys.join(found, [*by, "budget"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(POS_INF)))
 
 
-def nth_threshold(df: DataFrame, score: str, ns: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """The n-th highest score; infinity when n is out of range or the score is not finite."""
+def nth_threshold(df: DataFrame, score: str, ns: Sequence[int], by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """The n-th highest score; infinity when n is out of range or the score is not finite.
+
+    `rows` names a column that says how many rows a line stands for, when `df` is already summed by score.
+    """
     spark = df.sparkSession
-    c = ordstat.counts(df, score, by, desc=True)
+    c = ordstat.cumulate(df, score, {"n": F.sum(rows) if rows else F.count(F.lit(1))}, by, desc=True)
     table = F.broadcast(spark.createDataFrame([(int(n),) for n in ns], "n_th bigint"))
     found = c.crossJoin(table).groupBy(*by, "n_th").agg(
         F.max(F.when((F.col("cum_n") >= F.col("n_th")) & (F.col("n_th") > 0), F.col(score))).alias("_t"))
@@ -206,7 +210,7 @@ def policy_grid(tx: DataFrame, pairs: DataFrame, rank_score: str, policies: Sequ
     for k in sends:
         win = good & (F.col("first_hit") <= k)
         aggs += [count_if(win).alias(f"c{k}"), sum_if(win, "best_profit").alias(f"v{k}")]
-    sums = x.groupBy("policy", "depth", "split", "s").agg(*aggs)
+    sums = materialise(x.groupBy("policy", "depth", "split", "s").agg(*aggs), "policy-sums")  # everything below reads this
     val = sums.where((F.col("split") == "val") & (F.col("w") > 0))
     limits = [b * hours["val"] for b in budgets]
     thr = budget_threshold(val, "s", "w", limits, ["policy", "depth"])

@@ -9,12 +9,30 @@ from txlens.operators import labels as L
 from txlens.plans import standin as S
 from txlens.plans.registry import query
 from txlens.plans.standin import SAMPLE_PPM, with_ctes
+from txlens.session import materialise
 
 
 def tx_routes(spark, d):
     return L.packed_routes(S.positives(spark, d))
 
 
+class Stages:
+    """The tables one report shares, each built once and written to the shared folder like the stages of a build."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+        self.labels = materialise(L.tx_labels(S.trig(spark, d)), "labels")
+        self.routes = materialise(tx_routes(spark, d).distinct(), "routes")
+        self.eligible = materialise(eligible(spark, d), "eligible")
+        self.cover = materialise(L.covering(self.eligible, S.pack_routes(S.packs(spark, d)), self.routes), "cover")
+
+    def pairs(self, depth=2):
+        return L.expand_pairs(self.labels, S.tx(self.spark, self.d), self.eligible, self.cover, depth, SAMPLE_PPM)
+
+    def grouped(self):
+        return L.with_target3(L.with_group(self.labels.join(S.tx(self.spark, self.d), "tx_id")))
+
+
 def labelled(spark, d, routes=False):
     """Labels with the transaction's own columns."""
     lab = L.tx_labels(S.trig(spark, d), tx_routes(spark, d) if routes else None)

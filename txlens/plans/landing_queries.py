@@ -256,7 +256,7 @@ def q_program_dictionary(spark, d):
     return ST.program_dictionary(ixs(spark, d))
 
 
-@query("program_hashes", with_ctes("""
+@query("relevance_audit_pop", with_ctes("""
   WITH s AS (SELECT tx_id, list(prog::VARCHAR ORDER BY pos) AS p, coalesce(string_agg(prog::VARCHAR, '|' ORDER BY pos) FILTER (prog % 10 <> 0), '') AS q FROM ixs GROUP BY tx_id)
   SELECT tx_id, coalesce(substr(sha256(p[1]), 1, 16), '0') AS prog0, coalesce(substr(sha256(p[2]), 1, 16), '0') AS prog1,
          coalesce(substr(sha256(p[3]), 1, 16), '0') AS prog2, substr(sha256(p[-1]), 1, 16) AS prog_last, substr(sha256(q), 1, 16) AS prog_seq FROM s"""))

@@ -37,23 +37,31 @@ def scored(spark, d):
     return SP.assign_split(with_scores(LQ.grouped(spark, d)), bounds(spark, d))
 
 
-def scored_cov(spark, d):
-    s = scored(spark, d)
-    cov = L.cover_rank(LQ.eligible(spark, d), LQ.covered(spark, d))
-    routes = LQ.tx_routes(spark, d).distinct()
-    train = split_tx(spark, d).where(F.col("split") == "train").select("tx_id")
-    seen = routes.join(routes.join(train, "tx_id", "left_semi").select("route").distinct(), "route", "left_semi").groupBy("tx_id").agg(
+def scored_cov(spark, d, st=None):
+    st = st or LQ.Stages(spark, d)
+    b = bounds(spark, d)
+    s = SP.assign_split(with_scores(st.grouped()), b)
+    cov = L.cover_rank(st.eligible, st.cover)
+    train = SP.assign_split(S.tx(spark, d), b).where(F.col("split") == "train").select("tx_id")
+    seen = st.routes.join(st.routes.join(train, "tx_id", "left_semi").select("route").distinct(), "route", "left_semi").groupBy("tx_id").agg(
         F.count(F.lit(1)).alias("n_seen_in_train"))
     return s.join(cov, "tx_id", "left").join(seen, "tx_id", "left").withColumn(
         "n_seen_in_train", F.coalesce("n_seen_in_train", F.lit(0)))
 
 
-def scored_pairs(spark, d):
+def scored_pairs(spark, d, st=None):
+    st = st or LQ.Stages(spark, d)
     gain = S.packs(spark, d).select("pack_id", "gain")
-    return LQ.pairs(spark, d).join(gain, "pack_id").withColumn("static", -F.col("pack_rank").cast("double")).withColumn(
+    return st.pairs().join(gain, "pack_id").withColumn("static", -F.col("pack_rank").cast("double")).withColumn(
         "learned", F.pmod(F.col("tx_id") * 31 + F.col("gain") * 17, F.lit(101)) / 101.0)
 
 
+def both(spark, d):
+    """Scored transactions and scored pairs over the same stages."""
+    st = LQ.Stages(spark, d)
+    return scored_cov(spark, d, st), scored_pairs(spark, d, st)
+
+
 # ---------------------------------------------------------------- splits
 
 @query("slot_boundaries", with_ctes("""
@@ -331,7 +339,8 @@ S.CTE["ptx"] = """
 
 
 def policy_tx(spark, d):
-    return P.per_tx(scored_cov(spark, d), P.ranked(scored_pairs(spark, d), "learned", 2), 1, 2, "learned")
+    tx, pairs = both(spark, d)
+    return P.per_tx(tx, P.ranked(pairs, "learned", 2), 1, 2, "learned")
 
 
 @query("per_tx_hit", with_ctes(f"SELECT tx_id, hit, n_pairs, {r6('joint')} AS joint, coverable FROM ptx"))
@@ -408,7 +417,7 @@ def q_conditional_success(spark, d):
          {r6('(k + rk) / (n - np)')} AS recall_given_pack, {r6('k / (k + rk)')} AS topk_given_sent, {r6('k / n')} AS end_to_end_recall,
          {WLO} AS recall_lo, {WHI} AS recall_hi FROM g"""))
 def q_funnel(spark, d):
-    out = P.funnel(scored_cov(spark, d), scored_pairs(spark, d), "learned", 0.5, 1)
+    out = P.funnel(*both(spark, d), "learned", 0.5, 1)
     return rounded_all(out, ["send_precision", "send_precision_pack", "pack_availability", "recall_given_pack", "topk_given_sent",
                              "end_to_end_recall", "recall_lo", "recall_hi"])
 
@@ -449,7 +458,7 @@ S.CTE["grid"] = f"""
 
 
 def grid(spark, d):
-    g = P.policy_grid(scored_cov(spark, d), scored_pairs(spark, d), "learned", **GRID)
+    g = P.policy_grid(*both(spark, d), "learned", **GRID)
     six = ["threshold", "val_sends_per_hour", "test_sends_per_hour", "val_unknown_share", "test_unknown_share"]
     nine = [f"{s}_{m}_per_hour" for s in ("val", "test") for m in ("coins", "net")]
     return rounded_all(rounded_all(g, six), nine, 9)

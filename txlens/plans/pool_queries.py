@@ -15,6 +15,7 @@ from txlens.plans import metric_queries as MQ
 from txlens.plans import standin as S
 from txlens.plans.registry import query
 from txlens.plans.standin import auc_sql, r6, with_ctes
+from txlens.session import materialise
 
 CAP = 2
 KS = (1, 2, 3, 6, 9, 24)
@@ -202,8 +203,9 @@ def q_route_ceiling(spark, d):
   SELECT k, own, sweep, own = sweep AS equal FROM own JOIN (SELECT k, count(*) FILTER (r < k) AS sweep FROM best, (SELECT unnest([1, 2]) AS k) GROUP BY k) s USING (k)"""))
 def q_sweep_crosscheck(spark, d):
     """Coverage per depth from catalog ranks beside coverage counted from the pairs table."""
-    own = P.availability(MQ.scored_cov(spark, d), [1, 2]).select("k", F.col("available").alias("own"))
-    hit = MQ.scored_pairs(spark, d).where(F.col("eligible_live") & (F.col("pack_target") == 1))
+    tx, pairs = MQ.both(spark, d)
+    own = P.availability(tx, [1, 2]).select("k", F.col("available").alias("own"))
+    hit = pairs.where(F.col("eligible_live") & (F.col("pack_target") == 1))
     best = hit.groupBy("tx_id").agg(F.min("pack_rank").alias("r"))
     sweep = best.agg(*[count_if(F.col("r") < k).alias(f"c{k}") for k in (1, 2)]).select(
         F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("sweep")) for k in (1, 2)])).alias("s")).select("s.*")
@@ -211,9 +213,15 @@ def q_sweep_crosscheck(spark, d):
 
 
 def lookup(spark, d):
-    s = MQ.scored(spark, d).where(F.col("split") != "train")
-    cand = q_has_candidate(spark, d).withColumn("_c", F.lit(True))
-    x = s.join(q_route_hit(spark, d), "tx_id", "left").join(cand, "tx_id", "left").withColumn(
+    """Val and test transactions with the hit rank of their candidates, over route tables built once."""
+    routes = materialise(LQ.tx_routes(spark, d).distinct(), "routes")
+    pools = materialise(tx_pools(spark, d), "tx-pools")
+    sc = MQ.scored(spark, d)
+    train = MQ.split_tx(spark, d).where(F.col("split") == "train").select("tx_id")
+    rows = materialise(PO.pool_route_rows(PO.route_support(routes.join(train, "tx_id", "left_semi")), routes_long(spark, d)), "pool-routes")
+    hits = PO.hit_rank(PO.rank_candidates(PO.candidates(pools, PO.pool_routes(rows, CAP))), routes)
+    cand = PO.has_candidate(pools, rows).withColumn("_c", F.lit(True))
+    x = sc.where(F.col("split") != "train").join(hits, "tx_id", "left").join(cand, "tx_id", "left").withColumn(
         "has_candidate", F.coalesce("_c", F.lit(False))).drop("_c")
     return x.withColumn("s", M.score_of(F.col("has_candidate") & (F.col("encode_status") == 0), F.col("ev")))
 
@@ -246,13 +254,13 @@ S.CTE["bgrid"] = f"""
 def budget_grid(spark, d):
     """Budgets x L for the lookup policy: n-th score thresholds from val, sums per score, one join with the thresholds."""
     x = lookup(spark, d)
-    thr = P.nth_threshold(x.where(F.col("split") == "val"), "s", [int(b * HOURS["val"]) for b in BUDGETS]).withColumn(
-        "budget_per_hour", (F.col("n_th") / HOURS["val"]).cast("int")).drop("n_th")
     aggs = [F.count(F.lit(1)).alias("n")]
     for k in (1, 2, 3):
         ok = (F.col("target3") == 1) & (F.col("hit_rank") < PO.ROUTES_PER_PACK * k)
         aggs += [count_if(ok).alias(f"c{k}"), sum_if(ok, "best_profit").alias(f"v{k}")]
-    sums = x.where(F.col("s") > float("-inf")).groupBy("split", "s").agg(*aggs)
+    sums = materialise(x.where(F.col("s") > float("-inf")).groupBy("split", "s").agg(*aggs), "score-sums")
+    thr = P.nth_threshold(sums.where(F.col("split") == "val"), "s", [int(b * HOURS["val"]) for b in BUDGETS], rows="n").withColumn(
+        "budget_per_hour", (F.col("n_th") / HOURS["val"]).cast("int")).drop("n_th")
     g = F.broadcast(thr).join(sums, sums["s"] >= thr["threshold"], "left")  # one row per budget
     parts = []
     for sp in ("val", "test"):
@@ -342,7 +350,7 @@ def q_hidden_estimate(spark, d):
 def q_time_chunks(spark, d):
     """Chunks are left-closed with a closed last one, so an edge belongs to the chunk that starts there."""
     from txlens.functions.ordstat import quantile_list
-    x = lookup(spark, d).where(F.col("split") == "test")
+    x = materialise(lookup(spark, d).where(F.col("split") == "test"), "test-rows")
     q = quantile_list(x, "slot", [0.25, 0.5, 0.75])
     c = x.withColumn("chunk", sum(((F.col("slot") >= e).cast("int") for e in q), F.lit(0)))
     auc = M.classifier_summary(c, "target3", "arb_score", ["chunk"]).select("chunk", "pr_auc")
