@@ -50,6 +50,16 @@ def sum_if(cond: Column, value) -> Column:
     return F.coalesce(F.sum(F.when(cond, col(value))), F.lit(0))
 
 
+def each(values, name: str = "value", kind: str = "double") -> Column:
+    """A few literal values to one row each, next to the row at hand."""
+    return F.explode(F.array(*[F.lit(v).cast(kind) for v in values])).alias(name)
+
+
+def beside(df, one):
+    """Put the columns of a one-row aggregate next to every row. Only for `agg` results without keys."""
+    return df.crossJoin(F.broadcast(one))
+
+
 def wilson_bounds(k, n, z: float = WILSON_Z) -> tuple[Column, Column]:
     """Wilson score interval for k hits in n tries, null for n = 0."""
     hits, tries = col(k).cast("double"), col(n).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from txlens.functions.numbers import count_if, int_mean, ratio, sum_if
+from txlens.functions.numbers import beside, count_if, int_mean, ratio, sum_if
 
 # Fixed values
 UNIT_LIMIT = 400_000
@@ -91,7 +91,7 @@ def searchable_groups(rows: DataFrame, hurdle: int) -> DataFrame:
         sum_if(fresh, "cap_gross").alias("_cf"), F.coalesce(F.max(F.when(fresh, F.col("cap_gross"))), F.lit(0)).alias("cap_gross_fresh_max"),
         F.sum("cap_gross").alias("_cg"), F.max("cap_gross").alias("cap_gross_max"))
     total = g.agg(F.sum("searchable_n").alias("_t"))  # one row
-    out = g.crossJoin(total)
+    out = beside(g, total)
     return out.select("seq", "n_hop", "bucket", "searchable_n", (100.0 * F.col("searchable_n") / F.col("_t")).alias("pct"), "fresh_n", "cap_ok_n",
                       "cap_ok_and_fresh_n", "raceable_n", "sendable_n", F.when(F.col("_an") > 0, F.floor(F.col("_as") / F.col("_an"))).alias("age_avg"),
                       int_mean("_gf", "fresh_n").alias("gross_fresh_avg"), "gross_fresh_max", int_mean("_cf", "fresh_n").alias("cap_gross_fresh_avg"),
@@ -243,7 +243,7 @@ def profit_distribution(df: DataFrame, value: str) -> DataFrame:
     p = index_percentiles(df, value, {"p50": 0.5, "p90": 0.9})
     bands = df.agg(count_if(F.col(value) < 0.01).alias("tiny"), count_if((F.col(value) >= 0.01) & (F.col(value) < 1)).alias("mid"),
                    count_if(F.col(value) >= 1).alias("big"))
-    return p.select("n", "p50", "p90", "max_value").crossJoin(bands)  # one row each
+    return beside(p.select("n", "p50", "p90", "max_value"), bands)
 
 
 def top_n(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
@@ -261,4 +261,4 @@ def counter_health(snaps: DataFrame, max_age: int) -> DataFrame:
 
 def share_table(df: DataFrame, key: str) -> DataFrame:
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return g.crossJoin(g.agg(F.sum("n").alias("_t"))).select(key, "n", ratio("n", "_t").alias("share"))  # one-row total
+    return beside(g, g.agg(F.sum("n").alias("_t"))).select(key, "n", ratio("n", "_t").alias("share"))

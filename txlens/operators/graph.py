@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txlens.functions.numbers import count_if
+from txlens.functions.numbers import beside, count_if
 from txlens.session import materialise
 
 
@@ -61,9 +61,9 @@ def cycle_delta(pools: DataFrame, extra: DataFrame, base: str) -> DataFrame:
     def totals(df, name):
         two = cycles2(df, base).agg(F.coalesce(F.sum("routes"), F.lit(0)).alias(f"{name}_2hop"))
         three = cycles3(df, base).agg(F.coalesce(F.sum("routes"), F.lit(0)).alias(f"{name}_3hop"))
-        return two.crossJoin(three)  # one row each
+        return beside(two, three)
 
-    j = totals(pools, "before").crossJoin(totals(pools.unionByName(extra), "after"))
+    j = beside(totals(pools, "before"), totals(pools.unionByName(extra), "after"))
     d2, d3 = F.col("after_2hop") - F.col("before_2hop"), F.col("after_3hop") - F.col("before_3hop")
     return j.select("*", d2.alias("gain_2hop"), d3.alias("gain_3hop"), F.when(d3 > 0, 1.5).when(d2 > 0, 1.0).otherwise(0.0).alias("support"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from txlens.functions import bits, ordstat
-from txlens.functions.numbers import count_if
+from txlens.functions.numbers import beside, count_if
 
 KEY = ["program", "family", "layer", "base"]
 LIVE_LAYER = "TOP_LEVEL"
@@ -70,7 +70,7 @@ def label_problems(trig: DataFrame, labels: DataFrame, positives: DataFrame) ->
     with_route = packed_routes(positives).select("tx_id").distinct()
     b = labels.where(F.col("label") != "POSITIVE").join(with_route, "tx_id", "left_semi").agg(
         F.count(F.lit(1)).alias("routes_without_positive"))
-    return a.crossJoin(b)  # one row each
+    return beside(a, b)
 
 
 def label_summary(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from txlens.functions import ordstat
-from txlens.functions.numbers import count_if, ratio, sum_if, wilson_bounds
+from txlens.functions.numbers import beside, count_if, each, ratio, sum_if, wilson_bounds
 from txlens.operators.splits import cut_bin
 
 # Fixed values
@@ -66,11 +66,9 @@ def selectivity(df: DataFrame, y: str, p: str, key: str, fractions=TOP_FRACTIONS
 
     Only the tie group at each cut is looked at by key, so the rest of the table is touched by score sums alone.
     """
-    spark = df.sparkSession
     c = ordstat.cumulate(df, p, {"n": F.count(F.lit(1)), "pos": F.sum(F.col(y).cast("bigint"))}, desc=True)
-    table = F.broadcast(spark.createDataFrame([(float(f),) for f in fractions], "top_frac double"))
     want = F.greatest(F.lit(1), F.rint(F.col("tot_n") * F.col("top_frac")).cast("bigint"))
-    at = (c.crossJoin(table).withColumn("sent", want)  # a handful of fractions
+    at = (c.select("*", each(fractions, "top_frac")).withColumn("sent", want)
           .where((F.col("cum_n") >= F.col("sent")) & (F.col("cum_n") - F.col("n") < F.col("sent")))
           .select("top_frac", "sent", F.col(p).alias("min_score"), (F.col("cum_pos") - F.col("pos")).alias("_above"),
                   (F.col("sent") - (F.col("cum_n") - F.col("n"))).alias("_take"), "tot_pos"))
@@ -125,17 +123,15 @@ def landing_summary(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Da
     brier = both.groupBy(*by).agg(F.avg(sq).alias("brier")) if by else both.agg(F.avg(sq).alias("brier"))
     if by:
         return land.join(fail, list(by)).join(brier, list(by))
-    return land.crossJoin(fail).crossJoin(brier)  # one row each
+    return beside(beside(land, fail), brier)
 
 
 def gate_tradeoff(df: DataFrame, y: str, p: str, cutoffs: Sequence[float]) -> DataFrame:
     """Per cut-off: share kept, landed rate of the kept, failures removed, landed lost."""
-    spark = df.sparkSession
-    # Distinct scores first, so the cut-off table multiplies only those.
+    # Distinct scores first, so the cut-offs multiply only those.
     per = df.groupBy(p).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
-    cuts = F.broadcast(spark.createDataFrame([(float(c),) for c in cutoffs], "cutoff double"))
     kept = F.col(p) >= F.col("cutoff")
-    g = per.crossJoin(cuts).groupBy("cutoff").agg(
+    g = per.select("*", each(cutoffs, "cutoff")).groupBy("cutoff").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos"), sum_if(kept, "n").alias("kn"), sum_if(kept, "pos").alias("kp"))
     fails = F.col("n") - F.col("pos")
     kept_fails = F.col("kn") - F.col("kp")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from txlens.functions import ordstat
-from txlens.functions.numbers import BASE_FEE, LAMPORTS_PER_COIN, count_if, ratio, sum_if, wilson_bounds
+from txlens.functions.numbers import BASE_FEE, LAMPORTS_PER_COIN, count_if, each, ratio, sum_if, wilson_bounds
 from txlens.session import materialise
 
 NEG_INF = float("-inf")
@@ -72,13 +72,11 @@ def decision_score(rule: str) -> Column:
 
 def budget_threshold(df: DataFrame, score: str, weight: str, budgets: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Lowest score whose cumulative weight stays within each budget; ties are never split; infinity when none fits."""
-    spark = df.sparkSession
     ok = df.where((F.col(score) > NEG_INF) & (F.col(score) < POS_INF) & ~F.isnan(score) & (F.col(weight) > 0))
     c = ordstat.cumulate(ok, score, {"w": F.sum(weight)}, by, desc=True)
-    table = F.broadcast(spark.createDataFrame([(float(b),) for b in budgets], "budget double"))
-    found = c.crossJoin(table).groupBy(*by, "budget").agg(
+    found = c.select("*", each(budgets, "budget")).groupBy(*by, "budget").agg(
         F.min(F.when(F.col("cum_w") <= F.col("budget"), F.col(score))).alias("threshold"))
-    keys = df.select(*by).distinct().crossJoin(table) if by else table
+    keys = (df.select(*by).distinct() if by else df.sparkSession.range(1)).select(*by, each(budgets, "budget"))
     return keys.join(found, [*by, "budget"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(POS_INF)))
 
 
@@ -87,10 +85,8 @@ def nth_threshold(df: DataFrame, score: str, ns: Sequence[int], by: Sequence[str
 
     `rows` names a column that says how many rows a line stands for, when `df` is already summed by score.
     """
-    spark = df.sparkSession
     c = ordstat.cumulate(df, score, {"n": F.sum(rows) if rows else F.count(F.lit(1))}, by, desc=True)
-    table = F.broadcast(spark.createDataFrame([(int(n),) for n in ns], "n_th bigint"))
-    found = c.crossJoin(table).groupBy(*by, "n_th").agg(
+    found = c.select("*", each(ns, "n_th", "bigint")).groupBy(*by, "n_th").agg(
         F.max(F.when((F.col("cum_n") >= F.col("n_th")) & (F.col("n_th") > 0), F.col(score))).alias("_t"))
     t = F.col("_t")
     return found.select(*by, "n_th", F.when(t.isNotNull() & (t > NEG_INF) & (t < POS_INF), t).otherwise(F.lit(POS_INF)).alias("threshold"))

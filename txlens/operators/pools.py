@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from txlens.functions.numbers import count_if, ratio, sum_if
+from txlens.functions.numbers import beside, count_if, each, ratio, sum_if
 
 # Fixed values
 RATE_PRIOR = 0.1
@@ -86,14 +86,13 @@ def oof_priors(rows: DataFrame, tx_routes: DataFrame, routes: DataFrame, k: int)
     once; the sums of the other folds come from adding them up again per target fold, without a pass per fold and
     without subtraction.
     """
-    spark = rows.sparkSession
-    targets = F.broadcast(spark.range(k).select(F.col("id").cast("int").alias("target")))  # k rows
+    target = each(range(k), "target", "int")
     sums = _pool_sums(rows, ["pool", "fold"])
-    other = sums.crossJoin(targets).where(F.col("fold") != F.col("target")).groupBy("pool", "target").agg(
+    other = sums.select("*", target).where(F.col("fold") != F.col("target")).groupBy("pool", "target").agg(
         *[F.sum(c).alias(c) for c in ("touch", "pos", "log_sum", "log_n")])
     priors = _finish(other.withColumnRenamed("target", "fold"), ["pool", "fold"])
     sup = tx_routes.select("tx_id", "route", "fold").distinct().groupBy("route", "fold").agg(F.count(F.lit(1)).alias("support"))
-    alive = sup.crossJoin(targets).where(F.col("fold") != F.col("target")).select("route", F.col("target").alias("fold")).distinct()
+    alive = sup.select("*", target).where(F.col("fold") != F.col("target")).select("route", F.col("target").alias("fold")).distinct()
     n = routes.withColumnRenamed("route_id", "route").join(alive, "route").groupBy("pool", "fold").agg(F.count(F.lit(1)).alias("n_routes"))
     return priors, n
 
@@ -186,4 +185,4 @@ def ranker_frame(tx: DataFrame, pairs: DataFrame, pack_features: DataFrame) -> D
 def frame_gaps(tx: DataFrame, pairs: DataFrame, pack_features: DataFrame) -> DataFrame:
     a = pairs.join(tx.select("tx_id"), "tx_id", "left_anti").agg(F.count(F.lit(1)).alias("without_tx"))
     b = pairs.join(pack_features.select("pack_id"), "pack_id", "left_anti").agg(F.count(F.lit(1)).alias("without_pack"))
-    return a.crossJoin(b)  # one row each
+    return beside(a, b)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from txlens.functions import ordstat
-from txlens.functions.numbers import count_if
+from txlens.functions.numbers import beside, count_if
 
 # Fixed values
 FRACTIONS = (0.70, 0.15, 0.15)
@@ -77,7 +77,7 @@ def split_problems(df: DataFrame, key: str = "tx_id", slot: str = "slot") -> Dat
     w = W.orderBy(order)  # three rows
     ranges = ranges.withColumn("overlaps_previous", F.coalesce(F.lag("hi").over(w) >= F.col("lo"), F.lit(False)))
     shared = df.groupBy(key).agg((F.min("split") != F.max("split")).alias("m")).agg(count_if(F.col("m")).alias("ids_in_two_splits"))
-    return ranges.crossJoin(F.broadcast(shared))  # one row
+    return beside(ranges, shared)
 
 
 def check_disjoint(df: DataFrame, key: str = "tx_id", slot: str = "slot") -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txlens.functions.numbers import cents, count_if, rounded, rounded_all, sum_if
+from txlens.functions.numbers import beside, cents, count_if, rounded, rounded_all, sum_if
 from txlens.functions.ordstat import index_percentiles
 from txlens.operators import funnel as FU
 from txlens.plans import standin as S
@@ -267,7 +267,7 @@ def q_staleness(spark, d):
     a = journal(spark, d).where(F.col("kind") == "opp_searchable").select("user_id", F.col("k").alias("age"), "event_id")
     p = index_percentiles(a, "age", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).select("p50", "p90", "p99", F.col("max_value").alias("max_age"))
     worst = a.groupBy("user_id").agg(F.max("age").alias("worst"), F.max_by("age", "event_id").alias("last_age")).orderBy(F.desc("worst"), "user_id").limit(20)
-    return worst.crossJoin(p)  # 20 rows by one
+    return beside(worst, p)
 
 
 @query("trigger_funnel", with_ctes("""

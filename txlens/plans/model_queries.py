@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txlens import schema as SC
-from txlens.functions.numbers import count_if, rounded, rounded_all, sum_if
+from txlens.functions.numbers import beside, count_if, rounded, rounded_all, sum_if
 from txlens.operators import audit as A
 from txlens.operators import encode as E
 from txlens.operators import labels as L
@@ -202,11 +202,11 @@ def q_compact(spark, d):
     for name, kw in (("full", dict(max_trees=6, depth=4)), ("compact", dict(max_trees=2, depth=3))):
         s = MD.score(arb_model(spark, d, x, **kw), test, "p")
         t = P.nth_threshold(s, "p", [300])
-        one = s.crossJoin(F.broadcast(t)).agg(F.lit(name).alias("model"), count_if(F.col("p") >= F.col("threshold")).alias("sends"),  # one threshold
+        one = beside(s, t).agg(F.lit(name).alias("model"), count_if(F.col("p") >= F.col("threshold")).alias("sends"),  # one threshold
                                               sum_if((F.col("p") >= F.col("threshold")) & (F.col("target3") == 1), "best_profit").alias("value"))
         out = one if out is None else out.unionByName(one)
     full = out.agg(F.max(F.when(F.col("model") == "full", F.col("value"))).alias("_f"))
-    return out.crossJoin(full).select("model", "sends", "value", (F.col("value") >= 0.9 * F.col("_f")).alias("accepted"))  # one row
+    return beside(out, full).select("model", "sends", "value", (F.col("value") >= 0.9 * F.col("_f")).alias("accepted"))
 
 
 @query("relabel_shuffle", with_ctes("""

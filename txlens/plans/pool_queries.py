@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txlens.functions.numbers import LAMPORTS_PER_COIN, BASE_FEE, count_if, ratio, rounded, rounded_all, sum_if
+from txlens.functions.numbers import BASE_FEE, LAMPORTS_PER_COIN, beside, count_if, ratio, rounded, rounded_all, sum_if
 from txlens.operators import labels as L
 from txlens.operators import metrics as M
 from txlens.operators import policy as P
@@ -261,25 +261,27 @@ def budget_grid(spark, d):
     sums = materialise(x.where(F.col("s") > float("-inf")).groupBy("split", "s").agg(*aggs), "score-sums")
     thr = P.nth_threshold(sums.where(F.col("split") == "val"), "s", [int(b * HOURS["val"]) for b in BUDGETS], rows="n").withColumn(
         "budget_per_hour", (F.col("n_th") / HOURS["val"]).cast("int")).drop("n_th")
-    g = F.broadcast(thr).join(sums, sums["s"] >= thr["threshold"], "left")  # one row per budget
-    parts = []
-    for sp in ("val", "test"):
-        here = F.col("split") == sp
-        parts.append(sum_if(here, "n").alias(f"{sp}_n"))
-        for k in (1, 2, 3):
-            parts += [sum_if(here, f"c{k}").alias(f"{sp}_c{k}"), sum_if(here, f"v{k}").alias(f"{sp}_v{k}")]
-    g = g.groupBy("budget_per_hour", "threshold").agg(*parts)
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("sends"), *[F.col(f"{sp}_{m}{k}").alias(f"{sp}_{m}") for sp in ("val", "test")
-                                                                   for m in ("c", "v")]) for k in (1, 2, 3)]))
-    g = g.withColumn("_s", rows)
-    out = ["budget_per_hour", F.col("_s.sends").alias("sends"), rounded("threshold").alias("threshold")]
+    limits = thr.agg(*[F.max(F.when(F.col("budget_per_hour") == b, F.col("threshold"))).alias(f"t{b}") for b in BUDGETS])
+    parts = [F.max(f"t{b}").alias(f"t{b}") for b in BUDGETS]
+    for b in BUDGETS:
+        for sp in ("val", "test"):
+            here = (F.col("split") == sp) & (F.col("s") >= F.col(f"t{b}"))
+            parts.append(sum_if(here, "n").alias(f"{sp}_n_{b}"))
+            for k in (1, 2, 3):
+                parts += [sum_if(here, f"c{k}").alias(f"{sp}_c{k}_{b}"), sum_if(here, f"v{k}").alias(f"{sp}_v{k}_{b}")]
+    g = beside(sums, limits).agg(*parts)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(b).alias("budget_per_hour"), F.lit(k).alias("sends"), F.col(f"t{b}").alias("threshold"),
+                 *[F.col(f"{sp}_{m}_{b}").alias(f"{sp}_{n}") for sp in ("val", "test") for m, n in (("n", "n"), (f"c{k}", "c"), (f"v{k}", "v"))])
+        for b in BUDGETS for k in (1, 2, 3)]))
+    out = ["budget_per_hour", "sends", rounded("threshold").alias("threshold")]
     for sp in ("val", "test"):
         h = HOURS[sp]
-        coins = F.col(f"_s.{sp}_v") / float(LAMPORTS_PER_COIN) / h
-        out += [rounded(F.col(f"{sp}_n") / h).alias(f"{sp}_decisions_per_hour"), F.col(f"_s.{sp}_c").alias(f"{sp}_captured"),
+        coins = F.col(f"{sp}_v") / float(LAMPORTS_PER_COIN) / h
+        out += [rounded(F.col(f"{sp}_n") / h).alias(f"{sp}_decisions_per_hour"), F.col(f"{sp}_c").alias(f"{sp}_captured"),
                 rounded(coins, 9).alias(f"{sp}_coins_per_hour"),
-                rounded(coins - F.col(f"{sp}_n") * F.col("_s.sends") * BASE_FEE / float(LAMPORTS_PER_COIN) / h, 9).alias(f"{sp}_net_per_hour")]
-    return g.select(*out)
+                rounded(coins - F.col(f"{sp}_n") * F.col("sends") * BASE_FEE / float(LAMPORTS_PER_COIN) / h, 9).alias(f"{sp}_net_per_hour")]
+    return g.select(cells.alias("c")).select("c.*").select(*out)
 
 
 @query("budget_grid", with_ctes("SELECT * FROM bgrid"))
@@ -300,7 +302,7 @@ def q_threshold_table(spark, d):
   SELECT "group", count(*) AS n, {r6('count(*) / sum(count(*)) OVER ()')} AS share FROM lookup WHERE split = 'test' AND s >= 20::DOUBLE GROUP BY "group" """))
 def q_send_mix(spark, d):
     g = lookup(spark, d).where((F.col("split") == "test") & (F.col("s") >= 20.0)).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    return g.crossJoin(g.agg(F.sum("n").alias("_t"))).select("group", "n", rounded(ratio("n", "_t")).alias("share"))
+    return beside(g, g.agg(F.sum("n").alias("_t"))).select("group", "n", rounded(ratio("n", "_t")).alias("share"))
 
 
 @query("unknown_groups", with_ctes(f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txlens.functions.numbers import count_if, rounded, rounded_all
+from txlens.functions.numbers import beside, count_if, rounded, rounded_all
 from txlens.functions.bits import SAMPLE_SEED  # noqa: F401
 from txlens.operators import truth as T
 from txlens.plans import journal_queries as JQ
@@ -160,7 +160,7 @@ def q_replay(spark, d):
     live = q_decisions(spark, d)
     again = O.decide(tx_stream(spark, d, False), static_scores(spark, d), 25.0, 3).select(DECIDE_COLS)
     n = live.agg(F.count(F.lit(1)).alias("live_rows"))
-    return n.crossJoin(live.exceptAll(again).agg(F.count(F.lit(1)).alias("only_live"))).crossJoin(again.exceptAll(live).agg(F.count(F.lit(1)).alias("only_replay")))  # one row each
+    return beside(beside(n, live.exceptAll(again).agg(F.count(F.lit(1)).alias("only_live"))), again.exceptAll(live).agg(F.count(F.lit(1)).alias("only_replay")))
 
 
 @query("stream_miss_learn", with_ctes("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txlens.functions import ordstat
-from txlens.functions.numbers import count_if, ratio, rounded, rounded_all, sum_if
+from txlens.functions.numbers import beside, count_if, ratio, rounded, rounded_all, sum_if
 from txlens.operators import funnel as FU
 from txlens.operators import graph as G
 from txlens.operators import labels as L
@@ -293,7 +293,7 @@ def q_entry_truth(spark, d):
                                count_if(o == "disappeared").alias("disappeared"))
     c = F.col("landed_success") + F.col("landed_failed")
     p = ordstat.index_percentiles(x.where(F.col("class") == "ENTRY_VALID"), "dt", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).select("p50", "p90", "p99")
-    return g.select("*", rounded(100.0 * ratio(c, "n")).alias("commit_pct"), rounded(100.0 * ratio("landed_success", c)).alias("success_given_commit_pct")).crossJoin(p)  # one row
+    return beside(g.select("*", rounded(100.0 * ratio(c, "n")).alias("commit_pct"), rounded(100.0 * ratio("landed_success", c)).alias("success_given_commit_pct")), p)
 
 
 SPANS = {"resolve": ("pos", 900), "score": ("qty", 77), "sign": ("supp", 1300)}
@@ -681,8 +681,8 @@ def q_cycles3(spark, d):
   SELECT s.seq, coalesce(routes, 0) AS routes FROM s LEFT JOIN c ON c.seq = s.seq""".replace("FROM gpools a, gpools b UNION", "FROM (SELECT DISTINCT kind FROM gpools) a, (SELECT DISTINCT kind FROM gpools) b UNION")))
 def q_closure(spark, d):
     p = gpools(spark, d)
-    k = p.select("kind").distinct()
-    pairs = k.withColumnRenamed("kind", "a").crossJoin(k.withColumnRenamed("kind", "b"))  # a few kinds
+    kinds = p.agg(F.collect_set("kind").alias("ks"))  # one row: the few protocol kinds
+    pairs = kinds.select("ks", F.explode("ks").alias("a")).select("a", F.explode("ks").alias("b"))
     seqs = pairs.select(F.explode(F.array(F.concat_ws("-", "a", "b"), F.concat_ws("-", "a", "b", F.lit("C")), F.concat_ws("-", "a", "b", "a"))).alias("seq")).distinct()
     return G.closure_by_sequence(p, "BASE", seqs)
 
@@ -779,7 +779,7 @@ def q_same_inputs(spark, d):
     n = a.agg(F.count(F.lit(1)).alias("rows"))
     l = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_left"))
     r = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_right"))
-    return n.crossJoin(l).crossJoin(r).select(F.lit("tx").alias("input"), "rows", "only_left", "only_right")  # one row each
+    return beside(beside(n, l), r).select(F.lit("tx").alias("input"), "rows", "only_left", "only_right")
 
 
 @query("dedup_events", with_ctes("SELECT tx_id, status, layer, writable FROM trig GROUP BY ALL"))
