@@ -77,3 +77,20 @@ def test_unsigned_order(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v bigint")
     got = [r.v for r in df.orderBy(*bits.unsigned_order(F.col("v"))).collect()]
     assert got == sorted(vals, key=lambda v: v % (1 << 64))
+
+
+@pytest.mark.parametrize("small", [0, 10_000_000])
+def test_numbering_with_many_ties(spark, small):
+    df = spark.range(900).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 5 ELSE id % 40 END AS v")
+    got = {r.id: r.k for r in ordstat.number_rows(df, "v", ["id"], "k", desc=True, small_rows=small).collect()}
+    rows = sorted(((-(5 if i % 3 == 0 else i % 40), i) for i in range(900)))
+    assert got == {i: k for k, (_, i) in enumerate(rows)}
+
+
+def test_previous_row_across_chunks(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), i, rng.randrange(9)) for i in rng.sample(range(1000), 300)]
+    got = {(r.g, r.o): r.prev_v for r in ordstat.with_previous(spark.createDataFrame(rows, "g string, o bigint, v int"), ["g"], "o", ["v"], 10).collect()}
+    for g in "ab":
+        mine = sorted((o, v) for h, o, v in rows if h == g)
+        assert [got[(g, o)] for o, _ in mine] == [None] + [v for _, v in mine[:-1]]

@@ -151,12 +151,18 @@ def number_rows(df: DataFrame, value: str, ties: Sequence[str], name: str, desc:
                 start: int = 0, small_rows: int | None = None) -> DataFrame:
     """Number all rows in order of (value, ties) without a one-task sort: range buckets plus offsets.
 
-    Rows that share one value must be few (ties break inside one bucket).
+    With a single numeric tie column, any number of rows may share a value: the place inside the value is a running count
+    of its own. With other ties, rows that share one value must be few, as they are sorted together.
     """
     df = materialise(df, "rows")
     order = [F.col(value).desc() if desc else F.col(value).asc(), *[F.col(t) for t in ties]]
     if df.count() <= (SMALL_ROWS if small_rows is None else small_rows):
         return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1 + F.lit(start)).cast("bigint"))  # bounded by the count
+    if len(ties) == 1 and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        ahead = counts(df, value, desc=desc, small_rows=small_rows).select(value, (F.col("cum_n") - F.col("n")).alias("_ahead"))
+        inside = counts(df, ties[0], [value], small_rows=small_rows).select(value, ties[0], F.col("cum_n").alias("_in"))
+        return (df.join(ahead, value).join(inside, [value, ties[0]])
+                .withColumn(name, (F.col("_ahead") + F.col("_in") - 1 + F.lit(start)).cast("bigint")).drop("_ahead", "_in"))
     marked = df.withColumn("_b", bucket_of(F.col(value), range_edges(df, value)))
     sizes = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     ahead = W.orderBy(F.col("_b").desc() if desc else F.col("_b").asc())  # at most len(edges)+1 rows
@@ -164,3 +170,20 @@ def number_rows(df: DataFrame, value: str, ties: Sequence[str], name: str, desc:
     out = marked.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order)))
     return (out.join(F.broadcast(offsets), out["_b"] == offsets["_ob"])
             .withColumn(name, (F.col("_off") + F.col("_r") - 1 + F.lit(start)).cast("bigint")).drop("_b", "_ob", "_off", "_r"))
+
+
+def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], width: int) -> DataFrame:
+    """Each row with `prev_<column>` of the row before it in its group, null for the first.
+
+    The order (a number) is cut in chunks of `width`; a window sees one chunk of one group, and the last row of each chunk
+    is handed to the next one, so a group with a third of all rows is spread over tasks.
+    """
+    by = list(by)
+    x = df.withColumn("_c", F.floor(F.col(order) / width))
+    row = F.struct(*columns)
+    inside = W.partitionBy(*by, "_c").orderBy(order)
+    ends = x.groupBy(*by, "_c").agg(F.max_by(row, order).alias("_e"))
+    ends = ends.select(*by, "_c", F.lag("_e").over(W.partitionBy(*by).orderBy("_c")).alias("_before"))  # one row per chunk
+    j = x.withColumn("_p", F.lag(row).over(inside)).withColumn("_i", F.row_number().over(inside)).join(ends, [*by, "_c"])
+    prev = F.when(F.col("_i") == 1, F.col("_before")).otherwise(F.col("_p"))
+    return j.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from txlens.functions.numbers import beside, count_if, int_mean, ratio, sum_if
+from txlens.functions.ordstat import index_percentiles, with_previous
 
 # Fixed values
 UNIT_LIMIT = 400_000
@@ -239,7 +239,6 @@ def hurdle_table(seqs: DataFrame) -> DataFrame:
 
 
 def profit_distribution(df: DataFrame, value: str) -> DataFrame:
-    from txlens.functions.ordstat import index_percentiles
     p = index_percentiles(df, value, {"p50": 0.5, "p90": 0.9})
     bands = df.agg(count_if(F.col(value) < 0.01).alias("tiny"), count_if((F.col(value) >= 0.01) & (F.col(value) < 1)).alias("mid"),
                    count_if(F.col(value) >= 1).alias("big"))
@@ -250,10 +249,10 @@ def top_n(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by).limit(n)
 
 
-def counter_health(snaps: DataFrame, max_age: int) -> DataFrame:
+def counter_health(snaps: DataFrame, max_age: int, chunk: int = 100_000) -> DataFrame:
     """Alive only when a counter moved since the process's previous snapshot and the heartbeat is young."""
-    w = W.partitionBy("proc").orderBy("line")
-    moving = F.coalesce((F.lag("updates").over(w) != F.col("updates")) | (F.lag("stream_slot").over(w) != F.col("stream_slot")), F.lit(True))
+    snaps = with_previous(snaps, ["proc"], "line", ["updates", "stream_slot"], chunk)
+    moving = F.coalesce((F.col("prev_updates") != F.col("updates")) | (F.col("prev_stream_slot") != F.col("stream_slot")), F.lit(True))
     young = F.col("hb_age") <= max_age
     status = (F.when(young & moving, "ok").when(young & ~F.col("metrics_ok"), "metrics_dead").when(young, "counters_frozen").otherwise("heartbeat_dead"))
     return snaps.withColumn("status", status)

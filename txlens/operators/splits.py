@@ -110,6 +110,5 @@ def id_windows(masters: DataFrame, b: dict) -> DataFrame:
 
 def slots_going_back(masters: DataFrame, part: str) -> DataFrame:
     """Per partition: number of ids whose slot is below the slot of the id before."""
-    w = W.partitionBy(part).orderBy("tx_id")
-    back = masters.withColumn("_back", F.col("slot") < F.lag("slot").over(w))
-    return back.groupBy(part).agg(count_if(F.col("_back")).alias("backward_steps"), F.count(F.lit(1)).alias("n"))
+    back = ordstat.with_previous(masters, [part], "tx_id", ["slot"], 1_000_000)
+    return back.groupBy(part).agg(count_if(F.col("slot") < F.col("prev_slot")).alias("backward_steps"), F.count(F.lit(1)).alias("n"))

@@ -419,7 +419,7 @@ def q_profit_dist(spark, d):
 def q_health(spark, d):
     s = gates(spark, d).select("event_id", F.col("user_id").alias("proc"), F.col("event_id").alias("line"), (F.col("k") % 3).alias("updates"),
                                F.floor(F.col("slot") / 50).alias("stream_slot"), F.col("k").alias("hb_age"), (F.col("user_id") % 2 == 0).alias("metrics_ok"))
-    return FU.counter_health(s, 60).select("event_id", "status")
+    return FU.counter_health(s, 60, 500).select("event_id", "status")
 
 
 @query("candidate_contract", with_ctes("""
