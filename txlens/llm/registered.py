@@ -1,8 +1,9 @@
 """The corpus queries and their oracles."""
 
-from txlens.llm import op9_query
+from txlens.llm import op3_query, op9_query
 
 QUERIES = {
+    "op3_bpe": op3_query.op3_bpe,
     "op9_shards": op9_query.op9_shards,
 }
 ORACLES = {
