@@ -27,6 +27,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,3 +212,17 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_clauses": np.rint(np.expm1(x[:, 2])).astype(np.int64), "weight": np.expm1(x[:, 1]), "score": p})
 
     return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCORED)
+
+
+def without_toxic(documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The documents whose score is below the limit, with all their columns."""
+    arcs, beta = model.arcs, model.beta
+    place = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(arcs)
+        for b in batches:
+            x = np.array([grammar.inputs(t.as_py()) for t in b.column(place)]).reshape(b.num_rows, 4)
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30))) < limit))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import repeats, rolling
-from txlens.llm.common import partitions
+from txlens.llm.common import id_order, partitions
 from txlens.llm.repeats import PASSED, PLAIN, Windows
 from txlens.session import materialise
 
 LENGTH, ANCHOR = 13, 9
-RESULT = "doc_id long, n_words long, n_removed long, kept string"
+RESULT = "doc_id long, text_key long, n_words long, n_removed long, kept string"
 
 
 def _kept(body: bytes, removed: np.ndarray | None, digest: bool) -> str:
@@ -213,7 +213,7 @@ def _finish(w: Windows, digest: bool):
                     gone = repeats.covered(_ranges(np.array([x for x, _ in s]), np.array([x + e - 1 for x, e in s])), w.length, n.as_py())
                 removed.append(int(gone.sum()) if gone is not None else 0)
                 kept.append(_kept(body.as_py(), gone, digest))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text_key", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -233,8 +233,11 @@ def repeated_spans(searched: DataFrame, w: Windows) -> DataFrame:
     return spans.join(right, ["source", "source_start", "edges", "digest"], "left_semi").drop("digest")
 
 
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the text without repeated windows, or with digest the SHA-256 of its kept words joined by spaces."""
+def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, digest: bool = False, keep_key: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): the text without repeated windows, or with digest the SHA-256 of its kept words joined by spaces.
+
+    `keep_key` adds the text key.
+    """
     w = Windows(length, anchor, by_words=True, across=True)
     outcome = repeats.candidates(repeats.keyed(documents, key, text), w).select("doc_id", "id", "text_key", "body", "first", "hits")
     schema = "doc_id long, id long, text_key long, n_words long, n_removed long, kept string, body binary, hits array<binary>"
@@ -242,4 +245,20 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     searched = outcome.where("body IS NOT NULL")
     spans = repeated_spans(searched, w).groupBy("text_key").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
     done = searched.select("doc_id", "text_key", "n_words", "body").join(spans, "text_key", "left").mapInArrow(_finish(w, digest), RESULT)
-    return outcome.where("body IS NULL").select("doc_id", "n_words", "n_removed", "kept").unionByName(done)
+    result = outcome.where("body IS NULL").select("doc_id", "text_key", "n_words", "n_removed", "kept").unionByName(done)
+    return result if keep_key else result.drop("text_key")
+
+
+def cut_out(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """The documents with repeated windows cut out of their text; other columns are unchanged.
+
+    Documents that lose all their words go; documents that had none stay.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), id_order(F.col(f"`{key}`")).alias("id"), F.xxhash64(body).alias("text_key"))
+    rows = rows.withColumn("text", F.col(f"row.`{text}`"))
+    left = remove_repeats(rows.select("id", "text"), "id", "text", length, anchor, keep_key=True)
+    changed = materialise(left.where("n_removed > 0").select(F.col("doc_id").alias("id"), "text_key", "n_words", "n_removed", "kept").dropDuplicates(["id", "text_key"]), "changed")
+    joined = rows.drop("text").join(changed, ["id", "text_key"], "left").where("n_removed IS NULL OR n_removed < n_words")
+    columns = [(F.when(F.col("n_removed").isNull(), F.col(f"row.`{c}`")).otherwise(F.col("kept")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in documents.columns]
+    return joined.select(*columns)
