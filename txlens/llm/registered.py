@@ -1,11 +1,12 @@
 """The corpus queries and their oracles."""
 
-from txlens.llm import op2_query, op3_query, op4_query, op6_query, op7_query, op8_query, op9_query, op10_query
+from txlens.llm import op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query
 
 QUERIES = {
     "op2_neighbours": op2_query.op2_neighbours,
     "op3_bpe": op3_query.op3_bpe,
     "op4_toxicity": op4_query.op4_toxicity,
+    "op5_token_counts": op5_query.op5_token_counts,
     "op6_decontamination": op6_query.op6_decontamination,
     "op7_language": op7_query.op7_language,
     "op8_word_spans": op8_query.op8_word_spans,
