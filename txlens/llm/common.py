@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txlens import session
+
 #: Null ids come after all others.
 LAST_ID = 2**63 - 1
 
@@ -25,3 +29,15 @@ def id_order(column: Column) -> Column:
 def crc_of_id(column: Column) -> Column:
     """crc32 of an id written as text; 0 for null."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")), F.lit(0).cast("long"))
+
+
+def step(df: DataFrame, name: str) -> DataFrame:
+    """Writes a step to the shared folder, reads it back, and lets Spark drop the shuffle files that made it.
+
+    Spark removes shuffle files when the driver has collected their handles as garbage, which may be long after their
+    last use; without this the files of all steps of an operator pile up on the executors' disks.
+    """
+    written = session.materialise(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written

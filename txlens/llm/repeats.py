@@ -1,6 +1,6 @@
 """Which texts hold windows that also start elsewhere: the part that byte and word repeats share.
 
-1. Each text is cut into anchors (see `rolling`). Anchors travel packed, a row per bucket and about 4 MB of text.
+1. Each text is cut into anchors (see `rolling`). Anchors travel packed, a row per bucket and about 1 MB of text.
    Anchors that repeat inside such a piece are known to repeat: one of them is sent on with that mark, the others skip
    the shuffle of the search, so an anchor of a third of all texts arrives once per piece.
 2. A bucket is sorted once; anchors that occur more than once are hits and go back to their text.
@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import rolling
-from txlens.llm.common import id_order, partitions
-from txlens.session import materialise
+from txlens.llm.common import id_order, partitions, step
 
 PLAIN, KNOWN, PASSED = 0, 1, 2
 
@@ -53,11 +52,77 @@ def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(F.col(key).cast("long").alias("doc_id"), id_order(F.col(key)).alias("id"), F.xxhash64(body).alias("text_key"), body.alias("body"))
 
 
-def _bucketed(fields: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> pa.RecordBatch:
+def bucketed(fields: dict[str, np.ndarray], bucket: np.ndarray, kind: int, per_text: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """A row per bucket with its packed values; fields of `per_text` are stored once per run of equal text keys."""
     order = np.argsort(bucket, kind="stable")
-    cuts = rolling.groups(bucket[order])
-    columns = [pa.array(bucket[order][cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, kind, np.int32))]
-    return pa.RecordBatch.from_arrays([*columns, *(rolling.packed(v[order], cuts) for v in fields.values())], ["bucket", "kind", *fields])
+    own = bucket[order]
+    cuts = rolling.groups(own)
+    columns = {"bucket": pa.array(own[cuts[:-1]].astype(np.int32)), "kind": pa.array(np.full(len(cuts) - 1, kind, np.int32))}
+    if per_text:
+        keys = fields["text_key"][order]
+        runs = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])]))
+        run_cuts = np.searchsorted(runs, cuts)
+        columns["run"] = rolling.packed(np.diff(np.append(runs, len(own))).astype(np.uint32), run_cuts)
+    for name, values in fields.items():
+        columns[name] = rolling.packed(values[order][runs], run_cuts) if name in per_text else rolling.packed(values[order], cuts)
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def unrolled(part: pa.RecordBatch, name: str) -> np.ndarray:
+    """A signed 64-bit field that was stored per run."""
+    return np.repeat(rolling.unpacked(part.column(name), "<i8"), rolling.unpacked(part.column("run"), "<u4"))
+
+
+def _narrow(hashes: np.ndarray) -> np.ndarray:
+    """The low six bytes of each hash; a row of six bytes is one value."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+
+
+def _widened(column: pa.Array) -> np.ndarray:
+    six = rolling.unpacked(column, np.uint8).reshape(-1, 6)
+    return np.pad(six, ((0, 0), (0, 2))).view("<u8").ravel()
+
+
+#: Bits of the filter of text keys: 2 MB, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit map of fixed size of the text keys; at most FILTER_BITS / 64 numbers reach the driver.
+
+    With many more keys than bits it lets everything pass, which costs a shuffle of more texts and changes no result.
+    """
+    at = keys.select(F.col("text_key").bitwiseAND(FILTER_BITS - 1).alias("at"))
+    found = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out
+
+
+def in_filter(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys & (FILTER_BITS - 1)
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def rows_in(source: DataFrame, bits: np.ndarray, inside: bool) -> DataFrame:
+    """Rows whose text key is in the filter (all of its keys and perhaps others), or the remaining ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_filter(b.column("text_key").to_numpy(), bits) == inside))
+
+    return source.mapInArrow(run, source.schema)
+
+
+def _ordered(fields: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> pa.RecordBatch:
+    """Packed anchors; those that skip the search carry no hash."""
+    part = bucketed(fields, bucket, kind, ("text_key",))
+    none = pa.array([b""] * part.num_rows, pa.binary())
+    return pa.RecordBatch.from_arrays([part.column(n) if n in part.schema.names else none for n in ANCHOR_FIELDS], ANCHOR_FIELDS)
+
+
+ANCHOR_FIELDS = ["bucket", "kind", "run", "hash", "text_key", "place"]
+ANCHOR_SCHEMA = "bucket int, kind int, run binary, hash binary, text_key binary, place binary"
 
 
 def _cut(w: Windows, buckets: int):
@@ -76,22 +141,24 @@ def _cut(w: Windows, buckets: int):
                 first[np.unique(own, return_index=True)[1]] = True
                 kept = first[text]  # copies in this piece add nothing
                 hashes, place, text = hashes[kept], place[kept], text[kept]
-                fields = {"hash": hashes, "text_key": own[text], "place": (place - (ends - units)[text]).astype(np.uint32)}
                 order = np.argsort(hashes, kind="stable")
                 cuts = rolling.groups(hashes[order])
                 several = np.diff(cuts) > 1
-                if w.across and len(order):
+                if w.across:
                     t = text[order]
                     several &= np.minimum.reduceat(t, cuts[:-1]) != np.maximum.reduceat(t, cuts[:-1])
-                kind = np.empty(len(order), np.int32)
                 marks = np.repeat(np.where(several, PASSED, PLAIN), np.diff(cuts))
                 marks[cuts[:-1][several]] = KNOWN
+                kind = np.empty(len(order), np.int64)
                 kind[order] = marks
+                fields = {"hash": _narrow(hashes), "text_key": own[text], "place": (place - (ends - units)[text]).astype(np.uint32)}
                 bucket = (hashes >> np.uint64(40)).astype(np.int64) % buckets
                 for k in (PLAIN, KNOWN, PASSED):
-                    if (mine := kind == k).any():
-                        put = bucket[mine] if k != PASSED else np.full(mine.sum(), int(hashes[0] % np.uint64(buckets)))
-                        yield _bucketed({n: v[mine] for n, v in fields.items()}, put, k)
+                    mine = kind == k
+                    if not mine.any():
+                        continue
+                    part = {n: v[mine] for n, v in fields.items() if n != "hash" or k != PASSED}
+                    yield _ordered(part, bucket[mine] if k != PASSED else np.full(mine.sum(), int(hashes[0] % np.uint64(buckets))), k)
 
     return run
 
@@ -112,11 +179,11 @@ def _hits(w: Windows):
                 part = b.filter(pa.array(b.column("kind").to_numpy() == kind))
                 if not part.num_rows:
                     continue
-                keys, place = rolling.unpacked(part.column("text_key"), "<i8"), rolling.unpacked(part.column("place"), "<u4")
+                keys, place = unrolled(part, "text_key"), rolling.unpacked(part.column("place"), "<u4")
                 if kind == PASSED:
                     yield by_text({"text_key": keys, "place": place})
                 else:
-                    hashes = rolling.unpacked(part.column("hash"), "<u8")
+                    hashes = _widened(part.column("hash"))
                     parts.append((hashes, keys, place, np.full(len(keys), kind == KNOWN)))
         if not parts:
             return
@@ -132,16 +199,20 @@ def _hits(w: Windows):
     return run
 
 
-def candidates(source: DataFrame, w: Windows) -> DataFrame:
-    """All columns of `source` with `first` (the smallest id of the text) and `hits` (packed places of anchors, null: none)."""
-    spark = source.sparkSession
-    n = partitions(spark)
-    cut = source.select("text_key", "body").mapInArrow(_cut(w, 4 * n), "bucket int, kind int, hash binary, text_key binary, place binary")
+def candidates(source: DataFrame, w: Windows) -> tuple[DataFrame, np.ndarray]:
+    """Rows of `source` whose text has copies or hits, and the filter of their keys; all other rows lose nothing.
+
+    Added columns: `first` (the smallest id of the text) and `hits` (packed places of anchors), null in rows that only
+    seemed to be in the filter.
+    """
+    n = partitions(source.sparkSession)
+    cut = source.select("text_key", "body").mapInArrow(_cut(w, n), ANCHOR_SCHEMA)
     hits = cut.repartition(n, "bucket").mapInArrow(_hits(w), "text_key long, place binary")
     of_text = hits.groupBy("text_key").agg(F.collect_list("place").alias("hits"))
-    firsts = source.groupBy("text_key").agg(F.min("id").alias("first"))
-    known = materialise(firsts.join(of_text, "text_key", "left"), "texts")
-    return source.join(known, "text_key")
+    firsts = source.groupBy("text_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    known = step(firsts.join(of_text, "text_key", "left").where("copies > 1 OR hits IS NOT NULL").drop("copies"), "texts")
+    bits = key_filter(known)
+    return rows_in(source, bits, True).join(known, "text_key", "left"), bits
 
 
 def covered(places: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -19,7 +19,7 @@ BYTE_VALUES = np.array([xxhash.xxh64_intdigest(bytes([i]), 2) for i in range(256
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes that are hashed at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 _LOW = np.uint64((1 << 26) - 1)
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}

@@ -7,7 +7,7 @@ coordinates go on step by step are a path without a branch, so they compact to o
 source start); spans, not edges, travel on. A join with the source texts then verifies each distinct span word by
 word (by a 128-bit digest of both), and only verified spans are removed.
 
-A passage of a third of all texts: inside a piece of about 4 MB all but the earliest occurrence get their source at
+A passage of a third of all texts: inside a piece of about 1 MB all but the earliest occurrence get their source at
 once and skip the shuffle, so such an edge arrives once per piece. Copies of a whole text are not searched at all:
 every window of them starts in the copy with the smallest id.
 
@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import repeats, rolling
-from txlens.llm.common import id_order, partitions
+from txlens.llm.common import id_order, partitions, step
 from txlens.llm.repeats import PASSED, PLAIN, Windows
-from txlens.session import materialise
 
-LENGTH, ANCHOR = 13, 9
+LENGTH, ANCHOR = 13, 7
 RESULT = "doc_id long, text_key long, n_words long, n_removed long, kept string"
 
 
@@ -55,14 +54,16 @@ def _kept(body: bytes, removed: np.ndarray | None, digest: bool) -> str:
     return b"".join([*parts, body[at:]]).decode().rstrip(" ")
 
 
-def _outcome(w: Windows, digest: bool):
+def _outcome(w: Windows, digest: bool, bits: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if bits is not None:  # only rows outside the filter: nothing of them repeats
+                b = b.filter(pa.array(~repeats.in_filter(b.column("text_key").to_numpy(), bits)))
             counts, removed, kept, open_body = [], [], [], []
             for id_, first, body, hits in zip(b.column("id"), b.column("first"), b.column("body"), b.column("hits").is_valid()):
                 body = body.as_py()
                 n = len(body.split())
-                copy = id_.as_py() > first.as_py()
+                copy = first.is_valid and id_.as_py() > first.as_py()
                 search = not copy and hits.as_py() and n >= w.length
                 gone = n if copy and n >= w.length else 0
                 counts.append(n)
@@ -76,8 +77,8 @@ def _outcome(w: Windows, digest: bool):
     return run
 
 
-def hit_windows(w: Windows, b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per piece of a batch with body and hits: (rows, bytes, unit values, units of each text, row, first and last window of each hit anchor)."""
+def hit_windows(w: Windows, b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per piece of a batch with body and hits: (rows, bytes, unit values, units of each text; row, place, first and last window of each hit anchor)."""
     for i, j, data, sizes in rolling.chunks(b.column("body")):
         values, units = w.units(data, sizes)
         _, place, first, last = rolling.anchors(values, units, w.length, w.k)
@@ -88,10 +89,10 @@ def hit_windows(w: Windows, b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarr
             for part in b.column("hits")[r]:
                 wanted[np.frombuffer(part.as_py(), "<u4").astype(np.int64) + ends[r - i] - units[r - i]] = True
         mine = wanted[place] if len(place) else np.zeros(0, bool)
-        yield slice(i, j), data, values, units, text[mine], first[mine], last[mine]
+        yield slice(i, j), data, values, units, text[mine], place[mine], first[mine], last[mine]
 
 
-def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All numbers of the ranges first to last."""
     n = last - first + 1
     return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
@@ -101,10 +102,10 @@ def _edges(w: Windows, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys = b.column("id").to_numpy(), b.column("text_key").to_numpy()
-            for rows, _, values, units, text, first, last in hit_windows(w, b):
+            for rows, _, values, units, text, _, first, last in hit_windows(w, b):
                 if not len(text):
                     continue
-                at = _ranges(first, last)
+                at = ranges(first, last)
                 row = np.repeat(text, last - first + 1)
                 hashes = rolling.spans_hash(values, at, at + w.length)
                 fields = {"hash": hashes, "id": ids[rows][row], "text_key": keys[rows][row], "place": (at - (np.cumsum(units) - units)[row]).astype(np.uint32)}
@@ -116,23 +117,22 @@ def _edges(w: Windows, buckets: int):
                 source = {"text_key": fields["text_key"][later], "place": fields["place"][later], "source": fields["text_key"][head][later], "source_place": fields["place"][head][later]}
                 plain = {n: v[~later] for n, v in fields.items()}
                 bucket = (plain["hash"] >> np.uint64(40)).astype(np.int64) % buckets
-                none = np.zeros(0, np.int64)
-                yield _both(plain, bucket, {"source": none, "source_place": none.astype(np.uint32)}, PLAIN)
+                yield _both(plain, bucket, PLAIN)
                 if later.any():
-                    empty = {"hash": none.astype(np.uint64), "id": none}
-                    yield _both(source, np.full(int(later.sum()), int(hashes[0] % np.uint64(buckets))), empty, PASSED)
+                    yield _both(source, np.full(int(later.sum()), int(hashes[0] % np.uint64(buckets))), PASSED)
 
     return run
 
 
-EDGE = ["hash", "id", "text_key", "place", "source", "source_place"]
-EDGE_SCHEMA = "bucket int, kind int, hash binary, id binary, text_key binary, place binary, source binary, source_place binary"
+EDGE = ["run", "hash", "id", "text_key", "place", "source", "source_place"]
+EDGE_SCHEMA = "bucket int, kind int, " + ", ".join(f"{n} binary" for n in EDGE)
 
 
-def _both(fields: dict[str, np.ndarray], bucket: np.ndarray, missing: dict[str, np.ndarray], kind: int) -> pa.RecordBatch:
+def _both(fields: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> pa.RecordBatch:
     """Packed fields in the order of EDGE; missing ones are empty."""
-    part = repeats._bucketed(fields, bucket, kind)
-    columns = {n: part.column(n) if n in fields else pa.array([b""] * part.num_rows, pa.binary()) for n in EDGE}
+    order = np.lexsort((fields["place"], fields["text_key"]))
+    part = repeats.bucketed({n: v[order] for n, v in fields.items()}, bucket[order], kind, ("text_key", "id"))
+    columns = {n: part.column(n) if n in part.schema.names else pa.array([b""] * part.num_rows, pa.binary()) for n in EDGE}
     return pa.RecordBatch.from_arrays([part.column("bucket"), part.column("kind"), *columns.values()], ["bucket", "kind", *columns])
 
 
@@ -143,9 +143,10 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = b.column("kind").to_numpy()
         passed, plain = b.filter(pa.array(kind == PASSED)), b.filter(pa.array(kind == PLAIN))
         if passed.num_rows:
-            yield repeats.by_text({n: rolling.unpacked(passed.column(n), t) for n, t in (("text_key", "<i8"), ("place", "<u4"), ("source", "<i8"), ("source_place", "<u4"))})
+            own = {n: rolling.unpacked(passed.column(n), t) for n, t in (("place", "<u4"), ("source", "<i8"), ("source_place", "<u4"))}
+            yield repeats.by_text({"text_key": repeats.unrolled(passed, "text_key")} | own)
         if plain.num_rows:
-            parts.append([rolling.unpacked(plain.column(n), t) for n, t in (("hash", "<u8"), ("id", "<i8"), ("text_key", "<i8"), ("place", "<u4"))])
+            parts.append([rolling.unpacked(plain.column("hash"), "<u8"), repeats.unrolled(plain, "id"), repeats.unrolled(plain, "text_key"), rolling.unpacked(plain.column("place"), "<u4")])
     if not parts:
         return
     hashes, ids, keys, place = (np.concatenate(x) for x in zip(*parts))
@@ -163,41 +164,35 @@ def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield repeats.by_text({"text_key": keys[later], "place": place[later], "source": keys[head][later], "source_place": place[head][later]})
 
 
-def _digest(words: list[bytes], start: int, edges: int, length: int) -> bytes:
-    return xxhash.xxh3_128_digest(b" ".join(words[start:start + edges + length - 1]))
-
-
-def _compact(w: Windows):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, body, parts in zip(b.column("text_key"), b.column("body"), b.column("found")):
-                key, words = key.as_py(), body.as_py().split()
-                place, source, source_place = (np.concatenate([np.frombuffer(p[n].as_py(), t).astype(np.int64) for p in parts]) for n, t in (("place", "<u4"), ("source", "<i8"), ("source_place", "<u4")))
-                order = np.argsort(place, kind="stable")
-                place, source, source_place = place[order], source[order], source_place[order]
-                new = np.concatenate([[True], (np.diff(place) != 1) | (np.diff(source_place) != 1) | (source[1:] != source[:-1])])
-                cuts = np.append(np.flatnonzero(new), len(place))
-                out += [(key, int(place[a]), int(z - a), int(source[a]), int(source_place[a]), _digest(words, int(place[a]), int(z - a), w.length)) for a, z in zip(cuts[:-1], cuts[1:])]
-            columns = zip(*out) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["text_key", "start", "edges", "source", "source_start", "digest"])
-
-    return run
-
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of edges whose source coordinates go on step by step."""
+    for b in batches:
+        columns: dict[str, list] = {n: [] for n in ("text_key", "start", "edges", "source", "source_start")}
+        for key, parts in zip(b.column("text_key").to_pylist(), b.column("found")):
+            place, source, source_place = (np.concatenate([np.frombuffer(p[n].as_py(), t).astype(np.int64) for p in parts]) for n, t in (("place", "<u4"), ("source", "<i8"), ("source_place", "<u4")))
+            order = np.argsort(place, kind="stable")
+            place, source, source_place = place[order], source[order], source_place[order]
+            new = np.concatenate([[True], (np.diff(place) != 1) | (np.diff(source_place) != 1) | (source[1:] != source[:-1])])
+            cuts = np.append(np.flatnonzero(new), len(place))
+            at = cuts[:-1]
+            for n, v in zip(columns, (np.full(len(at), key), place[at], np.diff(cuts), source[at], source_place[at])):
+                columns[n].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else np.zeros(0, np.int64)).cast(k) for v, k in zip(columns.values(), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], list(columns))
+
+
+def _digests(w: Windows):
+    """Digests of the words of asked spans."""
 
-def _verify(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, body, asked in zip(b.column("text_key"), b.column("body"), b.column("asked")):
+            for key, body, asked in zip(b.column("text_key").to_pylist(), b.column("body"), b.column("asked")):
                 words = body.as_py().split()
                 for a in asked.as_py():
-                    if _digest(words, a["source_start"], a["edges"], w.length) == a["digest"]:
-                        out.append((key.as_py(), a["source_start"], a["edges"], a["digest"]))
+                    out.append((key, a["start"], a["edges"], xxhash.xxh3_128_digest(b" ".join(words[a["start"]:a["start"] + a["edges"] + w.length - 1]))))
             columns = zip(*out) if out else [[]] * 4
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["source", "source_start", "edges", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["text_key", "start", "edges", "digest"])
 
     return run
 
@@ -210,7 +205,7 @@ def _finish(w: Windows, digest: bool):
                 gone = None
                 if spans.is_valid:
                     s = [(x["start"].as_py(), x["edges"].as_py()) for x in spans]
-                    gone = repeats.covered(_ranges(np.array([x for x, _ in s]), np.array([x + e - 1 for x, e in s])), w.length, n.as_py())
+                    gone = repeats.covered(ranges(np.array([x for x, _ in s]), np.array([x + e - 1 for x, e in s])), w.length, n.as_py())
                 removed.append(int(gone.sum()) if gone is not None else 0)
                 kept.append(_kept(body.as_py(), gone, digest))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text_key", "n_words", "n_removed", "kept"])
@@ -222,15 +217,17 @@ def repeated_spans(searched: DataFrame, w: Windows) -> DataFrame:
     """Verified spans (text_key, start, edges, source, source_start) of texts with hits (id, text_key, body, hits)."""
     spark = searched.sparkSession
     n = partitions(spark)
-    edges = searched.select("id", "text_key", "body", "hits").mapInArrow(_edges(w, 4 * n), EDGE_SCHEMA)
+    edges = searched.select("id", "text_key", "body", "hits").mapInArrow(_edges(w, n), EDGE_SCHEMA)
     found = edges.repartition(n, "bucket").mapInArrow(_sources, "text_key long, place binary, source binary, source_place binary")
     of_text = found.groupBy("text_key").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("found"))
-    texts = searched.select("text_key", "body")
-    spans = texts.join(of_text, "text_key").mapInArrow(_compact(w), "text_key long, start int, edges int, source long, source_start int, digest binary")
-    spans = materialise(spans.distinct(), "spans")
-    asked = spans.select("source", "source_start", "edges", "digest").distinct().groupBy("source").agg(F.collect_list(F.struct("source_start", "edges", "digest")).alias("asked"))
-    right = texts.join(asked.withColumnRenamed("source", "text_key"), "text_key").mapInArrow(_verify(w), "source long, source_start int, edges int, digest binary")
-    return spans.join(right, ["source", "source_start", "edges", "digest"], "left_semi").drop("digest")
+    spans = step(of_text.mapInArrow(_compact, "text_key long, start int, edges int, source long, source_start int"), "spans")
+    ends = spans.select("text_key", "start", "edges").union(spans.select("source", "source_start", "edges")).distinct()
+    asked = ends.groupBy("text_key").agg(F.collect_list(F.struct("start", "edges")).alias("asked"))
+    digests = searched.select("text_key", "body").join(asked, "text_key").mapInArrow(_digests(w), "text_key long, start int, edges int, digest binary")
+    digests = step(digests.distinct(), "digests")
+    own = spans.join(digests, ["text_key", "start", "edges"])
+    there = digests.select(F.col("text_key").alias("source"), F.col("start").alias("source_start"), "edges", "digest")
+    return own.join(there, ["source", "source_start", "edges", "digest"]).drop("digest")
 
 
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, digest: bool = False, keep_key: bool = False) -> DataFrame:
@@ -239,13 +236,16 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     `keep_key` adds the text key.
     """
     w = Windows(length, anchor, by_words=True, across=True)
-    outcome = repeats.candidates(repeats.keyed(documents, key, text), w).select("doc_id", "id", "text_key", "body", "first", "hits")
+    source = repeats.keyed(documents, key, text)
+    searched, bits = repeats.candidates(source, w)
     schema = "doc_id long, id long, text_key long, n_words long, n_removed long, kept string, body binary, hits array<binary>"
-    outcome = materialise(outcome.mapInArrow(_outcome(w, digest), schema), "outcome")
+    outcome = step(searched.select("doc_id", "id", "text_key", "body", "first", "hits").mapInArrow(_outcome(w, digest), schema), "outcome")
+    clear = source.withColumns({"first": F.lit(None).cast("long"), "hits": F.lit(None).cast("array<binary>")}).mapInArrow(_outcome(w, digest, bits), schema)
     searched = outcome.where("body IS NOT NULL")
     spans = repeated_spans(searched, w).groupBy("text_key").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
     done = searched.select("doc_id", "text_key", "n_words", "body").join(spans, "text_key", "left").mapInArrow(_finish(w, digest), RESULT)
-    result = outcome.where("body IS NULL").select("doc_id", "text_key", "n_words", "n_removed", "kept").unionByName(done)
+    columns = ["doc_id", "text_key", "n_words", "n_removed", "kept"]
+    result = clear.select(columns).union(outcome.where("body IS NULL").select(columns)).union(done.select(columns))
     return result if keep_key else result.drop("text_key")
 
 
@@ -258,7 +258,7 @@ def cut_out(documents: DataFrame, key: str = "doc_id", text: str = "text", lengt
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), id_order(F.col(f"`{key}`")).alias("id"), F.xxhash64(body).alias("text_key"))
     rows = rows.withColumn("text", F.col(f"row.`{text}`"))
     left = remove_repeats(rows.select("id", "text"), "id", "text", length, anchor, keep_key=True)
-    changed = materialise(left.where("n_removed > 0").select(F.col("doc_id").alias("id"), "text_key", "n_words", "n_removed", "kept").dropDuplicates(["id", "text_key"]), "changed")
+    changed = step(left.where("n_removed > 0").select(F.col("doc_id").alias("id"), "text_key", "n_words", "n_removed", "kept").dropDuplicates(["id", "text_key"]), "changed")
     joined = rows.drop("text").join(changed, ["id", "text_key"], "left").where("n_removed IS NULL OR n_removed < n_words")
     columns = [(F.when(F.col("n_removed").isNull(), F.col(f"row.`{c}`")).otherwise(F.col("kept")) if c == text else F.col(f"row.`{c}`")).alias(c) for c in documents.columns]
     return joined.select(*columns)
