@@ -1,8 +1,9 @@
 """The corpus queries and their oracles."""
 
-from txlens.llm import op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query
+from txlens.llm import op1_query, op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query
 
 QUERIES = {
+    "op1_byte_spans": op1_query.op1_byte_spans,
     "op2_neighbours": op2_query.op2_neighbours,
     "op3_bpe": op3_query.op3_bpe,
     "op4_toxicity": op4_query.op4_toxicity,
