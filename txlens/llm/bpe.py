@@ -18,16 +18,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 #: Chunks in each of the two generations that one worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Characters that lower-case alike everywhere and that normal form C leaves as they are.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
 #: Symbols of a pre-token that are encoded at once.
@@ -45,24 +47,42 @@ class Encoder:
     def __init__(self, path: str, leaf: int = LEAF):
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
-        self.leaf = leaf
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.leaf, self.path = leaf, path
         model = described["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.end = model.get("end_of_word_suffix") or ""
-        self.inner = Tokenizer(BPE(vocab=model["vocab"], merges=merges))
-        self.last = Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.end)) if self.end else self.inner
-        # For plain chunks in lower case, for which the normalizer would do nothing.
-        self.bare = Tokenizer.from_str(json.dumps(described | {"normalizer": None, "truncation": None, "padding": None}))
         lowers = any(n.get("type") == "Lowercase" for n in (described.get("normalizer") or {}).get("normalizers", []))
         self.plain = PLAIN if lowers else re.compile("(?!)")
+        # For plain chunks in lower case, for which the normalizer would do nothing.
+        self.bare = Tokenizer.from_str(json.dumps(described | {"normalizer": None, "truncation": None, "padding": None}))
         self.added = [t["content"] for t in described["added_tokens"]]
-        self.names = {i: t for t, i in self.library.get_vocab().items()}
+        self.names = {i: t for t, i in self.bare.get_vocab().items()}
         self.known: dict[bytes, tuple[str, str, int]] = {}
         self.older: dict[bytes, tuple[str, str, int]] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizer of the file, for chunks that are not plain."""
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
+    def _merging(self, end: str | None) -> Tokenizer:
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        return Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=end) if end else BPE(vocab=model["vocab"], merges=merges))
+
+    @cached_property
+    def inner(self) -> Tokenizer:
+        """Merges of byte symbols that do not end a word."""
+        return self._merging(None)
+
+    @cached_property
+    def last(self) -> Tokenizer:
+        """Merges of byte symbols that end a word."""
+        return self._merging(self.end)
+
     def piece(self, symbols: str, last: bool) -> list[int]:
         """Ids of a run of byte symbols, as the end of a word or not."""
         return (self.last if last else self.inner).encode(symbols, add_special_tokens=False).ids
@@ -154,7 +174,7 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return _ENCODERS[path, leaf]
 
 
-def _finish(rows: list[tuple], digest: bool) -> pd.DataFrame:
+def _finish(rows: Iterable[tuple], digest: bool) -> pd.DataFrame:
     if digest:
         hashed = [(d, n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, i, t, n in rows]
         return pd.DataFrame(hashed, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
@@ -191,10 +211,11 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "te
     source = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.octet_length("text")
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, leaf)
         for b in batches:
-            yield _finish([(d, *coder.text(t.encode())) for d, t in zip(b["doc_id"].astype("Int64"), b["text"])], digest)
+            found = _finish(((d.as_py(), *coder.text(t.as_py())) for d, t in zip(b.column("doc_id"), b.column("text"))), digest)
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path, leaf)
@@ -232,7 +253,7 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "te
         doc = b["doc_id"].iloc[0]
         return _finish([(None if pd.isna(doc) else int(doc), i, t, n)] * copies, digest)
 
-    short = source.where(size <= segment_bytes).mapInPandas(whole, result)
+    short = source.where(size <= segment_bytes).withColumn("text", F.col("text").cast("binary")).mapInArrow(whole, result)
     keyed = source.where(size > segment_bytes).withColumn("text_key", F.xxhash64("text"))
     pieces = keyed.mapInPandas(cut, "doc_id long, text_key long, place int, word int, content string, last boolean")
     spread = pieces.repartition("text_key", "place").mapInPandas(coded, "doc_id long, text_key long, place int, word int, ids array<int>")

@@ -29,16 +29,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txlens.llm import rolling
-from txlens.llm.common import partitions
-from txlens.session import materialise
+from txlens.llm.common import partitions, step
 
 #: Neighbours of a node, nodes pointing at it that join a meeting, and what a meeting tells a node at most.
-DEGREE, REVERSE, TOLD = 24, 12, 8
+DEGREE, REVERSE, TOLD = 24, 24, 16
 #: Random orders of the start, and nodes compared in full.
 ORDERS, RUN = 12, 256
-ROUNDS = 3
+ROUNDS = 4
 #: Nodes that a query keeps, and that it expands per hop.
-BEAM, STEP = 192, 32
+BEAM, STEP = 400, 50
 FOUND = "query_id long, rank int, vec_id long, score double"
 GRAPH = "node long, ids binary, dist binary"
 
@@ -159,25 +158,32 @@ def meetings(graph: DataFrame, reverse: int) -> DataFrame:
     return forward.select("node", "other").union(back.select("node", "other")).distinct()
 
 
+def _flat(met: pa.Array, extra: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(cuts, others, vectors, extra field) of a column of meetings."""
+    values = met.flatten()
+    cuts = met.offsets.to_numpy() - met.offsets[0].as_py()
+    vectors = _matrix(values.field("q")) if len(values) else np.zeros((0, 1), np.float32)
+    return cuts, values.field("other").to_numpy(), vectors, values.field(extra).to_numpy() if extra else None
+
+
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each member of a meeting learns: others closer than its farthest neighbour."""
     for b in batches:
         nodes, ids, dist = [], [], []
-        for met in b.column("met"):
-            member = np.array([m["other"].as_py() for m in met], np.int64)
-            if len(member) < 2:
+        cuts, others, vectors, limits = _flat(b.column("met"), "farthest")
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if j - i < 2:
                 continue
-            x = np.frombuffer(b"".join(m["q"].as_py() for m in met), np.int8).reshape(len(member), -1).astype(np.float32)
-            limit = np.array([m["farthest"].as_py() for m in met], np.float32)
+            member, x, limit = others[i:j], vectors[i:j], limits[i:j]
             d = _squared(x)
             np.fill_diagonal(d, np.inf)
             d[d >= limit[:, None]] = np.inf
             near = np.argsort(d, axis=1)[:, :TOLD]
-            for i in np.flatnonzero(np.isfinite(d[np.arange(len(member)), near[:, 0]])):
-                n = near[i][np.isfinite(d[i, near[i]])]
-                nodes.append(member[i])
+            for r in np.flatnonzero(np.isfinite(d[np.arange(len(member)), near[:, 0]])):
+                n = near[r][np.isfinite(d[r, near[r]])]
+                nodes.append(member[r])
                 ids.append(member[n].tobytes())
-                dist.append(d[i, n].astype(np.float32).tobytes())
+                dist.append(d[r, n].astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids, pa.binary()), pa.array(dist, pa.binary())], ["node", "ids", "dist"])
 
 
@@ -192,22 +198,23 @@ def build(rounded: DataFrame, dimensions: int) -> DataFrame:
     spark = rounded.sparkSession
     started = rounded.mapInArrow(_ordered(dimensions), "order int, at double, node long, q binary")
     started = started.repartitionByRange(partitions(spark), "order", "at").sortWithinPartitions("order", "at", "node")
-    graph = materialise(merge(started.mapInArrow(_runs, GRAPH)), "graph")
+    graph = step(merge(started.mapInArrow(_runs, GRAPH)), "graph")
     for _ in range(ROUNDS):
         known = rounded.withColumnRenamed("node", "other").join(graph.mapInArrow(_farthest, "other long, farthest float"), "other")
         met = meetings(graph, REVERSE).join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "q", "farthest")).alias("met"))
         told = met.mapInArrow(_tell, GRAPH)
-        graph = materialise(merge(graph.union(told)), "graph")
+        graph = step(merge(graph.union(told)), "graph")
     around = meetings(graph, REVERSE).join(rounded.withColumnRenamed("node", "other"), "other")
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.array([m["other"].as_py() for m in met], np.int64).tobytes() for met in b.column("met")]
-            vectors = [b"".join(m["q"].as_py() for m in met) for met in b.column("met")]
+            cuts, others, rows, _ = _flat(b.column("met"))
+            ids = [others[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+            vectors = [rows[i:j].astype(np.int8).tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(ids, pa.binary()), pa.array(vectors, pa.binary())], ["node", "ids", "vectors"])
 
     grouped = around.groupBy("node").agg(F.collect_list(F.struct("other", "q")).alias("met"))
-    return materialise(grouped.mapInArrow(beside, "node long, ids binary, vectors binary"), "search_graph")
+    return step(grouped.mapInArrow(beside, "node long, ids binary, vectors binary"), "search_graph")
 
 
 STATE = "start long, q binary, ids binary, dist binary, open binary"
@@ -255,13 +262,13 @@ def _hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(graph: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node) of the beams of the starting nodes (node, q)."""
-    state = materialise(starts.mapInArrow(_begin, STATE), "beams")
+    state = step(starts.mapInArrow(_begin, STATE), "beams")
     while True:
-        frontier = materialise(state.mapInArrow(_frontier, "start long, node long"), "frontier")
+        frontier = step(state.mapInArrow(_frontier, "start long, node long"), "frontier")
         if frontier.isEmpty():
             break
         met = frontier.join(graph, "node").groupBy("start").agg(F.collect_list(F.struct("ids", "vectors")).alias("met"))
-        state = materialise(state.join(met, "start", "left").mapInArrow(_hop, STATE), "beams")
+        state = step(state.join(met, "start", "left").mapInArrow(_hop, STATE), "beams")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,14 +281,14 @@ def search(graph: DataFrame, starts: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
     """The k nearest of each query: query_id, rank, vec_id, score. `is_query` is a condition on the column `vec_id`."""
     spark = vectors.sparkSession
-    rows = materialise(usable(vectors, key, vector), "vectors")
+    rows = step(usable(vectors, key, vector), "vectors")
     widest = rows.select(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.max(F.size("v")).alias("n")).first()
     if not widest.n:
         return spark.createDataFrame([], FOUND)
-    nodes = materialise(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "nodes")
+    nodes = step(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "nodes")
     placed = rows.join(nodes, "v").select("vec_id", "node")
     first = Window.partitionBy("node").orderBy("vec_id")
-    members = materialise(placed.withColumn("no", F.row_number().over(first)).where(F.col("no") <= k + 1).select("node", "vec_id"), "members")
+    members = step(placed.withColumn("no", F.row_number().over(first)).where(F.col("no") <= k + 1).select("node", "vec_id"), "members")
     scale = 127.0 / widest.m
 
     def rounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +297,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
             q = np.rint(x * scale).astype(np.int8)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in q], pa.binary())], ["node", "q"])
 
-    rounded = materialise(nodes.select("node", "v").mapInArrow(rounding, "node long, q binary"), "rounded")
+    rounded = step(nodes.select("node", "v").mapInArrow(rounding, "node long, q binary"), "rounded")
     queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("start"))
     starts = rounded.join(queries.select(F.col("start").alias("node")).distinct(), "node")
     found = search(build(rounded, widest.n), starts)
@@ -298,7 +305,7 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     distance = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     scored = exact.select("start", "node", distance.alias("score"))
     best = Window.partitionBy("start").orderBy("score", "node")
-    scored = materialise(scored.withColumn("no", F.row_number().over(best)).where(F.col("no") <= k + 1).select("start", "node", "score"), "scored")
+    scored = step(scored.withColumn("no", F.row_number().over(best)).where(F.col("no") <= k + 1).select("start", "node", "score"), "scored")
     pairs = queries.join(scored, "start").join(members, "node").where("vec_id != query_id")
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return pairs.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -104,7 +104,7 @@ class Grammar:
             found = THREAT, THREAT_WEIGHT
         else:
             found = (TARGET if w in TARGETS else NEGATION if w in NEGATIONS else REPORT if w in REPORTS else OTHER), 0.0
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 100_000:
             self.seen.clear()
         self.seen[w] = found
         return found
@@ -204,14 +204,15 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
     """(doc_id, n_clauses, weight, score) for each row."""
     arcs, beta = model.arcs, model.beta
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(arcs)
         for b in batches:
-            x = np.array([grammar.inputs(t) for t in b["text"]]).reshape(len(b), 4)
+            x = np.array([grammar.inputs(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, 4)
             p = 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_clauses": np.rint(np.expm1(x[:, 2])).astype(np.int64), "weight": np.expm1(x[:, 1]), "score": p})
+            columns = [b.column("doc_id"), pa.array(np.rint(np.expm1(x[:, 2])).astype(np.int64)), pa.array(np.expm1(x[:, 1])), pa.array(p)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_clauses", "weight", "score"])
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCORED)
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCORED)
 
 
 def without_toxic(documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
