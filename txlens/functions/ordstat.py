@@ -1,11 +1,10 @@
 """Order statistics over a whole table without a one-task window.
 
 The table is first aggregated by distinct value, so a value that repeats in a third of all rows becomes one row. That
-aggregate is written once to the shared folder: whatever it came from is computed a single time and cannot be lost with
-an executor. Its size is then known. Up to `SMALL_ROWS` rows it is a plain window. Above that, range edges (a few dozen
-to a thousand numbers from `approxQuantile`) turn the value into a bucket number; bucket totals give each bucket its
-starting offset, and a window inside (keys, bucket) adds the rest. Edges are literals of the plan, so every part of the
-plan uses the same ones. They only decide how evenly the work spreads; the sums are exact for any edges.
+aggregate is range partitioned and written once to the shared folder, each row with the number of its range: whatever it
+came from is computed a single time and cannot be lost with an executor. Range totals give each range its starting
+offset, and a window inside (keys, range) adds the rest. There are as many ranges as shuffle partitions. They only
+decide how evenly the work spreads; the sums are exact for any ranges, and every size takes the same path.
 """
 
 from __future__ import annotations
@@ -18,19 +17,11 @@ from pyspark.sql.window import Window as W
 
 from txlens.session import materialise
 
-SMALL_ROWS = 200_000
 
-
-def range_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Cut points for about `buckets` even ranges of `value`."""
-    if buckets is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = max(2, min(1024, parts))
-    probs = [i / buckets for i in range(1, buckets)]
-    number = F.col(value).cast("double")
-    got = df.select(number.alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value)).approxQuantile(
-        value, probs, 1.0 / (4 * buckets))
-    return sorted(set(got))
+def ranged(df: DataFrame, columns: Sequence[Column | str], name: str) -> DataFrame:
+    """The rows written in range order of the columns, with the number `_b` of their range."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *columns).withColumn("_b", F.spark_partition_id()), name)
 
 
 def bucket_of(value: Column, edges: Sequence[float]) -> Column:
@@ -46,22 +37,18 @@ def bucket_of(value: Column, edges: Sequence[float]) -> Column:
     return build(0, len(edges))
 
 
-def cumulate(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequence[str] = (), desc: bool = False,
-             small_rows: int | None = None) -> DataFrame:
+def cumulate(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequence[str] = (), desc: bool = False) -> DataFrame:
     """One row per (by, value): each measure m, its running sum `cum_m` in value order, its group total `tot_m`.
 
-    `measures` are sum-like aggregates. Null values of `value` are left out.
+    `measures` are sum-like aggregates. Null values of `value` are left out; null keys are a group of their own.
     """
     by, names = list(by), list(measures)
-    per_value = materialise(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[m.alias(n) for n, m in measures.items()]), "values")
+    per_value = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[m.alias(n) for n, m in measures.items()])
+    per_value = ranged(per_value, [value, *by], "values")
     order = F.col(value).desc() if desc else F.col(value).asc()
     keys = by or [F.lit(0)]
-    if per_value.count() <= (SMALL_ROWS if small_rows is None else small_rows):
-        run, whole = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)  # bounded by the count just taken
-        return per_value.select("*", *[F.sum(n).over(run).alias(f"cum_{n}") for n in names], *[F.sum(n).over(whole).alias(f"tot_{n}") for n in names])
-    per_value = per_value.withColumn("_b", bucket_of(F.col(value), range_edges(per_value, value)))
     totals = per_value.groupBy(*by, "_b").agg(*[F.sum(n).alias(n) for n in names])
-    # At most len(edges) + 1 rows in each group of keys.
+    # At most one row per range in each group of keys.
     ahead = W.partitionBy(*keys).orderBy(F.col("_b").desc() if desc else F.col("_b").asc())
     whole = W.partitionBy(*keys)
     offsets = totals.select(
@@ -72,7 +59,7 @@ def cumulate(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequ
     for k in by:
         on = on & per_value[k].eqNullSafe(offsets[f"_k_{k}"])
     inside = W.partitionBy(*by, "_b").orderBy(order)
-    side = offsets if by else F.broadcast(offsets)  # without keys: one row per bucket
+    side = offsets if by else F.broadcast(offsets)  # without keys: one row per range
     joined = per_value.join(side, on, "inner")
     return joined.select(
         *by, value, *names,
@@ -80,8 +67,8 @@ def cumulate(df: DataFrame, value: str, measures: Mapping[str, Column], by: Sequ
         *[f"tot_{n}" for n in names])
 
 
-def counts(df: DataFrame, value: str, by: Sequence[str] = (), desc: bool = False, small_rows: int | None = None) -> DataFrame:
-    return cumulate(df, value, {"n": F.count(F.lit(1))}, by, desc, small_rows)
+def counts(df: DataFrame, value: str, by: Sequence[str] = (), desc: bool = False) -> DataFrame:
+    return cumulate(df, value, {"n": F.count(F.lit(1))}, by, desc)
 
 
 def index_percentiles(df: DataFrame, value: str, ps: Mapping[str, float], by: Sequence[str] = (),
@@ -147,29 +134,19 @@ def average_ranks(df: DataFrame, value: str, name: str, by: Sequence[str] = ())
     return c.select(*by, value, (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias(name))
 
 
-def number_rows(df: DataFrame, value: str, ties: Sequence[str], name: str, desc: bool = False,
-                start: int = 0, small_rows: int | None = None) -> DataFrame:
-    """Number all rows in order of (value, ties) without a one-task sort: range buckets plus offsets.
+def number_rows(df: DataFrame, value: str, ties: Sequence[str], name: str, desc: bool = False, start: int = 0) -> DataFrame:
+    """Number all rows in order of (value, ties) without a one-task sort: ranges plus offsets.
 
-    With a single numeric tie column, any number of rows may share a value: the place inside the value is a running count
-    of its own. With other ties, rows that share one value must be few, as they are sorted together.
+    Nulls come first, last if `desc`. Rows equal in value and ties are numbered in any order; a row mark beside them
+    lets even a third of all rows being equal spread over ranges.
     """
-    df = materialise(df, "rows")
-    order = [F.col(value).desc() if desc else F.col(value).asc(), *[F.col(t) for t in ties]]
-    if df.count() <= (SMALL_ROWS if small_rows is None else small_rows):
-        return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1 + F.lit(start)).cast("bigint"))  # bounded by the count
-    if len(ties) == 1 and dict(df.dtypes)[ties[0]] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        ahead = counts(df, value, desc=desc, small_rows=small_rows).select(value, (F.col("cum_n") - F.col("n")).alias("_ahead"))
-        inside = counts(df, ties[0], [value], small_rows=small_rows).select(value, ties[0], F.col("cum_n").alias("_in"))
-        return (df.join(ahead, value).join(inside, [value, ties[0]])
-                .withColumn(name, (F.col("_ahead") + F.col("_in") - 1 + F.lit(start)).cast("bigint")).drop("_ahead", "_in"))
-    marked = df.withColumn("_b", bucket_of(F.col(value), range_edges(df, value)))
+    order = [F.col(value).desc() if desc else F.col(value).asc(), *[F.col(t).asc() for t in ties], F.col("_mark").asc()]
+    marked = ranged(df.withColumn("_mark", F.monotonically_increasing_id()), order, "rows")
     sizes = marked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = W.orderBy(F.col("_b").desc() if desc else F.col("_b").asc())  # at most len(edges)+1 rows
-    offsets = sizes.select(F.col("_b").alias("_ob"), (F.sum("_n").over(ahead) - F.col("_n")).alias("_off"))
+    offsets = sizes.select(F.col("_b").alias("_ob"), (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_off"))  # one row per range
     out = marked.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order)))
     return (out.join(F.broadcast(offsets), out["_b"] == offsets["_ob"])
-            .withColumn(name, (F.col("_off") + F.col("_r") - 1 + F.lit(start)).cast("bigint")).drop("_b", "_ob", "_off", "_r"))
+            .withColumn(name, (F.col("_off") + F.col("_r") - 1 + F.lit(start)).cast("bigint")).drop("_b", "_ob", "_off", "_r", "_mark"))
 
 
 def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], width: int) -> DataFrame:
@@ -184,6 +161,11 @@ def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: Sequenc
     inside = W.partitionBy(*by, "_c").orderBy(order)
     ends = x.groupBy(*by, "_c").agg(F.max_by(row, order).alias("_e"))
     ends = ends.select(*by, "_c", F.lag("_e").over(W.partitionBy(*by).orderBy("_c")).alias("_before"))  # one row per chunk
-    j = x.withColumn("_p", F.lag(row).over(inside)).withColumn("_i", F.row_number().over(inside)).join(ends, [*by, "_c"])
+    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_c"])], "_before")
+    x = x.withColumn("_p", F.lag(row).over(inside)).withColumn("_i", F.row_number().over(inside))
+    on = F.lit(True)
+    for i, c in enumerate([*by, "_c"]):
+        on = on & x[c].eqNullSafe(ends[f"_k{i}"])
+    j = x.join(ends, on)
     prev = F.when(F.col("_i") == 1, F.col("_before")).otherwise(F.col("_p"))
     return j.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])

@@ -104,7 +104,8 @@ def size_quality(df: DataFrame, actual: str, predicted: str, train_mean: float)
     """Rank correlation, log error against the train-mean baseline, share of the top 1% found in the predicted top 5%."""
     a_cut = ordstat.quantile_list(df, actual, [0.99])[0]
     p_cut = ordstat.quantile_list(df, predicted, [0.95])[0]
-    ranked = (df.join(ordstat.average_ranks(df, actual, "_ra"), actual).join(ordstat.average_ranks(df, predicted, "_rp"), predicted))
+    # a row without one of the two values has no rank there and stays out of the correlation only
+    ranked = df.join(ordstat.average_ranks(df, actual, "_ra"), actual, "left").join(ordstat.average_ranks(df, predicted, "_rp"), predicted, "left")
     err = F.col(predicted) - F.col(actual)
     base = F.lit(train_mean) - F.col(actual)
     top = F.col(actual) >= a_cut

@@ -13,7 +13,6 @@ from txlens.plans import standin as S
 from txlens.plans import truth_queries as TQ
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
-from txlens.session import new_dir
 from txlens.streaming import operators as O
 from txlens.streaming import run as R
 
@@ -166,20 +165,10 @@ def q_replay(spark, d):
 @query("stream_miss_learn", with_ctes("""
   SELECT user_id AS "table", min(event_id) AS first_seq FROM gates WHERE event_type = 'error' AND user_id % 4 <> 0 GROUP BY user_id"""))
 def q_miss_learn(spark, d):
-    """Missing tables not learned yet; each batch adds only tables that earlier batches did not write."""
-    out = new_dir(spark, "misses")
+    """Missing tables not learned yet; a table is known from its first batch on, by state."""
     known = S.table(spark, d, "events").select(F.col("user_id").alias("table")).where(F.col("table") % 4 == 0).distinct()
-    miss = events(spark, d).where(F.col("event_type") == "error").select(F.col("user_id").alias("table"), F.col("event_id").alias("seq")).join(known, "table", "left_anti")
-
-    def step(batch, epoch):
-        session = batch.sparkSession
-        new = batch.groupBy("table").agg(F.min("seq").alias("first_seq"))
-        if epoch > 0:
-            new = new.join(session.read.schema(new.schema).parquet(out).where(F.col("epoch") < epoch).select("table"), "table", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    R.drain_batches(miss, "misses", step)
-    return spark.read.parquet(out).select("table", "first_seq")
+    miss = events(spark, d).where(F.col("event_type") == "error").select(F.col("user_id").cast("long").alias("table"), F.col("event_id").cast("long").alias("seq")).join(known, "table", "left_anti")
+    return R.drain(O.first_seen(miss, "table", "seq"), "misses")
 
 
 @query("stream_reputation", with_ctes(f"""

@@ -96,4 +96,5 @@ def carry_forward(df: DataFrame, order: str, value: str, by: str, name: str) ->
     chunks = df.select(by).distinct().join(ends, by, "left")
     before = W.orderBy(by).rowsBetween(W.unboundedPreceding, -1)  # one row per chunk
     heads = chunks.select(by, F.last("_e", ignorenulls=True).over(before).alias("_h"))
-    return local.join(heads, by).withColumn(name, F.coalesce("_v", "_h")).drop("_v", "_h")
+    heads = heads.withColumnRenamed(by, "_by")
+    return local.join(heads, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.coalesce("_v", "_h")).drop("_v", "_h", "_by")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,38 +79,61 @@ def decide(tx: DataFrame, lookup: DataFrame, threshold: float, sends: int) -> Da
         "threshold", F.lit(float(threshold))).withColumn("sends", F.lit(int(sends)))
 
 
-def reputation(events: DataFrame, lag: int, half_life: int, late_slots: int = 600, keep_epochs: int = 60) -> DataFrame:
+def first_seen(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, first_seq) once per key, when it is first seen: the smallest sequence number of that batch."""
+    schema = f"{key} bigint, first_seq bigint"
+
+    def step(found, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first = min(int(b[seq].min()) for b in batches)
+        if not state.exists:
+            state.update((True,))
+            yield pd.DataFrame({key: [found[0]], "first_seq": [first]})
+
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def reputation(events: DataFrame, lag: int, half_life: int, late_slots: int = 600) -> DataFrame:
     """Per event (tx_id, payer, slot, landed): decayed counts of the payer's events at slots <= slot - lag - 1.
 
-    State per payer: two decayed counts, their epoch, and the few events that are not visible yet. Rows of one batch are
-    put in order here; batches should arrive in slot order, and rows later than `late_slots` are dropped by the
-    watermark. One slot counts as one second of event time, from 1 on, as the watermark starts at 0. A payer silent for `keep_epochs` half-lives is forgotten.
+    Every row is answered in the batch it comes in, from all events received by then. State per payer: two decayed
+    counts of the events older than `late_slots` before its last slot, and landed and failed counts per slot since. A
+    row within `late_slots` is answered exactly as a table would, given the events received; an older one has `late`
+    true and null counts, as events around it have been added up. It still counts for later rows.
     """
-    schema = "tx_id bigint, payer bigint, slot bigint, rep_landed double, rep_failed double, rep_seen int"
-    state_schema = "landed double, failed double, epoch bigint, seen int, slots array<bigint>, oks array<int>"
+    schema = "tx_id bigint, payer bigint, slot bigint, rep_landed double, rep_failed double, rep_seen int, late boolean"
+    state_schema = "landed double, failed double, epoch bigint, until bigint, slots array<bigint>, oks array<double>, fails array<double>"
+
+    def decayed(base: float, epoch: int, slots: np.ndarray, counts: np.ndarray, seen: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The base and the first `seen` slot counts at the epochs `at`."""
+        out = np.zeros(len(at))
+        own = slots // half_life
+        for e in np.unique(own):  # epochs within `late_slots` and this batch
+            mine = np.flatnonzero(own == e)
+            total = np.concatenate([[0.0], np.cumsum(counts[mine])])
+            out += np.ldexp(total[np.clip(seen - mine[0], 0, len(mine))], np.minimum(0, e - at).astype(int))
+        return out + np.ldexp(np.full(len(at), base), np.minimum(0, epoch - at).astype(int))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        landed, failed, epoch, seen, slots, oks = state.get if state.exists else (0.0, 0.0, 0, 0, [], [])
-        waiting = list(zip(slots, oks))
-        rows = pd.concat(list(batches)).sort_values(["slot", "tx_id"], kind="stable")
-        out = []
-        for tx_id, slot, ok in rows[["tx_id", "slot", "landed"]].itertuples(index=False):
-            while waiting and waiting[0][0] <= slot - lag - 1:
-                s, was_ok = waiting.pop(0)
-                e = s // half_life
-                if e > epoch:
-                    scale = 0.5 ** (e - epoch) if seen else 1.0
-                    landed, failed, epoch = landed * scale, failed * scale, e
-                landed, failed, seen = landed + (1.0 if was_ok else 0.0), failed + (0.0 if was_ok else 1.0), 1
-            scale = 0.5 ** max(0, slot // half_life - epoch) if seen else 0.0
-            out.append((tx_id, key[0], slot, landed * scale, failed * scale, seen))
-            waiting.append((slot, int(ok)))
-        state.update((landed, failed, int(epoch), int(seen), [int(s) for s, _ in waiting], [int(o) for _, o in waiting]))
-        state.setTimeoutTimestamp(max(int(rows["slot"].max()) + keep_epochs * half_life, state.getCurrentWatermarkMs() // 1000 + 1) * 1000)
-        yield pd.DataFrame(out, columns=["tx_id", "payer", "slot", "rep_landed", "rep_failed", "rep_seen"])
-
-    timed = events.withColumn("ts", F.timestamp_seconds(F.col("slot") + 1)).withWatermark("ts", f"{late_slots} seconds")
-    return timed.groupBy("payer").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+        landed, failed, epoch, until, slots, oks, fails = state.get if state.exists else (0.0, 0.0, 0, None, [], [], [])
+        rows = pd.concat(list(batches))
+        added = rows.groupby("slot")["landed"].agg(ok="sum", n="count")
+        known = pd.DataFrame({"slot": [*slots, *added.index], "ok": [*oks, *added["ok"]], "fail": [*fails, *(added["n"] - added["ok"])]})
+        known = known.groupby("slot", as_index=False).sum().sort_values("slot")
+        at, ok, fail = known["slot"].to_numpy(np.int64), known["ok"].to_numpy(float), known["fail"].to_numpy(float)
+        ask = rows["slot"].to_numpy(np.int64)
+        seen = np.searchsorted(at, ask - lag - 1, side="right")
+        late = ask - lag - 1 < until if until is not None else np.zeros(len(ask), bool)
+        answers = [decayed(b, epoch, at, c, seen, ask // half_life) for b, c in ((landed, ok), (failed, fail))]
+        any_seen = pd.Series(((seen > 0) | (until is not None)).astype("int32"), dtype="Int32").mask(late)
+        yield pd.DataFrame({"tx_id": rows["tx_id"].to_numpy(), "payer": key[0], "slot": ask, "rep_landed": np.where(late, np.nan, answers[0]),
+                            "rep_failed": np.where(late, np.nan, answers[1]), "rep_seen": any_seen, "late": late})
+        old = at < at[-1] - late_slots
+        if old.any():
+            until = max(int(at[old][-1]), until if until is not None else int(at[old][-1]))
+            now = max(epoch, int(until // half_life))
+            everything = np.array([old.sum()])
+            landed, failed = (float(decayed(b, epoch, at[old], c[old], everything, np.array([now]))[0]) for b, c in ((landed, ok), (failed, fail)))
+            epoch = now
+        state.update((landed, failed, int(epoch), until, at[~old].tolist(), ok[~old].tolist(), fail[~old].tolist()))
+
+    return events.groupBy("payer").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)

@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from txlens.session import new_dir
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The files of one table in a folder as a stream; later files are picked up by a running query."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(folder)
+def read_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
+    """One table, a file or a folder of part files, as a stream; later files are picked up by a running query.
+
+    A path that does not exist is an error.
+    """
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def drain(stream: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
