@@ -23,7 +23,8 @@ def fit_vocab(train: DataFrame, columns: Sequence[str], max_vocab: int = MAX_VOC
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("bigint").alias("value")) for c in columns])).alias("s")).select("s.*")
     n = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     w = W.partitionBy("feature").orderBy(F.desc("n"), *unsigned_order(F.col("value")))
-    return n.withColumn("code", F.row_number().over(w) - 1).where(F.col("code") < max_vocab).select("feature", "value", "n", "code")
+    ranked = n.withColumn("code", F.row_number().over(w)).where(F.col("code") <= max_vocab)  # the bare rank: Spark then limits groups before the shuffle
+    return ranked.select("feature", "value", "n", (F.col("code") - 1).alias("code"))
 
 
 def encode(df: DataFrame, kinds: Mapping[str, str], vocab: DataFrame) -> DataFrame:

@@ -68,13 +68,13 @@ def cycle_delta(pools: DataFrame, extra: DataFrame, base: str) -> DataFrame:
     return j.select("*", d2.alias("gain_2hop"), d3.alias("gain_3hop"), F.when(d3 > 0, 1.5).when(d2 > 0, 1.0).otherwise(0.0).alias("support"))
 
 
-def base_cycle(tx_pools: DataFrame, pools: DataFrame, base: str, max_rounds: int = 64) -> DataFrame:
+def base_cycle(tx_pools: DataFrame, pools: DataFrame, base: str) -> DataFrame:
     """Transactions whose named pools contain a cycle through the base token.
 
     Without the base node, a component of the transaction's token graph that has two base edges closes such a cycle.
     Two base edges at one token are found by a count. The rest is a smallest-label walk over (transaction, token) nodes,
-    only for transactions with at least two base edges; every round is written to the shared folder, and rounds go on
-    until nothing changes.
+    only for transactions with at least two base edges. In each round a node takes the smallest label around it and then
+    the label of its label, so rounds grow with the logarithm of a path; every round is written to the shared folder.
     """
     e = tx_pools.join(_edges(pools), "pool").select("tx_id", "x", "y")
     on_base = (F.col("x") == base) | (F.col("y") == base)
@@ -87,18 +87,16 @@ def base_cycle(tx_pools: DataFrame, pools: DataFrame, base: str, max_rounds: int
         mid.select("tx_id", F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), "cycle-links")
     labels = materialise(starts.join(open_tx, "tx_id", "left_semi").select("tx_id", "t").unionByName(
         links.select("tx_id", F.col("a").alias("t"))).distinct().withColumn("label", F.col("t")), "cycle-labels")
-    for _ in range(max_rounds):
+    moved = True
+    while moved:
         near = links.join(labels, (links["tx_id"] == labels["tx_id"]) & (links["a"] == labels["t"])).select(
             links["tx_id"], F.col("b").alias("t"), "label")
         best = near.groupBy("tx_id", "t").agg(F.min("label").alias("m"))
-        nxt = labels.join(best, ["tx_id", "t"], "left").select("tx_id", "t", F.least("label", F.coalesce("m", "label")).alias("label"),
-                                                               (F.coalesce("m", "label") < F.col("label")).alias("moved"))
-        nxt = materialise(nxt, "cycle-labels")
-        labels = nxt.drop("moved")
-        if nxt.where("moved").limit(1).count() == 0:
-            break
-    else:
-        raise RuntimeError("component labels still move; raise max_rounds")
+        step = materialise(labels.join(best, ["tx_id", "t"], "left").select("tx_id", "t", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label")), "cycle-labels")
+        jump = step.select("tx_id", F.col("t").alias("label"), F.col("label").alias("_next"))
+        nxt = materialise(step.join(jump, ["tx_id", "label"], "left").select("tx_id", "t", "old", F.least("label", F.coalesce("_next", "label")).alias("label")), "cycle-labels")
+        moved = not nxt.where(F.col("label") < F.col("old")).isEmpty()
+        labels = nxt.drop("old")
     joined = starts.join(labels, ["tx_id", "t"]).groupBy("tx_id", "label").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).select("tx_id").distinct()
     return direct.unionByName(joined).distinct()
 

@@ -90,7 +90,7 @@ def budget_rollup(ixs: DataFrame, kinds: tuple[str, ...] = ("limit", "price")) -
 def ix_slots(ixs: DataFrame, columns: list[str], n: int = IX_SLOTS) -> DataFrame:
     """First n instructions in position order as columns ix0_*, ix1_* ...; zero where there is none."""
     w = W.partitionBy("tx_id").orderBy("pos")
-    r = ixs.withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") < n)
+    r = ixs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).withColumn("_r", F.col("_r") - 1)
     return r.groupBy("tx_id").agg(*[F.coalesce(F.max(F.when(F.col("_r") == i, F.col(c))), F.lit(0)).alias(f"ix{i}_{c}")
                                     for i in range(n) for c in columns])
 

@@ -16,7 +16,6 @@ LEAD_LIMITS = ((20_000_000, ">20ms"), (10_000_000, "10-20ms"), (5_000_000, "5-10
                (500_000, "0.5-1ms"), (0, "0-0.5ms"))
 LEAD_PERCENTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 SEND_BUDGETS_US = (100, 250, 500, 1000, 2000, 5000, 10000)
-LATER_SCAN = 8
 
 
 def feed_compare(recon: DataFrame, truth: DataFrame, limit_slots: int = 0) -> DataFrame:
@@ -162,32 +161,21 @@ def resolve_keys(static: DataFrame, lookups: DataFrame, tables: DataFrame) -> Da
     return g.select("tx_id", (~F.col("miss")).alias("resolved"), F.when(~F.col("miss"), keys).alias("accounts"), F.when(~F.col("miss"), F.col("n")).alias("n_accounts"))
 
 
-def pool_positions(rows: DataFrame) -> DataFrame:
-    """Position of every row in its pool's history by (slot, tx_id), counted from 1.
+def later_arbs(decisions: DataFrame, rows: DataFrame, horizon: int) -> DataFrame:
+    """First later successful transaction on the decision's pool that uses both programs, at most `horizon` slots later.
 
-    Slots are added up first and offset by range buckets; only rows of one slot of one pool are sorted together.
+    `rows`: (tx_id, pool, slot, ok, both), in order of (slot, tx_id) on a pool. Slots are cut in chunks one longer than
+    the horizon, so the answer lies in the decision's chunk or the next one: a window sees one chunk of one pool, and a
+    join brings the first hit of the next.
     """
-    before = ordstat.counts(rows, "slot", ["pool"]).select("pool", "slot", (F.col("cum_n") - F.col("n")).alias("_before"))
-    w = W.partitionBy("pool", "slot").orderBy("tx_id")
-    return rows.withColumn("_i", F.row_number().over(w)).join(before, ["pool", "slot"]).withColumn("at", F.col("_before") + F.col("_i")).drop("_before", "_i")
-
-
-def later_arbs(decisions: DataFrame, rows: DataFrame, horizon: int, scan: int = LATER_SCAN) -> DataFrame:
-    """First later successful transaction on the decision's pool that uses both programs.
-
-    Only the next `scan` rows of the pool within the slot horizon are looked at. Each decision names at most `scan`
-    positions, which are matched by equality on (pool, position): no range join and no pairing inside a pool.
-    """
-    p = pool_positions(rows)
-    mine = decisions.select("tx_id", "pool").join(p.select("tx_id", "pool", "slot", "at"), ["tx_id", "pool"])
-    want = mine.select("tx_id", "pool", F.col("slot").alias("_s"), F.explode(F.sequence(F.col("at") + 1, F.col("at") + scan)).alias("at"))
-    nxt = p.select("pool", "at", F.col("tx_id").alias("later_tx"), F.col("slot").alias("later_slot"), "ok", "both")
-    j = want.join(nxt, ["pool", "at"]).where(F.col("later_slot") <= F.col("_s") + horizon)
     hit = F.col("ok") & F.col("both")
-    g = j.groupBy("tx_id", "pool").agg(F.count(F.lit(1)).alias("scanned"), F.min_by(F.struct("later_tx", (F.col("later_slot") == F.col("_s")).alias("same_slot")),
-                                                                                F.when(hit, F.col("at"))).alias("h"))
-    return mine.select("tx_id", "pool").join(g, ["tx_id", "pool"], "left").select(
-        "tx_id", "pool", F.coalesce("scanned", F.lit(0)).alias("scanned"), F.col("h.later_tx").alias("later_tx"), F.col("h.same_slot").alias("same_slot"))
+    x = rows.select("tx_id", "pool", "slot", F.floor(F.col("slot") / (horizon + 1)).alias("chunk"), F.when(hit, F.struct("slot", "tx_id")).alias("h"))
+    later = W.partitionBy("pool", "chunk").orderBy("slot", "tx_id").rowsBetween(1, W.unboundedFollowing)
+    firsts = x.groupBy(F.col("pool").alias("_p"), (F.col("chunk") - 1).alias("_c")).agg(F.min("h").alias("_next"))
+    x = x.withColumn("_own", F.min("h").over(later)).join(decisions.select("tx_id", "pool").distinct(), ["tx_id", "pool"], "left_semi")
+    x = x.join(firsts, (F.col("pool") == F.col("_p")) & (F.col("chunk") == F.col("_c")), "left").withColumn("_h", F.coalesce("_own", "_next"))
+    near = F.col("_h.slot") <= F.col("slot") + horizon
+    return x.select("tx_id", "pool", F.when(near, F.col("_h.tx_id")).alias("later_tx"), F.when(near, F.col("_h.slot") == F.col("slot")).alias("same_slot"))
 
 
 def horizon_confusion(rows: DataFrame) -> DataFrame:

@@ -286,14 +286,13 @@ def q_family_fields(spark, d):
 FAMILIES, PROGRAMS = ["ECONOMY", "SMALL"], ["P1", "P2", "P3"]
 S.CTE["legs"] = """
   SELECT route, rn AS leg_no, p_type AS family, 'P' || (p_partkey % 7) AS program FROM
-    (SELECT *, p_brand || '/s' || (p_size % 5) AS route, 2 + (p_size % 5) % 4 AS hops,
-            row_number() OVER (PARTITION BY p_brand, p_size % 5 ORDER BY p_partkey) AS rn FROM part) WHERE rn <= hops"""
+    (SELECT *, p_brand || '/s' || (p_size % 5) AS route, row_number() OVER (PARTITION BY p_brand, p_size % 5 ORDER BY p_partkey) AS rn FROM part)"""
 
 
 def legs(spark, d):
     w = M.W.partitionBy("p_brand", "r").orderBy("p_partkey")
-    p = S.table(spark, d, "part").withColumn("r", F.col("p_size") % 5).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 5)
-    return p.where(F.col("rn") <= 2 + F.col("r") % 4).select(
+    p = S.table(spark, d, "part").withColumn("r", F.col("p_size") % 5).withColumn("rn", F.row_number().over(w))
+    return p.select(
         F.concat("p_brand", F.lit("/s"), "r").alias("route"), F.col("rn").alias("leg_no"), F.col("p_type").alias("family"),
         F.concat(F.lit("P"), F.col("p_partkey") % 7).alias("program"))
 

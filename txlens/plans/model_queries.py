@@ -32,7 +32,7 @@ ROLES = {"tx_id": "id", "label": "label", "target": "label", "target3": "label",
 
 def feature_frame(spark, d):
     """Labelled transactions with their inputs; hash inputs use high bits so that some are negative as signed numbers."""
-    t = S.trig(spark, d).groupBy("tx_id").agg(F.approx_count_distinct("pool").alias("n_pools"), F.max("amount").alias("swap_max"), F.min("supp").alias("ms"))
+    t = S.trig(spark, d).groupBy("tx_id").agg(F.countDistinct("pool").alias("n_pools"), F.max("amount").alias("swap_max"), F.min("supp").alias("ms"))
     x = MQ.scored(spark, d).join(t, "tx_id")
     wrap = lambda c: F.when(F.col(c) % 2 == 0, F.col(c) * 1000003).otherwise(-F.col(c) * 1000003 - 1)
     out = x.withColumn("payer_hash", wrap("payer")).withColumn("supp_hash", wrap("ms")).withColumn("prio_code", F.substring("prio", 1, 1).cast("int"))
@@ -269,8 +269,8 @@ def q_scan_pairs(spark, d):
 
 
 @query("scan_slot_parts", with_ctes("""
-  WITH s AS (SELECT slot, min(block_time) FILTER (tx_id % 5 = 0) AS t FROM tx WHERE slot BETWEEN 300 AND 900 GROUP BY slot), c AS (SELECT slot, last_value(t IGNORE NULLS) OVER (ORDER BY slot) AS slot_time FROM s)
-  SELECT tx_id, slot, slot_time FROM tx JOIN c USING (slot)"""))
+  WITH s AS (SELECT slot, min(block_time) FILTER (tx_id % 5 = 0) AS t FROM tx GROUP BY slot), c AS (SELECT slot, last_value(t IGNORE NULLS) OVER (ORDER BY slot) AS slot_time FROM s)
+  SELECT tx_id, slot, slot_time FROM tx JOIN c USING (slot) WHERE slot BETWEEN 300 AND 900"""))
 def q_slot_parts(spark, d):
     path = new_dir(spark, "slots")
     t = S.tx(spark, d).select("tx_id", "slot", F.when(F.col("tx_id") % 5 == 0, F.col("block_time")).alias("block_time"))
@@ -330,10 +330,10 @@ def q_export_bundle(spark, d):
 
 
 @query("export_landing_tables", with_ctes("""
-  SELECT 'pools' AS name, (SELECT count(DISTINCT pool) FROM trig) AS rows UNION ALL SELECT 'parity_sample', (SELECT least(2000, count(*)) FROM tx) UNION ALL SELECT 'parity_window', (SELECT count(*) FROM tx WHERE slot BETWEEN 100 AND 200)"""))
+  SELECT 'pools' AS name, (SELECT count(DISTINCT pool) FROM trig) AS rows UNION ALL SELECT 'parity_sample', (SELECT least(50000, count(*)) FROM tx) UNION ALL SELECT 'parity_window', (SELECT count(*) FROM tx WHERE slot BETWEEN 100 AND 200)"""))
 def q_export_landing(spark, d):
     path = new_dir(spark, "landing-tables")
-    TB.export_landing(path, S.trig(spark, d).select("pool").distinct(), S.tx(spark, d), "tx_id", (100, 200), n=2000)
+    TB.export_landing(path, S.trig(spark, d).select("pool").distinct(), S.tx(spark, d), "tx_id", (100, 200))
     parts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in ("pools", "parity_sample", "parity_window")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -17,7 +17,7 @@ from txlens.plans.registry import query
 from txlens.plans.standin import auc_sql, r6, with_ctes
 from txlens.session import materialise
 
-CAP = 2
+CAP = PO.ROUTE_CAP
 KS = (1, 2, 3, 6, 9, 24)
 
 S.CTE["tx_pools"] = "SELECT DISTINCT tx_id, pool FROM trig"

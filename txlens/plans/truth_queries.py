@@ -101,10 +101,10 @@ def q_race_summary(spark, d):
 
 @query("lead_bucket", with_ctes(f"""
   WITH {RACE_CTE} SELECT first, CASE WHEN x > 20000000 THEN '>20ms' WHEN x > 10000000 THEN '10-20ms' WHEN x > 5000000 THEN '5-10ms' WHEN x > 2000000 THEN '2-5ms' WHEN x > 1000000 THEN '1-2ms'
-    WHEN x > 500000 THEN '0.5-1ms' ELSE '0-0.5ms' END AS bucket, count(*) AS n FROM (SELECT first, abs(lead_ns) // 1000000 AS x FROM r WHERE lead_ns IS NOT NULL) GROUP BY ALL"""))
+    WHEN x > 500000 THEN '0.5-1ms' ELSE '0-0.5ms' END AS bucket, count(*) AS n FROM (SELECT first, abs(lead_ns) AS x FROM r WHERE lead_ns IS NOT NULL) GROUP BY ALL"""))
 def q_lead_bucket(spark, d):
     r = race(spark, d).where(F.col("lead_ns").isNotNull())
-    return r.groupBy("first", T.lead_bucket(F.floor(F.abs("lead_ns") / 1000000)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return r.groupBy("first", T.lead_bucket(F.abs("lead_ns")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("slot_coverage", with_ctes("""
@@ -408,9 +408,9 @@ def q_slot_overlap(spark, d):
 @query("later_arbs", with_ctes("""
   WITH r AS (SELECT p.tx_id, p.pool, t.slot, t.landed = 1 AS ok, t.relevant = 1 AS both, row_number() OVER (PARTITION BY pool ORDER BY slot, p.tx_id) AS place FROM tx_pools p JOIN tx t ON t.tx_id = p.tx_id),
   dec AS (SELECT DISTINCT tx_id, pool FROM trig WHERE status = 'POSITIVE'),
-  j AS (SELECT a.tx_id, a.pool, b.tx_id AS lt, b.slot = a.slot AS ss, b.place, b.ok AND b.both AS hit FROM dec JOIN r a ON a.tx_id = dec.tx_id AND a.pool = dec.pool
-        JOIN r b ON b.pool = a.pool AND b.place BETWEEN a.place + 1 AND a.place + 8 AND b.slot <= a.slot + 200)
-  SELECT dec.tx_id, dec.pool, count(j.lt) AS scanned, min_by(lt, place) FILTER (hit) AS later_tx, min_by(ss, place) FILTER (hit) AS same_slot
+  j AS (SELECT a.tx_id, a.pool, b.tx_id AS lt, b.slot = a.slot AS ss, b.place FROM dec JOIN r a ON a.tx_id = dec.tx_id AND a.pool = dec.pool
+        JOIN r b ON b.pool = a.pool AND b.place > a.place AND b.slot <= a.slot + 200 AND b.ok AND b.both)
+  SELECT dec.tx_id, dec.pool, min_by(lt, place) AS later_tx, min_by(ss, place) AS same_slot
   FROM dec LEFT JOIN j ON j.tx_id = dec.tx_id AND j.pool = dec.pool GROUP BY ALL"""))
 def q_later_arbs(spark, d):
     return later(spark, d)
@@ -427,7 +427,7 @@ def later(spark, d):
   WITH r AS (SELECT p.tx_id, p.pool, t.slot, t.landed = 1 AND t.relevant = 1 AS hit, row_number() OVER (PARTITION BY pool ORDER BY slot, p.tx_id) AS place FROM tx_pools p JOIN tx t ON t.tx_id = p.tx_id),
   dec AS (SELECT DISTINCT tx_id, pool FROM trig WHERE status = 'POSITIVE'),
   j AS (SELECT a.tx_id, a.pool, min_by(b.slot = a.slot, b.place) FILTER (b.hit) AS ss FROM dec JOIN r a ON a.tx_id = dec.tx_id AND a.pool = dec.pool
-        JOIN r b ON b.pool = a.pool AND b.place BETWEEN a.place + 1 AND a.place + 8 AND b.slot <= a.slot + 200 GROUP BY ALL)
+        JOIN r b ON b.pool = a.pool AND b.place > a.place AND b.slot <= a.slot + 200 GROUP BY ALL)
   SELECT count(*) AS n, count(*) FILTER (t.landed = 1) AS landed, count(*) FILTER (t.amount % 3 = 0) AS edge_exists, count(j.ss) AS later_arb, count(*) FILTER (j.ss) AS same_slot_arb
   FROM dec JOIN tx t ON t.tx_id = dec.tx_id LEFT JOIN j ON j.tx_id = dec.tx_id AND j.pool = dec.pool"""))
 def q_outcome_report(spark, d):
@@ -755,14 +755,14 @@ UNI_SQL = """u AS (SELECT pool, min(p) AS prio FROM (SELECT p_partkey AS pool, 0
     UNION ALL SELECT p_partkey, 2 FROM part WHERE p_partkey % 5 = 0) GROUP BY pool)"""
 
 
-@query("universe_union", with_ctes(f"WITH {UNI_SQL} SELECT pool, prio FROM u ORDER BY prio, pool LIMIT 700"))
+@query("universe_union", with_ctes(f"WITH {UNI_SQL} SELECT pool, prio FROM u"))
 def q_universe_union(spark, d):
     p = S.table(spark, d, "part").select(F.col("p_partkey").alias("pool"), "p_size")
     parts = [p.where(F.col("p_size") < 10), p.where((F.col("p_size") < 20) & (F.col("pool") % 2 == 0)), p.where(F.col("pool") % 5 == 0)]
     u = parts[0].select("pool", F.lit(0).alias("prio"))
     for i, x in enumerate(parts[1:], 1):
         u = u.unionByName(x.select("pool", F.lit(i).alias("prio")))
-    return u.groupBy("pool").agg(F.min("prio").alias("prio")).orderBy("prio", "pool").limit(700)
+    return u.groupBy("pool").agg(F.min("prio").alias("prio"))
 
 
 @query("new_pools", with_ctes("SELECT p_partkey AS pool FROM part WHERE p_partkey % 5 = 0 AND NOT p_size < 10"))

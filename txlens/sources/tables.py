@@ -50,9 +50,13 @@ def scan_pairs(spark: SparkSession, root: str, slot_range: tuple[int, int] | Non
 
 
 def scan_slot_parts(spark: SparkSession, root: str, lo: int, hi: int, slots_per_part: int, time: str = "block_time") -> DataFrame:
-    """Rows of the slots from lo to hi, each with the earliest time of its slot, carried forward to slots without one."""
+    """Rows of the slots from lo to hi, each with the earliest time of its slot.
+
+    A slot without a time takes that of the last slot before it that has one, also from before the range: times come
+    from all slots up to `hi`, of which two columns are read.
+    """
     rows = scan_pairs(spark, root, (lo, hi), slots_per_part)
-    per = rows.groupBy("slot").agg(F.min(time).alias("_t")).withColumn("_chunk", F.floor(F.col("slot") / 10000))
+    per = spark.read.parquet(root).where(F.col("slot") <= hi).groupBy("slot").agg(F.min(time).alias("_t")).withColumn("_chunk", F.floor(F.col("slot") / 10000))
     times = carry_forward(per, "slot", "_t", "_chunk", "slot_time").select("slot", "slot_time")
     return rows.join(times, "slot")
 
