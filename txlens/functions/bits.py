@@ -50,3 +50,15 @@ def sampled(ident: Column, ppm: int) -> Column:
 def unsigned_order(c: Column) -> tuple[Column, Column]:
     """Sort keys that order a BIGINT bit pattern as an unsigned number: negatives come last, each half in order."""
     return (c < 0).asc(), c.asc()
+
+
+def discriminator(name: Column) -> Column:
+    """First eight bytes of the SHA-256 of "global:<name>": how an instruction is told from others."""
+    return F.substring(F.unhex(F.sha2(F.concat(F.lit("global:"), name), 256)), 1, 8)
+
+
+def u64_at(data: Column, offset: int) -> Column:
+    """Unsigned little-endian 64-bit number at a byte offset, as a decimal; null if the bytes end before."""
+    digits = F.hex(F.substring(data, offset + 1, 8))
+    turned = F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])
+    return F.when(F.octet_length(data) >= offset + 8, F.conv(turned, 16, 10).cast("decimal(20,0)"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from txlens.functions import bits
 from txlens.functions.numbers import BASE_FEE, LAMPORTS_PER_COIN, beside, count_if, ratio, rounded, rounded_all, sum_if
 from txlens.operators import labels as L
 from txlens.operators import metrics as M
@@ -486,3 +487,17 @@ def q_ranker_frame(spark, d):
          (SELECT count(*) FROM pairs WHERE pack_id NOT IN (SELECT pack_id FROM packs)) AS without_pack"""))
 def q_ranker_frame_gaps(spark, d):
     return PO.frame_gaps(S.tx(spark, d), LQ.pairs(spark, d), S.packs(spark, d))
+
+
+@query("instruction_amounts", with_ctes("""
+  WITH i AS (SELECT event_id, substr(sha256('global:' || event_type), 1, 16) AS disc, lower(printf('%016x', event_id * 1000003 + user_id)) AS h FROM events),
+  l AS (SELECT *, substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS little FROM i)
+  SELECT disc, count(*) AS n, sum(('0x' || h)::UBIGINT)::DOUBLE AS amount, min(little) AS first_bytes FROM l GROUP BY disc"""))
+def q_instruction_amounts(spark, d):
+    """Instruction data (discriminator, then an amount) read back by byte offset, summed per discriminator."""
+    e = S.table(spark, d, "events")
+    digits = F.lower(F.lpad(F.hex((F.col("event_id") * 1000003 + F.col("user_id")).cast("bigint")), 16, "0"))
+    little = F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)])
+    data = F.concat(bits.discriminator(F.col("event_type")), F.unhex(little))
+    ix = e.select(F.lower(F.hex(F.substring(data, 1, 8))).alias("disc"), bits.u64_at(data, 8).alias("amount"), little.alias("little"))
+    return ix.groupBy("disc").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"), F.min("little").alias("first_bytes"))
