@@ -31,6 +31,17 @@ def crc_of_id(column: Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")), F.lit(0).cast("long"))
 
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits the rows of an Arrow batch: with whole texts the default of 10,000 takes tens of megabytes, several times per task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def step(df: DataFrame, name: str) -> DataFrame:
     """Writes a step to the shared folder, reads it back, and lets Spark drop the shuffle files that made it.
 

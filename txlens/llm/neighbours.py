@@ -37,7 +37,7 @@ DEGREE, REVERSE, TOLD = 24, 24, 16
 ORDERS, RUN = 12, 256
 ROUNDS = 4
 #: Nodes that a query keeps, and that it expands per hop.
-BEAM, STEP = 400, 50
+BEAM, STEP = 400, 100
 FOUND = "query_id long, rank int, vec_id long, score double"
 GRAPH = "node long, ids binary, dist binary"
 

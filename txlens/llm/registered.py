@@ -15,5 +15,6 @@ QUERIES = {
     "op10_simhash": op10_query.op10_simhash,
 }
 ORACLES = {
+    "op8_word_spans": op8_query.SQL,
     "op9_shards": op9_query.SQL,
 }

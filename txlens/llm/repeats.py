@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import rolling
-from txlens.llm.common import id_order, partitions, step
+from txlens.llm.common import id_order, partitions, small_batches, step
 
 PLAIN, KNOWN, PASSED = 0, 1, 2
 
@@ -48,6 +48,7 @@ class Windows:
 
 def keyed(documents: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, its order number, the text as bytes and its key."""
+    small_batches(documents.sparkSession)
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return documents.select(F.col(key).cast("long").alias("doc_id"), id_order(F.col(key)).alias("id"), F.xxhash64(body).alias("text_key"), body.alias("body"))
 
@@ -171,7 +172,31 @@ def by_text(fields: dict[str, np.ndarray], key: str = "text_key") -> pa.RecordBa
     return pa.RecordBatch.from_arrays(columns, [key, *(n for n in fields if n != key)])
 
 
-def _hits(w: Windows):
+def for_texts(fields: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Packed values on their way back to their texts: a row per bucket of texts."""
+    order = np.argsort(fields["text_key"], kind="stable")
+    keys = fields["text_key"][order]
+    part = bucketed({n: v[order] for n, v in fields.items()}, (keys >> 7) % buckets, 0, ("text_key",))
+    return part.select([n for n in part.schema.names if n != "kind"])
+
+
+def gathered(sent: DataFrame, kinds: dict[str, str], buckets: int) -> DataFrame:
+    """One row per text with its values packed, from the rows of `for_texts`; kinds: name and numpy type of each value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(unrolled(b, "text_key"), *(rolling.unpacked(b.column(n), t) for n, t in kinds.items())) for b in batches if b.num_rows]
+        if parts:
+            keys, *values = (np.concatenate(x) for x in zip(*parts))
+            yield by_text({"text_key": keys} | dict(zip(kinds, values)))
+
+    return sent.repartition(buckets, "bucket").mapInArrow(run, "text_key long, " + ", ".join(f"{n} binary" for n in kinds))
+
+
+def sent_schema(names: list[str]) -> str:
+    return "bucket int, run binary, text_key binary, " + ", ".join(f"{n} binary" for n in names)
+
+
+def _hits(w: Windows, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for b in batches:
@@ -181,7 +206,7 @@ def _hits(w: Windows):
                     continue
                 keys, place = unrolled(part, "text_key"), rolling.unpacked(part.column("place"), "<u4")
                 if kind == PASSED:
-                    yield by_text({"text_key": keys, "place": place})
+                    yield for_texts({"text_key": keys, "place": place}, buckets)
                 else:
                     hashes = _widened(part.column("hash"))
                     parts.append((hashes, keys, place, np.full(len(keys), kind == KNOWN)))
@@ -194,7 +219,7 @@ def _hits(w: Windows):
         repeated = np.maximum.reduceat(known[order], cuts[:-1]) | (np.minimum.reduceat(k, cuts[:-1]) != np.maximum.reduceat(k, cuts[:-1]))
         found = order[np.repeat(repeated, np.diff(cuts))]
         if len(found):
-            yield by_text({"text_key": keys[found], "place": place[found]})
+            yield for_texts({"text_key": keys[found], "place": place[found]}, buckets)
 
     return run
 
@@ -207,8 +232,8 @@ def candidates(source: DataFrame, w: Windows) -> tuple[DataFrame, np.ndarray]:
     """
     n = partitions(source.sparkSession)
     cut = source.select("text_key", "body").mapInArrow(_cut(w, n), ANCHOR_SCHEMA)
-    hits = cut.repartition(n, "bucket").mapInArrow(_hits(w), "text_key long, place binary")
-    of_text = hits.groupBy("text_key").agg(F.collect_list("place").alias("hits"))
+    hits = cut.repartition(n, "bucket").mapInArrow(_hits(w, n), sent_schema(["place"]))
+    of_text = gathered(hits, {"place": "<u4"}, n).withColumnRenamed("place", "hits")
     firsts = source.groupBy("text_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     known = step(firsts.join(of_text, "text_key", "left").where("copies > 1 OR hits IS NOT NULL").drop("copies"), "texts")
     bits = key_filter(known)

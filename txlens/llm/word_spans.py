@@ -86,8 +86,7 @@ def hit_windows(w: Windows, b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarr
         text = np.searchsorted(ends, place, side="right")
         wanted = np.zeros(len(values), bool)
         for r in range(i, j):
-            for part in b.column("hits")[r]:
-                wanted[np.frombuffer(part.as_py(), "<u4").astype(np.int64) + ends[r - i] - units[r - i]] = True
+            wanted[np.frombuffer(b.column("hits")[r].as_py(), "<u4").astype(np.int64) + ends[r - i] - units[r - i]] = True
         mine = wanted[place] if len(place) else np.zeros(0, bool)
         yield slice(i, j), data, values, units, text[mine], place[mine], first[mine], last[mine]
 
@@ -136,40 +135,46 @@ def _both(fields: dict[str, np.ndarray], bucket: np.ndarray, kind: int) -> pa.Re
     return pa.RecordBatch.from_arrays([part.column("bucket"), part.column("kind"), *columns.values()], ["bucket", "kind", *columns])
 
 
-def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of repeated edges with their source, packed by text."""
-    parts = []
-    for b in batches:
-        kind = b.column("kind").to_numpy()
-        passed, plain = b.filter(pa.array(kind == PASSED)), b.filter(pa.array(kind == PLAIN))
-        if passed.num_rows:
-            own = {n: rolling.unpacked(passed.column(n), t) for n, t in (("place", "<u4"), ("source", "<i8"), ("source_place", "<u4"))}
-            yield repeats.by_text({"text_key": repeats.unrolled(passed, "text_key")} | own)
-        if plain.num_rows:
-            parts.append([rolling.unpacked(plain.column("hash"), "<u8"), repeats.unrolled(plain, "id"), repeats.unrolled(plain, "text_key"), rolling.unpacked(plain.column("place"), "<u4")])
-    if not parts:
-        return
-    hashes, ids, keys, place = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(hashes, kind="stable")
-    cuts = rolling.groups(hashes[order])
-    several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
-    order = order[several]
-    hashes, ids, keys, place = (x[order] for x in (hashes, ids, keys, place))
-    order = np.lexsort((place, keys, ids, hashes))
-    hashes, keys, place = hashes[order], keys[order], place[order]
-    cuts = rolling.groups(hashes)
-    head = np.repeat(cuts[:-1], np.diff(cuts))
-    later = keys != keys[head]
-    if later.any():
-        yield repeats.by_text({"text_key": keys[later], "place": place[later], "source": keys[head][later], "source_place": place[head][later]})
+FOUND = {"place": "<u4", "source": "<i8", "source_place": "<u4"}
+
+
+def _sources(buckets: int):
+    """Occurrences of repeated edges with their source, on their way to their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            passed, plain = b.filter(pa.array(kind == PASSED)), b.filter(pa.array(kind == PLAIN))
+            if passed.num_rows:
+                own = {n: rolling.unpacked(passed.column(n), t) for n, t in FOUND.items()}
+                yield repeats.for_texts({"text_key": repeats.unrolled(passed, "text_key")} | own, buckets)
+            if plain.num_rows:
+                parts.append([rolling.unpacked(plain.column("hash"), "<u8"), repeats.unrolled(plain, "id"), repeats.unrolled(plain, "text_key"), rolling.unpacked(plain.column("place"), "<u4")])
+        if not parts:
+            return
+        hashes, ids, keys, place = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(hashes, kind="stable")
+        cuts = rolling.groups(hashes[order])
+        order = order[np.repeat(np.diff(cuts) > 1, np.diff(cuts))]
+        hashes, ids, keys, place = (x[order] for x in (hashes, ids, keys, place))
+        order = np.lexsort((place, keys, ids, hashes))
+        hashes, keys, place = hashes[order], keys[order], place[order]
+        cuts = rolling.groups(hashes)
+        head = np.repeat(cuts[:-1], np.diff(cuts))
+        later = keys != keys[head]
+        if later.any():
+            yield repeats.for_texts({"text_key": keys[later], "place": place[later], "source": keys[head][later], "source_place": place[head][later]}, buckets)
+
+    return run
 
 
 def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of edges whose source coordinates go on step by step."""
     for b in batches:
         columns: dict[str, list] = {n: [] for n in ("text_key", "start", "edges", "source", "source_start")}
-        for key, parts in zip(b.column("text_key").to_pylist(), b.column("found")):
-            place, source, source_place = (np.concatenate([np.frombuffer(p[n].as_py(), t).astype(np.int64) for p in parts]) for n, t in (("place", "<u4"), ("source", "<i8"), ("source_place", "<u4")))
+        for key, *values in zip(b.column("text_key").to_pylist(), *(b.column(n) for n in FOUND)):
+            place, source, source_place = (np.frombuffer(v.as_py(), t).astype(np.int64) for v, t in zip(values, FOUND.values()))
             order = np.argsort(place, kind="stable")
             place, source, source_place = place[order], source[order], source_place[order]
             new = np.concatenate([[True], (np.diff(place) != 1) | (np.diff(source_place) != 1) | (source[1:] != source[:-1])])
@@ -218,9 +223,8 @@ def repeated_spans(searched: DataFrame, w: Windows) -> DataFrame:
     spark = searched.sparkSession
     n = partitions(spark)
     edges = searched.select("id", "text_key", "body", "hits").mapInArrow(_edges(w, n), EDGE_SCHEMA)
-    found = edges.repartition(n, "bucket").mapInArrow(_sources, "text_key long, place binary, source binary, source_place binary")
-    of_text = found.groupBy("text_key").agg(F.collect_list(F.struct("place", "source", "source_place")).alias("found"))
-    spans = step(of_text.mapInArrow(_compact, "text_key long, start int, edges int, source long, source_start int"), "spans")
+    found = edges.repartition(n, "bucket").mapInArrow(_sources(n), repeats.sent_schema(list(FOUND)))
+    spans = step(repeats.gathered(found, FOUND, n).mapInArrow(_compact, "text_key long, start int, edges int, source long, source_start int"), "spans")
     ends = spans.select("text_key", "start", "edges").union(spans.select("source", "source_start", "edges")).distinct()
     asked = ends.groupBy("text_key").agg(F.collect_list(F.struct("start", "edges")).alias("asked"))
     digests = searched.select("text_key", "body").join(asked, "text_key").mapInArrow(_digests(w), "text_key long, start int, edges int, digest binary")
@@ -238,9 +242,9 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     w = Windows(length, anchor, by_words=True, across=True)
     source = repeats.keyed(documents, key, text)
     searched, bits = repeats.candidates(source, w)
-    schema = "doc_id long, id long, text_key long, n_words long, n_removed long, kept string, body binary, hits array<binary>"
+    schema = "doc_id long, id long, text_key long, n_words long, n_removed long, kept string, body binary, hits binary"
     outcome = step(searched.select("doc_id", "id", "text_key", "body", "first", "hits").mapInArrow(_outcome(w, digest), schema), "outcome")
-    clear = source.withColumns({"first": F.lit(None).cast("long"), "hits": F.lit(None).cast("array<binary>")}).mapInArrow(_outcome(w, digest, bits), schema)
+    clear = source.withColumns({"first": F.lit(None).cast("long"), "hits": F.lit(None).cast("binary")}).mapInArrow(_outcome(w, digest, bits), schema)
     searched = outcome.where("body IS NOT NULL")
     spans = repeated_spans(searched, w).groupBy("text_key").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
     done = searched.select("doc_id", "text_key", "n_words", "body").join(spans, "text_key", "left").mapInArrow(_finish(w, digest), RESULT)
