@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
+from txlens.llm.common import small_batches
+
 #: Chunks in each of the two generations that one worker remembers.
 REMEMBERED = 100_000
 #: Characters that lower-case alike everywhere and that normal form C leaves as they are.
@@ -207,6 +209,7 @@ def _segments(data: bytes, coder: Encoder, size: int) -> Iterator[tuple[int, str
 
 def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", digest: bool = False, segment_bytes: int = SEGMENT_BYTES, leaf: int = LEAF) -> DataFrame:
     """One row per document: doc_id, n_tokens, and ids and decoded text, or their digests."""
+    small_batches(documents.sparkSession)
     result = DIGEST if digest else ENCODED
     source = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.octet_length("text")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txlens.llm.common import small_batches
 from txlens.session import materialise
 
 #: Bound of the labelled texts that are learned from.
@@ -202,6 +203,7 @@ def learn(documents: DataFrame, labels: DataFrame, learnable: Column, key: str =
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_clauses, weight, score) for each row."""
+    small_batches(documents.sparkSession)
     arcs, beta = model.arcs, model.beta
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +219,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
 
 def without_toxic(documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The documents whose score is below the limit, with all their columns."""
+    small_batches(documents.sparkSession)
     arcs, beta = model.arcs, model.beta
     place = documents.columns.index(text)
 
