@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from txlens.llm.common import small_batches
+from txlens.llm.common import small_batches, worker_cache
 
 #: Chunks in each of the two generations that one worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 80_000
 #: Characters that lower-case alike everywhere and that normal form C leaves as they are.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
 #: Symbols of a pre-token that are encoded at once.
@@ -166,14 +166,12 @@ class Encoder:
         return " ".join([f[0] for f in found]), " ".join([f[1] for f in found]), sum(counts)
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, leaf: int = LEAF) -> Encoder:
     """One encoder per worker and file."""
-    if (path, leaf) not in _ENCODERS:
-        _ENCODERS[path, leaf] = Encoder(path, leaf)
-    return _ENCODERS[path, leaf]
+    kept = worker_cache("bpe")
+    if (path, leaf) not in kept:
+        kept[path, leaf] = Encoder(path, leaf)
+    return kept[path, leaf]
 
 
 def _finish(rows: Iterable[tuple], digest: bool) -> pd.DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +54,21 @@ def step(df: DataFrame, name: str) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return written
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a Python worker remembers for one operator.
+
+    Workers outlive tasks and serve other operators next, so what was remembered for another one goes first.
+    """
+    if name not in _CACHES:
+        if _CACHES:
+            _CACHES.clear()
+            gc.collect()
+            if sys.platform == "linux":
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _CACHES[name] = {}
+    return _CACHES[name]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import rolling
-from txlens.llm.common import id_order, partitions, small_batches, step
+from txlens.llm.common import id_order, partitions, small_batches, step, worker_cache
 
 PLAIN, KNOWN, PASSED = 0, 1, 2
 
@@ -128,6 +128,7 @@ ANCHOR_SCHEMA = "bucket int, kind int, run binary, hash binary, text_key binary,
 
 def _cut(w: Windows, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("repeats")
         for b in batches:
             keys = b.column("text_key").to_numpy()
             for i, j, data, sizes in rolling.chunks(b.column("body")):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import rolling
+from txlens.llm.common import small_batches, worker_cache
 
 #: Counts in each of the two generations that a worker remembers.
 REMEMBERED = 200_000
@@ -88,19 +89,19 @@ class Vocabulary:
         return [(len(w), sum([known[x] for x in w])) for w in words]
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def loaded(path: str) -> Vocabulary:
     """One vocabulary per worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary.ranked(path)
-    return _LOADED[path]
+    kept = worker_cache("token_counts")
+    if path not in kept:
+        kept[path] = Vocabulary.ranked(path)
+    return kept[path]
 
 
 def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens) for each row."""
 
+    small_batches(documents.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(path)
         for b in batches:

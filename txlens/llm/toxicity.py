@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txlens.llm.common import small_batches
+from txlens.llm.common import small_batches, worker_cache
 from txlens.session import materialise
 
 #: Bound of the labelled texts that are learned from.
@@ -105,7 +105,7 @@ class Grammar:
             found = THREAT, THREAT_WEIGHT
         else:
             found = (TARGET if w in TARGETS else NEGATION if w in NEGATIONS else REPORT if w in REPORTS else OTHER), 0.0
-        if len(self.seen) > 100_000:
+        if len(self.seen) > 50_000:
             self.seen.clear()
         self.seen[w] = found
         return found
@@ -142,6 +142,7 @@ class Grammar:
 
 
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    worker_cache("toxicity")
     for b in batches:
         counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for text, toxic in zip(b["text"], b["toxic"]):
@@ -182,6 +183,7 @@ class Model:
 
 def learn(documents: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", labelled_rows: int = LABELLED_ROWS) -> Model:
     """A model from labelled texts whose id fulfils `learnable` (a condition on the column `id` of the labels)."""
+    small_batches(documents.sparkSession)
     known = labels.select(F.col(key).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(learnable)
     chosen = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled_rows)
     texts = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
@@ -207,6 +209,7 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "
     arcs, beta = model.arcs, model.beta
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         grammar = Grammar(arcs)
         for b in batches:
             x = np.array([grammar.inputs(t.as_py()) for t in b.column("text")]).reshape(b.num_rows, 4)
@@ -224,6 +227,7 @@ def without_toxic(documents: DataFrame, model: Model, text: str = "text", limit:
     place = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         grammar = Grammar(arcs)
         for b in batches:
             x = np.array([grammar.inputs(t.as_py()) for t in b.column(place)]).reshape(b.num_rows, 4)
