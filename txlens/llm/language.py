@@ -85,25 +85,34 @@ class Model:
         return best, np.clip((1 + values[np.arange(len(best)), best]) / 2, 0, 1)
 
 
-def fit(present: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nystrom kernel ridge regression of each language against the rest; rows come in a random but fixed order."""
+def _scaled(packed: np.ndarray) -> np.ndarray:
+    """Presence vectors over the root of their size, from packed bits."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    return x
+
+
+def fit(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Nystrom kernel ridge regression of each language against the rest.
+
+    Rows are packed presence bits in a random but fixed order; a few hundred at a time are unpacked.
+    """
     languages = sorted(set(labels))
     own = np.array([languages.index(x) for x in labels])
-    x = present.astype(np.float32) / np.sqrt(np.maximum(present.sum(axis=1), 1))[:, None]
     chosen = np.concatenate([np.flatnonzero(own == c)[:landmarks] for c in range(len(languages))])
-    marks = x[chosen]
+    marks = _scaled(packed[chosen])
     kernel = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    phi = (x @ marks.T).astype(np.float64) @ root
+    phi = np.concatenate([_scaled(packed[i:i + 256]) @ marks.T for i in range(0, len(packed), 256)]).astype(np.float64) @ root
     phi = np.column_stack([phi, np.ones(len(phi))])
     target = np.where(own[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
     # languages count alike, however many texts they have
     weight = 1.0 / np.bincount(own)[own]
     weight *= len(own) / weight.sum()
     solved = np.linalg.solve((phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1]), (phi * weight[:, None]).T @ target)
-    return Model(languages, (marks.T.astype(np.float64) @ (root @ solved[:-1])).astype(np.float32), solved[-1])
+    return Model(languages, marks.T @ (root @ solved[:-1]).astype(np.float32), solved[-1])
 
 
 def learn(documents: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -122,8 +131,8 @@ def learn(documents: DataFrame, learnable: Column, key: str = "doc_id", text: st
     rows: pd.DataFrame = taken.mapInArrow(bits, "h long, lang string, bits binary").toPandas().sort_values(["h", "lang", "bits"])
     if rows.empty:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
-    present = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1).astype(bool)
-    return fit(present, rows["lang"].tolist())
+    packed = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1)
+    return fit(packed, rows["lang"].tolist())
 
 
 def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
