@@ -10,7 +10,7 @@ of the rows share is one node. Graph building:
 3. The search graph joins the neighbours of both directions, with their vectors beside them.
 
 A query starts at its own node. In each hop the nearest open nodes of its beam are expanded by a join with the search
-graph, until the beam has no open node. Graph and hops use vectors rounded to 8 bits per component (one scale for all);
+graph, until the beam has no open node. Graph and hops use vectors rounded to 8 bits per component, each on its own scale;
 what ends in the beam is measured again in double precision on the original vectors, members are added, and the nearest
 are returned, ties to the smaller vec_id.
 
@@ -80,14 +80,28 @@ def merge(lists: DataFrame, degree: int = DEGREE) -> DataFrame:
     return lists.groupBy("node").agg(F.collect_list(F.struct("ids", "dist")).alias("lists")).mapInArrow(_merged(degree), GRAPH)
 
 
+def _coded(x: np.ndarray) -> list[bytes]:
+    """Rows rounded to 127 steps of their own, behind the step as a float."""
+    step_of = np.abs(x).max(axis=1) / 127
+    codes = np.rint(x / np.where(step_of > 0, step_of, 1)[:, None]).astype(np.int8)
+    return [s.tobytes() + c.tobytes() for s, c in zip(np.minimum(step_of, np.finfo("<f4").max).astype("<f4"), codes)]
+
+
+def _decoded(raw: bytes, rows: int) -> np.ndarray:
+    both = np.frombuffer(raw, np.uint8).reshape(rows, -1)
+    return both[:, 4:].view(np.int8) * np.ascontiguousarray(both[:, :4]).view("<f4")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rounded vectors of a binary column, one per row."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    return _decoded(b"".join(column.to_pylist()), len(column))
 
 
 def _squared(x: np.ndarray) -> np.ndarray:
-    n = (x * x).sum(axis=1)
-    return np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        n = (x * x).sum(axis=1)
+        d = np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0)
+    return np.where(np.isnan(d), np.float32(np.inf), d)
 
 
 def _compare(node: np.ndarray, x: np.ndarray, degree: int) -> tuple[list[bytes], list[bytes]]:
@@ -208,9 +222,10 @@ def build(rounded: DataFrame, dimensions: int) -> DataFrame:
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cuts, others, rows, _ = _flat(b.column("met"))
+            cuts, others, _, _ = _flat(b.column("met"))
+            rows = b.column("met").flatten().field("q").to_pylist()
             ids = [others[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-            vectors = [rows[i:j].astype(np.int8).tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+            vectors = [b"".join(rows[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(ids, pa.binary()), pa.array(vectors, pa.binary())], ["node", "ids", "vectors"])
 
     grouped = around.groupBy("node").agg(F.collect_list(F.struct("other", "q")).alias("met"))
@@ -245,9 +260,9 @@ def _hop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, dist, open_ = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(dist.as_py(), "<f4"), np.frombuffer(open_.as_py(), bool).copy()
             open_[np.flatnonzero(open_)[:STEP]] = False
             if met.is_valid:
-                q = np.frombuffer(q.as_py(), np.int8).astype(np.float32)
+                q = _decoded(q.as_py(), 1)
                 other = np.concatenate([np.frombuffer(m["ids"].as_py(), "<i8") for m in met])
-                x = np.frombuffer(b"".join(m["vectors"].as_py() for m in met), np.int8).reshape(len(other), -1).astype(np.float32)
+                x = _decoded(b"".join(m["vectors"].as_py() for m in met), len(other))
                 other, at = np.unique(other, return_index=True)
                 fresh = ~np.isin(other, ids)
                 other, x = other[fresh], x[at[fresh]]
@@ -282,25 +297,28 @@ def nearest(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: s
     """The k nearest of each query: query_id, rank, vec_id, score. `is_query` is a condition on the column `vec_id`."""
     spark = vectors.sparkSession
     rows = step(usable(vectors, key, vector), "vectors")
-    widest = rows.select(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.max(F.size("v")).alias("n")).first()
-    if not widest.n:
+    usual = rows.select(F.percentile_approx(F.array_max(F.transform("v", F.abs)), 0.5, 1000).alias("m"), F.max(F.size("v")).alias("n")).first()
+    if not usual.n:
         return spark.createDataFrame([], FOUND)
     nodes = step(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "nodes")
     placed = rows.join(nodes, "v").select("vec_id", "node")
     first = Window.partitionBy("node").orderBy("vec_id")
     members = step(placed.withColumn("no", F.row_number().over(first)).where(F.col("no") <= k + 1).select("node", "vec_id"), "members")
-    scale = 127.0 / widest.m
+
+    size = usual.m
 
     def rounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
-            q = np.rint(x * scale).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in q], pa.binary())], ["node", "q"])
+            # steps relative to the usual size keep squares within single precision
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(_coded(x / size), pa.binary())], ["node", "q"])
 
     rounded = step(nodes.select("node", "v").mapInArrow(rounding, "node long, q binary"), "rounded")
     queries = placed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("node").alias("start"))
     starts = rounded.join(queries.select(F.col("start").alias("node")).distinct(), "node")
-    found = search(build(rounded, widest.n), starts)
+    found = search(build(rounded, usual.n), starts)
     exact = found.join(nodes.select("node", "v"), "node").join(nodes.select(F.col("node").alias("start"), F.col("v").alias("w")), "start")
     distance = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     scored = exact.select("start", "node", distance.alias("score"))
