@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+#: Bytes of an Arrow batch within `byte_batches`.
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def byte_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of the steps written inside are bounded by bytes; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def step(df: DataFrame, name: str) -> DataFrame:
     """Writes a step to the shared folder, reads it back, and lets Spark drop the shuffle files that made it.
 
