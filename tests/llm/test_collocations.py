@@ -47,6 +47,7 @@ def prose(rng, n):
 def test_equals_plain_counts(spark, monkeypatch, least, listed, block, long):
     monkeypatch.setattr(C, "BLOCK", block)
     monkeypatch.setattr(C, "LONG", long)
+    monkeypatch.setattr(C, "BUCKET", 4 * block)
     rows = prose(random.Random(8), 300)
     rows += [(None, None), (None, "en"), ("", "fr"), (" \t .", "fr"), ("new york city " * 3000, "en"), ("a a a a. " * 500, "xx"), ("same words here", "en")]
     rows += [("same words here", "en")] * 30

@@ -1,13 +1,12 @@
 """Phrases whose words come together more often than chance, from count streams kept in sorted order.
 
-1. Count streams, one per length. A task cuts its texts into blocks, sorts the numbered word runs of a block and hands on
-   one row per different run with its count. The rows are range partitioned and sorted by (language, words), and a pass
-   that adds up equal neighbours leaves the count stream. Runs found fewer than ten times are dropped here, and a longer
-   run is only gathered if both runs it extends were kept; the test in the tasks is a bit map of fixed size that may let
-   others pass, which are dropped by their counts.
-2. Lockstep in prefix order. The three streams, laid over each other by (language, first word, second word, third word),
-   hold each run right before its extensions to the right. One pass reads them side by side and gives every phrase the
-   counts of its beginnings, and every two-word phrase the largest count of its extensions.
+1. Sorted runs. A task cuts its texts into blocks and sorts the numbered one-, two- and three-word runs of a block. The
+   different ones, with their counts, are packed by bucket: one row per block, length and bucket. A word run is in one
+   bucket, as one entry per block however often it occurs, so no word or pair fills a bucket; the number of buckets follows
+   from the bytes of all texts, and a bucket is read, sorted and added up on its own. Runs found fewer than ten times end here.
+2. Lockstep in prefix order. The streams of the three lengths, laid over each other by (language, first word, second word,
+   third word), hold each run right before its extensions to the right. One pass reads them side by side and gives every
+   phrase the counts of its beginnings, and every two-word phrase the largest count of its extensions.
 3. Lockstep in suffix order. The same pass over (language, last word, word before, ...) gives the counts of the endings and
    of the extensions to the left. Both passes hold one row per length, no table of counts.
 4. A range border may part a word from its extensions. Those rows, all of one word per partition, get its count by a
@@ -32,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txlens.llm.common import byte_batches, partitions, step
-from txlens.llm.repeats import in_filter, key_filter
 
 #: Ends of pieces, and what lies between words.
 PIECE_END, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
@@ -42,11 +40,12 @@ LEAST, INSIDE = 10, 50
 SCALE = 1_000_000
 #: Phrases listed per language.
 LISTED = 2000
-#: Bytes of text that are counted together, and length from which a text is cut between pieces.
-BLOCK, LONG = 16 << 20, 4 << 20
+#: Bytes of text that are counted together, length from which a text is cut between pieces, and bytes of text per bucket.
+BLOCK, LONG, BUCKET = 8 << 20, 4 << 20, 16 << 20
 
-COUNTS = "key binary, n long"
+RUNS = "bucket int, words int, run binary"
 STREAM = "lang string, w1 string, w2 string, w3 string, n long"
+_NAMES = ["lang", "w1", "w2", "w3"]
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,19 +59,6 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((h(w) for w in words.cast("binary").to_pylist()), np.uint64, len(words))
 
 
-def _escaped(words: pa.Array) -> pa.Array:
-    """Words without NUL, in the same byte order."""
-    if pc.any(pc.match_substring_regex(words, "[\x00\x01]")).as_py():
-        words = pc.replace_substring(pc.replace_substring(words, "\x01", "\x01\x02"), "\x00", "\x01\x01")
-    return words
-
-
-def _plain(word: bytes) -> str:
-    if b"\x01" in word:
-        word = re.sub(b"\x01([\x01\x02])", lambda m: bytes([m[1][0] - 1]), word)
-    return word.decode()
-
-
 def _parts(text: str) -> Iterator[str]:
     """A text cut between pieces."""
     end, at = re.compile(PIECE_END), 0
@@ -82,8 +68,36 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _block_counts(block: pa.Table, length: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(key, n) of the different runs of this many words in a block; with single words also the words of each language."""
+def _grouped(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Different rows of numbered columns in order: their columns, the order of the rows, and where each begins in it."""
+    key, room = columns[0], sizes[0]
+    for column, size in zip(columns[1:], sizes[1:]):
+        if room * size >= 2**62:
+            found, key = np.unique(key, return_inverse=True)
+            room = len(found)
+        key, room = key * size + column, room * size
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = order[starts]
+    return [c[first] for c in columns], order, starts
+
+
+def _packed(columns: list[np.ndarray], tables: list[pa.Array], n: np.ndarray) -> bytes:
+    """A run of word numbers with the words they stand for, compressed."""
+    fields = []
+    for c, table in zip(columns, tables):
+        used, code = np.unique(c, return_inverse=True)
+        fields.append(pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), table.take(pa.array(used))))
+    batch = pa.RecordBatch.from_arrays([*fields, pa.array(n)], [*_NAMES[:len(fields)], "n"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _block_runs(block: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of RUNS: the different runs of one, two and three words of a block with their counts."""
     block = block.combine_chunks()
     pieces = pc.split_pattern_regex(pc.ascii_lower(block["text"].combine_chunks()), pattern=PIECE_END)
     row, piece = pc.list_parent_indices(pieces).to_numpy(), pc.list_flatten(pieces)
@@ -91,41 +105,31 @@ def _block_counts(block: pa.Table, length: int, bits: np.ndarray | None) -> Iter
     at, word = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
     some = pc.not_equal(word, "")
     at, coded = at[some.to_numpy(zero_copy_only=False)], word.filter(some).dictionary_encode()
-    del words, word, piece
+    del words, word, piece, pieces, some
     code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     langs = block["lang"].combine_chunks().dictionary_encode()
-    lang = langs.indices.to_numpy().astype(np.int64)[row[at]]
-    size = max(1, len(names))
-    next_to = at[1:] == at[:-1]
-    if length == 1:
-        parts, n = np.unique(lang * size + code, return_counts=True)
-        runs = [parts // size, parts % size]
-    else:
-        hl, hw = _hashes(langs.dictionary), _hashes(names)
-        seen = _mix(hl[lang], hw[code])
-        if length == 2:
-            known = in_filter(seen.view(np.int64), bits)
-            keep = np.flatnonzero(next_to & known[:-1] & known[1:])
-            parts, n = np.unique((lang[keep] * size + code[keep]) * size + code[keep + 1], return_counts=True)
-            runs = [parts // size // size, parts // size % size, parts % size]
-        else:
-            pair = next_to & in_filter(_mix(seen[:-1], hw[code[1:]]).view(np.int64), bits)
-            keep = np.flatnonzero(pair[:-1] & pair[1:])
-            heads, head = np.unique((lang[keep] * size + code[keep]) * size + code[keep + 1], return_inverse=True)
-            parts, n = np.unique(head * size + code[keep + 2], return_counts=True)
-            first = heads[parts // size]
-            runs = [first // size // size, first // size % size, first % size, parts % size]
-    tables = [_escaped(langs.dictionary), *[_escaped(names)] * length]
-    for i in range(0, len(n), 50_000):
-        fields = [pc.take(t, pa.array(r[i:i + 50_000])) for t, r in zip(tables, runs)]
-        key = pc.binary_join_element_wise(*fields, "\x00").cast("binary")
-        yield pa.RecordBatch.from_arrays([key, pa.array(n[i:i + 50_000])], ["key", "n"])
-    if length == 1:
-        used, n = np.unique(lang, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pc.take(tables[0], pa.array(used)).cast("binary"), pa.array(n)], ["key", "n"])
-
-
-def block_counts(documents: DataFrame, length: int, bits: np.ndarray | None = None) -> DataFrame:
+    lang, tables = langs.indices.to_numpy().astype(np.int64)[row[at]], [langs.dictionary, names, names, names]
+    hashes = [_hashes(langs.dictionary), *[_hashes(names)] * 3]
+    starts = np.arange(len(code))
+    for length in (1, 2, 3):
+        if length > 1:
+            starts = starts[:len(starts) - int(len(starts) > 0 and starts[-1] + length > len(code))]
+            starts = starts[at[starts] == at[starts + length - 1]]
+        columns, _, cuts = _grouped([lang[starts], *(code[starts + i] for i in range(length))], [len(langs.dictionary), *[len(names)] * length])
+        n = np.diff(np.append(cuts, len(starts)))
+        key = hashes[0][columns[0]]
+        for c, h in zip(columns[1:], hashes[1:]):
+            key = _mix(key, h[c])
+        bucket = (key % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            part = order[edges[b]:edges[b + 1]]
+            run = _packed([c[part] for c in columns], tables, n[part])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([length], pa.int32()), pa.array([run])], ["bucket", "words", "run"])
+
+
+def sorted_runs(documents: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -140,58 +144,49 @@ def block_counts(documents: DataFrame, length: int, bits: np.ndarray | None = No
                 held.append(t)
                 size += t.nbytes
                 if size >= BLOCK:
-                    yield from _block_counts(pa.concat_tables(held), length, bits)
+                    yield from _block_runs(pa.concat_tables(held), buckets)
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if size:
-            yield from _block_counts(pa.concat_tables(held), length, bits)
+            yield from _block_runs(pa.concat_tables(held), buckets)
 
-    columns = [F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
-    return documents.select(*columns).mapInArrow(run, COUNTS)
+    return documents.mapInArrow(run, RUNS)
 
 
-def count_stream(blocks: DataFrame, least: int) -> DataFrame:
-    """STREAM rows in sorted order: counts of equal keys added up, at least `least`; a row without words is a language's total."""
+def _added(runs: list[bytes], least: int) -> Iterator[pa.RecordBatch]:
+    """STREAM rows of the runs of one length in a bucket; single words also give rows without words: words per language."""
+    table = pa.concat_tables([pa.ipc.open_stream(r).read_all() for r in runs]).unify_dictionaries().combine_chunks()
+    words = [table[c].chunk(0) for c in table.column_names[:-1]]
+    n = table["n"].to_numpy()
+    del table
+    columns, order, starts = _grouped([w.indices.to_numpy().astype(np.int64) for w in words], [len(w.dictionary) for w in words])
+    sums = np.add.reduceat(n[order], starts)
+    kept = np.flatnonzero(sums >= least)
+    fields = [w.dictionary.take(pa.array(c[kept])) for w, c in zip(words, columns)]
+    blank = [pa.nulls(len(kept), pa.string())] * (4 - len(fields))
+    yield pa.RecordBatch.from_arrays([*fields, *blank, pa.array(sums[kept])], [*_NAMES, "n"])
+    if len(words) == 2:
+        total = np.bincount(columns[0], sums, len(words[0].dictionary)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([words[0].dictionary, *[pa.nulls(len(total), pa.string())] * 3, pa.array(total)], [*_NAMES, "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(keys: list[bytes], n: list[int]) -> pa.RecordBatch:
-            kept = [([_plain(w) for w in k.split(b"\x00")], c) for k, c in zip(keys, n) if c >= least or b"\x00" not in k]
-            columns = [pa.array([w[i] if i < len(w) else None for w, _ in kept], pa.string()) for i in range(4)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([c for _, c in kept], pa.int64())], ["lang", "w1", "w2", "w3", "n"])
 
-        last, total = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, n = b.column("key"), b.column("n").to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)) + 1])
-            sums = np.add.reduceat(n, starts)
-            if last is not None and key[0].as_py() == last:
-                sums[0] += total
-            elif last is not None:
-                yield rows([last], [total])
-            last, total = key[int(starts[-1])].as_py(), int(sums[-1])
-            # only what stays is taken out of Arrow; totals of languages are rare and short
-            ends = starts[:-1]
-            stay = np.flatnonzero((sums[:-1] >= least) | ~pc.match_substring(key.take(pa.array(ends)), b"\x00").to_numpy(zero_copy_only=False))
-            yield rows(key.take(pa.array(ends[stay])).to_pylist(), sums[stay].tolist())
-        if last is not None:
-            yield rows([last], [total])
-
-    spark = blocks.sparkSession
-    return blocks.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(run, STREAM)
-
-
-def _run_filter(stream: DataFrame, words: int) -> np.ndarray:
-    """Bit map of the runs of a stream."""
+def count_streams(runs: DataFrame, least: int) -> DataFrame:
+    """STREAM rows of all lengths: counts of equal runs added up, at least `least`, and totals of languages in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[tuple, list[bytes]] | None = None
         for b in batches:
-            key = _hashes(b.column("lang"))
-            for c in ("w1", "w2")[:words]:
-                key = _mix(key, _hashes(b.column(c)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["text_key"])
+            for key, packed in zip(zip(b.column("bucket").to_pylist(), b.column("words").to_pylist()), b.column("run")):
+                if held and held[0] != key:
+                    yield from _added(held[1], least)
+                    held = None
+                    pa.default_memory_pool().release_unused()
+                held = (key, [*(held[1] if held else []), packed.as_py()])
+        if held:
+            yield from _added(held[1], least)
 
-    return key_filter(stream.where("w1 IS NOT NULL").mapInArrow(run, "text_key long"))
+    spark = runs.sparkSession
+    return runs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "words").mapInArrow(run, STREAM)
 
 
 def lockstep(streams: DataFrame, order: list[str], side: str) -> DataFrame:
@@ -261,16 +256,13 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def phrases(documents: DataFrame, least: int = LEAST, listed: int = LISTED) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of two and three words of each language."""
-    spark = documents.sparkSession
-    streams, bits = [], None
-    with byte_batches(spark):
-        for length in (1, 2, 3):
-            blocks = step(block_counts(documents, length, bits), f"blocks{length}")
-            streams.append(step(count_stream(blocks, least), f"counts{length}"))
-            if length < 3:
-                bits = _run_filter(streams[-1], length)
-    totals = streams[0].where("w1 IS NULL").groupBy("lang").agg(F.sum("n").alias("total"))
-    laid = streams[0].where("w1 IS NOT NULL").unionByName(streams[1]).unionByName(streams[2])
+    columns = [F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    rows = documents.select(*columns)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    with byte_batches(documents.sparkSession):
+        counts = step(count_streams(sorted_runs(rows, 1 + size // BUCKET), least), "counts")
+    totals = counts.where("w1 IS NULL").groupBy("lang").agg(F.sum("n").alias("total"))
+    laid = counts.where("w1 IS NOT NULL")
     ahead = lockstep(laid, ["w1", "w2", "w3"], "p")
     last = F.coalesce("w3", "w2", "w1")
     before = F.when(F.col("w3").isNotNull(), F.col("w2")).when(F.col("w2").isNotNull(), F.col("w1"))
