@@ -50,7 +50,7 @@ def prose(rng, n):
 
 @pytest.mark.parametrize(("texts", "listed", "cells", "held", "summed"), [(30, 50, 1 << 18, 400_000, 1024), (3, 4, 8, 20, 2)])
 def test_equals_plain_loops(spark, monkeypatch, texts, listed, cells, held, summed):
-    for name, value in (("CELLS", cells), ("HELD", held), ("SUMMED", summed)):
+    for name, value in (("SHARD_CELLS", 4 * cells), ("CELLS", cells), ("HELD", held), ("SUMMED", summed)):
         monkeypatch.setattr(A, name, value)
     rows = prose(random.Random(4), 400)
     rows += [(None, None, None), ("", "en", "empty"), (None, "xx", "alone"), ("1 2 3", "yy", "one"), ("--", "yy", "two"), ("é" * 100_000 + " THE", "en", "long"), ("nul\x00nul", "en", "b")]

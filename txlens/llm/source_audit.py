@@ -5,8 +5,9 @@
    number of texts per (language, source). A task merges the partial counts of its batches before it hands them on.
 2. Merged terms. Partial counts meet by (language, term), so a term in every text is a row per task and source. Terms
    found in too few texts of their language are dropped here.
-3. Shards. The terms of a language are dealt over shards; each shard starts with a header row (sources of the language
-   with their totals) and streams its terms in blocks of a bounded number of cells: a matrix of counts, terms by sources.
+3. Shards. The terms of a language are dealt over as many shards as its cells (terms by sources) ask for; each shard starts
+   with a header row (sources of the language with their totals) and streams its terms in blocks of a bounded number of
+   cells: a matrix of counts, terms by sources.
    From a block come sums of differences per pair of sources and the best terms per source. Sums over shards are the
    divergences; best terms of shards are ranked once more.
 
@@ -39,8 +40,8 @@ TEXTS = 30
 LISTED = 50
 #: Rows of partial counts that a task merges before it hands them on.
 HELD = 400_000
-#: Cells of a block of terms by sources, and sources up to which sums stay in the task until its shard ends.
-CELLS, SUMMED = 1 << 18, 1024
+#: Cells of a shard and of a block (terms by sources), and sources up to which sums stay in the task until its shard ends.
+SHARD_CELLS, CELLS, SUMMED = 1 << 20, 1 << 18, 1024
 
 PARTIAL = "lang string, source string, term string, n long, texts long"
 FOUND = "lang string, source string, part string, item string, value long"
@@ -127,7 +128,9 @@ def _shard(header: dict, blocks: Iterator[tuple[pa.Array, np.ndarray, pa.Array,
 
     sums = np.zeros((count, count), np.int64) if count <= SUMMED else None
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, object))] * count
+    used = header["shard"] == 0
     for terms, n, cell_sources, cuts in blocks:
+        used = used or len(terms) > 0
         values = cell_sources.field("n").to_numpy()
         at = pc.index_in(cell_sources.field("source"), value_set=value_set).to_numpy()
         matrix = np.zeros((len(terms), count), np.int64)
@@ -147,7 +150,8 @@ def _shard(header: dict, blocks: Iterator[tuple[pa.Array, np.ndarray, pa.Array,
                 v, names = np.concatenate([best[g][0], above[some, g]]), np.concatenate([best[g][1], np.array(terms.take(pa.array(some)).to_pylist(), object)])
                 first = np.argsort(-v, kind="stable")[:listed]
                 best[g] = (v[first], names[first])
-    for g in range(count):
+    # every pair needs a row from one shard at least
+    for g in range(count if used else 0):
         yield pairs(g, sums[g, g + 1:] if sums is not None else np.zeros(count - g - 1, np.int64))
         yield rows([sources[g]] * len(best[g][0]), "term", best[g][1].tolist(), best[g][0])
 
@@ -163,7 +167,6 @@ def _blocks(batch: pa.RecordBatch, count: int) -> Iterator[tuple[pa.Array, np.nd
 def differences(terms: DataFrame, listed: int = LISTED) -> DataFrame:
     """Rows of FOUND: per shard, sums for pairs of sources and best terms."""
     spark = terms.sparkSession
-    shards = partitions(spark)
     body = terms.where("term IS NOT NULL")
     totals = body.select("lang", F.explode("cells").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("total"))
     size = body.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("n"))
@@ -171,17 +174,20 @@ def differences(terms: DataFrame, listed: int = LISTED) -> DataFrame:
     listing = F.sort_array(F.collect_list(F.struct("source", F.coalesce("total", F.lit(0)).alias("total"))))
     headers = groups.groupBy("lang").agg(listing.alias("all")).join(size, "lang", "left")
     zero = F.lit(0).cast("long")
+    # one number: the shards that the language with most cells asks for
+    most = headers.agg(F.max(F.col("terms") * F.size("all"))).first()[0] or 0
+    shards = 1 + most // SHARD_CELLS
     header = F.struct(F.col("all.source").alias("sources"), F.col("all.total").alias("totals"), F.coalesce("terms", zero).alias("terms"), F.coalesce("n", zero).alias("n"))
     headers = headers.select("lang", header.alias("header")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     body = body.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(shards)).cast("int"))
-    dealt = headers.unionByName(body, allowMissingColumns=True).repartition(shards, "lang", "shard").sortWithinPartitions("lang", "shard", F.col("header").isNull(), "term")
+    dealt = headers.unionByName(body, allowMissingColumns=True).repartition(partitions(spark), "lang", "shard").sortWithinPartitions("lang", "shard", F.col("header").isNull(), "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         todo = ((b.slice(i, j - i)) for b in batches for i, j in _runs(b))
         part = next(todo, None)
         while part is not None:
             # the first row of a shard is its header
-            header = part.column("header")[0].as_py() | {"lang": part.column("lang")[0].as_py()}
+            header = part.column("header")[0].as_py() | {c: part.column(c)[0].as_py() for c in ("lang", "shard")}
             rest = [part.slice(1)]
 
             def blocks() -> Iterator:
@@ -192,7 +198,7 @@ def differences(terms: DataFrame, listed: int = LISTED) -> DataFrame:
 
             yield from _shard(header, blocks(), listed)
 
-    return dealt.select("lang", "header", "term", "n", "cells").mapInArrow(run, FOUND)
+    return dealt.select("lang", "shard", "header", "term", "n", "cells").mapInArrow(run, FOUND)
 
 
 def _runs(batch: pa.RecordBatch) -> list[tuple[int, int]]:
