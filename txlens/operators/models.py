@@ -1,114 +1,68 @@
-"""Boosted trees on MLlib: fit, choose the number of trees on validation skill, score, save, compare."""
+"""Models of transactions: what is fitted, the value a decision may expect of them, and when a model is taken into use."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txlens.operators import metrics as M
+from txlens.operators import boosting as B
+from txlens.operators.boosting import Model, Settings
 
 # Fixed values
-MISSING_CODE = 255.0
-MAX_BINS = 512
-
-
-@dataclass
-class Trees:
-    """A fitted model, the exact order of its inputs, and how many of its trees to use."""
-
-    model: object
-    features: list[str]
-    n_trees: int
-    kind: str
-
-
-def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Trees of MLlib have no missing branch: NaN and null become a code of their own, above all vocabulary codes."""
-    filled = df.select("*", *[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(MISSING_CODE)), F.lit(MISSING_CODE)).alias(f"_x_{c}") for c in features])
-    out = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_features").transform(filled)
-    return out.drop(*[f"_x_{c}" for c in features])
-
-
-def _staged(trees: Trees, df: DataFrame, n: int) -> DataFrame:
-    """Array `_stages`: the margin after each of the first n trees."""
-    x = _vectors(df, trees.features)
-    names = []
-    for i, tree in enumerate(trees.model.trees[:n]):
-        names.append(f"_t{i}")
-        x = tree.setFeaturesCol("_features").setPredictionCol(f"_t{i}").transform(x)
-    total, stages = F.lit(0.0), []
-    for name, weight in zip(names, trees.model.treeWeights):
-        total = total + F.col(name) * F.lit(float(weight))
-        stages.append(total)
-    return x.withColumn("_stages", F.array(*stages)).drop("_features", *names)
-
-
-def fit_classifier(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, split: str = "split", max_trees: int = 6,
-                   depth: int = 4, step: float = 0.2, seed: int = 7) -> Trees:
-    """Boosted classifier on train rows; the tree count is the one with the best average precision on val rows."""
-    train = _vectors(df.where(F.col(split) == "train").withColumn("_y", F.col(label).cast("double")), features)
-    gbt = GBTClassifier(featuresCol="_features", labelCol="_y", maxIter=max_trees, maxDepth=depth, stepSize=step, maxBins=MAX_BINS, seed=seed)
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    trees = Trees(gbt.fit(train), list(features), max_trees, "classifier")
-    staged = _staged(trees, df.where(F.col(split) == "val"), max_trees).select(F.col(label).cast("int").alias("_y"), F.posexplode("_stages").alias("k", "p"))
-    best = M.classifier_summary(staged, "_y", "p", ["k"]).orderBy(F.desc_nulls_last("pr_auc"), "k").select("k").first()
-    trees.n_trees = best.k + 1
-    return trees
-
-
-def fit_regressor(df: DataFrame, features: Sequence[str], label: str, split: str = "split", max_trees: int = 6, depth: int = 4, step: float = 0.3, seed: int = 7) -> Trees:
-    """Boosted regression on train rows; the tree count has the smallest squared error on val rows."""
-    train = _vectors(df.where(F.col(split) == "train"), features)
-    model = GBTRegressor(featuresCol="_features", labelCol=label, maxIter=max_trees, maxDepth=depth, stepSize=step, maxBins=MAX_BINS, seed=seed).fit(train)
-    trees = Trees(model, list(features), max_trees, "regressor")
-    staged = _staged(trees, df.where(F.col(split) == "val"), max_trees).select(F.col(label).alias("_y"), F.posexplode("_stages").alias("k", "p"))
-    err = (F.col("p") - F.col("_y")) * (F.col("p") - F.col("_y"))
-    trees.n_trees = staged.groupBy("k").agg(F.avg(err).alias("e")).orderBy("e", "k").first().k + 1
-    return trees
-
-
-def score(trees: Trees, df: DataFrame, name: str) -> DataFrame:
-    """Scores per row in the tasks that hold the rows: a probability for a classifier, a value for a regressor."""
-    x = _staged(trees, df, trees.n_trees)
-    margin = F.element_at("_stages", -1)
-    value = 1.0 / (1.0 + F.exp(-2.0 * margin)) if trees.kind == "classifier" else margin
-    return x.withColumn(name, value).drop("_stages")
-
-
-def importance(trees: Trees, spark: SparkSession) -> DataFrame:
-    """Feature importances, largest first."""
-    v = trees.model.featureImportances
-    rows = [(f, float(v[i])) for i, f in enumerate(trees.features)]
-    return spark.createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
-
-
-def save_model(trees: Trees, spark: SparkSession, path: str) -> None:
-    trees.model.write().overwrite().save(f"{path}/model")
-    meta = json.dumps({"features": trees.features, "n_trees": trees.n_trees, "kind": trees.kind})
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
-
-
-def load_model(spark: SparkSession, path: str, features: Sequence[str]) -> Trees:
+COMPACT_VALUE, COMPACT_FAILURES = 0.90, 0.97
+
+
+def fit_classifier(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, kinds: Mapping[str, str] | None = None, settings: Settings | None = None,
+                   folder: str | None = None) -> Model:
+    """Boosted classifier of the train rows, stopped on the average precision of the val rows."""
+    return B.fit(df, features, label, "classifier", weight, kinds, settings=settings, folder=folder)
+
+
+def fit_regressor(df: DataFrame, features: Sequence[str], label: str, kinds: Mapping[str, str] | None = None, settings: Settings | None = None, folder: str | None = None) -> Model:
+    """Boosted regression of the train rows, stopped on the squared error of the val rows."""
+    return B.fit(df, features, label, "regressor", None, kinds, settings=settings, folder=folder)
+
+
+def score(model: Model, df: DataFrame, name: str) -> DataFrame:
+    return B.score(model, df, name)
+
+
+def importance(model: Model, spark: SparkSession) -> DataFrame:
+    """Share of all gains per input, largest first."""
+    return spark.createDataFrame(B.importance(model), "feature string, gain double").orderBy(F.desc("gain"), "feature")
+
+
+def save_model(model: Model, spark: SparkSession, path: str) -> None:
+    B.save(model, spark, path)
+
+
+def load_model(spark: SparkSession, path: str, features: Sequence[str]) -> Model:
     """Refuses a model whose feature order is not the expected one."""
-    meta = json.loads(spark.read.text(f"{path}/meta").first().value)
-    if meta["features"] != list(features):
-        raise ValueError("the saved model was fitted on another feature order")
-    cls = GBTClassificationModel if meta["kind"] == "classifier" else GBTRegressionModel
-    return Trees(cls.load(f"{path}/model"), meta["features"], meta["n_trees"], meta["kind"])
+    return B.load(spark, path, features)
+
+
+def ev_size(p: str, size: str) -> Column:
+    """Probability of a positive times the profit that the size model expects of one."""
+    return F.col(p) * F.exp(F.col(size))
+
+
+def ev_landing(p: str, size: str, landed: str) -> Column:
+    """The same, for a send that lands with this probability."""
+    return F.col(landed) * ev_size(p, size)
 
 
 def accept_ranker(learned_top1: float | None, static_top1: float | None) -> bool:
-    """A learned ranker is kept only if its validation top-1 beats the catalog order."""
+    """Whether to order pairs by the model: on validation it must put a right pack first more often than the catalog does."""
     return (learned_top1 or 0.0) > (static_top1 or 0.0)
 
 
-def accept_compact(full_value: float, compact_value: float, least: float = 0.90) -> bool:
+def accept_compact(full_value: float, compact_value: float, least: float = COMPACT_VALUE) -> bool:
+    """Whether a smaller model keeps enough of the value captured by the full one."""
     return compact_value >= least * full_value
+
+
+def accept_compact_gate(full_removed: float, compact_removed: float, least: float = COMPACT_FAILURES) -> bool:
+    """Whether a smaller landing model keeps enough of the failures that the full one removes."""
+    return compact_removed >= least * full_removed

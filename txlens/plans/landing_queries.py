@@ -364,6 +364,10 @@ def q_census(spark, d):
                      t.where(F.col("supp") % 5 == 0).select("tx_id").distinct())
 
 
+STATIC_INPUTS = ["n_keys", "n_static_keys", "n_writable", "n_pools", "n_pools_static", "n_pools_writable", "base_in_keys", "n_instructions", "n_distinct_programs", "data_bytes",
+                 "max_ix_data", "n_budget_ix", "unit_limit", "unit_price", "n_transfers", "tip", "n_swaps", "max_swap", "uses_tables", "has_tip", "priority_fee"]
+
+
 @query("landing_static", with_ctes("""
   WITH k AS (SELECT tx_id, count(*) AS n_keys, count(*) FILTER (is_static) AS n_static_keys, count(*) FILTER (writable) AS n_writable,
                     count(*) FILTER (account % 3 = 0) AS n_pools, count(*) FILTER (account % 3 = 0 AND is_static) AS n_pools_static,

@@ -22,18 +22,26 @@ from txlens.plans import standin as S
 from txlens.plans.registry import query
 from txlens.plans.standin import with_ctes
 from txlens.session import materialise, new_dir
+from txlens.sources import kept as KP
 from txlens.sources import tables as TB
 
-FEATURES = {"amount": "numeric", "n_occurrences": "numeric", "n_top_level": "numeric", "n_pools": "numeric", "swap_max": "numeric", "relevant": "categorical",
-            "prio_code": "categorical", "payer_hash": "hash", "supp_hash": "hash"}
+BASIC = {"amount": "numeric", "n_occurrences": "numeric", "n_top_level": "numeric", "n_pools": "numeric", "swap_max": "numeric", "relevant": "categorical",
+         "prio_code": "categorical", "payer_hash": "hash", "supp_hash": "hash"}
+PRIORS = ["prior_touch_max", "prior_pos_rate_max", "prior_pos_sum", "prior_logprofit_max", "prior_routes_max", "n_candidate_routes"]
+FEATURES = {**BASIC, **dict.fromkeys(PRIORS, "numeric")}
 ROLES = {"tx_id": "id", "label": "label", "target": "label", "target3": "label", "best_profit": "label", "slot": "meta", "split": "meta", "encode_status": "gate",
          **{f: "feature" for f in FEATURES}}
 
 
-def feature_frame(spark, d):
+def priors(spark, d):
+    """Pool priors of every transaction: of train rows from the other folds, of all others from the whole of train."""
+    return PQ.q_oof_priors(spark, d).drop("fold").unionByName(PQ.q_attach_priors(spark, d))
+
+
+def feature_frame(spark, d, prior=None):
     """Labelled transactions with their inputs; hash inputs use high bits so that some are negative as signed numbers."""
     t = S.trig(spark, d).groupBy("tx_id").agg(F.countDistinct("pool").alias("n_pools"), F.max("amount").alias("swap_max"), F.min("supp").alias("ms"))
-    x = MQ.scored(spark, d).join(t, "tx_id")
+    x = MQ.scored(spark, d).join(t, "tx_id").join(priors(spark, d) if prior is None else prior, "tx_id", "left")
     wrap = lambda c: F.when(F.col(c) % 2 == 0, F.col(c) * 1000003).otherwise(-F.col(c) * 1000003 - 1)
     out = x.withColumn("payer_hash", wrap("payer")).withColumn("supp_hash", wrap("ms")).withColumn("prio_code", F.substring("prio", 1, 1).cast("int"))
     keep = out.select("tx_id", "slot", "split", "label", "group", "target", "target3", "best_profit", "encode_status", *FEATURES)
@@ -89,124 +97,232 @@ def q_allowlist(spark, d):
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(kinds[c]).alias("kind"), F.col(c).alias("filled")) for c in cols])).alias("s")).select("s.*")
 
 
+def inputs(spark, d):
+    """The files that every model of the stand-in data is made from."""
+    return KP.files(spark, [f"{d}/{t}.parquet" for t in ("orders", "lineitem", "part", "supplier")])
+
+
+CODE = (feature_frame, priors, E.encode, E.fit_vocab, MQ.scored, PO.attach_priors, PO.oof_priors)
+
+
+def encoded(frame):
+    SC.check_features(frame, list(FEATURES))
+    vocab = E.fit_vocab(frame.where(F.col("split") == "train"), [c for c, k in FEATURES.items() if k == "hash"])
+    return E.encode(frame, FEATURES, vocab)
+
+
 def matrix(spark, d):
-    """Encoded, written once: fitting and every evaluation read the same table."""
-    f = feature_frame(spark, d)
-    SC.check_features(f, list(FEATURES))
-    vocab = E.fit_vocab(f.where(F.col("split") == "train"), [c for c, k in FEATURES.items() if k == "hash"])
-    return materialise(E.encode(f, FEATURES, vocab), "matrix")
+    """Encoded, made once: every fit and evaluation of every query reads the same table."""
+    return KP.kept(spark, "matrix", {"features": FEATURES}, inputs(spark, d), lambda: encoded(feature_frame(spark, d)), CODE)
 
 
-def skill(df, y, p):
-    return rounded_all(M.classifier_summary(df, y, p, ["split"]), ["base_rate", "pr_auc", "roc_auc"], 4)
+def model_folder(spark, d, name, settings, **params):
+    return KP.folder(spark, name, {**vars(settings), **params, "features": FEATURES}, inputs(spark, d), (*CODE, MD.B, arb_model, size_model))
 
 
-def arb_model(spark, d, x, **kw):
+def arb_model(spark, d, x, settings=MD.Settings(), name="arb", **params):
     lab = L.subsample(x.where(F.col("target3").isNotNull() & (F.col("encode_status") == 0)))
-    return MD.fit_classifier(lab, list(FEATURES), "target3", "w", **kw)
+    return MD.fit_classifier(lab, list(FEATURES), "target3", "w", FEATURES, settings, model_folder(spark, d, name, settings, **params))
+
+
+def positives_of(x):
+    return x.where((F.col("target3") == 1) & (F.col("best_profit") > 0)).withColumn("logp", F.log("best_profit"))
 
 
-@query("fit_classifier")
+def size_model(spark, d, x, settings=MD.Settings(), name="size", **params):
+    return MD.fit_regressor(positives_of(x), list(FEATURES), "logp", FEATURES, settings, model_folder(spark, d, name, settings, **params))
+
+
+def stopped(m, settings=MD.Settings()):
+    """Whether the fit ended by its own rule, within its bound."""
+    return len(m.trees) == settings.rounds or 0 < m.n_trees <= len(m.trees) - settings.patience
+
+
+#: What the fitted models must beat on val and test: average precision above the base rate, ROC-AUC, and the log error of the train mean.
+MARGIN, LEAST_ROC, MOST_ERROR = 0.05, 0.7, 0.9
+
+LABELLED = "SELECT split, count(*) AS n, sum(target3)::BIGINT AS positives, {rate} AS base_rate FROM scored WHERE target3 IS NOT NULL{where} GROUP BY split"
+
+
+def labelled_sql(where=""):
+    return LABELLED.format(rate=S.r6("avg(target3)"), where=where)
+
+
+@query("fit_classifier", with_ctes(f"SELECT *, true AS above_base, true AS orders_well, true AS stopped FROM ({labelled_sql()})"))
 def q_fit_classifier(spark, d):
+    """Rows and base rate per split, and whether the model beats them by MARGIN and LEAST_ROC."""
     x = matrix(spark, d)
     m = arb_model(spark, d, x)
-    return skill(MD.score(m, x.where(F.col("target3").isNotNull()), "p"), "target3", "p").withColumn("n_trees", F.lit(m.n_trees))
+    s = M.classifier_summary(MD.score(m, x.where(F.col("target3").isNotNull()), "p"), "target3", "p", ["split"])
+    return s.select("split", "n", "positives", rounded("base_rate").alias("base_rate"), (F.col("pr_auc") >= F.col("base_rate") + MARGIN).alias("above_base"),
+                    (F.col("roc_auc") >= LEAST_ROC).alias("orders_well"), F.lit(stopped(m)).alias("stopped"))
 
 
-@query("score")
+@query("score", with_ctes("SELECT split, count(*) AS n, count(*) AS ids, 0 AS outside, true AS varied FROM scored WHERE split <> 'train' GROUP BY split"))
 def q_score(spark, d):
-    x = matrix(spark, d)
-    return MD.score(arb_model(spark, d, x, max_trees=3), x.where(F.col("split") != "train"), "p").select("tx_id", "split", rounded("p").alias("p"))
+    """Scores of val and test: one per row, all of them probabilities."""
+    x = matrix(spark, d).where(F.col("split") != "train")
+    s = MD.score(arb_model(spark, d, matrix(spark, d)), x, "p").select("tx_id", "split", "p")
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tx_id").alias("ids"), count_if(~F.coalesce(F.col("p").between(0, 1), F.lit(False))).alias("outside"),
+                                  (F.countDistinct("p") > 50).alias("varied"))
 
 
-@query("fit_size")
+@query("fit_size", with_ctes(f"""
+  SELECT split, count(*) AS n, {S.r6("sqrt(avg((ln(best_profit) - m) * (ln(best_profit) - m)))")} AS baseline_rmse, true AS beats_baseline, true AS stopped
+  FROM scored, (SELECT avg(ln(best_profit)) AS m FROM scored WHERE split = 'train' AND target3 = 1 AND best_profit > 0)
+  WHERE split <> 'train' AND target3 = 1 AND best_profit > 0 GROUP BY split"""))
 def q_fit_size(spark, d):
-    x = matrix(spark, d).where((F.col("target3") == 1) & (F.col("best_profit") > 0)).withColumn("logp", F.log("best_profit"))
-    m = MD.fit_regressor(x, list(FEATURES), "logp")
-    s = MD.score(m, x, "pred")
-    mean = x.where(F.col("split") == "train").agg(F.avg("logp")).first()[0]
-    parts = [M.size_quality(s.where(F.col("split") == sp), "logp", "pred", mean).withColumn("split", F.lit(sp)) for sp in ("val", "test")]
-    return rounded_all(parts[0].unionByName(parts[1]), ["spearman", "rmse", "baseline_rmse", "top1_in_top5"], 4)
+    x = matrix(spark, d)
+    m = size_model(spark, d, x)
+    pos = positives_of(x)
+    mean = pos.where(F.col("split") == "train").agg(F.avg("logp")).first()[0]
+    err = lambda c: F.sqrt(F.avg((c - F.col("logp")) * (c - F.col("logp"))))
+    g = MD.score(m, pos.where(F.col("split") != "train"), "pred").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), err(F.lit(mean)).alias("b"), err(F.col("pred")).alias("e"), F.corr("pred", "logp").alias("r"))
+    return g.select("split", "n", rounded("b").alias("baseline_rmse"), ((F.col("e") < F.col("b")) & (F.col("r") > 0.2)).alias("beats_baseline"), F.lit(stopped(m)).alias("stopped"))
+
+
+RANKER = ["gain", "pack_rank", "amount", "n_occurrences"]
 
 
-@query("fit_ranker")
+@query("fit_ranker", with_ctes(f"""
+  WITH r AS (SELECT s.split, p.tx_id, p.pack_target, row_number() OVER (PARTITION BY p.tx_id ORDER BY p.pack_rank, p.pack_id) AS sel
+             FROM pairs p JOIN split_tx s ON s.tx_id = p.tx_id WHERE p.eligible_live AND p.label = 'POSITIVE' AND p.pack_rank < 2 AND s.split <> 'train'),
+  h AS (SELECT split, tx_id, min(sel) FILTER (pack_target = 1) AS hit FROM r GROUP BY ALL HAVING count(*) FILTER (pack_target = 1) > 0)
+  SELECT split, count(*) AS coverable, {S.r6("avg((hit <= 1)::INT)")} AS static_top1, {S.r6("avg(1e0 / hit)")} AS static_mrr, CASE WHEN split = 'val' THEN true END AS served_not_worse,
+    true AS stopped FROM h GROUP BY split"""))
 def q_fit_ranker(spark, d):
-    """Classifier on live pairs of train positives; kept only when its val top-1 beats the catalog order."""
+    """Classifier on live pairs of train positives, beside the catalog order it must beat on val to be kept."""
     pairs = LQ.pairs(spark, d)
-    feats = ["gain", "pack_rank", "amount", "n_occurrences"]
     t = MQ.scored(spark, d).select("tx_id", "split", "amount", "n_occurrences")
-    x = materialise(PO.ranker_frame(t, pairs.where((F.col("label") == "POSITIVE") & F.col("eligible_live")), S.packs(spark, d).select("pack_id", "gain")), "ranker")
-    m = MD.fit_classifier(x, feats, "pack_target", max_trees=4)
+    frame = PO.ranker_frame(t, pairs.where((F.col("label") == "POSITIVE") & F.col("eligible_live")), S.packs(spark, d).select("pack_id", "gain"))
+    x = KP.kept(spark, "ranker", {"inputs": RANKER}, inputs(spark, d), lambda: frame, (PO.ranker_frame, LQ.pairs))
+    m = MD.fit_classifier(x, RANKER, "pack_target", folder=model_folder(spark, d, "ranker-model", MD.Settings()))
     s = MD.score(m, x, "learned").withColumn("static", -F.col("pack_rank").cast("double"))
-    rows = [P.conditional_topk(s.where(F.col("split") == sp), sc, 2).select(F.lit(sp).alias("split"), F.lit(sc).alias("scorer"), "coverable", "top1", "mrr")
-            for sp in ("val", "test") for sc in ("static", "learned")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    best = out.where(F.col("split") == "val").agg(F.max(F.when(F.col("scorer") == "learned", F.col("top1"))).alias("l"), F.max(F.when(F.col("scorer") == "static", F.col("top1"))).alias("s")).first()
-    return rounded_all(out, ["top1", "mrr"], 4).withColumn("kept", F.lit(MD.accept_ranker(best.l, best.s)))
+    parts = {(sp, sc): P.conditional_topk(s.where(F.col("split") == sp), sc, 2) for sp in ("val", "test") for sc in ("static", "learned")}
+    top = {k: parts[k].first() for k in (("val", "static"), ("val", "learned"))}
+    kept = MD.accept_ranker(top["val", "learned"].top1, top["val", "static"].top1)
+    served = top["val", "learned" if kept else "static"].top1 or 0
+    worse = {"val": F.lit(served >= (top["val", "static"].top1 or 0)), "test": F.lit(None).cast("boolean")}
+    rows = [parts[sp, "static"].select(F.lit(sp).alias("split"), "coverable", rounded("top1").alias("static_top1"), rounded("mrr").alias("static_mrr"), worse[sp].alias("served_not_worse"),
+                                       F.lit(stopped(m)).alias("stopped")) for sp in ("val", "test")]
+    return rows[0].unionByName(rows[1])
 
 
-LAND_STATIC = ["amount", "relevant", "prio_code"]
 LAND_REP = ["rep_landed", "rep_failed", "rep_total", "rep_fail_rate", "rep_seen"]
+LAND_STATIC = ["amount", "prio_code", *LA.STATIC_INPUTS]
+LAND_KINDS = {"prio_code": "categorical"}
 
 
 def land_frame(spark, d):
-    x = LA.land(spark, d).withColumn("prio_code", F.substring("prio", 1, 1).cast("int"))
-    return materialise(SP.landing_split(x, SP.landing_cuts(S.tx(spark, d))), "landing")
+    """Every input of the landing model beside its label: structure, instructions, tips and the payer's past."""
+    def build():
+        x = LA.land(spark, d).withColumn("prio_code", F.substring("prio", 1, 1).cast("int")).drop("relevant")
+        x = x.join(LA.q_landing_static(spark, d).drop("payer"), "tx_id", "left")
+        return SP.landing_split(x, SP.landing_cuts(S.tx(spark, d))).withColumn("failed", 1 - F.col("landed"))
 
+    return KP.kept(spark, "landing", {"inputs": LAND_STATIC + LAND_REP}, inputs(spark, d), build, (LA.land, LA.q_landing_static))
 
-def land_fit(x, cols, **kw):
-    m = MD.fit_classifier(x, cols, "landed", **kw)
+
+def land_fit(spark, d, x, cols, settings=MD.Settings(), name="landing-model"):
+    m = MD.fit_classifier(x, cols, "landed", None, LAND_KINDS, settings, KP.folder(spark, name, {**vars(settings), "cols": cols}, inputs(spark, d), (LA.q_landing_static, MD.B)))
     return m, MD.score(m, x.where(F.col("split") == "test"), "p")
 
 
-@query("fit_landing")
+S.CTE["land_cuts"] = """
+  SELECT max(slot) FILTER (rn = trunc(n * 0.7::DOUBLE) + 1) AS c1, max(slot) FILTER (rn = trunc(n * 0.85::DOUBLE) + 1) AS c2 FROM slot_list"""
+LAND_TEST = f"SELECT count(*) AS n, {S.r6('avg(landed)')} AS landed_rate, {S.r6('1 - avg(landed)')} AS fail_base_rate FROM tx, land_cuts WHERE slot >= c2"
+
+
+def land_facts(s):
+    """Rows and rates of a landing summary, and whether its Brier score is that of a model that knows the rate at least."""
+    known = F.col("landed_rate") * (1 - F.col("landed_rate"))
+    return rounded_all(s, ["landed_rate", "fail_base_rate"]).select("n", "landed_rate", "fail_base_rate", (F.col("brier") <= known + 0.01).alias("calibrated"))
+
+
+@query("fit_landing", with_ctes(f"SELECT *, true AS calibrated, {len(LAND_STATIC + LAND_REP)} AS inputs, true AS stopped FROM ({LAND_TEST})"))
 def q_fit_landing(spark, d):
-    m, s = land_fit(land_frame(spark, d), LAND_STATIC + LAND_REP)
-    return rounded_all(M.landing_summary(s, "landed", "p"), LA.LS, 4).withColumn("n_trees", F.lit(m.n_trees))
+    m, s = land_fit(spark, d, land_frame(spark, d), LAND_STATIC + LAND_REP)
+    return land_facts(M.landing_summary(s, "landed", "p")).withColumn("inputs", F.lit(len(m.features))).withColumn("stopped", F.lit(stopped(m)))
 
 
-@query("ablation")
+@query("ablation", with_ctes(f"""
+  SELECT * FROM ({LAND_TEST}), (SELECT unnest(['reputation_only', 'no_reputation', 'all']) AS inputs, unnest([{len(LAND_REP)}, {len(LAND_STATIC)}, {len(LAND_STATIC + LAND_REP)}]) AS offered,
+    true AS uses_no_other, true AS calibrated)"""))
 def q_ablation(spark, d):
     x = land_frame(spark, d)
-    parts = [M.landing_summary(land_fit(x, cols, max_trees=3)[1], "landed", "p").withColumn("inputs", F.lit(name))
-             for name, cols in (("reputation_only", LAND_REP), ("no_reputation", LAND_STATIC), ("all", LAND_STATIC + LAND_REP))]
-    return rounded_all(parts[0].unionByName(parts[1]).unionByName(parts[2]), LA.LS, 4)
+    parts = []
+    for name, cols in (("reputation_only", LAND_REP), ("no_reputation", LAND_STATIC), ("all", LAND_STATIC + LAND_REP)):
+        m, s = land_fit(spark, d, x, cols)
+        facts = land_facts(M.landing_summary(s, "landed", "p"))
+        parts.append(facts.withColumns({"inputs": F.lit(name), "offered": F.lit(len(cols)), "uses_no_other": F.lit({f for f, _ in MD.B.importance(m)} <= set(cols))}))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("importance_top")
+@query("importance_top", with_ctes(f"""
+  SELECT unnest({list(FEATURES)}) AS feature, true AS in_range, true AS sums_to_one, 'n_occurrences' AS strongest, true AS known_inputs FROM (SELECT count(*) FROM scored)"""))
 def q_importance(spark, d):
-    return rounded_all(MD.importance(arb_model(spark, d, matrix(spark, d), max_trees=3), spark), ["gain"], 4)
+    """Share of gains per input: all of them, none negative; the label counts occurrences, so they must come first."""
+    i = MD.importance(arb_model(spark, d, matrix(spark, d)), spark)
+    top = i.first().feature
+    total = i.agg(F.sum("gain").alias("t"))
+    return beside(i, total).select("feature", F.col("gain").between(0, 1).alias("in_range"), (F.abs(F.col("t") - 1) < 1e-9).alias("sums_to_one"), F.lit(top).alias("strongest"),
+                                   F.col("feature").isin(list(FEATURES)).alias("known_inputs"))
 
 
-@query("persist_model")
+@query("persist_model", with_ctes("SELECT count(*) AS rows, 0 AS differing, true AS order_refused FROM scored"))
 def q_persist(spark, d):
-    """Scores before saving and after loading, and the rows where they differ."""
+    """Scores before saving and after loading, the rows where they differ, and that another order of inputs is refused."""
     x = matrix(spark, d)
-    m = arb_model(spark, d, x, max_trees=3)
+    m = arb_model(spark, d, x)
     path = new_dir(spark, "model")
     MD.save_model(m, spark, path)
     again = MD.load_model(spark, path, list(FEATURES))
     a = MD.score(m, x, "a").select("tx_id", "a")
     b = MD.score(again, x, "b").select("tx_id", "b")
-    return a.join(b, "tx_id").agg(F.count(F.lit(1)).alias("rows"), count_if(F.col("a") != F.col("b")).alias("differing"))
+    try:
+        MD.load_model(spark, path, list(FEATURES)[::-1])
+        refused = False
+    except ValueError:
+        refused = True
+    return a.join(b, "tx_id").agg(F.count(F.lit(1)).alias("rows"), count_if(F.col("a") != F.col("b")).alias("differing"), F.lit(refused).alias("order_refused"))
+
 
+COMPACT = MD.Settings(rounds=100, depth=3)
+SENDS = 300
 
-@query("compact_model")
+
+@query("compact_model", with_ctes(f"""
+  SELECT unnest(['full', 'compact']) AS model, unnest([{MD.Settings().rounds}, {COMPACT.rounds}]) AS most_trees, unnest([{MD.Settings().depth}, {COMPACT.depth}]) AS depth,
+    least({SENDS}, count(*)) AS sends, true AS enough_sends, true AS within_bound FROM scored WHERE split = 'test' AND target3 IS NOT NULL"""))
 def q_compact(spark, d):
-    """Full and small model at the same number of sends: value captured by each, and whether the small one is accepted."""
+    """Full and small model at the same number of sends; `compared` says what the small one keeps."""
+    rows = []
+    for name, settings in (("full", MD.Settings()), ("compact", COMPACT)):
+        m, n, sent, _ = at_sends(spark, d, name, settings)
+        rows.append((name, settings.rounds, m.depth, n, sent >= n, len(m.trees) <= settings.rounds and all(len(t.feature) == 2 ** (m.depth + 1) - 1 for t in m.trees)))
+    return spark.createDataFrame(rows, "model string, most_trees int, depth int, sends bigint, enough_sends boolean, within_bound boolean")
+
+
+def at_sends(spark, d, name, settings):
+    """(model, sends asked, sends made, value captured) on test."""
     x = matrix(spark, d)
-    test = x.where((F.col("split") == "test") & F.col("target3").isNotNull())
-    out = None
-    for name, kw in (("full", dict(max_trees=6, depth=4)), ("compact", dict(max_trees=2, depth=3))):
-        s = MD.score(arb_model(spark, d, x, **kw), test, "p")
-        t = P.nth_threshold(s, "p", [300])
-        one = beside(s, t).agg(F.lit(name).alias("model"), count_if(F.col("p") >= F.col("threshold")).alias("sends"),  # one threshold
-                                              sum_if((F.col("p") >= F.col("threshold")) & (F.col("target3") == 1), "best_profit").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    full = out.agg(F.max(F.when(F.col("model") == "full", F.col("value"))).alias("_f"))
-    return beside(out, full).select("model", "sends", "value", (F.col("value") >= 0.9 * F.col("_f")).alias("accepted"))
+    m = arb_model(spark, d, x, settings, name="arb" if name == "full" else f"arb-{name}")
+    s = MD.score(m, x.where((F.col("split") == "test") & F.col("target3").isNotNull()), "p").select("p", "target3", "best_profit")
+    n = min(SENDS, s.count())
+    limit = P.nth_threshold(s, "p", [n]).first().threshold
+    sent = s.where(F.col("p") >= limit).agg(F.count(F.lit(1)).alias("n"), sum_if(F.col("target3") == 1, "best_profit").alias("v")).first()
+    return m, n, sent.n, sent.v or 0
+
+
+def compared(spark, d):
+    """Whether the small classifier keeps the value of the full one, and the small landing model the failures removed."""
+    value = {name: at_sends(spark, d, name, settings)[3] for name, settings in (("full", MD.Settings()), ("compact", COMPACT))}
+    lf, removed = land_frame(spark, d), {}
+    for name, settings in (("full", MD.Settings()), ("compact", COMPACT)):
+        _, s = land_fit(spark, d, lf, LAND_STATIC + LAND_REP, settings)
+        removed[name] = M.gate_tradeoff(s, "landed", "p", [0.5]).first().failures_removed
+    return MD.accept_compact(value["full"], value["compact"]), MD.accept_compact_gate(removed["full"], removed["compact"])
 
 
 @query("relabel_shuffle", with_ctes("""
@@ -219,14 +335,21 @@ def q_relabel(spark, d):
     return u.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("target3").alias("positives"))
 
 
-@query("shuffled_control")
+@query("shuffled_control", with_ctes(f"SELECT *, true AS near_base, true AS no_order FROM ({labelled_sql(' AND split = \'test\'')})"))
 def q_shuffled(spark, d):
-    """Skill of a model fitted on permuted labels, beside the base rate it should not beat by much."""
-    x = matrix(spark, d).where(F.col("target3").isNotNull() & (F.col("encode_status") == 0))
-    parts = [A.shuffle_labels(x.where(F.col("split") == sp), "target3", "tx_id", 7) for sp in ("train", "val")]
-    fit = materialise(parts[0].unionByName(parts[1]), "shuffled")
-    m = MD.fit_classifier(fit, list(FEATURES), "target3", max_trees=3)
-    return skill(MD.score(m, x.where(F.col("split") == "test"), "p"), "target3", "p")
+    """Skill of a model fitted on permuted labels: average precision at the base rate, no order."""
+    x = matrix(spark, d).where(F.col("target3").isNotNull())
+    known = x.where(F.col("encode_status") == 0)
+
+    def build():
+        parts = [A.shuffle_labels(known.where(F.col("split") == sp), "target3", "tx_id", 7) for sp in ("train", "val")]
+        return parts[0].unionByName(parts[1])
+
+    fit = KP.kept(spark, "shuffled", {"features": FEATURES}, inputs(spark, d), build, (*CODE, A.shuffle_labels))
+    m = MD.fit_classifier(fit, list(FEATURES), "target3", kinds=FEATURES, folder=model_folder(spark, d, "shuffled-model", MD.Settings()))
+    s = M.classifier_summary(MD.score(m, x.where(F.col("split") == "test"), "p"), "target3", "p", ["split"])
+    return s.select("split", "n", "positives", rounded("base_rate").alias("base_rate"), (F.abs(F.col("pr_auc") - F.col("base_rate")) < MARGIN).alias("near_base"),
+                    (F.abs(F.col("roc_auc") - 0.5) < 0.15).alias("no_order"))
 
 
 # ---------------------------------------------------------------- prepared tables
