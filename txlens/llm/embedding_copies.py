@@ -84,7 +84,7 @@ def plan(nodes: int, size: int, threshold: float = THRESHOLD) -> tuple[int, int]
     """(depth, tables) for this many nodes of a length."""
     vertices = 2 * polytope.width(size)
     depth = 1
-    while vertices**depth * OCCUPANCY < nodes * PROBES and vertices ** (depth + 1) < 2**TABLE_AT:
+    while vertices**depth * OCCUPANCY < nodes * polytope.most_probes(depth, PROBES) and vertices ** (depth + 1) < 2**TABLE_AT:
         depth += 1
     share = min(polytope.meeting_share(size, threshold, depth, PROBES, pairs=1000), 0.999)
     return depth, max(1, math.ceil(math.log(MISSED) / math.log(1 - share)))

@@ -61,6 +61,11 @@ def _choices(depth: int) -> np.ndarray:
     return np.array([c for c in product(range(VERTICES), repeat=depth) if np.prod(np.array(c) + 1) <= 2 * VERTICES], np.int64)
 
 
+def most_probes(depth: int, count: int) -> int:
+    """How many of the probes asked for a table of this depth has."""
+    return min(count, len(_choices(depth)))
+
+
 def probes(x: np.ndarray, table: int, depth: int, count: int) -> np.ndarray:
     """Bucket numbers (rows: vectors, columns: probes, the plain hash first) of padded unit vectors in a table."""
     found = [vertices(rotated(x, table, h)) for h in range(depth)]
