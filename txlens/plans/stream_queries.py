@@ -14,6 +14,7 @@ from txlens.plans import truth_queries as TQ
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
 from txlens.streaming import operators as O
+from txlens.streaming import reputation as RP
 from txlens.streaming import run as R
 
 
@@ -179,3 +180,21 @@ def q_stream_reputation(spark, d):
                                                 F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("landed"))
     r = R.drain(O.reputation(o, 2, LA.HALF), "reputation")
     return rounded_all(r.select("tx_id", "rep_landed", "rep_failed", "rep_seen"), ["rep_landed", "rep_failed"], 9)
+
+
+SETTLE = 30
+
+
+@query("stream_reputation_settled", with_ctes(f"""
+  SELECT payer, slot, {r6('rep_landed', 9)} AS rep_landed, {r6('rep_failed', 9)} AS rep_failed, rep_seen FROM rep
+  WHERE slot - 2 <= (SELECT max(slot) FROM tx) - {SETTLE}"""))
+def q_stream_reputation_settled(spark, d):
+    """Reputation per payer and slot, answered when the watermark has passed; the busiest payers are split over parts."""
+    o = R.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("tx_id"), F.col("o_custkey").alias("payer"),
+                                                F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("bigint").alias("slot"),
+                                                F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("landed"))
+    n = S.tx(spark, d).groupBy("payer").agg(F.count(F.lit(1)).alias("n"))
+    # payers with more than a thousandth of all rows: fewer than a thousand
+    hot = beside(n, n.agg(F.sum("n").alias("all"))).where(F.col("n") * 1000 > F.col("all")).select("payer", F.lit(4).alias("parts"))
+    r = RP.drain(RP.settled(o, 2, LA.HALF, SETTLE, hot, least=0.0))
+    return rounded_all(r.select("payer", "slot", "rep_landed", "rep_failed", "rep_seen"), ["rep_landed", "rep_failed"], 9)
