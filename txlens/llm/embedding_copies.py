@@ -227,8 +227,8 @@ def near_copies(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     known = named.join(smallest, "component").join(counted, F.col("node") == F.col("a"), "left")
     n_links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
     known = step(known.select("v", "weight", n_links.alias("n_links"), "component_id"), "known")
-    total = F.broadcast(known.agg((F.sum("weight") * HOT).alias("limit")))
-    marked = known.crossJoin(total).withColumn("hot", F.col("weight") > F.col("limit")).drop("limit", "weight")
+    total = known.agg(F.sum("weight")).first()[0] or 0
+    marked = known.withColumn("hot", F.col("weight") > total * HOT).drop("weight")
     hot, usual = marked.where("hot").drop("hot"), marked.where("NOT hot").drop("hot")
     joined = rows.select("vec_id", "v").join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "v", "left")
     columns = ["vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")]
