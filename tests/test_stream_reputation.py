@@ -57,11 +57,11 @@ def test_shuffled_files_give_the_table(spark, attempts, tmp_path, parts):
     assert found == {k: v for k, v in expected.items() if k[1] <= last - 60 + LAG}
     assert got.count() == len(found)
     if parts > 1:
-        kept = R.state_rows(spark, checkpoint, "old").select("key.payer", "key.part").where("payer = 0")
+        kept = run.state_rows(spark, checkpoint, "old").select("key.payer", "key.part").where("payer = 0")
         assert sorted(r.part for r in kept.collect()) == list(range(parts))
     # maps hold slots of the delay and the lag only
     for name in ("recent", "asked"):
-        kept = R.state_rows(spark, checkpoint, name).select(F.col("user_map_key.slot").alias("slot"))
+        kept = run.state_rows(spark, checkpoint, name).select(F.col("user_map_key.slot").alias("slot"))
         assert kept.agg(F.min("slot")).first()[0] >= last - 60 - LAG - 1
 
 
@@ -76,7 +76,7 @@ def test_small_entries_expire(spark, tmp_path):
     # a hundred halvings do not fit the bits of a double, so the last one may differ
     differing = {k: expected[k] for k in found if found[k] != pytest.approx(expected[k], rel=1e-12)}
     assert set(differing) == {(100, 5990)} and sum(differing[100, 5990][:2]) < R.LEAST and found[100, 5990] == (0.0, 0.0, 0)
-    assert {r.payer for r in R.state_rows(spark, checkpoint, "old").select("key.payer").collect()} <= {7, 100}
+    assert {r.payer for r in run.state_rows(spark, checkpoint, "old").select("key.payer").collect()} <= {7, 100}
 
 
 def test_a_stream_goes_on_after_a_stop(spark, attempts, tmp_path):

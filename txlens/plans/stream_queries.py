@@ -9,10 +9,15 @@ from txlens.functions.bits import SAMPLE_SEED  # noqa: F401
 from txlens.operators import truth as T
 from txlens.plans import journal_queries as JQ
 from txlens.plans import landing_queries as LA
+from txlens.plans import model_queries as MO
+from txlens.plans import pool_queries as PQ
 from txlens.plans import standin as S
 from txlens.plans import truth_queries as TQ
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
+from txlens.session import new_dir
+from txlens.streaming import decisions as DE
+from txlens.streaming import learned as LE
 from txlens.streaming import operators as O
 from txlens.streaming import reputation as RP
 from txlens.streaming import run as R
@@ -166,10 +171,10 @@ def q_replay(spark, d):
 @query("stream_miss_learn", with_ctes("""
   SELECT user_id AS "table", min(event_id) AS first_seq FROM gates WHERE event_type = 'error' AND user_id % 4 <> 0 GROUP BY user_id"""))
 def q_miss_learn(spark, d):
-    """Missing tables not learned yet; a table is known from its first batch on, by state."""
+    """Missing tables not known at the start, with the first miss of each over all batches."""
     known = S.table(spark, d, "events").select(F.col("user_id").alias("table")).where(F.col("table") % 4 == 0).distinct()
-    miss = events(spark, d).where(F.col("event_type") == "error").select(F.col("user_id").cast("long").alias("table"), F.col("event_id").cast("long").alias("seq")).join(known, "table", "left_anti")
-    return R.drain(O.first_seen(miss, "table", "seq"), "misses")
+    miss = events(spark, d).where(F.col("event_type") == "error").select(F.col("user_id").cast("long").alias("table"), F.col("event_id").cast("long").alias("seq"), "ts").join(known, "table", "left_anti")
+    return LE.learned(R.drain_by_batch(LE.first_seen(miss, "table", "seq", "2 days", 86_400), "misses"), "table")
 
 
 @query("stream_reputation", with_ctes(f"""
@@ -198,3 +203,35 @@ def q_stream_reputation_settled(spark, d):
     hot = beside(n, n.agg(F.sum("n").alias("all"))).where(F.col("n") * 1000 > F.col("all")).select("payer", F.lit(4).alias("parts"))
     r = RP.drain(RP.settled(o, 2, LA.HALF, SETTLE, hot, least=0.0))
     return rounded_all(r.select("payer", "slot", "rep_landed", "rep_failed", "rep_seen"), ["rep_landed", "rep_failed"], 9)
+
+
+VALUE = 100_000.0
+
+
+@query("stream_decisions_versions", with_ctes("""
+  SELECT unnest(['val', 'test']) AS split, unnest([1, 2]) AS version, 0 AS other_version, 0 AS only_live, 0 AS only_replay, true AS has_sent, true AS routes_in_bound
+  FROM (SELECT count(*) FROM scored)"""))
+def q_stream_versions(spark, d):
+    """Fitted models in a stream: val rows by one version, test rows, which come after the next is published, by that one; then
+    the same rows decided again as a table."""
+    x = MO.matrix(spark, d)
+    pools = PQ.tx_pools(spark, d).groupBy("tx_id").agg(F.sort_array(F.collect_list("pool")).alias("pools"))
+    rows = x.where(F.col("split") != "train").join(pools, "tx_id", "left").select("tx_id", "split", "pools", *MO.FEATURES)
+    routes, size = PQ.train_pool_routes(spark, d), MO.size_model(spark, d, x)
+    arb = {1: MO.arb_model(spark, d, x), 2: MO.arb_model(spark, d, x, MO.COMPACT, name="arb-compact")}
+    root, folder, checkpoint, out = (new_dir(spark, n) for n in ("bundles", "decisions-in", "decisions-ckpt", "decisions-out"))
+    parts = {1: rows.where(F.col("split") == "val"), 2: rows.where(F.col("split") == "test")}
+    for version, part in parts.items():
+        DE.publish(spark, root, DE.Policy(version, arb[version], size, routes, VALUE * version, version))
+        part.write.mode("append").parquet(f"{folder}/rows.parquet")
+        log = DE.drain(R.read_table(spark, folder, "rows"), root, list(MO.FEATURES), checkpoint, out).drop("batch")
+    facts = None
+    for version, part in parts.items():
+        live = log.join(part.select("tx_id"), "tx_id", "left_semi")
+        again = DE.decide(part, DE.load(spark, root, version, list(MO.FEATURES)))
+        wide = F.col("sent") & (F.size("routes") > 3 * version)
+        one = live.agg(count_if(F.col("version") != version).alias("other_version"), F.bool_or("sent").alias("has_sent"), (count_if(wide) == 0).alias("routes_in_bound"))
+        one = beside(beside(one, live.exceptAll(again).agg(F.count(F.lit(1)).alias("only_live"))), again.exceptAll(live).agg(F.count(F.lit(1)).alias("only_replay")))
+        one = one.withColumns({"split": F.lit({1: "val", 2: "test"}[version]), "version": F.lit(version)})
+        facts = one if facts is None else facts.unionByName(one)
+    return facts.select("split", "version", "other_version", "only_live", "only_replay", "has_sent", "routes_in_bound")

@@ -79,19 +79,6 @@ def decide(tx: DataFrame, lookup: DataFrame, threshold: float, sends: int) -> Da
         "threshold", F.lit(float(threshold))).withColumn("sends", F.lit(int(sends)))
 
 
-def first_seen(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, first_seq) once per key, when it is first seen: the smallest sequence number of that batch."""
-    schema = f"{key} bigint, first_seq bigint"
-
-    def step(found, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first = min(int(b[seq].min()) for b in batches)
-        if not state.exists:
-            state.update((True,))
-            yield pd.DataFrame({key: [found[0]], "first_seq": [first]})
-
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def reputation(events: DataFrame, lag: int, half_life: int, late_slots: int = 600) -> DataFrame:
     """Per event (tx_id, payer, slot, landed): decayed counts of the payer's events at slots <= slot - lag - 1.
 

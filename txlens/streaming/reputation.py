@@ -18,14 +18,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from txlens.session import new_dir
+from txlens.streaming import run
 
-#: The state store that keeps maps entry by entry.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PARTIAL = "payer bigint, part int, slot bigint, landed double, failed double, seen bigint"
 
 # Fixed values
@@ -140,22 +138,5 @@ def merged(partial: DataFrame) -> DataFrame:
 
 
 def drain(partial: DataFrame, name: str = "reputation", checkpoint: str | None = None, out: str | None = None) -> DataFrame:
-    """Run over everything available: each batch adds up the parts and replaces its own folder, so a repeated batch changes nothing."""
-    spark = partial.sparkSession
-    out, checkpoint = out or new_dir(spark, f"{name}-out"), checkpoint or new_dir(spark, f"{name}-ckpt")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-
-    def write(batch: DataFrame, number: int) -> None:
-        merged(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    try:
-        partial.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.option("basePath", out).parquet(out).drop("batch")
-
-
-def state_rows(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
-    """Entries of one state variable as they stand in a checkpoint, for audits of its size."""
-    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+    """Reputation per (payer, slot) of everything available."""
+    return run.drain_by_batch(partial, name, lambda batch, _: merged(batch), checkpoint, out).drop("batch")
