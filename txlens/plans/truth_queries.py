@@ -10,6 +10,7 @@ from txlens.operators import funnel as FU
 from txlens.operators import graph as G
 from txlens.operators import labels as L
 from txlens.operators import metrics as M
+from txlens.operators import live as LV
 from txlens.operators import truth as T
 from txlens.plans import journal_queries as JQ
 from txlens.plans import label_queries as LQ
@@ -19,6 +20,7 @@ from txlens.plans import pool_queries as PQ
 from txlens.plans import standin as S
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
+from txlens.session import materialise
 from txlens.sources import journal as J
 
 # ---------------------------------------------------------------- packets and feeds
@@ -431,9 +433,9 @@ def later(spark, d):
   SELECT count(*) AS n, count(*) FILTER (t.landed = 1) AS landed, count(*) FILTER (t.amount % 3 = 0) AS edge_exists, count(j.ss) AS later_arb, count(*) FILTER (j.ss) AS same_slot_arb
   FROM dec JOIN tx t ON t.tx_id = dec.tx_id LEFT JOIN j ON j.tx_id = dec.tx_id AND j.pool = dec.pool"""))
 def q_outcome_report(spark, d):
-    j = later(spark, d).join(S.tx(spark, d).select("tx_id", "landed", "amount"), "tx_id")
-    return j.agg(F.count(F.lit(1)).alias("n"), count_if(F.col("landed") == 1).alias("landed"), count_if(F.col("amount") % 3 == 0).alias("edge_exists"),
-                 F.count("later_tx").alias("later_arb"), count_if(F.col("same_slot")).alias("same_slot_arb"))
+    t = S.tx(spark, d).select("tx_id", "landed", (F.col("amount") % 3 == 0).alias("edge_exists"))
+    found = later(spark, d)
+    return LV.outcome_report(found, t, found)
 
 
 WALK_SQL = """w AS (SELECT tx_id AS seq, 'S' || payer AS sig, tx_id % 5 = 0 AS lut_miss, amount % 1000 AS lp, amount % 1000 + slot % 7 AS lq FROM tx WHERE tx_id % 3 = 0),
@@ -564,29 +566,62 @@ def q_decision_truth(spark, d):
     return rounded_all(T.decision_truth(decisions(spark, d), real, lab), ["realised_share", "positive_share", "positive_lo", "positive_hi"])
 
 
+LIVE_HOURS, REPLICATES = 24.0, 60
+
+S.CTE["live_rows"] = """
+  SELECT l.tx_id, l.split, l.slot // 100 AS hour, l.s >= 10::DOUBLE AS sent, t.landed = 1 AS realised, coalesce(l.target = 1, false) AS positive, coalesce(l.hit_rank < 9, false) AS route_hit,
+         l.best_profit AS profit, l."group" FROM lookup l JOIN tx t ON t.tx_id = l.tx_id"""
+
+
+def live_sql(split: str, replicates: int) -> str:
+    """(hour, metric, r, v) of a split: the same weights from the same mixed ids."""
+    u = f"(({LV.BOOTSTRAP_SEED}::UHUGEINT + (tx_id * {LV.MOST_REPLICATES + 1} + r)::UHUGEINT) * 11400714785074694791::UHUGEINT) % 18446744073709551616::UHUGEINT"
+    w = " + ".join(f"(u >= {t})::INT" for t in LV.POISSON_PPM)
+    return f"""
+    SELECT hour, unnest(['decisions', 'value_targeted', 'value_available', 'realised_share', 'positive_share', 'targeted_share']) AS metric, r,
+      unnest([n / p, vt / p, va / p, k / nullif(n, 0), pos / nullif(n, 0), vt / nullif(va, 0)]::DOUBLE[]) AS v
+    FROM (SELECT h.hour, r, CASE WHEN h.hour IS NULL THEN {LIVE_HOURS} ELSE 1 END AS p, coalesce(sum(w) FILTER (sent), 0) AS n, coalesce(sum(w) FILTER (sent AND realised), 0) AS k,
+            coalesce(sum(w) FILTER (sent AND positive), 0) AS pos, coalesce(sum(w * profit) FILTER (sent AND positive AND route_hit), 0) AS vt, coalesce(sum(w * profit) FILTER (positive), 0) AS va
+          FROM (SELECT DISTINCT hour FROM live_rows WHERE split = '{split}' AND (sent OR positive) UNION ALL SELECT NULL) h, weighted_{split} x WHERE h.hour IS NULL OR x.hour = h.hour GROUP BY ALL)
+    UNION ALL
+    SELECT g.hour, 'mix:' || g."group", r, coalesce(sum(w) FILTER (sent AND x."group" = g."group"), 0) / nullif(sum(w) FILTER (sent), 0)
+    FROM (SELECT DISTINCT unnest([hour, NULL]) AS hour, "group" FROM live_rows WHERE split = '{split}' AND sent) g, weighted_{split} x WHERE g.hour IS NULL OR x.hour = g.hour GROUP BY ALL""", f"""
+    weighted_{split} AS (SELECT *, CASE WHEN r = 0 THEN 1 ELSE {w} END AS w FROM (
+      SELECT *, (xor(m::UBIGINT, (m // 1073741824::UHUGEINT)::UBIGINT) % 1000000)::BIGINT AS u FROM (
+        SELECT *, {u} AS m FROM live_rows, (SELECT unnest(range({replicates + 1})) AS r) WHERE split = '{split}' AND (sent OR positive))))"""
+
+
+def live_rows(spark, d):
+    """Val and test transactions as a run would log them: sent above the threshold, with what became of them."""
+    real = S.tx(spark, d).select("tx_id", (F.col("landed") == 1).alias("realised"))
+    x = PQ.lookup(spark, d).join(real, "tx_id")
+    return x.select("tx_id", "split", F.floor(F.col("slot") / 100).alias("hour"), (F.col("s") >= 10.0).alias("sent"), "realised", F.coalesce(F.col("target") == 1, F.lit(False)).alias("positive"),
+                    F.coalesce(F.col("hit_rank") < 9, F.lit(False)).alias("route_hit"), F.col("best_profit").alias("profit"), "group")
+
+
+_LIVE, _WEIGHTED = live_sql("test", REPLICATES)
+_OFF, _OFF_WEIGHTED = live_sql("val", 0)
+
+
 @query("live_vs_offline", with_ctes(f"""
-  WITH {DEC_SQL}, x AS (SELECT l.split, count(*) AS decisions, count(*) FILTER (l.target = 1) AS k FROM dec JOIN lookup l ON l.tx_id = dec.tx_id GROUP BY l.split)
-  SELECT v.decisions AS live_decisions, v.k AS live_positives, {r6('v.k / v.decisions')} AS live_share, {MQ.wilson_sql('v.k', 'v.decisions')[0]} AS lo, {MQ.wilson_sql('v.k', 'v.decisions')[1]} AS hi,
-    {r6('e.k / e.decisions')} AS expected_share FROM (SELECT * FROM x WHERE split = 'test') v, (SELECT * FROM x WHERE split = 'val') e"""))
+  WITH {_WEIGHTED}, {_OFF_WEIGHTED}, m AS ({_LIVE}), e AS ({_OFF}),
+  g AS (SELECT hour, metric, max(v) FILTER (r = 0) AS live, quantile_cont(v, 0.025) FILTER (r > 0) AS lo, quantile_cont(v, 0.975) FILTER (r > 0) AS hi FROM m GROUP BY hour, metric)
+  SELECT g.hour, g.metric, {r6('live')} AS live, {r6('lo')} AS lo, {r6('hi')} AS hi, {r6('e.v')} AS expected FROM g LEFT JOIN e ON e.metric = g.metric AND e.hour IS NULL"""))
 def q_live_offline(spark, d):
-    """Share of positives among decisions with its 95% interval (test as live) beside the offline expectation (val)."""
-    from txlens.functions.numbers import wilson_bounds
-    x = PQ.lookup(spark, d).where(F.col("s") >= 10.0)
-    live, off = F.col("split") == "test", F.col("split") == "val"
-    pos = F.col("target") == 1
-    g = x.agg(count_if(live).alias("live_decisions"), count_if(live & pos).alias("live_positives"), count_if(off).alias("_n"), count_if(off & pos).alias("_k"))
-    lo, hi = wilson_bounds("live_positives", "live_decisions")
-    return rounded_all(g.select("live_decisions", "live_positives", ratio("live_positives", "live_decisions").alias("live_share"), lo.alias("lo"), hi.alias("hi"),
-                                ratio("_k", "_n").alias("expected_share")), ["live_share", "lo", "hi", "expected_share"])
+    """Test as the run in operation, hour by hour and as a whole, beside what val leads to expect."""
+    x = materialise(live_rows(spark, d), "live-rows")
+    expected = LV.live_metrics(x.where(F.col("split") == "val"), LIVE_HOURS, 0).where("hour IS NULL").select("metric", F.col("value").alias("expected"))
+    report = LV.live_report(x.where(F.col("split") == "test"), expected, LIVE_HOURS, REPLICATES).drop("inside")
+    return rounded_all(report, ["live", "lo", "hi", "expected"])
 
 
 @query("largest_misses", with_ctes(f"""
   SELECT tx_id, best_profit, CASE WHEN NOT has_candidate THEN 'no_candidate' WHEN encode_status <> 0 THEN 'not_encoded' WHEN s < 20::DOUBLE THEN 'below_threshold' ELSE 'route_miss' END AS cause
   FROM lookup WHERE target3 = 1 AND NOT coalesce(s >= 20::DOUBLE AND hit_rank < 3, false) ORDER BY best_profit DESC, tx_id LIMIT 50"""))
 def q_misses(spark, d):
-    x = PQ.lookup(spark, d).where((F.col("target3") == 1) & ~F.coalesce((F.col("s") >= 20.0) & (F.col("hit_rank") < 3), F.lit(False)))
-    cause = (F.when(~F.col("has_candidate"), "no_candidate").when(F.col("encode_status") != 0, "not_encoded").when(F.col("s") < 20.0, "below_threshold").otherwise("route_miss"))
-    return x.select("tx_id", "best_profit", cause.alias("cause")).orderBy(F.desc("best_profit"), "tx_id").limit(50)
+    x = PQ.lookup(spark, d).select("tx_id", (F.col("target3") == 1).alias("positive"), F.col("best_profit").alias("profit"), "has_candidate", (F.col("encode_status") == 0).alias("encoded"),
+                                   F.col("s").alias("score"), "hit_rank")
+    return LV.largest_misses(x, 20.0, 1)
 
 
 @query("drift_deciles", with_ctes(f"""
