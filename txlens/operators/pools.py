@@ -151,6 +151,11 @@ def unseen_pools(pos_pools: DataFrame, known: DataFrame, positives: DataFrame) -
     return g.select("positives", "unseen", ratio("unseen", "positives").alias("share"), ratio("_v", "_t").alias("value_share"))
 
 
+def known_universe(train_pools: DataFrame, train_routes: DataFrame) -> DataFrame:
+    """(pool): pools that train transactions touch, and pools that a route with support in train names."""
+    return train_pools.select("pool").unionByName(train_routes.select("pool")).where(F.col("pool").isNotNull()).distinct()
+
+
 def restrict_lists(tx_pools: DataFrame, universe: DataFrame) -> DataFrame:
     """(tx, pool) rows whose pool is in the universe."""
     return tx_pools.join(universe.select("pool").distinct(), "pool", "left_semi")

@@ -375,26 +375,33 @@ def q_unseen_pools(spark, d):
     return rounded_all(PO.unseen_pools(tx_pools(spark, d).join(pos, "tx_id", "left_semi"), known, pos), ["share", "value_share"])
 
 
-@query("restrict_universe", with_ctes("""
-  WITH u AS (SELECT DISTINCT pool FROM pool_rows WHERE split = 'train' AND pool % 5 <> 0)
+#: Pools of training time: those of train rows (one in five is taken as new, so that there are any) and those that train routes name.
+UNIVERSE_SQL = """u AS (SELECT DISTINCT pool FROM pool_rows WHERE split = 'train' AND pool % 5 <> 0 UNION SELECT DISTINCT pool FROM pr_all WHERE pool % 15 = 0)"""
+
+
+def known_universe(spark, d):
+    return PO.known_universe(train_rows(spark, d).where(F.col("pool") % 5 != 0), train_pool_routes(spark, d).where(F.col("pool") % 15 == 0))
+
+
+@query("restrict_universe", with_ctes(f"""
+  WITH {UNIVERSE_SQL}
   SELECT s.tx_id, count(u.pool) AS n_pools FROM (SELECT tx_id FROM split_tx WHERE split <> 'train') s LEFT JOIN tx_pools p ON p.tx_id = s.tx_id
   LEFT JOIN u ON u.pool = p.pool GROUP BY s.tx_id"""))
 def q_restrict_universe(spark, d):
-    u = train_rows(spark, d).where(F.col("pool") % 5 != 0)
-    n = PO.restrict_lists(tx_pools(spark, d), u).groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"))
+    n = PO.restrict_lists(tx_pools(spark, d), known_universe(spark, d)).groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"))
     t = MQ.split_tx(spark, d).where(F.col("split") != "train").select("tx_id")
     return t.join(n, "tx_id", "left").select("tx_id", F.coalesce("n", F.lit(0)).alias("n_pools"))
 
 
 @query("universe_freeze", with_ctes(f"""
-  WITH u AS (SELECT DISTINCT pool FROM pool_rows WHERE split = 'train' AND pool % 5 <> 0),
+  WITH {UNIVERSE_SQL},
   n AS (SELECT tx_id, count(*) AS n, count(*) FILTER (pool IN (SELECT pool FROM u)) AS nf FROM tx_pools GROUP BY tx_id),
   x AS (SELECT s.target3, arb_score * n AS before, arb_score * nf AS after FROM scored s JOIN n ON n.tx_id = s.tx_id WHERE s.split = 'test')
   SELECT 'before' AS universe, n, positives, {r6('pr_auc')} AS pr_auc FROM ({auc_sql('x', 'target3', 'before')})
   UNION ALL SELECT 'frozen', n, positives, {r6('pr_auc')} FROM ({auc_sql('x', 'target3', 'after')})"""))
 def q_universe_freeze(spark, d):
     """Skill with pool counts over all pools beside pool counts over pools known in train."""
-    u = train_rows(spark, d).where(F.col("pool") % 5 != 0).select("pool").distinct().withColumn("k", F.lit(1))
+    u = known_universe(spark, d).withColumn("k", F.lit(1))
     n = tx_pools(spark, d).join(u, "pool", "left").groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"), F.count("k").alias("nf"))
     x = MQ.scored(spark, d).where(F.col("split") == "test").select("tx_id", "target3", "arb_score").join(n, "tx_id")
     long = x.select("target3", F.explode(F.array(

@@ -853,16 +853,21 @@ def q_spread(spark, d):
     return p.where(F.col("part_no") % 25 == 0)
 
 
+S.CTE["mem"] = """
+  WITH f AS (SELECT split, target, relevant, n_occurrences, landed, prio, arb_score, round(arb_score * 300)::INT AS q FROM scored WHERE target IS NOT NULL AND encode_status = 0),
+  tr AS (SELECT relevant, n_occurrences, landed, prio, q, max(target) AS p FROM f WHERE split = 'train' GROUP BY ALL)
+  SELECT f.target, f.arb_score, tr.q IS NOT NULL AS seen, coalesce(tr.p = 1, false) AS seen_positive FROM (SELECT * FROM f WHERE split = 'test') f LEFT JOIN tr USING (relevant, n_occurrences, landed, prio, q)"""
+
+
 @query("memorisation", with_ctes(f"""
-  WITH f AS (SELECT split, target, relevant, n_occurrences, n_pos, landed, prio, arb_score FROM scored WHERE target IS NOT NULL AND encode_status = 0),
-  tr AS (SELECT DISTINCT relevant, n_occurrences, landed, prio, round(arb_score * 300)::INT AS q FROM f WHERE split = 'train'),
-  te AS (SELECT f.*, tr.q IS NOT NULL AS seen FROM (SELECT *, round(arb_score * 300)::INT AS q FROM f WHERE split = 'test') f LEFT JOIN tr USING (relevant, n_occurrences, landed, prio, q))
-  SELECT {r6('avg(seen::INT)')} AS seen_share, {r6('avg(seen::INT) FILTER (target = 1)')} AS seen_share_positives, count(*) FILTER (NOT seen) AS unseen_rows FROM te"""))
+  WITH fresh AS (SELECT * FROM mem WHERE NOT seen)
+  SELECT {r6('avg(seen::INT)')} AS seen_share, {r6('avg(seen::INT) FILTER (target = 1)')} AS seen_share_positives, {r6('avg(seen_positive::INT) FILTER (target = 1)')} AS positives_like_train_positives,
+    max(u.n) AS unseen_rows, {r6('max(u.base_rate)')} AS unseen_base_rate, {r6('max(u.pr_auc)')} AS unseen_pr_auc FROM mem, ({S.auc_sql('fresh', 'target', 'arb_score')}) u"""))
 def q_memorisation(spark, d):
     from txlens.operators import audit as A
     f = MQ.scored(spark, d).where(F.col("target").isNotNull() & (F.col("encode_status") == 0)).withColumn("q", F.rint(F.col("arb_score") * 300).cast("int"))
-    m = A.memorisation(f.where(F.col("split") == "train"), f.where(F.col("split") == "test"), ["relevant", "n_occurrences", "landed", "prio", "q"], "target")
-    return rounded_all(m, ["seen_share", "seen_share_positives"])
+    m = A.memorisation(f.where(F.col("split") == "train"), f.where(F.col("split") == "test"), ["relevant", "n_occurrences", "landed", "prio", "q"], "target", "arb_score")
+    return rounded_all(m, ["seen_share", "seen_share_positives", "positives_like_train_positives", "unseen_base_rate", "unseen_pr_auc"])
 
 
 @query("feature_auc", with_ctes("WITH x AS (SELECT target3, unnest(['amount', 'slot', 'p2', 'size_pred', 'n_occurrences', 'score']) AS feature, unnest([amount::DOUBLE, slot::DOUBLE, p2, size_pred, n_occurrences::DOUBLE, arb_score]) AS value FROM scored WHERE split = 'test' AND target3 IS NOT NULL) "
