@@ -10,7 +10,10 @@ from txlens.operators import funnel as FU
 from txlens.plans import standin as S
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
+from txlens.session import new_dir
 from txlens.sources import journal as J
+from txlens.sources.lines import follow_lines
+from txlens.streaming.run import drain_by_batch
 
 HURDLE = 2500
 
@@ -72,14 +75,36 @@ def q_verdict(spark, d):
     return FU.verdict(FU.gate_funnel(gates(spark, d)))
 
 
-@query("scan_journal", with_ctes("SELECT event_id, user_id AS pool_idx, gross FROM gates WHERE event_type = 'click' AND 1706659200 - secs <= 864000"))
-def q_scan_journal(spark, d):
-    """The table is turned into tagged lines, every seventh with broken JSON appended to another kind, and read back by kind."""
-    g = gates(spark, d)
+CLICK = "kind string, ts bigint, event_id bigint, pool_idx bigint, gross bigint"
+CLICK_SQL = "SELECT event_id, user_id AS pool_idx, gross FROM gates WHERE event_type = 'click' AND 1706659200 - secs <= 864000"
+
+
+def journal_lines(spark, d, part):
+    """Tagged lines of every other row, with a broken line after every seventh."""
+    g = gates(spark, d).where(F.col("event_id") % 2 == part)
     line = F.to_json(F.struct(F.col("event_type").alias("kind"), F.col("secs").alias("ts"), "event_id", F.col("user_id").alias("pool_idx"), "gross"))
     bad = g.where(F.col("event_id") % 7 == 0).select(F.lit('{"kind":"click", broken').alias("value"))
-    rows = J.parse_kind(g.select(line.alias("value")).unionByName(bad), "click", "kind string, ts bigint, event_id bigint, pool_idx bigint, gross bigint")
-    return rows.where(J.in_window(F.col("ts"), 1706659200, 864000)).select("event_id", "pool_idx", "gross")
+    return g.select(line.alias("value")).unionByName(bad)
+
+
+@query("scan_journal", with_ctes(CLICK_SQL))
+def q_scan_journal(spark, d):
+    """Two journals are written as files of tagged lines and read back by kind and time."""
+    path = new_dir(spark, "journal")
+    for part in (0, 1):
+        journal_lines(spark, d, part).write.text(f"{path}/day={part}")
+    return J.scan_journal(spark, path, "click", CLICK, 864000, 1706659200).select("event_id", "pool_idx", "gross")
+
+
+@query("stream_journal", with_ctes(CLICK_SQL))
+def q_stream_journal(spark, d):
+    """A journal is followed: what is there, then what has come since, from where the first run stopped."""
+    path, checkpoint, out = (new_dir(spark, n) for n in ("journal", "journal-ckpt", "journal-out"))
+    for part in (0, 1):
+        journal_lines(spark, d, part).write.text(f"{path}/day={part}")
+        rows = J.parse_kind(follow_lines(spark, path), "click", CLICK)
+        found = drain_by_batch(rows.where(J.in_window(F.col("ts"), 1706659200, 864000)), "journal", None, checkpoint, out)
+    return found.select("event_id", "pool_idx", "gross")
 
 
 @query("late_policy", with_ctes("""

@@ -20,7 +20,7 @@ from txlens.plans import pool_queries as PQ
 from txlens.plans import standin as S
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
-from txlens.session import materialise
+from txlens.session import materialise, new_dir
 from txlens.sources import journal as J
 
 # ---------------------------------------------------------------- packets and feeds
@@ -71,9 +71,18 @@ def q_feed_counters(spark, d):
     return T.feed_counters(packets(spark, d), KEY)
 
 
-@query("scan_packet_log", with_ctes("""SELECT source_id, slot, type, count(*) AS n, min(rx_ns) AS first_ns, max(rx_ns) AS last_ns FROM packets GROUP BY ALL"""))
+@query("scan_packet_log", with_ctes("""SELECT fmt, source_id, slot, type, count(*) AS n, min(rx_ns) AS first_ns, max(rx_ns) AS last_ns FROM packets, (SELECT unnest(['json', 'parquet']) AS fmt) GROUP BY ALL"""))
 def q_packet_log(spark, d):
-    return packets(spark, d).groupBy("source_id", "slot", "type").agg(F.count(F.lit(1)).alias("n"), F.min("rx_ns").alias("first_ns"), F.max("rx_ns").alias("last_ns"))
+    """Packet headers written in both formats of the log and read back."""
+    path = new_dir(spark, "packets")
+    p = packets(spark, d)
+    rows = p.select(*[F.col(c) for c, _ in J._fields(J.PACKET_SCHEMA) if c in p.columns])
+    rows.write.json(f"{path}/json")
+    rows.write.parquet(f"{path}/parquet")
+    missing = [F.lit(None).cast(t).alias(c) for c, t in J._fields(J.PACKET_SCHEMA) if c not in p.columns]
+    spark.read.parquet(f"{path}/parquet").select("*", *missing).write.parquet(f"{path}/whole")
+    back = [J.scan_packets(spark, f"{path}/{at}", fmt).withColumn("fmt", F.lit(fmt)) for fmt, at in (("json", "json"), ("parquet", "whole"))]
+    return back[0].unionByName(back[1]).groupBy("fmt", "source_id", "slot", "type").agg(F.count(F.lit(1)).alias("n"), F.min("rx_ns").alias("first_ns"), F.max("rx_ns").alias("last_ns"))
 
 
 RACE_CTE = """a AS (SELECT sig, min(rx_ns) AS a_ns, arg_min(event_type, rx_ns) AS event_type FROM packets WHERE source_id = 0 GROUP BY sig),
@@ -152,11 +161,16 @@ def q_feed_compare_slots(spark, d):
 
 
 @query("scan_truth", with_ctes("""
-  SELECT lower(sig) AS sig_hex, max_by(slot, tx_id) AS slot FROM (SELECT tx_id, slot, CASE WHEN tx_id % 17 = 0 THEN 'short' ELSE sha256((payer)::VARCHAR) END AS sig FROM tx)
+  SELECT lower(sig) AS sig_hex, arg_max(slot, (tx_id % 2, tx_id)) AS slot FROM (SELECT tx_id, slot, CASE WHEN tx_id % 17 = 0 THEN 'short' ELSE sha256((payer)::VARCHAR) END AS sig FROM tx)
   WHERE length(sig) >= 64 GROUP BY 1"""))
 def q_scan_truth(spark, d):
+    """Two files of lines in order of the transactions; the last row of a key in the second file wins, else in the first."""
+    path = new_dir(spark, "truth")
     t = S.tx(spark, d).select("tx_id", "slot", F.when(F.col("tx_id") % 17 == 0, "short").otherwise(F.upper(F.sha2(F.col("payer").cast("string"), 256))).alias("sig_hex"))
-    return J.last_truth_rows(t, F.col("tx_id")).select("sig_hex", "slot")
+    for part in (0, 1):
+        rows = t.where(F.col("tx_id") % 2 == part).repartitionByRange(4, "tx_id").sortWithinPartitions("tx_id")
+        rows.select(F.to_json(F.struct("sig_hex", "slot")).alias("value")).write.text(f"{path}/file={part}")
+    return J.scan_truth(spark, path).select("sig_hex", "slot")
 
 
 S.CTE["data_rows"] = 'SELECT DISTINCT l_orderkey AS slot, (l_linenumber - 1)::BIGINT AS "index" FROM lineitem'

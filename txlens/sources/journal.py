@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from txlens.sources.lines import read_lines
+
 # Fixed values
 MIN_SIGNATURE_CHARS = 64
 GATE_SCHEMA = ("kind string, ts bigint, pool_idx bigint, proto string, known int, routed int, searchable int, gross bigint, gross_pos int, "
@@ -56,12 +58,14 @@ def last_truth_rows(rows: DataFrame, order: Column) -> DataFrame:
     return ok.groupBy("sig_hex").agg(F.max_by(F.struct(*rest), F.col("_o")).alias("r")).select("sig_hex", "r.*")
 
 
+def truth_of(lines: DataFrame) -> DataFrame:
+    """Truth rows of lines (file, start, value); the place in the files decides which row of a key is last."""
+    row = lines.select("file", "start", F.from_json("value", TRUTH_SCHEMA, {"mode": "PERMISSIVE"}).alias("r")).where(F.col("r.sig_hex").isNotNull())
+    return last_truth_rows(row.select("r.*", "file", "start"), F.struct("file", "start")).drop("file", "start")
+
+
 def scan_truth(spark: SparkSession, path: str) -> DataFrame:
-    """File position (file name, then offset order within the file's partition) decides which row is last."""
-    rows = spark.read.schema(TRUTH_SCHEMA).json(path).withColumn("_file", F.col("_metadata.file_path")).withColumn(
-        "_start", F.col("_metadata.file_block_start")).withColumn("_line", F.monotonically_increasing_id())
-    order = F.struct("_file", "_start", "_line")
-    return last_truth_rows(rows, order).drop("_file", "_start", "_line")
+    return truth_of(read_lines(spark, path))
 
 
 def scan_attempts(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
