@@ -357,11 +357,11 @@ def q_shuffled(spark, d):
 def prepared(spark, d):
     root = new_dir(spark, "prepared")
     lab = LQ.labelled(spark, d).select("tx_id", "slot", "label", "target", "unknown_reasons", "best_profit")
-    lab.write.parquet(f"{root}/tx_labels")
-    S.tx(spark, d).join(lab.select("tx_id"), "tx_id", "left_semi").select("tx_id", "slot", "block_time", "encode_status", "relevant", "amount").write.parquet(f"{root}/tx_features")
+    TB.write_checked(lab, f"{root}/tx_labels", "tx_id")
+    feats = S.tx(spark, d).join(lab.select("tx_id"), "tx_id", "left_semi").select("tx_id", "slot", "block_time", "encode_status", "relevant", "amount")
+    TB.write_checked(feats, f"{root}/tx_features", "tx_id")
     return root
 
-
 @query("scan_prepared", with_ctes("SELECT tx_id, slot, label, target, unknown_reasons, best_profit, block_time, encode_status, relevant, amount FROM labels JOIN tx USING (tx_id)"))
 def q_scan_prepared(spark, d):
     return TB.scan_prepared(spark, prepared(spark, d))
@@ -370,7 +370,9 @@ def q_scan_prepared(spark, d):
 @query("scan_week", with_ctes("SELECT (tx_id % 4) * 1099511627776 + tx_id AS tx_id, slot, label, target, tx_id % 4 AS partition_index FROM labels JOIN tx USING (tx_id)"))
 def q_scan_week(spark, d):
     root = new_dir(spark, "week")
-    LQ.labelled(spark, d).select("tx_id", "slot", "label", "target", "unknown_reasons", (F.col("tx_id") % 4).alias("partition_index")).write.partitionBy("partition_index").parquet(root)
+    rows = materialise(LQ.labelled(spark, d).select("tx_id", "slot", "label", "target", "unknown_reasons"), "week-rows")
+    for n in range(4):
+        TB.write_checked(rows.where(F.col("tx_id") % 4 == n), f"{root}/partition_index={n}", "tx_id")
     return TB.scan_week(spark, root)
 
 
@@ -429,23 +431,40 @@ def q_manifest(spark, d):
     return spark.createDataFrame([(got["counts"]["rows"], got["counts"]["parts"], got["inputs"] == inputs, refused)], "rows bigint, parts bigint, same_inputs boolean, refuses_others boolean")
 
 
-@query("scan_catalog", with_ctes("SELECT pack_id, program, family, layer, base, rank, 0 AS train_lo, 9000 AS train_hi FROM packs"))
+@query("scan_catalog", with_ctes("""
+  WITH r AS (SELECT pack_id, string_agg(route, ',' ORDER BY route) AS routes, count(DISTINCT substr(route, 7, 1)) AS n_sequences FROM pack_routes GROUP BY pack_id)
+  SELECT 'library' AS fmt, p.pack_id, program, family, layer, base, rank, 0 AS train_lo, 9000 AS train_hi, routes, 3 AS n_pools, n_sequences FROM packs p JOIN r ON r.pack_id = p.pack_id
+  UNION ALL SELECT 'legacy', pack_id, program, family, layer, base, rank, 0, 9000, NULL, NULL, NULL FROM packs"""))
 def q_scan_catalog(spark, d):
+    """Both formats of a catalog written and read; which one is there is found out."""
     path = new_dir(spark, "catalog")
-    S.packs(spark, d).withColumns({"train_lo": F.lit(0), "train_hi": F.lit(9000)}).withColumnsRenamed({"pack_id": "pack", "rank": "order", "train_lo": "train_min", "train_hi": "train_max"}).write.parquet(path)
-    return TB.scan_catalog(spark, path, "legacy")
+    packs = S.packs(spark, d)
+    window = {"train_lo": F.lit(0), "train_hi": F.lit(9000)}
+    packs.withColumns(window).withColumnsRenamed({"pack_id": "pack", "rank": "order", "train_lo": "train_min", "train_hi": "train_max"}).write.parquet(f"{path}/old")
+    routes = S.pack_routes(packs).groupBy("pack_id").agg(F.array_join(F.sort_array(F.collect_list("route")), ",").alias("route_ids"),
+                                                         F.array_join(F.collect_list(F.substring("route", 7, 1)), ",").alias("sequences"))
+    library = packs.join(routes, "pack_id").withColumns({**window, "pools": F.concat_ws(",", "supp", "supp", F.col("supp") + 1, F.col("supp") + 2)})
+    library.withColumnsRenamed({"program": "program_id", "family": "family_id", "train_lo": "train_min_slot", "train_hi": "train_max_slot"}).write.parquet(f"{path}/new/library")
+    found = [TB.scan_catalog(spark, f"{path}/{at}").withColumn("fmt", F.lit(fmt)) for fmt, at in (("library", "new"), ("legacy", "old"))]
+    return found[0].unionByName(found[1]).withColumn("routes", F.array_join("routes", ","))
 
 
 @query("export_bundle_tables", with_ctes("""
-  SELECT 'pool_stats' AS name, (SELECT count(*) FROM priors p FULL JOIN pr_count c ON c.pool = p.pool) AS rows UNION ALL SELECT 'pool_routes', (SELECT count(*) FROM pr_top)
-  UNION ALL SELECT 'routes', (SELECT count(*) FROM pool_route_ids WHERE route IN (SELECT route FROM pr_top)) UNION ALL SELECT 'thresholds', 3 UNION ALL SELECT 'eval', (SELECT count(*) FROM bgrid)"""))
+  SELECT 'pool_stats' AS name, (SELECT count(*) FROM priors p FULL JOIN pr_count c ON c.pool = p.pool) AS rows, (SELECT sum(touch) FROM priors)::BIGINT AS content
+  UNION ALL SELECT 'pool_routes', (SELECT count(*) FROM pr_top), (SELECT sum(support) FROM pr_top)::BIGINT
+  UNION ALL SELECT 'routes', (SELECT count(*) FROM pool_route_ids WHERE route IN (SELECT route FROM pr_top)), (SELECT sum(pool) FROM pool_route_ids WHERE route IN (SELECT route FROM pr_top))::BIGINT
+  UNION ALL SELECT 'thresholds', 3, (SELECT sum(sends) FROM (SELECT sends FROM bgrid QUALIFY row_number() OVER (PARTITION BY budget_per_hour ORDER BY val_coins_per_hour DESC, sends) = 1))::BIGINT
+  UNION ALL SELECT 'eval', (SELECT count(*) FROM bgrid), (SELECT sum(val_captured) FROM bgrid)::BIGINT"""))
 def q_export_bundle(spark, d):
+    """A bundle written, checked whole and read back: rows and a sum of each table."""
     path = new_dir(spark, "bundle")
     grid = materialise(PQ.budget_grid(spark, d), "grid")
     w = M.W.partitionBy("budget_per_hour").orderBy(F.desc("val_coins_per_hour"), "sends")
     best = grid.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("budget_per_hour", "threshold", "sends")
     TB.export_bundle(path, PQ.q_pool_stats(spark, d), PQ.q_rank_pool_routes(spark, d), PQ.routes_long(spark, d), best, grid)
-    parts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in ("pool_stats", "pool_routes", "routes", "thresholds", "eval")]
+    tables = TB.scan_bundle(spark, path, whole=True)
+    content = {"pool_stats": "touch", "pool_routes": "support", "routes": "pool", "thresholds": "sends", "eval": "val_captured"}
+    parts = [df.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(content[n]).cast("bigint").alias("content")) for n, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
