@@ -261,3 +261,59 @@ def counter_health(snaps: DataFrame, max_age: int, chunk: int = 100_000) -> Data
 def share_table(df: DataFrame, key: str) -> DataFrame:
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return beside(g, g.agg(F.sum("n").alias("_t"))).select(key, "n", ratio("n", "_t").alias("share"))
+
+
+def contract(gates: DataFrame, mismatches: DataFrame, hurdle: int | None = None, ready_pools: DataFrame | None = None) -> DataFrame:
+    """Checklist per candidate (`would_send_new`): hops synced, not updating, no unresolved mismatch of its pool, a ready
+    generation, a quote above the hurdle, ready to race; `open` when all hold.
+
+    `gates` has the columns of the gate journal; `mismatches`: (pool_idx) still unresolved; `ready_pools`: (pool_idx) that can
+    be raced besides the executable family. A missing value fails its check.
+    """
+    true = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    limit = fee_hurdle() if hurdle is None else F.lit(hurdle)
+    x = gates.where(true("would_send_new")).join(mismatches.select("pool_idx", F.lit(True).alias("_m")).distinct(), "pool_idx", "left")
+    ready = true("exec_fam")
+    if ready_pools is not None:
+        x = x.join(ready_pools.select("pool_idx", F.lit(True).alias("_r")).distinct(), "pool_idx", "left")
+        ready = ready | F.col("_r").isNotNull()
+    checks = {"hops_synced": true("synced_all") & F.coalesce(F.col("n_sync") == F.col("n_hop"), F.lit(False)), "not_updating": ~true("updating"), "no_mismatch": F.col("_m").isNull(),
+              "generation_ok": F.coalesce(F.col("state_gen") > 0, F.lit(False)) & true("s007_ready"), "quote_ok": F.coalesce(F.col("cap_gross") > limit, F.lit(False)), "ready": ready}
+    out = x.select(*gates.columns, *[c.alias(n) for n, c in checks.items()])
+    return out.withColumn("open", F.expr(" AND ".join(checks)))
+
+
+def addressable(rows: DataFrame, classes: DataFrame, key: str = "pool") -> DataFrame:
+    """Coverage of what could be addressed: known addressable rows over addressable ones; rows whose pool has no class are
+    counted, but are in no denominator of the coverage.
+
+    `classes`: (pool, cls, compiled), one row per pool; `cls` is `compatible` or anything else.
+    """
+    x = rows.join(classes.select(key, "cls", "compiled"), key, "left")
+    ok = F.col("cls") == "compatible"
+    g = x.agg(F.count(F.lit(1)).alias("all_n"), count_if(ok).alias("addressable"), count_if(ok & F.col("compiled")).alias("known_addressable"),
+              count_if(F.col("cls").isNotNull() & ~ok).alias("incompatible"), count_if(F.col("cls").isNull()).alias("unclassified"))
+    share = lambda a, b: 100.0 * ratio(a, b)
+    return g.select("*", share("known_addressable", "addressable").alias("coverage_pct"), share("addressable", "all_n").alias("share_pct"))
+
+
+def first_kill(events: DataFrame) -> DataFrame:
+    """Pools by the return code of their first change from exact to dirty, in log order.
+
+    `events`: (pool, seq, rc, before, after), grades in capitals. Each task hands on one row per pool.
+    """
+    killed = events.where((F.col("before") == "EXACT") & (F.col("after") == "DIRTY"))
+    first = killed.groupBy("pool").agg(F.min_by("rc", "seq").alias("rc"))
+    return first.groupBy("rc").agg(F.count(F.lit(1)).alias("pools"))
+
+
+def kill_gap(events: DataFrame, kill_rc: str, gap_rc: str) -> DataFrame:
+    """Per pool in log order: events, first kill with this return code, first gap, and gaps after that kill.
+
+    Events meet one row per pool with its kill, and are counted in the tasks that hold them.
+    """
+    kill = events.where((F.col("before") == "EXACT") & (F.col("after") == "DIRTY") & (F.col("rc") == kill_rc)).groupBy("pool").agg(F.min("seq").alias("kill_seq"))
+    gap = F.col("rc") == gap_rc
+    x = events.join(kill, "pool", "left")
+    return x.groupBy("pool").agg(F.count(F.lit(1)).alias("events"), F.max("kill_seq").alias("kill_seq"), F.min(F.when(gap, F.col("seq"))).alias("first_gap"),
+                                 count_if(gap & (F.col("seq") > F.col("kill_seq"))).alias("gaps_after"))

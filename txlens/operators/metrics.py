@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from txlens.functions import ordstat
 from txlens.functions.numbers import beside, count_if, each, ratio, sum_if, wilson_bounds
 from txlens.operators.splits import cut_bin
+from txlens.session import materialise
 
 # Fixed values
 TOP_FRACTIONS = (0.5, 0.2, 0.1, 0.05, 0.02, 0.01)
@@ -102,6 +103,7 @@ def topk_coverage(df: DataFrame, score: str, ks=(1, 2, 3)) -> DataFrame:
 
 def size_quality(df: DataFrame, actual: str, predicted: str, train_mean: float) -> DataFrame:
     """Rank correlation, log error against the train-mean baseline, share of the top 1% found in the predicted top 5%."""
+    df = materialise(df.select(actual, predicted), "sizes")  # everything below reads this
     a_cut = ordstat.quantile_list(df, actual, [0.99])[0]
     p_cut = ordstat.quantile_list(df, predicted, [0.95])[0]
     # a row without one of the two values has no rank there and stays out of the correlation only
@@ -115,16 +117,25 @@ def size_quality(df: DataFrame, actual: str, predicted: str, train_mean: float)
 
 
 def landing_summary(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, landed rate, ROC-AUC of landing, average precision of failure, Brier score."""
-    both = df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p"), (1 - F.col(y)).alias("_f"), (-F.col(p)).alias("_q"))
-    land = classifier_summary(both, "_y", "_p", by).select(*by, "n", F.col("base_rate").alias("landed_rate"), "roc_auc")
-    fail = classifier_summary(both, "_f", "_q", by).select(*by, F.col("base_rate").alias("fail_base_rate"),
-                                                           F.col("pr_auc").alias("fail_pr_auc"))
-    sq = (F.col("_y") - F.col("_p")) * (F.col("_y") - F.col("_p"))
-    brier = both.groupBy(*by).agg(F.avg(sq).alias("brier")) if by else both.agg(F.avg(sq).alias("brier"))
-    if by:
-        return land.join(fail, list(by)).join(brier, list(by))
-    return beside(beside(land, fail), brier)
+    """n, landed rate, ROC-AUC of landing, average precision of failure, Brier score: all from one pass over the scores.
+
+    Failure is ranked by falling scores, so its running counts are what the counts of landing leave of the totals.
+    """
+    land = F.col(y).cast("bigint")
+    sq = (F.col(y) - F.col(p)) * (F.col(y) - F.col(p))
+    c = ordstat.cumulate(df.where(F.col(y).isNotNull()), p, {"n": F.count(F.lit(1)), "pos": F.sum(land), "sq": F.sum(sq)}, by, desc=True)
+    rank = F.col("tot_n") - F.col("cum_n") + (F.col("n") + 1) / 2.0
+    fail, tot_fail = F.col("n") - F.col("pos"), F.col("tot_n") - F.col("tot_pos")
+    below_n = F.col("tot_n") - F.col("cum_n") + F.col("n")
+    below_fail = below_n - (F.col("tot_pos") - F.col("cum_pos") + F.col("pos"))
+    step = F.when(tot_fail > 0, fail / tot_fail * (below_fail / below_n))
+    aggs = [F.sum("n").alias("n"), F.sum("pos").alias("_pos"), F.sum(F.col("pos") * rank).alias("_s"), F.sum(step).alias("_ap"), F.sum("sq").alias("_sq")]
+    g = c.groupBy(*by).agg(*aggs) if by else c.agg(*aggs)
+    n1 = F.col("_pos").cast("double")
+    n0 = F.col("n") - n1
+    both = (n1 > 0) & (n0 > 0)
+    return g.select(*by, "n", ratio("_pos", "n").alias("landed_rate"), F.when(both, (F.col("_s") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("roc_auc"), ratio(n0, "n").alias("fail_base_rate"),
+                    F.when(both, F.col("_ap")).alias("fail_pr_auc"), (F.col("_sq") / F.col("n")).alias("brier"))
 
 
 def gate_tradeoff(df: DataFrame, y: str, p: str, cutoffs: Sequence[float]) -> DataFrame:

@@ -53,6 +53,13 @@ def ev_landing(p: str, size: str, landed: str) -> Column:
     return F.col(landed) * ev_size(p, size)
 
 
+def ev_score(p: str, size: str, landed: str | None = None, has_candidate: str = "has_candidate", encoded: Column | None = None) -> Column:
+    """What a threshold applies to: the expected value, minus infinity without a candidate or when not encoded."""
+    value = ev_size(p, size) if landed is None else ev_landing(p, size, landed)
+    sendable = F.col(has_candidate) & (F.col("encode_status") == 0 if encoded is None else encoded)
+    return F.when(F.coalesce(sendable, F.lit(False)), F.coalesce(value, F.lit(float("-inf")))).otherwise(F.lit(float("-inf")))
+
+
 def accept_ranker(learned_top1: float | None, static_top1: float | None) -> bool:
     """Whether to order pairs by the model: on validation it must put a right pack first more often than the catalog does."""
     return (learned_top1 or 0.0) > (static_top1 or 0.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from txlens.functions.numbers import beside, count_if, each, ratio, sum_if
+from txlens.operators.sets import best_per_key
 
 # Fixed values
 RATE_PRIOR = 0.1
@@ -110,7 +111,10 @@ def candidates(tx_pools: DataFrame, pool_routes_df: DataFrame) -> DataFrame:
         F.max("support").alias("support"))
 
 
-def rank_candidates(cands: DataFrame) -> DataFrame:
+def rank_candidates(cands: DataFrame, most: int | None = None) -> DataFrame:
+    """0-based rank in the transaction by support, then route; with `most` only the first ranks, limited before the shuffle."""
+    if most is not None:
+        return best_per_key(cands, ["tx_id"], [F.desc("support"), "route"], most, "r")
     w = W.partitionBy("tx_id").orderBy(F.desc("support"), "route")
     return cands.withColumn("r", F.row_number().over(w) - 1)
 
@@ -124,9 +128,9 @@ def has_candidate(tx_pools: DataFrame, counts: DataFrame) -> DataFrame:
     return tx_pools.join(counts, "pool", "left_semi").select("tx_id").distinct()
 
 
-def packs_of_three(ranked: DataFrame, sends: int) -> DataFrame:
-    """The top 3*L candidate routes grouped in L packs of three consecutive ranks."""
-    top = ranked.where(F.col("r") < ROUTES_PER_PACK * sends).withColumn("pack", F.floor(F.col("r") / ROUTES_PER_PACK))
+def packs_of_three(cands: DataFrame, sends: int) -> DataFrame:
+    """The top 3*L candidate routes (tx_id, route, support) grouped in L packs of three consecutive ranks."""
+    top = rank_candidates(cands, ROUTES_PER_PACK * sends).withColumn("pack", F.floor(F.col("r") / ROUTES_PER_PACK))
     rows = top.groupBy("tx_id", "pack").agg(F.array_sort(F.collect_list(F.struct("r", "route"))).alias("rs"))
     return rows.select("tx_id", "pack", F.array_join(F.transform("rs", lambda x: x["route"]), ",").alias("routes"))
 

@@ -48,6 +48,38 @@ def relevance(keys: DataFrame, accounts: DataFrame, programs: DataFrame) -> Data
     return g.withColumn("relevant", (F.col("market_writable") + F.col("market_readonly") + F.col("venue_program") > 0).cast("int"))
 
 
+def gate(name: str) -> Column:
+    """A gate over the counts of `relevance`: `relevant` (any of them), `writes` (a tracked account is writable), or
+    `writes_or_program` (that, or a program of a venue is named). A missing count is no hit."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    found = {"relevant": F.coalesce(F.col("relevant") == 1, F.lit(False)), "writes": n("market_writable"), "writes_or_program": n("market_writable") | n("venue_program")}
+    if name not in found:
+        raise ValueError(name)
+    return found[name]
+
+
+GATES = ("relevant", "writes", "writes_or_program")
+
+
+def extras(keys: DataFrame, ixs: DataFrame, pools: DataFrame, base: str) -> DataFrame:
+    """Per transaction of `keys`: distinct known pools named at all, statically and writably, swaps and router calls with
+    their largest amount, and whether the base account is among its keys.
+
+    `keys`: (tx_id, account, is_static, writable); `ixs`: (tx_id, kind, amount) with kinds `swap` and `router`; `pools`: (pool).
+    Lists are sorted and empty where nothing is named; amounts are 0 without a call.
+    """
+    known = pools.select(F.col("pool").cast("string").alias("account"), F.lit(True).alias("_p")).distinct()
+    k = keys.withColumn("account", F.col("account").cast("string")).join(known, "account", "left")
+    named = lambda c: F.array_sort(F.collect_set(F.when(F.col("_p") & c, F.col("account"))))
+    per = k.groupBy("tx_id").agg(named(F.lit(True)).alias("pools_all"), named(F.col("is_static")).alias("pools_static"), named(F.col("writable")).alias("pools_writable"),
+                                 F.max((F.col("account") == base).cast("int")).cast("boolean").alias("base_in_keys"))
+    call = lambda kind: F.col("kind") == kind
+    largest = lambda kind: F.coalesce(F.max(F.when(call(kind), F.col("amount"))), F.lit(0)).cast("bigint")
+    calls = ixs.groupBy("tx_id").agg(count_if(call("swap")).alias("n_swaps"), largest("swap").alias("max_swap"), count_if(call("router")).alias("n_router"), largest("router").alias("max_router"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_swaps", "max_swap", "n_router", "max_router")]
+    return per.join(calls, "tx_id", "left").select("tx_id", "pools_all", "pools_writable", "pools_static", *zero, F.coalesce("base_in_keys", F.lit(False)).alias("base_in_keys"))
+
+
 def adjacent_share(ix_keys: DataFrame) -> DataFrame:
     """Per transaction: consecutive instructions that share an account, and that share a writable account.
 

@@ -344,3 +344,26 @@ def drift(live: DataFrame, offline: DataFrame, columns: Sequence[str], limit: fl
     j = deciles(live, "live").join(deciles(offline, "offline"), ["feature", "q"])
     shift = F.abs(F.col("live") - F.col("offline")) / F.greatest(F.abs("offline"), F.lit(1e-9))
     return j.select("feature", "q", "live", "offline", (shift > limit).alias("shifted"))
+
+
+def reference_hour(mev: DataFrame, events: DataFrame, by: str = "hour") -> DataFrame:
+    """Size of the market beside what was seen live, per hour: all trades and the simple ones with their value, and live
+    events by class; an hour without live events has null there.
+
+    `mev`: (hour, value, simple); `events`: (hour, cls) with classes exact, unknown and others.
+    """
+    simple = F.coalesce(F.col("simple"), F.lit(False))
+    h = mev.groupBy(by).agg(F.count(F.lit(1)).alias("all_n"), sum_if(F.lit(True), "value").alias("all_value"), count_if(simple).alias("two_n"), sum_if(simple, "value").alias("two_value"))
+    known = F.col("cls").isin("exact", "unknown")
+    e = events.groupBy(by).agg(count_if(F.col("cls") == "exact").alias("exact_n"), count_if(F.col("cls") == "unknown").alias("unknown_n"), count_if(~known | F.col("cls").isNull()).alias("other_n"))
+    return h.join(e, by, "left")
+
+
+def ab_causes(old: DataFrame, new: DataFrame, missing: Sequence[str]) -> DataFrame:
+    """Causes of the old run beside those of the new one, what vanished of each, and which belong to the missing inputs.
+
+    `old`, `new`: (cause), a row per occurrence; both sides are counted in one pass.
+    """
+    both = old.select("cause", F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select("cause", F.lit(0).alias("o"), F.lit(1).alias("n")))
+    g = both.groupBy("cause").agg(F.sum("o").alias("old"), F.sum("n").alias("new"))
+    return g.select("cause", "old", "new", (F.col("old") - F.col("new")).alias("vanished"), F.coalesce(F.col("cause").isin(*missing), F.lit(False)).alias("missing_cause"))

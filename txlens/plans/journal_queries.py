@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from txlens.functions.numbers import beside, cents, count_if, rounded, rounded_all, sum_if
 from txlens.functions.ordstat import index_percentiles
 from txlens.operators import funnel as FU
+from txlens.operators import truth as T
 from txlens.plans import standin as S
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
@@ -451,12 +452,13 @@ def q_health(spark, d):
   SELECT event_id, synced_all AND k % 3 = 2 AS hops_synced, user_id % 7 <> 0 AS not_updating, user_id NOT IN (SELECT user_id FROM gates WHERE event_type = 'error' AND k = 0) AS no_mismatch,
          k > 5 AND mut_ok_all AS generation_ok, gross > 525 AS quote_ok, race_ready OR exec_fam AS ready FROM gates WHERE searchable"""))
 def q_contract(spark, d):
-    g = gates(spark, d)
-    bad = g.where((F.col("event_type") == "error") & (F.col("k") == 0)).select("user_id").distinct().withColumn("_m", F.lit(1))
-    x = g.where("searchable").join(bad, "user_id", "left")
-    return x.select("event_id", (F.col("synced_all") & (F.col("k") % 3 == 2)).alias("hops_synced"), (F.col("user_id") % 7 != 0).alias("not_updating"),
-                    F.col("_m").isNull().alias("no_mismatch"), ((F.col("k") > 5) & F.col("mut_ok_all")).alias("generation_ok"), (F.col("gross") > 525).alias("quote_ok"),
-                    (F.col("race_ready") | F.col("exec_fam")).alias("ready"))
+    g, k = gates(spark, d), F.col("k")
+    journal = g.where("searchable").select("event_id", F.col("user_id").alias("pool_idx"), F.lit(1).alias("would_send_new"), "synced_all", F.lit(2).alias("n_hop"), (k % 3).alias("n_sync"),
+                                           (F.col("user_id") % 7 == 0).alias("updating"), (k - 5).alias("state_gen"), F.col("mut_ok_all").alias("s007_ready"), F.col("gross").alias("cap_gross"), "exec_fam", "race_ready")
+    bad = g.where((F.col("event_type") == "error") & (k == 0)).select(F.col("user_id").alias("pool_idx"))
+    race = journal.where("race_ready").select("pool_idx")
+    found = FU.contract(journal, bad, 525, race)
+    return found.select("event_id", "hops_synced", "not_updating", "no_mismatch", "generation_ok", "quote_ok", "ready")
 
 
 @query("addressable_coverage", with_ctes(f"""
@@ -465,14 +467,10 @@ def q_contract(spark, d):
          count(*) FILTER (cls = 'incompatible') AS incompatible, count(*) FILTER (cls IS NULL) AS unclassified,
          {r6("100 * count(*) FILTER (cls = 'compatible' AND compiled) / count(*) FILTER (cls = 'compatible')")} AS coverage_pct, {r6("100 * count(*) FILTER (cls = 'compatible') / count(*)")} AS share_pct FROM c"""))
 def q_addressable(spark, d):
-    rows = gates(spark, d).select("user_id")
-    u = F.col("user_id")
-    cls = rows.distinct().where(u % 5 != 0).select("user_id", F.when(u % 5 == 1, "incompatible").otherwise("compatible").alias("cls"), (u % 3 == 0).alias("compiled"))
-    x = rows.join(cls, "user_id", "left")
-    ok = F.col("cls") == "compatible"
-    g = x.agg(F.count(F.lit(1)).alias("all_n"), count_if(ok).alias("addressable"), count_if(ok & F.col("compiled")).alias("known_addressable"),
-              count_if(F.col("cls") == "incompatible").alias("incompatible"), count_if(F.col("cls").isNull()).alias("unclassified"))
-    return g.select("*", rounded(100.0 * F.col("known_addressable") / F.col("addressable")).alias("coverage_pct"), rounded(100.0 * F.col("addressable") / F.col("all_n")).alias("share_pct"))
+    rows = gates(spark, d).select(F.col("user_id").alias("pool"))
+    u = F.col("pool")
+    cls = rows.distinct().where(u % 5 != 0).select("pool", F.when(u % 5 == 1, "incompatible").otherwise("compatible").alias("cls"), (u % 3 == 0).alias("compiled"))
+    return rounded_all(FU.addressable(rows, cls), ["coverage_pct", "share_pct"])
 
 
 @query("ab_causes", with_ctes("""
@@ -480,7 +478,5 @@ def q_addressable(spark, d):
     (SELECT 'c' || (k % 9) AS cause, count(*) FILTER (event_id % 2 = 0) AS old, count(*) FILTER (event_id % 2 = 1 AND k % 9 <> 4) AS new FROM gates GROUP BY 1)"""))
 def q_ab_causes(spark, d):
     g = gates(spark, d).select("event_id", "k", F.concat(F.lit("c"), F.col("k") % 9).alias("cause"))
-    old = g.where(F.col("event_id") % 2 == 0).select("cause", F.lit("old").alias("tag"))
-    new = g.where((F.col("event_id") % 2 == 1) & (F.col("k") % 9 != 4)).select("cause", F.lit("new").alias("tag"))
-    p = old.unionByName(new).groupBy("cause").pivot("tag", ["old", "new"]).agg(F.count(F.lit(1))).fillna(0)
-    return p.select("cause", "old", "new", (F.col("old") - F.col("new")).alias("vanished"), F.col("cause").isin("c1", "c2", "c3", "c4", "c5").alias("missing_cause"))
+    old, new = g.where(F.col("event_id") % 2 == 0), g.where((F.col("event_id") % 2 == 1) & (F.col("k") % 9 != 4))
+    return T.ab_causes(old, new, [f"c{i}" for i in range(1, 6)])

@@ -8,9 +8,11 @@ from txlens.functions import bits
 from txlens.functions.numbers import BASE_FEE, LAMPORTS_PER_COIN, beside, count_if, ratio, rounded, rounded_all, sum_if
 from txlens.operators import labels as L
 from txlens.operators import metrics as M
+from txlens.operators import models as MD
 from txlens.operators import policy as P
 from txlens.operators import pools as PO
 from txlens.operators import splits as SP
+from txlens.operators import structure as ST
 from txlens.plans import label_queries as LQ
 from txlens.plans import metric_queries as MQ
 from txlens.plans import standin as S
@@ -162,7 +164,10 @@ def q_rank_candidates(spark, d):
 
 @query("route_hit", with_ctes("SELECT * FROM hits"))
 def q_route_hit(spark, d):
-    return PO.hit_rank(ranked_candidates(spark, d), LQ.tx_routes(spark, d))
+    # only a transaction with profitable routes can be hit
+    routes = LQ.tx_routes(spark, d)
+    pools = tx_pools(spark, d).join(routes.select("tx_id").distinct(), "tx_id", "left_semi")
+    return PO.hit_rank(PO.rank_candidates(PO.candidates(pools, PO.pool_routes(train_pool_routes(spark, d), CAP))), routes)
 
 
 @query("has_candidate", with_ctes("SELECT DISTINCT tx_id FROM tx_pools JOIN pr_count USING (pool)"))
@@ -173,7 +178,7 @@ def q_has_candidate(spark, d):
 @query("top_packs", with_ctes("""
   SELECT tx_id, r // 3 AS pack, string_agg(route, ',' ORDER BY r) AS routes FROM cand WHERE r < 6 GROUP BY tx_id, r // 3"""))
 def q_top_packs(spark, d):
-    return PO.packs_of_three(ranked_candidates(spark, d), 2)
+    return PO.packs_of_three(q_candidate_routes(spark, d), 2)
 
 
 @query("route_availability", with_ctes(f"""
@@ -216,11 +221,13 @@ def q_sweep_crosscheck(spark, d):
 def lookup(spark, d):
     """Val and test transactions with the hit rank of their candidates, over route tables built once."""
     routes = materialise(LQ.tx_routes(spark, d).distinct(), "routes")
-    pools = materialise(tx_pools(spark, d), "tx-pools")
     sc = MQ.scored(spark, d)
+    pools = materialise(tx_pools(spark, d).join(sc.where(F.col("split") != "train").select("tx_id"), "tx_id", "left_semi"), "tx-pools")
+    # candidates of those only that have profitable routes: no other transaction can be hit
+    wanted = pools.join(routes.select("tx_id").distinct(), "tx_id", "left_semi")
     train = MQ.split_tx(spark, d).where(F.col("split") == "train").select("tx_id")
     rows = materialise(PO.pool_route_rows(PO.route_support(routes.join(train, "tx_id", "left_semi")), routes_long(spark, d)), "pool-routes")
-    hits = PO.hit_rank(PO.rank_candidates(PO.candidates(pools, PO.pool_routes(rows, CAP))), routes)
+    hits = PO.hit_rank(PO.rank_candidates(PO.candidates(wanted, PO.pool_routes(rows, CAP))), routes)
     cand = PO.has_candidate(pools, rows).withColumn("_c", F.lit(True))
     x = sc.where(F.col("split") != "train").join(hits, "tx_id", "left").join(cand, "tx_id", "left").withColumn(
         "has_candidate", F.coalesce("_c", F.lit(False))).drop("_c")
@@ -229,11 +236,11 @@ def lookup(spark, d):
 
 @query("ev_score", with_ctes(f"""
   SELECT tx_id, {r6('arb_score * exp(size_pred / 4e0)')} AS ev_size, {r6('(landed * 0.5e0 + 0.25e0) * arb_score * exp(size_pred / 4e0)')} AS ev_landing,
-         CASE WHEN has_candidate AND encode_status = 0 THEN {r6('ev')} ELSE '-inf'::DOUBLE END AS s FROM lookup"""))
+         CASE WHEN has_candidate AND encode_status = 0 THEN {r6('arb_score * exp(size_pred / 4e0)')} ELSE '-inf'::DOUBLE END AS s FROM lookup"""))
 def q_ev_score(spark, d):
-    e = F.col("arb_score") * F.exp(F.col("size_pred") / 4.0)
-    return lookup(spark, d).select("tx_id", rounded(e).alias("ev_size"), rounded((F.col("landed") * 0.5 + 0.25) * e).alias("ev_landing"),
-                                   rounded("s").alias("s"))
+    x = lookup(spark, d).withColumns({"size": F.col("size_pred") / 4.0, "p_land": F.col("landed") * 0.5 + 0.25})
+    return x.select("tx_id", rounded(MD.ev_size("arb_score", "size")).alias("ev_size"), rounded(MD.ev_landing("arb_score", "size", "p_land")).alias("ev_landing"),
+                    rounded(MD.ev_score("arb_score", "size")).alias("s"))
 
 
 HOURS = {"val": 10.0, "test": 12.0}
@@ -414,12 +421,7 @@ def q_universe_freeze(spark, d):
   WITH g AS (SELECT tx_id, count(*) FILTER (writable) AS mw, count(*) FILTER (supp % 4 = 0) AS vp FROM trig GROUP BY tx_id)
   SELECT g.tx_id, relevant = 1 AS relevant, mw > 0 AS writes, mw > 0 OR vp > 0 AS writes_or_program FROM g JOIN tx USING (tx_id)"""))
 def q_gate_variants(spark, d):
-    return gates(spark, d).select("tx_id", *[c.alias(n) for n, c in gate_columns().items()])
-
-
-def gate_columns():
-    return {"relevant": F.col("relevant") == 1, "writes": F.col("market_writable") > 0,
-            "writes_or_program": (F.col("market_writable") > 0) | (F.col("venue_program") > 0)}
+    return gates(spark, d).select("tx_id", *[ST.gate(n).alias(n) for n in ST.GATES])
 
 
 def gates(spark, d):
@@ -435,27 +437,24 @@ def gates(spark, d):
 def q_gate_pass(spark, d):
     x = MQ.scored(spark, d).where(F.col("split") == "test").select("tx_id", "group").join(gates(spark, d), "tx_id")
     return x.groupBy("group").agg(F.count(F.lit(1)).alias("txs"),
-                                  *[rounded(F.avg(c.cast("int"))).alias(f"pass_{n}") for n, c in gate_columns().items()])
+                                  *[rounded(F.avg(ST.gate(n).cast("int"))).alias(f"pass_{n}") for n in ST.GATES])
 
 
 S.CTE["extras"] = """
-  SELECT tx_id, list_sort(list(DISTINCT pool)) AS pools_all, list_sort(list(DISTINCT pool) FILTER (writable)) AS pools_writable,
-         list_sort(list(DISTINCT pool) FILTER (layer = 'TOP_LEVEL')) AS pools_static, count(*) FILTER (supp % 2 = 0) AS n_swaps,
+  SELECT tx_id, list_sort(list(DISTINCT pool::VARCHAR)) AS pools_all, list_sort(list(DISTINCT pool::VARCHAR) FILTER (writable)) AS pools_writable,
+         list_sort(list(DISTINCT pool::VARCHAR) FILTER (layer = 'TOP_LEVEL')) AS pools_static, count(*) FILTER (supp % 2 = 0) AS n_swaps,
          coalesce(max(amount) FILTER (supp % 2 = 0), 0) AS max_swap, count(*) FILTER (supp % 5 = 0) AS n_router,
          coalesce(max(amount) FILTER (supp % 5 = 0), 0) AS max_router, count(*) FILTER (pool % 97 = 0) > 0 AS base_in_keys FROM trig GROUP BY tx_id"""
 
 
 def extras(spark, d):
-    """Distinct pools named (all, writable, static), swap and router counts with largest amounts, base flag."""
+    """Pools are the accounts a row names; a row of every 97th pool also names the base account."""
     t = S.trig(spark, d)
-    swap, router = F.col("supp") % 2 == 0, F.col("supp") % 5 == 0
-    names = lambda c: F.array_sort(F.collect_set(c))
-    return t.groupBy("tx_id").agg(
-        names(F.col("pool")).alias("pools_all"), names(F.when(F.col("writable"), F.col("pool"))).alias("pools_writable"),
-        names(F.when(F.col("layer") == "TOP_LEVEL", F.col("pool"))).alias("pools_static"), count_if(swap).alias("n_swaps"),
-        F.coalesce(F.max(F.when(swap, F.col("amount"))), F.lit(0)).alias("max_swap"), count_if(router).alias("n_router"),
-        F.coalesce(F.max(F.when(router, F.col("amount"))), F.lit(0)).alias("max_router"),
-        (count_if(F.col("pool") % 97 == 0) > 0).alias("base_in_keys"))
+    keys = t.select("tx_id", F.col("pool").cast("string").alias("account"), (F.col("layer") == "TOP_LEVEL").alias("is_static"), "writable")
+    keys = keys.unionByName(t.where(F.col("pool") % 97 == 0).select("tx_id", F.lit("BASE").alias("account"), F.lit(True).alias("is_static"), F.lit(False).alias("writable")))
+    ixs = [t.where(F.col("supp") % n == 0).select("tx_id", F.lit(kind).alias("kind"), "amount") for kind, n in (("swap", 2), ("router", 5))]
+    pools = S.table(spark, d, "part").select(F.col("p_partkey").alias("pool"))
+    return ST.extras(keys, ixs[0].unionByName(ixs[1]), pools, "BASE")
 
 
 @query("extras", with_ctes("""
@@ -463,7 +462,7 @@ def extras(spark, d):
          coalesce(array_to_string(pools_static, ','), '') AS pools_static, n_swaps, max_swap, n_router, max_router, base_in_keys FROM extras"""))
 def q_extras(spark, d):
     e = extras(spark, d)
-    return e.select(*[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) if c.startswith("pools") else F.col(c) for c in e.columns])
+    return e.select(*[F.array_join(c, ",").alias(c) if c.startswith("pools") else F.col(c) for c in e.columns])
 
 
 @query("log_extras", with_ctes(f"""

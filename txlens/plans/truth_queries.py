@@ -10,6 +10,7 @@ from txlens.operators import funnel as FU
 from txlens.operators import graph as G
 from txlens.operators import labels as L
 from txlens.operators import metrics as M
+from txlens.operators import sets as SE
 from txlens.operators import live as LV
 from txlens.operators import truth as T
 from txlens.plans import journal_queries as JQ
@@ -667,9 +668,9 @@ def q_parity(spark, d):
 def q_reference_hour(spark, d):
     g = JQ.gates(spark, d)
     k = F.col("k") % 5
-    h = g.groupBy("slot").agg(F.count(F.lit(1)).alias("all_n"), F.sum("gross").alias("all_value"), count_if(F.col("exec_fam")).alias("two_n"), sum_if(F.col("exec_fam"), "gross").alias("two_value"))
-    e = g.where("known").groupBy("slot").agg(count_if(k == 4).alias("exact_n"), count_if(k == 3).alias("unknown_n"), count_if(k < 3).alias("other_n"))
-    return h.join(e, "slot", "left")
+    mev = g.select("slot", F.col("gross").alias("value"), F.col("exec_fam").alias("simple"))
+    events = g.where("known").select("slot", F.when(k == 4, "exact").when(k == 3, "unknown").otherwise("other").alias("cls"))
+    return T.reference_hour(mev, events, "slot")
 
 
 # ---------------------------------------------------------------- windows over event logs
@@ -680,19 +681,19 @@ KILL_SQL = "ev AS (SELECT user_id AS pool, event_id AS seq, event_type AS rc, k
 @query("first_kill", with_ctes(f"""
   WITH {KILL_SQL}, f AS (SELECT pool, min_by(rc, seq) AS rc, min(seq) AS seq FROM ev WHERE killed GROUP BY pool) SELECT rc, count(*) AS pools FROM f GROUP BY rc"""))
 def q_first_kill(spark, d):
-    e = JQ.gates(spark, d).where(F.col("k") % 3 == 0).groupBy(F.col("user_id").alias("pool")).agg(F.min_by("event_type", "event_id").alias("rc"))
-    return e.groupBy("rc").agg(F.count(F.lit(1)).alias("pools"))
+    return FU.first_kill(kill_events(spark, d))
+
+
+def kill_events(spark, d):
+    grade = F.when(F.col("k") % 3 == 0, "DIRTY").otherwise("EXACT")
+    return JQ.gates(spark, d).select(F.col("user_id").alias("pool"), F.col("event_id").alias("seq"), F.col("event_type").alias("rc"), F.lit("EXACT").alias("before"), grade.alias("after"))
 
 
 @query("first_kill_then_gap", with_ctes(f"""
   WITH {KILL_SQL}, f AS (SELECT pool, min(seq) FILTER (killed AND rc = 'click') AS kill_seq, min(seq) FILTER (rc = 'error') AS first_gap, count(*) AS events FROM ev GROUP BY pool)
   SELECT f.pool, events, kill_seq, first_gap, count(*) FILTER (rc = 'error' AND seq > kill_seq) AS gaps_after FROM f JOIN ev ON ev.pool = f.pool GROUP BY f.pool, events, kill_seq, first_gap"""))
 def q_kill_gap(spark, d):
-    e = JQ.gates(spark, d).select(F.col("user_id").alias("pool"), F.col("event_id").alias("seq"), F.col("event_type").alias("rc"), (F.col("k") % 3 == 0).alias("killed"))
-    f = e.groupBy("pool").agg(F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("killed") & (F.col("rc") == "click"), F.col("seq"))).alias("kill_seq"),
-                              F.min(F.when(F.col("rc") == "error", F.col("seq"))).alias("first_gap"))
-    gaps = e.where(F.col("rc") == "error").join(f.select("pool", "kill_seq"), "pool").where(F.col("seq") > F.col("kill_seq")).groupBy("pool").agg(F.count(F.lit(1)).alias("g"))
-    return f.join(gaps, "pool", "left").select("pool", "events", "kill_seq", "first_gap", F.coalesce("g", F.lit(0)).alias("gaps_after"))
+    return FU.kill_gap(kill_events(spark, d), "click", "error")
 
 
 # ---------------------------------------------------------------- graph
@@ -808,10 +809,7 @@ UNI_SQL = """u AS (SELECT pool, min(p) AS prio FROM (SELECT p_partkey AS pool, 0
 def q_universe_union(spark, d):
     p = S.table(spark, d, "part").select(F.col("p_partkey").alias("pool"), "p_size")
     parts = [p.where(F.col("p_size") < 10), p.where((F.col("p_size") < 20) & (F.col("pool") % 2 == 0)), p.where(F.col("pool") % 5 == 0)]
-    u = parts[0].select("pool", F.lit(0).alias("prio"))
-    for i, x in enumerate(parts[1:], 1):
-        u = u.unionByName(x.select("pool", F.lit(i).alias("prio")))
-    return u.groupBy("pool").agg(F.min("prio").alias("prio"))
+    return SE.universe_union(*[x.select("pool") for x in parts]).select("pool", "prio")
 
 
 @query("new_pools", with_ctes("SELECT p_partkey AS pool FROM part WHERE p_partkey % 5 = 0 AND NOT p_size < 10"))
@@ -843,15 +841,14 @@ def q_dedup(spark, d):
 def q_case_union(spark, d):
     t = S.tx(spark, d)
     k = F.col("tx_id")
-    parts = [t.where(k % 3 == i).groupBy(F.col("payer").alias("sig")).agg(F.max(F.col("amount") if i < 2 else F.when(k % 50 != 0, F.col("amount"))).alias("amount")).withColumn("source", F.lit(i)) for i in range(3)]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("amount").isNotNull())
-    return u.groupBy("sig").agg(F.min_by(F.struct("source", "amount"), "source").alias("r")).select("sig", "r.source", "r.amount")
+    largest = [t.where(k % 3 == i).groupBy(F.col("payer").alias("sig")).agg(F.max(F.col("amount") if i < 2 else F.when(k % 50 != 0, F.col("amount"))).alias("amount")) for i in range(3)]
+    return SE.case_union(largest, ["amount"]).select("sig", "source", "amount")
 
 
 @query("keep_scored", with_ctes("SELECT pool, score FROM (SELECT pool, count(*) + CASE WHEN pool % 4 = 0 THEN 50 ELSE 0 END AS score FROM trig GROUP BY pool) ORDER BY score DESC, pool LIMIT 300"))
 def q_keep_scored(spark, d):
     g = S.trig(spark, d).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
-    return g.select("pool", (F.col("n") + F.when(F.col("pool") % 4 == 0, 50).otherwise(0)).alias("score")).orderBy(F.desc("score"), "pool").limit(300)
+    return SE.keep_scored(g, "n", F.when(F.col("pool") % 4 == 0, 50).otherwise(0), 300).select("pool", "score")
 
 
 @query("sorted_output", with_ctes("SELECT slot, tx_id, row_number() OVER (ORDER BY slot, tx_id) - 1 AS position FROM tx"))
