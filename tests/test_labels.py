@@ -43,6 +43,9 @@ def test_coverage_and_pairs(spark, tables):
     rel = lab.selectExpr("tx_id", "1 AS relevant")
     rows = {(r.tx_id, r.pack_id): r.pack_target for r in L.expand_pairs(lab, rel, e, c, 1, 1_000_000).collect()}
     assert rows == {(1, "P1"): 1, (1, "P2"): 0, (2, "P1"): 0, (3, "P1"): None, (4, "P1"): None, (5, "P1"): 0, (5, "P2"): 1}
+    direct = lambda depth: sorted(map(str, L.pairs_of(lab, rel, trig, packs, pack_routes, routes, depth, 1_000_000).collect()))
+    for depth in (0, 1, 2):
+        assert direct(depth) == sorted(map(str, L.expand_pairs(lab, rel, e, c, depth, 1_000_000).collect()))
     trig_slot = trig.selectExpr("*", "tx_id AS slot")
     assert tuple(L.label_problems(trig_slot, lab, pos).first()) == (0, 0, 4, 4, 0)
 

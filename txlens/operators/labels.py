@@ -160,6 +160,29 @@ def expand_pairs(labels: DataFrame, relevant: DataFrame, eligible: DataFrame, co
                       F.when(pos | neg, F.coalesce("_hit", F.lit(0))).alias("pack_target"), F.col("live").alias("eligible_live"))
 
 
+def pairs_of(labels: DataFrame, relevant: DataFrame, trig: DataFrame, packs: DataFrame, pack_routes: DataFrame, tx_routes: DataFrame, depth: int, ppm: int) -> DataFrame:
+    """The rows of `expand_pairs` straight from their tables: catalog and transactions are cut down before they meet.
+
+    Packs beyond the depth and transactions that give no rows go first. Keys, labels, gates and profitable routes all
+    meet by transaction; the catalog, with the routes of a pack in an array, meets them by trigger key, and a pack is right
+    when the two arrays share a route. Nothing is expanded by routes and no pair is looked at twice.
+    """
+    pos, neg = F.col("label") == "POSITIVE", F.col("label") == "CERTIFIED_NEGATIVE"
+    keep_unknown = (F.col("label") == "UNKNOWN") & (F.col("relevant") == 1) & bits.sampled(F.col("tx_id"), ppm)
+    wanted = tx_routes.groupBy("tx_id").agg(F.collect_set("route").alias("_routes"))
+    base = labels.select("tx_id", "label").join(relevant.select("tx_id", "relevant"), "tx_id", "left").where(pos | neg | keep_unknown)
+    base = base.join(wanted, "tx_id", "left").select("tx_id", "label", "_routes")
+    keys = trig.select("tx_id", *KEY).distinct().join(base, "tx_id")
+    cat = packs.where(F.col("rank") < depth).select(*KEY, "pack_id", F.col("rank").alias("pack_rank"), (F.col("layer") == LIVE_LAYER).alias("live"))
+    cat = cat.join(pack_routes.groupBy("pack_id").agg(F.collect_set("route").alias("_of_pack")), "pack_id", "left")
+    exact = keys.where(F.col("base") != "").join(cat, KEY)
+    loose = keys.where(F.col("base") == "").drop("base").join(cat.drop("base"), KEY[:3])
+    hit = F.coalesce(F.arrays_overlap("_routes", "_of_pack").cast("int"), F.lit(0))
+    cols = ["tx_id", "pack_id", "pack_rank", "label", F.when(pos | neg, hit).alias("pack_target"), F.col("live").alias("eligible_live")]
+    # a row without a base may name a pack that another row names with it
+    return exact.where(pos | F.col("live")).select(*cols).unionByName(loose.where(pos | F.col("live")).select(*cols)).dropDuplicates(["tx_id", "pack_id"])
+
+
 def with_group(df: DataFrame) -> DataFrame:
     """`group`: the unknown reasons of an unknown row, else its label."""
     return df.withColumn("group", F.when(F.col("label") == "UNKNOWN", F.col("unknown_reasons")).otherwise(F.col("label")))

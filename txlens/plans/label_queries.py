@@ -150,9 +150,8 @@ S.CTE["pairs"] = """
 
 
 def pairs(spark, d, depth=2):
-    e = eligible(spark, d)
-    c = L.covering(e, S.pack_routes(S.packs(spark, d)), tx_routes(spark, d))
-    return L.expand_pairs(L.tx_labels(S.trig(spark, d)), S.tx(spark, d), e, c, depth, SAMPLE_PPM)
+    t, packs = S.trig(spark, d), S.packs(spark, d)
+    return L.pairs_of(L.tx_labels(t), S.tx(spark, d), t, packs, S.pack_routes(packs), tx_routes(spark, d), depth, SAMPLE_PPM)
 
 
 @query("pairs_expand", with_ctes("SELECT * FROM pairs"))
