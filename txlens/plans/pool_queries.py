@@ -243,48 +243,57 @@ def q_ev_score(spark, d):
                     rounded(MD.ev_score("arb_score", "size")).alias("s"))
 
 
-HOURS = {"val": 10.0, "test": 12.0}
-BUDGETS = (5, 20, 60)
+BUDGETS = (0.01, 0.05, 0.2)
 
+S.CTE["lookup_hours"] = """
+  SELECT max(h) FILTER (split = 'val') AS val, max(h) FILTER (split = 'test') AS test FROM (SELECT split, (max(block_time) - min(block_time)) / 3600e0 AS h FROM lookup GROUP BY split)"""
 S.CTE["bgrid"] = f"""
-  WITH b AS (SELECT unnest([5, 20, 60]) AS budget_per_hour), ls AS (SELECT unnest([1, 2, 3]) AS sends),
+  WITH b AS (SELECT unnest({list(BUDGETS)}::DOUBLE[]) AS budget_per_hour), ls AS (SELECT unnest([1, 2, 3]) AS sends),
   vr AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS rn FROM lookup WHERE split = 'val'),
-  th AS (SELECT budget_per_hour, CASE WHEN s IS NULL OR isinf(s) THEN 'inf'::DOUBLE ELSE s END AS threshold FROM b LEFT JOIN vr ON rn = budget_per_hour * 10)
+  th AS (SELECT budget_per_hour, CASE WHEN s IS NULL OR isinf(s) THEN 'inf'::DOUBLE ELSE s END AS threshold FROM b, lookup_hours h LEFT JOIN vr ON rn = trunc(budget_per_hour * h.val))
   SELECT budget_per_hour, sends, {r6('threshold')} AS threshold,
-    {", ".join(f'''{r6(f"count(*) FILTER (split = '{sp}') / {h}e0")} AS {sp}_decisions_per_hour, count(*) FILTER (split = '{sp}' AND ok) AS {sp}_captured,
-      {r6(f"coalesce(sum(best_profit) FILTER (split = '{sp}' AND ok), 0) / 1e9 / {h}e0", 9)} AS {sp}_coins_per_hour,
-      {r6(f"coalesce(sum(best_profit) FILTER (split = '{sp}' AND ok), 0) / 1e9 / {h}e0 - count(*) FILTER (split = '{sp}') * sends * 5000 / 1e9 / {h}e0", 9)} AS {sp}_net_per_hour'''
-      for sp, h in (("val", 10), ("test", 12)))}
+    {", ".join(f"""{r6(f"count(*) FILTER (split = '{sp}') / any_value(h.{sp})")} AS {sp}_decisions_per_hour, count(*) FILTER (split = '{sp}' AND ok) AS {sp}_captured,
+      {r6(f"coalesce(sum(best_profit) FILTER (split = '{sp}' AND ok), 0) / 1e9 / any_value(h.{sp})", 9)} AS {sp}_coins_per_hour,
+      {r6(f"coalesce(sum(best_profit) FILTER (split = '{sp}' AND ok), 0) / 1e9 / any_value(h.{sp}) - count(*) FILTER (split = '{sp}') * sends * 5000 / 1e9 / any_value(h.{sp})", 9)} AS {sp}_net_per_hour"""
+      for sp in ("val", "test"))}
   FROM (SELECT th.*, ls.sends, l.split, l.best_profit, coalesce(l.target3 = 1 AND l.hit_rank < 3 * ls.sends, false) AS ok
-        FROM th CROSS JOIN ls LEFT JOIN lookup l ON l.s >= th.threshold) GROUP BY budget_per_hour, sends, threshold"""
+        FROM th CROSS JOIN ls LEFT JOIN lookup l ON l.s >= th.threshold), lookup_hours h GROUP BY budget_per_hour, sends, threshold"""
 
 
-def budget_grid(spark, d):
-    """Budgets x L for the lookup policy: n-th score thresholds from val, sums per score, one join with the thresholds."""
-    x = lookup(spark, d)
+def split_hours(x):
+    """Chain hours of val and test: two numbers."""
+    found = {r["split"]: r["h"] for r in x.groupBy("split").agg(SP.chain_hours().alias("h")).collect()}
+    return {sp: found.get(sp, float("nan")) for sp in ("val", "test")}
+
+
+def budget_grid_of(x, hours, budgets=BUDGETS):
+    """Budgets x L for the lookup policy: n-th score thresholds from val, sums per score, one join with the thresholds.
+
+    `x`: val and test rows (split, s, target3, hit_rank, best_profit); `hours` are the chain hours of the splits.
+    """
     aggs = [F.count(F.lit(1)).alias("n")]
     for k in (1, 2, 3):
         ok = (F.col("target3") == 1) & (F.col("hit_rank") < PO.ROUTES_PER_PACK * k)
         aggs += [count_if(ok).alias(f"c{k}"), sum_if(ok, "best_profit").alias(f"v{k}")]
     sums = materialise(x.where(F.col("s") > float("-inf")).groupBy("split", "s").agg(*aggs), "score-sums")
-    thr = P.nth_threshold(sums.where(F.col("split") == "val"), "s", [int(b * HOURS["val"]) for b in BUDGETS], rows="n").withColumn(
-        "budget_per_hour", (F.col("n_th") / HOURS["val"]).cast("int")).drop("n_th")
-    limits = thr.agg(*[F.max(F.when(F.col("budget_per_hour") == b, F.col("threshold"))).alias(f"t{b}") for b in BUDGETS])
-    parts = [F.max(f"t{b}").alias(f"t{b}") for b in BUDGETS]
-    for b in BUDGETS:
+    asked = [int(b * hours["val"]) if hours["val"] == hours["val"] else 0 for b in budgets]
+    thr = P.nth_threshold(sums.where(F.col("split") == "val"), "s", sorted(set(asked)), rows="n")
+    limits = thr.agg(*[F.coalesce(F.max(F.when(F.col("n_th") == n, F.col("threshold"))), F.lit(float("inf"))).alias(f"t{i}") for i, n in enumerate(asked)])
+    parts = [F.max(f"t{i}").alias(f"t{i}") for i in range(len(budgets))]
+    for i in range(len(budgets)):
         for sp in ("val", "test"):
-            here = (F.col("split") == sp) & (F.col("s") >= F.col(f"t{b}"))
-            parts.append(sum_if(here, "n").alias(f"{sp}_n_{b}"))
+            here = (F.col("split") == sp) & (F.col("s") >= F.col(f"t{i}"))
+            parts.append(sum_if(here, "n").alias(f"{sp}_n_{i}"))
             for k in (1, 2, 3):
-                parts += [sum_if(here, f"c{k}").alias(f"{sp}_c{k}_{b}"), sum_if(here, f"v{k}").alias(f"{sp}_v{k}_{b}")]
+                parts += [sum_if(here, f"c{k}").alias(f"{sp}_c{k}_{i}"), sum_if(here, f"v{k}").alias(f"{sp}_v{k}_{i}")]
     g = beside(sums, limits).agg(*parts)
     cells = F.explode(F.array(*[
-        F.struct(F.lit(b).alias("budget_per_hour"), F.lit(k).alias("sends"), F.col(f"t{b}").alias("threshold"),
-                 *[F.col(f"{sp}_{m}_{b}").alias(f"{sp}_{n}") for sp in ("val", "test") for m, n in (("n", "n"), (f"c{k}", "c"), (f"v{k}", "v"))])
-        for b in BUDGETS for k in (1, 2, 3)]))
+        F.struct(F.lit(float(b)).alias("budget_per_hour"), F.lit(k).alias("sends"), F.col(f"t{i}").alias("threshold"),
+                 *[F.col(f"{sp}_{m}_{i}").alias(f"{sp}_{n}") for sp in ("val", "test") for m, n in (("n", "n"), (f"c{k}", "c"), (f"v{k}", "v"))])
+        for i, b in enumerate(budgets) for k in (1, 2, 3)]))
     out = ["budget_per_hour", "sends", rounded("threshold").alias("threshold")]
     for sp in ("val", "test"):
-        h = HOURS[sp]
+        h = F.lit(hours[sp])
         coins = F.col(f"{sp}_v") / float(LAMPORTS_PER_COIN) / h
         out += [rounded(F.col(f"{sp}_n") / h).alias(f"{sp}_decisions_per_hour"), F.col(f"{sp}_c").alias(f"{sp}_captured"),
                 rounded(coins, 9).alias(f"{sp}_coins_per_hour"),
@@ -292,6 +301,11 @@ def budget_grid(spark, d):
     return g.select(cells.alias("c")).select("c.*").select(*out)
 
 
+def budget_grid(spark, d):
+    x = lookup(spark, d)
+    return budget_grid_of(x, split_hours(MQ.scored(spark, d).where(F.col("split") != "train")))
+
+
 @query("budget_grid", with_ctes("SELECT * FROM bgrid"))
 def q_budget_grid(spark, d):
     return budget_grid(spark, d)

@@ -81,3 +81,35 @@ def q_universe_rescore(spark, d):
     changed = frozen.groupBy("split").agg(F.sum((F.col("nf") != F.col("n_pools")).cast("bigint")).alias("rows_changed"))
     g = beside(after.join(before, "split").join(changed, "split"), u.agg(F.count(F.lit(1)).alias("pools_in_universe")))
     return g.select("split", "pools_in_universe", "n", "positives", "rows_changed", (F.abs(F.col("pr_auc") - F.col("b")) < MO.MARGIN).alias("near_baseline"))
+
+
+def fitted_lookup(spark, d):
+    """Val and test transactions with the value that the fitted models expect of them, and the hit rank of their candidates."""
+    x = MO.matrix(spark, d)
+    vt = x.where(F.col("split") != "train")
+    scored = MD.score(MO.size_model(spark, d, x), MD.score(MO.arb_model(spark, d, x), vt, "p"), "size").select("tx_id", "p", "size")
+    rows = PQ.lookup(spark, d).drop("s", "ev", "p2", "size_pred").join(scored, "tx_id")
+    return rows.withColumn("s", MD.ev_score("p", "size"))
+
+
+@query("budget_grid_fitted", with_ctes(f"""
+  WITH n AS (SELECT budget_per_hour, trunc(budget_per_hour * h.val)::BIGINT AS asked FROM (SELECT unnest({list(PQ.BUDGETS)}::DOUBLE[]) AS budget_per_hour), lookup_hours h)
+  SELECT budget_per_hour, asked, sends, true AS asked_reached, true AS sends_capture_more, true AS budget_captures_more FROM n, (SELECT unnest([1, 2, 3]) AS sends)"""))
+def q_budget_grid_fitted(spark, d):
+    """The grid from p x exp(size): thresholds of val at chain-hour budgets. Every threshold lets at least the rows asked for
+    through, and neither more sends nor a larger budget captures less."""
+    x = fitted_lookup(spark, d)
+    hours = PQ.split_hours(MQ.scored(spark, d).where(F.col("split") != "train"))
+    g = PQ.budget_grid_of(x, hours)
+    rows = {(r.budget_per_hour, r.sends): r for r in g.collect()}  # budgets x sends
+    out = []
+    for i, b in enumerate(PQ.BUDGETS):
+        asked = int(b * hours["val"])
+        for k in (1, 2, 3):
+            r = rows[b, k]
+            less = [rows[b, k - 1]] if k > 1 else []
+            smaller = [rows[PQ.BUDGETS[i - 1], k]] if i else []
+            reached = round(r.val_decisions_per_hour * hours["val"]) >= asked or r.threshold == float("inf")
+            more = lambda others, r=r: all(r[f"{sp}_captured"] >= o[f"{sp}_captured"] or r.threshold == float("inf") for o in others for sp in ("val", "test"))
+            out.append((b, asked, k, reached, more(less), more(smaller)))
+    return spark.createDataFrame(out, "budget_per_hour double, asked bigint, sends int, asked_reached boolean, sends_capture_more boolean, budget_captures_more boolean")
