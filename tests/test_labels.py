@@ -37,6 +37,9 @@ def test_coverage_and_pairs(spark, tables):
     assert {(r.tx_id, r.pack_id) for r in e.collect()} == {(t, p) for t in (1, 3, 5) for p in ("P1", "P2", "P3")} | {(t, p) for t in (2, 4) for p in ("P1", "P3")}
     c = L.covering(e, pack_routes, routes)
     assert {(r.tx_id, r.pack_id, r.live) for r in c.collect()} == {(1, "P1", True), (5, "P2", False)}
+    hits = L.eligible_hits(trig, packs, pack_routes, routes)
+    assert sorted(map(str, hits.drop("hit").collect())) == sorted(map(str, e.collect()))
+    assert sorted(map(str, hits.where("hit").drop("hit").collect())) == sorted(map(str, c.select("tx_id", "pack_id", "pack_rank", "live").collect()))
     cov = {r.tx_id: r for r in L.cover_rank(e, c).collect()}
     assert cov[1].min_cover_rank_live == 0 and cov[5].min_cover_rank == 0 and cov[5].min_cover_rank_live is None
     lab = L.tx_labels(trig)

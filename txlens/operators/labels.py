@@ -160,6 +160,22 @@ def expand_pairs(labels: DataFrame, relevant: DataFrame, eligible: DataFrame, co
                       F.when(pos | neg, F.coalesce("_hit", F.lit(0))).alias("pack_target"), F.col("live").alias("eligible_live"))
 
 
+def eligible_hits(trig: DataFrame, packs: DataFrame, pack_routes: DataFrame, tx_routes: DataFrame) -> DataFrame:
+    """The rows of `eligible_packs`, each with `hit`: does the pack hold a profitable route of the transaction?
+
+    Routes travel as one array per transaction and one per pack, so no pair is expanded by routes.
+    """
+    wanted = tx_routes.groupBy("tx_id").agg(F.collect_set("route").alias("_routes"))
+    keys = trig.select("tx_id", *KEY).distinct().join(wanted, "tx_id", "left")
+    cat = packs.select(*KEY, "pack_id", F.col("rank").alias("pack_rank"), (F.col("layer") == LIVE_LAYER).alias("live"))
+    cat = cat.join(pack_routes.groupBy("pack_id").agg(F.collect_set("route").alias("_of_pack")), "pack_id", "left")
+    hit = F.coalesce(F.arrays_overlap("_routes", "_of_pack"), F.lit(False)).alias("hit")
+    cols = ["tx_id", "pack_id", "pack_rank", "live", hit]
+    exact = keys.where(F.col("base") != "").join(cat, KEY).select(*cols)
+    loose = keys.where(F.col("base") == "").drop("base").join(cat.drop("base"), KEY[:3]).select(*cols)
+    return exact.unionByName(loose).dropDuplicates(["tx_id", "pack_id"])
+
+
 def pairs_of(labels: DataFrame, relevant: DataFrame, trig: DataFrame, packs: DataFrame, pack_routes: DataFrame, tx_routes: DataFrame, depth: int, ppm: int) -> DataFrame:
     """The rows of `expand_pairs` straight from their tables: catalog and transactions are cut down before they meet.
 

@@ -191,11 +191,13 @@ def policy_grid(tx: DataFrame, pairs: DataFrame, rank_score: str, policies: Sequ
     """
     spark = tx.sparkSession
     live = pairs.where(F.col("eligible_live")).select("tx_id", "pack_id", "pack_rank", "pack_target", rank_score)
-    deep = live.withColumn("depth", F.explode(F.array(*[F.lit(int(x)) for x in depths]))).where(F.col("pack_rank") < F.col("depth"))
-    w = W.partitionBy("tx_id", "depth").orderBy(F.desc(rank_score), "pack_rank", "pack_id")
-    by = deep.withColumn("sel", F.row_number().over(w)).groupBy("tx_id", "depth").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.max(rank_score).alias("best_rank"),
-        F.min(F.when(F.col("pack_target") == 1, F.col("sel"))).alias("first_hit"))
+    # a transaction's pairs in their order, once; a depth is the part of them that the catalog ranks below it
+    pair = F.struct(F.coalesce(-F.col(rank_score), F.lit(POS_INF)).alias("s"), "pack_rank", "pack_id", (F.coalesce(F.col("pack_target"), F.lit(0)) == 1).alias("hit"))
+    listed = live.where(F.col("pack_rank") < max(depths)).groupBy("tx_id").agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
+    deep = listed.withColumn("depth", F.explode(F.array(*[F.lit(int(x)) for x in depths])))
+    deep = deep.withColumn("_pairs", F.filter("_pairs", lambda p: p["pack_rank"] < F.col("depth"))).where(F.size("_pairs") > 0)
+    first = F.array_position(F.transform("_pairs", lambda p: p["hit"]), True).cast("int")
+    by = deep.select("tx_id", "depth", F.size("_pairs").alias("n_pairs"), F.when(F.col("_pairs")[0]["s"] < POS_INF, -F.col("_pairs")[0]["s"]).alias("best_rank"), F.when(first > 0, first).alias("first_hit"))
     x = (tx.where(F.col("split").isin("val", "test")).join(by, "tx_id")
          .withColumn("coverable", F.coalesce(F.col("min_cover_rank_live") < F.col("depth"), F.lit(False))))
     options = F.array(*[F.struct(F.lit(n).alias("policy"), (F.col(s) * F.col("best_rank") if r == "joint" else F.col(s)).alias("s"))

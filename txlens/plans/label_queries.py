@@ -23,8 +23,9 @@ class Stages:
         self.spark, self.d = spark, d
         self.labels = materialise(L.tx_labels(S.trig(spark, d)), "labels")
         self.routes = materialise(tx_routes(spark, d).distinct(), "routes")
-        self.eligible = materialise(eligible(spark, d), "eligible")
-        self.cover = materialise(L.covering(self.eligible, S.pack_routes(S.packs(spark, d)), self.routes), "cover")
+        packs = S.packs(spark, d)
+        hits = materialise(L.eligible_hits(S.trig(spark, d), packs, S.pack_routes(packs), self.routes), "eligible")
+        self.eligible, self.cover = hits.drop("hit"), hits.where("hit").drop("hit")
 
     def pairs(self, depth=2):
         return L.expand_pairs(self.labels, S.tx(self.spark, self.d), self.eligible, self.cover, depth, SAMPLE_PPM)
