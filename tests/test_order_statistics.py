@@ -84,7 +84,7 @@ def test_numbering_with_many_ties(spark):
 def test_previous_row_across_chunks(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), i, rng.randrange(9)) for i in rng.sample(range(1000), 300)]
-    got = {(r.g, r.o): r.prev_v for r in ordstat.with_previous(spark.createDataFrame(rows, "g string, o bigint, v int"), ["g"], "o", ["v"], 10).collect()}
+    got = {(r.g, r.o): r.prev_v for r in ordstat.with_previous(spark.createDataFrame(rows, "g string, o bigint, v int"), ["g"], "o", ["v"]).collect()}
     for g in "ab":
         mine = sorted((o, v) for h, o, v in rows if h == g)
         assert [got[(g, o)] for o, _ in mine] == [None] + [v for _, v in mine[:-1]]
@@ -103,5 +103,32 @@ def test_numbering_with_nulls_repeats_and_text(spark):
 
 def test_previous_row_of_a_null_group(spark):
     df = spark.createDataFrame([(None, 1, 10), (None, 7, 20), (1, 3, 30)], "g int, o int, v int")
-    got = sorted((r.g or 0, r.o, r.prev_v) for r in ordstat.with_previous(df, ["g"], "o", ["v"], 5).collect())
+    got = sorted((r.g or 0, r.o, r.prev_v) for r in ordstat.with_previous(df, ["g"], "o", ["v"]).collect())
     assert got == [(0, 1, None), (0, 7, 10), (1, 3, None)]
+
+
+def test_scans_over_dense_and_empty_ranges(spark):
+    """All rows lie in one narrow stretch of the order; a third of them in one group that spans many ranges, values are rare."""
+    rng = random.Random(5)
+    rows = [("hot" if i % 3 == 0 else rng.choice(["a", "b", None]), 10**12 + i, i if rng.random() < 0.01 else None) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o bigint, v bigint").repartition(5)
+    grouped = ordstat.carry_forward(df, "o", "v", "c", ["g"])
+    flat = ordstat.carry_forward(df, "o", "v", "c")
+    prev = ordstat.with_previous(df, ["g"], "o", ["v", "o"])
+    for found, groups in ((grouped, True), (flat, False)):
+        got, last = {r.o: r.c for r in found.collect()}, {}
+        for g, o, v in sorted(rows, key=lambda r: r[1]):
+            key = g if groups else 0
+            last[key] = v if v is not None else last.get(key)
+            assert got[o] == last[key]
+        assert len(got) == 3000 and found.columns == ["g", "o", "v", "c"]
+    got, before = {r.o: (r.prev_v, r.prev_o) for r in prev.collect()}, {}
+    for g, o, v in sorted(rows, key=lambda r: r[1]):
+        assert got[o] == before.get(g, (None, None))
+        before[g] = (v, o)
+    spread = ordstat.ranged(df, ["g", "o"], "t").groupBy("_b").count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 3 * 3000 / 8
+    assert ordstat.carry_forward(df.limit(0), "o", "v", "c").collect() == []
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan

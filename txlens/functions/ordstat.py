@@ -149,23 +149,44 @@ def number_rows(df: DataFrame, value: str, ties: Sequence[str], name: str, desc:
             .withColumn(name, (F.col("_off") + F.col("_r") - 1 + F.lit(start)).cast("bigint")).drop("_b", "_ob", "_off", "_r", "_mark"))
 
 
-def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], width: int) -> DataFrame:
-    """Each row with `prev_<column>` of the row before it in its group, null for the first.
+def _ahead(x: DataFrame, group: Column, position: Column, row: Column, value: Column) -> DataFrame:
+    """(_b, _g, _last, _value) per range of `ranged` rows: for the group that goes on into the range, the row right before it
+    and the last value that is not null.
 
-    The order (a number) is cut in chunks of `width`; a window sees one chunk of one group, and the last row of each chunk
-    is handed to the next one, so a group with a third of all rows is spread over tasks.
+    A range says what it starts and what it ends with; at most two rows per range meet.
     """
-    by = list(by)
-    x = df.withColumn("_c", F.floor(F.col(order) / width))
-    row = F.struct(*columns)
-    inside = W.partitionBy(*by, "_c").orderBy(order)
-    ends = x.groupBy(*by, "_c").agg(F.max_by(row, order).alias("_e"))
-    ends = ends.select(*by, "_c", F.lag("_e").over(W.partitionBy(*by).orderBy("_c")).alias("_before"))  # one row per chunk
-    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_c"])], "_before")
-    x = x.withColumn("_p", F.lag(row).over(inside)).withColumn("_i", F.row_number().over(inside))
-    on = F.lit(True)
-    for i, c in enumerate([*by, "_c"]):
-        on = on & x[c].eqNullSafe(ends[f"_k{i}"])
-    j = x.join(ends, on)
-    prev = F.when(F.col("_i") == 1, F.col("_before")).otherwise(F.col("_p"))
+    edge = x.groupBy("_b").agg(F.min_by(group, position).alias("_first"), F.max_by(group, position).alias("_g"))
+    tail = x.join(F.broadcast(edge.select("_b", "_g")), "_b").where(group.eqNullSafe(F.col("_g")))
+    tail = tail.groupBy("_b").agg(F.first("_g").alias("_g"), F.max_by(row, position).alias("_last"), F.max_by(value, F.when(value.isNotNull(), position)).alias("_value"), F.lit(1).alias("_kind"))
+    kinds = {f.name: f.dataType for f in tail.schema}
+    none = [F.lit(None).cast(kinds[c]).alias(c) for c in ("_last", "_value")]
+    both = tail.unionByName(edge.select("_b", F.col("_first").alias("_g"), *none, F.lit(0).alias("_kind")))
+    before = W.partitionBy("_g").orderBy("_b", "_kind").rowsBetween(W.unboundedPreceding, -1)
+    return both.select(F.col("_b").alias("_hb"), "_g", "_kind", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in ("_last", "_value")]).where("_kind = 0").drop("_kind")
+
+
+def _scanned(df: DataFrame, by: Sequence[str], order: str, row: Sequence[str], value: Column) -> tuple[DataFrame, W]:
+    """Ranged rows beside what comes before their range, and the window of a group inside a range.
+
+    Borders come from the rows, so ranges hold about equal numbers of them however dense the order is somewhere.
+    """
+    x = ranged(df, [*by, order], "scan")
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    heads = _ahead(x, group, F.struct(*by, order), F.struct(*row), value)
+    j = x.withColumn("_xg", group).join(F.broadcast(heads), (F.col("_b") == F.col("_hb")) & F.col("_xg").eqNullSafe(F.col("_g")), "left")
+    return j, W.partitionBy(*by, "_b").orderBy(order)
+
+
+def with_previous(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """Each row with `prev_<column>` of the row before it in its group, null for the first."""
+    j, inside = _scanned(df, list(by), order, columns, F.lit(None).cast("int"))
+    j = j.withColumn("_p", F.lag(F.struct(*columns)).over(inside)).withColumn("_i", F.row_number().over(inside))
+    prev = F.when(F.col("_i") == 1, F.col("_last")).otherwise(F.col("_p"))
     return j.select(*df.columns, *[prev[c].alias(f"prev_{c}") for c in columns])
+
+
+def carry_forward(df: DataFrame, order: str, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Last value that is not null at or before each row of its group, in `order`; rows equal in it see each other's."""
+    j, inside = _scanned(df, list(by), order, [order], F.col(value))
+    here = F.last(value, ignorenulls=True).over(inside.rangeBetween(W.unboundedPreceding, 0))
+    return j.withColumn(name, F.coalesce(here, F.col("_value"))).select(*df.columns, name)

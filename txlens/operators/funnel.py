@@ -249,9 +249,9 @@ def top_n(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *by).limit(n)
 
 
-def counter_health(snaps: DataFrame, max_age: int, chunk: int = 100_000) -> DataFrame:
+def counter_health(snaps: DataFrame, max_age: int) -> DataFrame:
     """Alive only when a counter moved since the process's previous snapshot and the heartbeat is young."""
-    snaps = with_previous(snaps, ["proc"], "line", ["updates", "stream_slot"], chunk)
+    snaps = with_previous(snaps, ["proc"], "line", ["updates", "stream_slot"])
     moving = F.coalesce((F.col("prev_updates") != F.col("updates")) | (F.col("prev_stream_slot") != F.col("stream_slot")), F.lit(True))
     young = F.col("hb_age") <= max_age
     status = (F.when(young & moving, "ok").when(young & ~F.col("metrics_ok"), "metrics_dead").when(young, "counters_frozen").otherwise("heartbeat_dead"))

@@ -110,5 +110,5 @@ def id_windows(masters: DataFrame, b: dict) -> DataFrame:
 
 def slots_going_back(masters: DataFrame, part: str) -> DataFrame:
     """Per partition: number of ids whose slot is below the slot of the id before."""
-    back = ordstat.with_previous(masters, [part], "tx_id", ["slot"], 1_000_000)
+    back = ordstat.with_previous(masters, [part], "tx_id", ["slot"])
     return back.groupBy(part).agg(count_if(F.col("slot") < F.col("prev_slot")).alias("backward_steps"), F.count(F.lit(1)).alias("n"))

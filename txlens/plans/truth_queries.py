@@ -547,15 +547,15 @@ def q_missing_walk(spark, d):
   WITH s AS (SELECT slot, min(block_time) FILTER (tx_id % 9 = 0) AS bt FROM tx GROUP BY slot)
   SELECT slot, last_value(bt IGNORE NULLS) OVER (ORDER BY slot) AS time FROM s"""))
 def q_asof(spark, d):
-    s = S.tx(spark, d).groupBy("slot").agg(F.min(F.when(F.col("tx_id") % 9 == 0, F.col("block_time"))).alias("bt")).withColumn("chunk", F.floor(F.col("slot") / 100))
-    return J.carry_forward(s, "slot", "bt", "chunk", "time").select("slot", "time")
+    s = S.tx(spark, d).groupBy("slot").agg(F.min(F.when(F.col("tx_id") % 9 == 0, F.col("block_time"))).alias("bt"))
+    return ordstat.carry_forward(s, "slot", "bt", "time").select("slot", "time")
 
 
 @query("carry_forward", with_ctes("""
   SELECT event_id, last_value(CASE WHEN k % 5 = 0 THEN gross END IGNORE NULLS) OVER (ORDER BY event_id) AS last_gross FROM gates"""))
 def q_carry(spark, d):
-    g = JQ.gates(spark, d).select("event_id", F.when(F.col("k") % 5 == 0, F.col("gross")).alias("v"), F.floor(F.col("event_id") / 1000).alias("chunk"))
-    return J.carry_forward(g, "event_id", "v", "chunk", "last_gross").select("event_id", "last_gross")
+    g = JQ.gates(spark, d).select("event_id", F.when(F.col("k") % 5 == 0, F.col("gross")).alias("v"))
+    return ordstat.carry_forward(g, "event_id", "v", "last_gross").select("event_id", "last_gross")
 
 
 # ---------------------------------------------------------------- decisions, parity, drift

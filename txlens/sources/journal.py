@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from txlens.sources.lines import read_lines
 
@@ -86,19 +85,3 @@ def scan_packets(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     if fmt == "json":
         return spark.read.schema(PACKET_SCHEMA).json(path)
     return spark.read.parquet(path).select(*[F.col(f).cast(t).alias(f) for f, t in _fields(PACKET_SCHEMA)])
-
-
-def carry_forward(df: DataFrame, order: str, value: str, by: str, name: str) -> DataFrame:
-    """Last known value at or before each row, in `order`, restarted at every `by` chunk and joined across chunks.
-
-    `by` cuts the order into ranges (for example floor(slot / 10000)), so no task sees more than one range plus one row
-    per range.
-    """
-    inside = W.partitionBy(by).orderBy(order).rangeBetween(W.unboundedPreceding, 0)
-    local = df.withColumn("_v", F.last(value, ignorenulls=True).over(inside))
-    ends = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.max_by(value, order).alias("_e"))
-    chunks = df.select(by).distinct().join(ends, by, "left")
-    before = W.orderBy(by).rowsBetween(W.unboundedPreceding, -1)  # one row per chunk
-    heads = chunks.select(by, F.last("_e", ignorenulls=True).over(before).alias("_h"))
-    heads = heads.withColumnRenamed(by, "_by")
-    return local.join(heads, F.col(by).eqNullSafe(F.col("_by"))).withColumn(name, F.coalesce("_v", "_h")).drop("_v", "_h", "_by")

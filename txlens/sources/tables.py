@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from txlens.sources.journal import carry_forward
+from txlens.functions.ordstat import carry_forward
 from txlens.sources.kept import files
 
 # Fixed values
@@ -131,8 +131,8 @@ def scan_slot_parts(spark: SparkSession, root: str, lo: int, hi: int, slots_per_
     from all slots up to `hi`, of which two columns are read.
     """
     rows = scan_pairs(spark, root, (lo, hi), slots_per_part)
-    per = spark.read.parquet(root).where(F.col("slot") <= hi).groupBy("slot").agg(F.min(time).alias("_t")).withColumn("_chunk", F.floor(F.col("slot") / 10000))
-    times = carry_forward(per, "slot", "_t", "_chunk", "slot_time").select("slot", "slot_time")
+    per = spark.read.parquet(root).where(F.col("slot") <= hi).groupBy("slot").agg(F.min(time).alias("_t"))
+    times = carry_forward(per, "slot", "_t", "slot_time").select("slot", "slot_time")
     return rows.join(times, "slot")
 
 
