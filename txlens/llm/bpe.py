@@ -8,6 +8,8 @@ left side and the first w of the right are encoded again as one window; w double
 those of both sides again and each seam (outer token beside its neighbour) encodes to exactly these two tokens.
 Byte-pair merging is decided by neighbours, so agreement at the seams fixes the whole sequence.
 
+A text above `segment_bytes` that many rows hold is encoded once, and its result joined back to the rows.
+
 Null and empty texts have no ids and decode to the empty text. Rows with equal id and text each give a row. Special
 strings of the vocabulary in a text become their ids, as the library does by default. Only the id and text columns
 are read, so other columns may have any name. Texts of any length are encoded whole.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property
@@ -30,6 +33,9 @@ from tokenizers.models import BPE
 
 from txlens.llm.common import small_batches, worker_cache
 
+# A task has one core; threads of the library would only wait for each other on the cores of other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Chunks in each of the two generations that one worker remembers.
 REMEMBERED = 80_000
 #: Characters that lower-case alike everywhere and that normal form C leaves as they are.
@@ -174,12 +180,12 @@ def encoder(path: str, leaf: int = LEAF) -> Encoder:
     return kept[path, leaf]
 
 
-def _finish(rows: Iterable[tuple], digest: bool) -> pd.DataFrame:
+def _finish(rows: Iterable[tuple], digest: bool, key: str = "doc_id") -> pd.DataFrame:
     if digest:
         hashed = [(d, n, hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, i, t, n in rows]
-        return pd.DataFrame(hashed, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(hashed, columns=[key, "n_tokens", "ids_sha256", "decoded_sha256"]).astype({key: "Int64"})
     out = [(d, n, [int(x) for x in i.split()], t) for d, i, t, n in rows]
-    return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "decoded"]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(out, columns=[key, "n_tokens", "ids", "decoded"]).astype({key: "Int64"})
 
 
 def _segments(data: bytes, coder: Encoder, size: int) -> Iterator[tuple[int, str, bool]]:
@@ -221,22 +227,21 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "te
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path, leaf)
         for b in batches:
-            for d, k, t in zip(b["doc_id"].astype("Int64"), b["text_key"], b["text"]):
-                rows = [(d, k, i, *s) for i, s in enumerate(_segments(t.encode(), coder, segment_bytes))] or [(d, k, 0, -1, "", True)]
-                yield pd.DataFrame(rows, columns=["doc_id", "text_key", "place", "word", "content", "last"]).astype({"doc_id": "Int64"})
+            for k, t in zip(b["text_key"], b["text"]):
+                rows = [(k, i, *s) for i, s in enumerate(_segments(t.encode(), coder, segment_bytes))] or [(k, 0, -1, "", True)]
+                yield pd.DataFrame(rows, columns=["text_key", "place", "word", "content", "last"])
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path, leaf)
         for b in batches:
             ids = [coder.text(c.encode())[0].split() if w < 0 else coder.piece(c, last) for w, c, last in zip(b["word"], b["content"], b["last"])]
-            b = b.drop(columns=["content", "last"]).astype({"doc_id": "Int64"})
+            b = b.drop(columns=["content", "last"])
             b["ids"] = [[int(x) for x in i] for i in ids]
             yield b
 
     def joined(b: pd.DataFrame) -> pd.DataFrame:
         coder = encoder(path, leaf)
-        copies = int((b["place"] == 0).sum())  # equal rows have equal segments
-        b = b.drop_duplicates("place").sort_values("place")
+        b = b.sort_values("place")
         ids: list[int] = []
         parts, open_word = [], -1
         for w, own in zip(b["word"], b["ids"]):
@@ -251,11 +256,12 @@ def encode(documents: DataFrame, path: str, key: str = "doc_id", text: str = "te
         if parts:
             ids += coder.tree(parts)
         i, t, n = coder.entry([int(x) for x in ids])
-        doc = b["doc_id"].iloc[0]
-        return _finish([(None if pd.isna(doc) else int(doc), i, t, n)] * copies, digest)
+        return _finish([(int(b["text_key"].iloc[0]), i, t, n)], digest, "text_key")
 
     short = source.where(size <= segment_bytes).withColumn("text", F.col("text").cast("binary")).mapInArrow(whole, result)
     keyed = source.where(size > segment_bytes).withColumn("text_key", F.xxhash64("text"))
-    pieces = keyed.mapInPandas(cut, "doc_id long, text_key long, place int, word int, content string, last boolean")
-    spread = pieces.repartition("text_key", "place").mapInPandas(coded, "doc_id long, text_key long, place int, word int, ids array<int>")
-    return short.unionByName(spread.groupBy("doc_id", "text_key").applyInPandas(joined, result))
+    once = keyed.groupBy("text_key").agg(F.first("text").alias("text"))
+    pieces = once.mapInPandas(cut, "text_key long, place int, word int, content string, last boolean")
+    spread = pieces.repartition("text_key", "place").mapInPandas(coded, "text_key long, place int, word int, ids array<int>")
+    done = spread.groupBy("text_key").applyInPandas(joined, result.replace("doc_id", "text_key", 1))
+    return short.unionByName(keyed.select("doc_id", "text_key").join(done, "text_key").drop("text_key"))
