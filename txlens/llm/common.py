@@ -25,6 +25,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text per bucket.
+BUCKET_BYTES = 4 << 20
+
+
+def buckets_of(rows: DataFrame, column: str = "body", each: int = BUCKET_BYTES) -> int:
+    """Buckets that hold what about `each` bytes of a column give, so that one of them fits a task at any size of the table."""
+    size = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(partitions(rows.sparkSession), 1 + size // each)
+
+
 def id_order(column: Column) -> Column:
     """The id as a number that is never null."""
     return F.coalesce(column.cast("long"), F.lit(LAST_ID))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import rolling
-from txlens.llm.common import id_order, partitions, small_batches, step, worker_cache
+from txlens.llm.common import buckets_of, id_order, small_batches, step, worker_cache
 
 PLAIN, KNOWN, PASSED = 0, 1, 2
 
@@ -231,7 +231,7 @@ def candidates(source: DataFrame, w: Windows) -> tuple[DataFrame, np.ndarray]:
     Added columns: `first` (the smallest id of the text) and `hits` (packed places of anchors), null in rows that only
     seemed to be in the filter.
     """
-    n = partitions(source.sparkSession)
+    n = buckets_of(source)
     cut = source.select("text_key", "body").mapInArrow(_cut(w, n), ANCHOR_SCHEMA)
     hits = cut.repartition(n, "bucket").mapInArrow(_hits(w, n), sent_schema(["place"]))
     of_text = gathered(hits, {"place": "<u4"}, n).withColumnRenamed("place", "hits")

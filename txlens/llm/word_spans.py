@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txlens.llm import repeats, rolling
-from txlens.llm.common import id_order, partitions, step
+from txlens.llm.common import buckets_of, id_order, step
 from txlens.llm.repeats import PASSED, PLAIN, Windows
 
 LENGTH, ANCHOR = 13, 7
@@ -112,7 +112,7 @@ def _edges(w: Windows, buckets: int):
                 fields = {n: v[order] for n, v in fields.items()}
                 cuts = rolling.groups(fields["hash"])
                 head = np.repeat(cuts[:-1], np.diff(cuts))
-                later = fields["text_key"] != fields["text_key"][head]
+                later = fields["id"] > fields["id"][head]
                 source = {"text_key": fields["text_key"][later], "place": fields["place"][later], "source": fields["text_key"][head][later], "source_place": fields["place"][head][later]}
                 plain = {n: v[~later] for n, v in fields.items()}
                 bucket = (plain["hash"] >> np.uint64(40)).astype(np.int64) % buckets
@@ -159,10 +159,10 @@ def _sources(buckets: int):
         order = order[np.repeat(np.diff(cuts) > 1, np.diff(cuts))]
         hashes, ids, keys, place = (x[order] for x in (hashes, ids, keys, place))
         order = np.lexsort((place, keys, ids, hashes))
-        hashes, keys, place = hashes[order], keys[order], place[order]
+        hashes, ids, keys, place = (x[order] for x in (hashes, ids, keys, place))
         cuts = rolling.groups(hashes)
         head = np.repeat(cuts[:-1], np.diff(cuts))
-        later = keys != keys[head]
+        later = ids > ids[head]
         if later.any():
             yield repeats.for_texts({"text_key": keys[later], "place": place[later], "source": keys[head][later], "source_place": place[head][later]}, buckets)
 
@@ -220,8 +220,7 @@ def _finish(w: Windows, digest: bool):
 
 def repeated_spans(searched: DataFrame, w: Windows) -> DataFrame:
     """Verified spans (text_key, start, edges, source, source_start) of texts with hits (id, text_key, body, hits)."""
-    spark = searched.sparkSession
-    n = partitions(spark)
+    n = buckets_of(searched)
     edges = searched.select("id", "text_key", "body", "hits").mapInArrow(_edges(w, n), EDGE_SCHEMA)
     found = edges.repartition(n, "bucket").mapInArrow(_sources(n), repeats.sent_schema(list(FOUND)))
     spans = step(repeats.gathered(found, FOUND, n).mapInArrow(_compact, "text_key long, start int, edges int, source long, source_start int"), "spans")
