@@ -27,6 +27,28 @@ def test_grammar_composes_what_stands_around_an_insult():
     assert g.clauses("") == [] and g.inputs(None) == [0.0] * 4
 
 
+def test_reported_speech_in_four_languages():
+    g = toxicity.Grammar({"fool": 4.0, "idiot": 4.0, "narr": 4.0, "tonto": 4.0})
+    weight = lambda text: sum(w for _, w in g.clauses(text))
+    for report, insult in (("he said", "you fool"), ("il a dit", "tu idiot"), ("er sagte", "du narr"), ("ella dijo", "tú tonto")):
+        assert weight(f"{report}: {insult}") == weight(f'{report}: "{insult}"') == weight(insult) * toxicity.REPORTED
+        assert weight(f"{report}. {insult}") == weight(f"so: {insult}") == weight(insult)
+        assert weight(f"{report}: first: {insult}") == weight(insult) * toxicity.REPORTED
+
+
+def test_bounds_hold_for_repeated_ids(spark, monkeypatch):
+    rows = [(1, f"wort {i} eins", "de", 1) for i in range(300)] + [(i, f"word {i % 9} one", "en", 0) for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda packed, labels, *a: seen.append(sorted(labels)) or language.Model([], None, None))
+    language.learn(df, F.lit(True), per_language=20)
+    assert seen == [["de"] * 20 + ["en"] * 20]
+    counted = []
+    monkeypatch.setattr(toxicity, "learn_arcs", lambda texts: counted.append(texts.count()) or {})
+    toxicity.learn(df, df.select("doc_id", "toxic"), F.lit(True))
+    assert counted[0] <= 199
+
+
 def test_toxicity_of_odd_rows(spark):
     model = toxicity.learn(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
     df = spark.createDataFrame(ODD, "doc_id long, text string, score string")

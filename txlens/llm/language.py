@@ -118,16 +118,22 @@ def fit(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
 def learn(documents: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from labelled texts whose id fulfils `learnable` (a condition on the column `id`)."""
     known = documents.select(F.col(key).cast("long").alias("id"), F.col(label).alias("lang"), F.col(text).cast("binary").alias("body")).where("lang IS NOT NULL AND body IS NOT NULL").where(learnable)
-    hashed = known.select("id", "lang").withColumn("h", F.xxhash64("id"))
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = hashed.withColumn("no", F.row_number().over(first)).where(F.col("no") <= per_language).select("id", "lang").distinct()
+    known = known.withColumns({"h": F.xxhash64("id"), "k": F.xxhash64("body")})
+    hashed = known.select("id", "lang", "h", "k").distinct()
+    # of a language with many texts only the smallest hashes are ranked, twice as many as asked for on average
+    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    few = hashed.join(sizes, "lang").where((F.col("n") <= 4 * per_language) | (share * F.col("n") < 2 * per_language))
+    first = Window.partitionBy("lang").orderBy("h", "id", "k")
+    chosen = few.withColumn("no", F.row_number().over(first)).where(F.col("no") <= per_language).select("id", "k", "lang")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             packed = [row.tobytes() for _, _, p in blocks(b.column("body")) for row in np.packbits(p, axis=1)]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array(packed, pa.binary())], ["h", "lang", "bits"])
 
-    taken = known.join(F.broadcast(chosen), ["id", "lang"]).select(F.xxhash64("id").alias("h"), "lang", "body")
+    # a text is taken once, however many rows hold it under one id
+    taken = known.join(chosen, ["id", "k", "lang"]).dropDuplicates(["id", "k", "lang"]).select("h", "lang", "body")
     rows: pd.DataFrame = taken.mapInArrow(bits, "h long, lang string, bits binary").toPandas().sort_values(["h", "lang", "bits"])
     if rows.empty:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))

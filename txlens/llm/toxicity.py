@@ -52,8 +52,10 @@ REPORTS = frozenset("said says quoted wrote claimed dit disait écrit sagte sagt
 THREATS = frozenset("kill hurt destroy shoot stab beat burn tuer frapper brûler töten schlagen verbrennen matar golpear quemar".split())
 
 WORD = re.compile(r"\w+")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+CLAUSE = re.compile(r"([.!?;:\n]+)")
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+#: The first state in which speech is reported, and nothing else remembered.
+REPORTED_STATE = (NEGATION_REACH + 1) * (TARGET_REACH + 1)
 
 SCORED = "doc_id long, n_clauses long, weight double, score double"
 
@@ -116,8 +118,9 @@ class Grammar:
         if not any(self.word(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(text))):
             return []
         found = []
-        for clause in CLAUSE.split(text):
-            state, total, back, reach = 0, 0.0, 0.0, 0
+        parts, reported = CLAUSE.split(text), False
+        for clause, end in zip(parts[::2], [*parts[1::2], ""]):
+            state, total, back, reach = REPORTED_STATE if reported else 0, 0.0, 0.0, 0
             for w in WORD.findall(clause):
                 kind, weight = self.word(w)
                 gain = weight * self.factor[state][kind]
@@ -129,6 +132,8 @@ class Grammar:
                     total += gain
                     back, reach = (weight * (TARGETED - 1) if kind == INSULT else weight if not gain else 0.0), TARGET_REACH
                 state = self.follow[state][kind]
+            # what follows a colon is still reported; any other end forgets it
+            reported = end == ":" and state >= REPORTED_STATE
             if total > 0:
                 found.append((clause.strip(), total))
         return found
@@ -187,6 +192,8 @@ def learn(documents: DataFrame, labels: DataFrame, learnable: Column, key: str =
     known = labels.select(F.col(key).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(learnable)
     chosen = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(labelled_rows)
     texts = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    # one text per id, so the bound of the labels bounds the texts
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     texts = materialise(texts.withColumn("for_score", F.pmod(F.hash("id"), F.lit(4)) == 0), "labelled")
     arcs = learn_arcs(texts.where("NOT for_score"))
     if not arcs:
