@@ -115,3 +115,20 @@ def test_landing_summary_in_one_pass(spark):
         assert got[g].fail_pr_auc == pytest.approx(fail.pr_auc) and got[g].fail_base_rate == pytest.approx(fail.base_rate)
     assert got["a"].brier == pytest.approx((0.01 + 0.81 + 0.36 + 0.01) / 4)
     assert got["c"].roc_auc is None and got["c"].fail_pr_auc is None and got["c"].brier == 0.25
+
+
+def test_landing_static(spark):
+    tx = spark.createDataFrame([(1, 1, 2, 1, 900, 0, 200000, 5000, 3, 7), (2, None, None, None, None, None, None, None, None, None)],
+                               "tx_id long, version int, n_tables int, n_signers int, raw_len int, durable_nonce int, unit_limit long, unit_price long, entry_index int, tx_index int")
+    keys = spark.createDataFrame([(1, "a", True, True), (1, "p", False, True), (1, "b", True, False)], "tx_id long, account string, is_static boolean, writable boolean")
+    ixs = spark.createDataFrame([(1, 2, "X", 9, 4, False, True, True, False, False), (1, 1, "C", 5, 0, True, False, False, False, False), (1, 3, "Y", 1, 8, False, False, False, True, False)],
+                                "tx_id long, pos int, prog string, data_len long, amount long, is_budget boolean, is_transfer boolean, is_tip boolean, is_swap boolean, is_router boolean")
+    pools = spark.createDataFrame([("p",), ("q",)], "pool string")
+    got = {r.tx_id: r.asDict() for r in ST.landing_static(tx, keys, ixs, pools, "b", spark.createDataFrame([(1,), (1,)], "tx_id long")).collect()}
+    one = got[1]
+    code = lambda s: spark.range(1).select(ST.name_code(F.lit(s))).first()[0]
+    assert {k: one[k] for k in ("n_keys", "n_static_keys", "uses_tables", "n_pools", "n_pools_static", "n_pools_writable", "base_in_keys", "attempted_cycle")} == {
+        "n_keys": 3, "n_static_keys": 2, "uses_tables": 1, "n_pools": 1, "n_pools_static": 0, "n_pools_writable": 1, "base_in_keys": 1, "attempted_cycle": 1}
+    assert (one["priority_fee"], one["tip"], one["has_tip"], one["n_transfers"], one["n_swaps"], one["max_swap"], one["n_router"], one["payer_only_signer"]) == (1000, 4, 1, 1, 1, 8, 0, 1)
+    assert [one[c] for c in ST.LANDING_HASHES] == [code("C"), code("X"), code("Y"), code("Y"), code("X|Y")]
+    assert set(got[2].values()) == {0, 2} and set(one) == {"tx_id", *ST.LANDING_NUMBERS, *ST.LANDING_HASHES}

@@ -106,6 +106,54 @@ def tx_structure(ixs: DataFrame, ix_keys: DataFrame) -> DataFrame:
     return out.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c.startswith("adjacent") else F.col(c) for c in out.columns])
 
 
+def name_code(text) -> Column:
+    """A name as a whole number: the first 60 bits of its SHA-256; null stays null."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.conv(F.substring(F.sha2(c.cast("string"), 256), 1, 15), 16, 10).cast("bigint")
+
+
+LANDING_HASHES = ["prog0", "prog1", "prog2", "prog_last", "prog_seq"]
+LANDING_NUMBERS = ["version", "uses_tables", "n_tables", "n_static_keys", "n_keys", "n_signers", "n_writable", "n_instructions", "n_distinct_programs", "data_bytes", "max_ix_data", "raw_len",
+                   "n_budget_ix", "unit_limit", "unit_price", "priority_fee", "tip", "has_tip", "n_transfers", "durable_nonce", "payer_only_signer", "n_pools", "n_pools_static",
+                   "n_pools_writable", "n_swaps", "max_swap", "n_router", "max_router", "base_in_keys", "attempted_cycle", "entry_index", "tx_index"]
+
+
+def landing_static(tx: DataFrame, keys: DataFrame, ixs: DataFrame, pools: DataFrame, base: str, cycles: DataFrame | None = None) -> DataFrame:
+    """The static inputs of the landing model per transaction of `tx`: LANDING_NUMBERS, and LANDING_HASHES of its programs.
+
+    `tx`: (tx_id, version, n_tables, n_signers, raw_len, durable_nonce, unit_limit, unit_price, entry_index, tx_index);
+    `keys`: (tx_id, account, is_static, writable), one row per account; `ixs`: (tx_id, pos, prog, data_len, amount and the flags
+    is_budget, is_transfer, is_tip, is_swap, is_router); `pools`: (pool); `cycles`: (tx_id) of transactions whose static pools
+    close a cycle. What a transaction lacks is 0, a program it lacks has code 0. Programs are taken in order of position, the
+    sequence leaves budget instructions out.
+    """
+    known = pools.select(F.col("pool").cast("string").alias("account"), F.lit(True).alias("_p")).distinct()
+    k = keys.withColumn("account", F.col("account").cast("string")).join(known, "account", "left")
+    p = F.coalesce("_p", F.lit(False))
+    per_key = k.groupBy("tx_id").agg(
+        F.count(F.lit(1)).alias("n_keys"), count_if(F.col("is_static")).alias("n_static_keys"), count_if(F.col("writable")).alias("n_writable"), count_if(p).alias("n_pools"),
+        count_if(p & F.col("is_static")).alias("n_pools_static"), count_if(p & F.col("writable")).alias("n_pools_writable"), F.max((F.col("account") == base).cast("int")).alias("base_in_keys"))
+    largest = lambda flag: F.max(F.when(F.col(flag), F.col("amount")))
+    listed = F.array_sort(F.collect_list(F.struct("pos", F.col("prog").cast("string").alias("prog"), F.col("is_budget").alias("b"))))
+    per_ix = ixs.groupBy("tx_id").agg(
+        F.count(F.lit(1)).alias("n_instructions"), F.countDistinct("prog").alias("n_distinct_programs"), F.sum("data_len").alias("data_bytes"), F.max("data_len").alias("max_ix_data"),
+        count_if(F.col("is_budget")).alias("n_budget_ix"), count_if(F.col("is_transfer")).alias("n_transfers"), F.sum(F.when(F.col("is_tip"), F.col("amount"))).alias("tip"),
+        count_if(F.col("is_swap")).alias("n_swaps"), largest("is_swap").alias("max_swap"), count_if(F.col("is_router")).alias("n_router"), largest("is_router").alias("max_router"), listed.alias("_l"))
+    named = F.transform("_l", lambda x: x["prog"])
+    codes = {f"prog{i}": name_code(F.get(named, F.lit(i))) for i in range(3)}
+    codes["prog_last"] = name_code(F.element_at(named, -1))
+    codes["prog_seq"] = name_code(F.array_join(F.transform(F.filter("_l", lambda x: ~F.coalesce(x["b"], F.lit(False))), lambda x: x["prog"]), "|"))
+    x = tx.join(per_key, "tx_id", "left").join(per_ix.withColumns(codes).drop("_l"), "tx_id", "left")
+    if cycles is not None:
+        x = x.join(cycles.select("tx_id", F.lit(1).alias("attempted_cycle")).distinct(), "tx_id", "left")
+    else:
+        x = x.withColumn("attempted_cycle", F.lit(0))
+    zero = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0))
+    made = {"uses_tables": (zero("n_keys") > zero("n_static_keys")).cast("bigint"), "priority_fee": F.floor(zero("unit_limit") * zero("unit_price") / 1_000_000).cast("bigint"),
+            "has_tip": (zero("tip") > 0).cast("bigint"), "payer_only_signer": (zero("n_signers") == 1).cast("bigint")}
+    return x.select("tx_id", *[made.get(c, zero(c)).alias(c) for c in LANDING_NUMBERS + LANDING_HASHES])
+
+
 def budget_rollup(ixs: DataFrame, kinds: tuple[str, ...] = ("limit", "price")) -> DataFrame:
     """Budget instructions of a transaction: count, first and last position, last well-formed value and repeats per kind.
 

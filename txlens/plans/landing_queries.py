@@ -364,36 +364,35 @@ def q_census(spark, d):
                      t.where(F.col("supp") % 5 == 0).select("tx_id").distinct())
 
 
-STATIC_INPUTS = ["n_keys", "n_static_keys", "n_writable", "n_pools", "n_pools_static", "n_pools_writable", "base_in_keys", "n_instructions", "n_distinct_programs", "data_bytes",
-                 "max_ix_data", "n_budget_ix", "unit_limit", "unit_price", "n_transfers", "tip", "n_swaps", "max_swap", "uses_tables", "has_tip", "priority_fee"]
+STATIC_INPUTS = ST.LANDING_NUMBERS + ST.LANDING_HASHES
+
+S.CTE["land_ixs"] = """
+  SELECT *, prog % 10 = 0 AS is_budget, prog % 7 = 0 AS is_transfer, prog % 7 = 0 AND n_acc > 1 AS is_tip, prog % 2 = 1 AS is_swap, prog % 3 = 0 AS is_router FROM ixs"""
+CODE_SQL = "coalesce(('0x' || substr(sha256({}), 1, 15))::BIGINT, 0)"
 
 
 @query("landing_static", with_ctes("""
   WITH k AS (SELECT tx_id, count(*) AS n_keys, count(*) FILTER (is_static) AS n_static_keys, count(*) FILTER (writable) AS n_writable,
                     count(*) FILTER (account % 3 = 0) AS n_pools, count(*) FILTER (account % 3 = 0 AND is_static) AS n_pools_static,
-                    count(*) FILTER (account % 3 = 0 AND writable) AS n_pools_writable, bool_or(account % 97 = 0)::INT AS base_in_keys FROM tx_keys GROUP BY tx_id),
-  i AS (SELECT tx_id, count(*) AS n_instructions, count(DISTINCT prog) AS n_distinct_programs, sum(data_len) AS data_bytes, max(data_len) AS max_ix_data,
-               count(*) FILTER (prog % 10 = 0) AS n_budget_ix, coalesce(max(amount) FILTER (prog % 10 = 0 AND data_len % 2 = 0), 0) AS unit_limit,
-               coalesce(max(data_len) FILTER (prog % 10 = 0), 0) AS unit_price, count(*) FILTER (prog % 7 = 0) AS n_transfers,
-               coalesce(sum(data_len) FILTER (prog % 7 = 0 AND n_acc > 1), 0) AS tip, count(*) FILTER (prog % 2 = 1) AS n_swaps,
-               coalesce(max(amount) FILTER (prog % 2 = 1), 0) AS max_swap FROM ixs GROUP BY tx_id)
-  SELECT t.tx_id, t.payer, k.* EXCLUDE (tx_id), i.* EXCLUDE (tx_id), (n_keys > n_static_keys)::INT AS uses_tables, (tip > 0)::INT AS has_tip,
-         unit_limit * unit_price // 1000000 AS priority_fee FROM tx t JOIN k USING (tx_id) JOIN i USING (tx_id)"""))
+                    count(*) FILTER (account % 3 = 0 AND writable) AS n_pools_writable, bool_or(account = 97)::BIGINT AS base_in_keys, count(*) FILTER (account % 3 = 0 AND is_static) > 1 AS cycle FROM tx_keys GROUP BY tx_id),
+  i AS (SELECT tx_id, count(*) AS n_instructions, count(DISTINCT prog) AS n_distinct_programs, sum(data_len)::BIGINT AS data_bytes, max(data_len) AS max_ix_data, count(*) FILTER (is_budget) AS n_budget_ix,
+               count(*) FILTER (is_transfer) AS n_transfers, coalesce(sum(amount) FILTER (is_tip), 0)::BIGINT AS tip, count(*) FILTER (is_swap) AS n_swaps, coalesce(max(amount) FILTER (is_swap), 0) AS max_swap,
+               count(*) FILTER (is_router) AS n_router, coalesce(max(amount) FILTER (is_router), 0) AS max_router, list(prog::VARCHAR ORDER BY pos) AS l,
+               coalesce(string_agg(CASE WHEN NOT is_budget THEN prog::VARCHAR END, '|' ORDER BY pos), '') AS seq FROM land_ixs GROUP BY tx_id),
+  t AS (SELECT tx_id, (tx_id % 3 > 0)::BIGINT AS version, tx_id % 4 AS n_tables, 1 + tx_id % 3 AS n_signers, amount % 1232 AS raw_len, (tx_id % 13 = 0)::BIGINT AS durable_nonce, amount % 1400000 AS unit_limit,
+               tx_id % 5000 AS unit_price, tx_id % 64 AS entry_index, tx_id % 1000 AS tx_index FROM tx)
+  SELECT t.*, """ + ", ".join(f"coalesce(k.{c}, 0) AS {c}" for c in ("n_keys", "n_static_keys", "n_writable", "n_pools", "n_pools_static", "n_pools_writable", "base_in_keys")) + ", " +
+  ", ".join(f"coalesce(i.{c}, 0) AS {c}" for c in ("n_instructions", "n_distinct_programs", "data_bytes", "max_ix_data", "n_budget_ix", "n_transfers", "tip", "n_swaps", "max_swap", "n_router", "max_router")) + """,
+    (coalesce(n_keys, 0) > coalesce(n_static_keys, 0))::BIGINT AS uses_tables, unit_limit * unit_price // 1000000 AS priority_fee, (coalesce(tip, 0) > 0)::BIGINT AS has_tip, (n_signers = 1)::BIGINT AS payer_only_signer,
+    coalesce(cycle, false)::BIGINT AS attempted_cycle, """ + ", ".join(f"{CODE_SQL.format(e)} AS {n}" for n, e in (("prog0", "l[1]"), ("prog1", "l[2]"), ("prog2", "l[3]"), ("prog_last", "l[-1]"), ("prog_seq", "seq"))) + """
+  FROM t LEFT JOIN k USING (tx_id) LEFT JOIN i USING (tx_id)"""))
 def q_landing_static(spark, d):
-    k = F.col("account") % 3 == 0
-    keys = tx_keys(spark, d).groupBy("tx_id").agg(
-        F.count(F.lit(1)).alias("n_keys"), count_if(F.col("is_static")).alias("n_static_keys"), count_if(F.col("writable")).alias("n_writable"),
-        count_if(k).alias("n_pools"), count_if(k & F.col("is_static")).alias("n_pools_static"), count_if(k & F.col("writable")).alias("n_pools_writable"),
-        F.bool_or(F.col("account") % 97 == 0).cast("int").alias("base_in_keys"))
-    p = F.col("prog")
-    top = lambda cond, c: F.coalesce(F.max(F.when(cond, F.col(c))), F.lit(0))
-    i = ixs(spark, d)
-    ins = i.groupBy("tx_id").agg(
-        F.count(F.lit(1)).alias("n_instructions"), F.size(F.collect_set("prog")).alias("n_distinct_programs"), F.sum("data_len").alias("data_bytes"),
-        F.max("data_len").alias("max_ix_data"), count_if(p % 10 == 0).alias("n_budget_ix"),
-        top((p % 10 == 0) & (F.col("data_len") % 2 == 0), "amount").alias("unit_limit"), top(p % 10 == 0, "data_len").alias("unit_price"),
-        count_if(p % 7 == 0).alias("n_transfers"), F.coalesce(F.sum(F.when((p % 7 == 0) & (F.col("n_acc") > 1), F.col("data_len"))), F.lit(0)).alias("tip"),
-        count_if(p % 2 == 1).alias("n_swaps"), top(p % 2 == 1, "amount").alias("max_swap"))
-    out = S.tx(spark, d).select("tx_id", "payer").join(keys, "tx_id").join(ins, "tx_id")
-    return out.select("*", (F.col("n_keys") > F.col("n_static_keys")).cast("int").alias("uses_tables"), (F.col("tip") > 0).cast("int").alias("has_tip"),
-                      F.expr("unit_limit * unit_price div 1000000").alias("priority_fee"))
+    n, p = F.col("tx_id"), F.col("prog")
+    tx = S.tx(spark, d).select("tx_id", (n % 3 > 0).cast("bigint").alias("version"), (n % 4).alias("n_tables"), (1 + n % 3).alias("n_signers"), (F.col("amount") % 1232).alias("raw_len"),
+                               (n % 13 == 0).cast("bigint").alias("durable_nonce"), (F.col("amount") % 1400000).alias("unit_limit"), (n % 5000).alias("unit_price"), (n % 64).alias("entry_index"),
+                               (n % 1000).alias("tx_index"))
+    flags = {"is_budget": p % 10 == 0, "is_transfer": p % 7 == 0, "is_tip": (p % 7 == 0) & (F.col("n_acc") > 1), "is_swap": p % 2 == 1, "is_router": p % 3 == 0}
+    keys = tx_keys(spark, d)
+    pools = S.table(spark, d, "part").where(F.col("p_partkey") % 3 == 0).select(F.col("p_partkey").alias("pool"))
+    cycles = keys.where((F.col("account") % 3 == 0) & F.col("is_static")).groupBy("tx_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return ST.landing_static(tx, keys, ixs(spark, d).withColumns(flags), pools, "97", cycles)

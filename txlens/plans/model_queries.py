@@ -211,15 +211,16 @@ def q_fit_ranker(spark, d):
 
 LAND_REP = ["rep_landed", "rep_failed", "rep_total", "rep_fail_rate", "rep_seen"]
 LAND_STATIC = ["amount", "prio_code", *LA.STATIC_INPUTS]
-LAND_KINDS = {"prio_code": "categorical"}
+LAND_KINDS = {"prio_code": "categorical", **dict.fromkeys(LA.ST.LANDING_HASHES, "hash")}
 
 
 def land_frame(spark, d):
     """Every input of the landing model beside its label: structure, instructions, tips and the payer's past."""
     def build():
         x = LA.land(spark, d).withColumn("prio_code", F.substring("prio", 1, 1).cast("int")).drop("relevant")
-        x = x.join(LA.q_landing_static(spark, d).drop("payer"), "tx_id", "left")
-        return SP.landing_split(x, SP.landing_cuts(S.tx(spark, d))).withColumn("failed", 1 - F.col("landed"))
+        x = SP.landing_split(x.join(LA.q_landing_static(spark, d), "tx_id", "left"), SP.landing_cuts(S.tx(spark, d)))
+        vocab = E.fit_vocab(x.where(F.col("split") == "train"), LA.ST.LANDING_HASHES)
+        return E.encode(x, {c: LAND_KINDS.get(c, "numeric") for c in LAND_STATIC + LAND_REP}, vocab)
 
     return KP.kept(spark, "landing", {"inputs": LAND_STATIC + LAND_REP}, inputs(spark, d), build, (LA.land, LA.q_landing_static))
 
