@@ -132,3 +132,13 @@ def test_landing_static(spark):
     assert (one["priority_fee"], one["tip"], one["has_tip"], one["n_transfers"], one["n_swaps"], one["max_swap"], one["n_router"], one["payer_only_signer"]) == (1000, 4, 1, 1, 1, 8, 0, 1)
     assert [one[c] for c in ST.LANDING_HASHES] == [code("C"), code("X"), code("Y"), code("Y"), code("X|Y")]
     assert set(got[2].values()) == {0, 2} and set(one) == {"tx_id", *ST.LANDING_NUMBERS, *ST.LANDING_HASHES}
+
+
+def test_pack_structure(spark):
+    packs = spark.createDataFrame([("a", "P", "prefix8:00ff:len28:accounts19", "INNER"), ("b", "Q", "other", "none")], "pack_id string, program string, family string, layer string")
+    legs = spark.createDataFrame([("r", 1, "X", "P1"), ("r", 2, "Y", "P9"), ("s", 1, "X", "P1"), ("s", 2, "Y", "P9"), ("s", 3, "X", "P1")], "route string, leg_no int, family string, program string")
+    got = {r.pack_id: r.asDict() for r in ST.pack_structure(packs, spark.createDataFrame([("a", "r"), ("a", "s")], "pack_id string, route string"), legs, ["X"], ["P1"]).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["layer_code"], a["family_prefix_bytes"], a["family_data_len"], a["family_account_count"]) == (1, 8, 28, 19) and (b["layer_code"], b["family_data_len"]) == (3, 0)
+    assert (a["route_count"], a["hops_min"], a["hops_max"], a["hops_sum"], a["routes_2hop"], a["routes_3hop"], a["distinct_patterns"], a["legs_X"], a["legs_other"]) == (2, 2, 3, 5, 1, 1, 2, 3, 2)
+    assert b["route_count"] == 0 and a["program_hash"] != b["program_hash"]

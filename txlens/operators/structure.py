@@ -106,6 +106,25 @@ def tx_structure(ixs: DataFrame, ix_keys: DataFrame) -> DataFrame:
     return out.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c.startswith("adjacent") else F.col(c) for c in out.columns])
 
 
+LAYER_ORDER = ("TOP_LEVEL", "INNER", "ATTRIBUTED")
+
+
+def pack_structure(packs: DataFrame, pack_routes: DataFrame, legs: DataFrame, families: list[str], programs: list[str]) -> DataFrame:
+    """Key and route structure of every pack: codes of its layer, program and family, the numbers in its family text, and the
+    columns of `pack_features`; a pack without routes has 0 there.
+
+    `packs`: (pack_id, program, family, layer). A layer that is not known has the next code after the known ones.
+    """
+    layer = F.lit(len(LAYER_ORDER))
+    for i, name in enumerate(LAYER_ORDER):
+        layer = F.when(F.col("layer") == name, i).otherwise(layer)
+    key = packs.select("pack_id", layer.alias("layer_code"), name_code("program").alias("program_hash"), name_code("family").alias("family_hash"),
+                       family_field("family", "prefix").alias("family_prefix_bytes"), family_field("family", "len").alias("family_data_len"), family_field("family", "accounts").alias("family_account_count"))
+    routes = pack_features(pack_routes, legs, families, programs)
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in routes.columns if c != "pack_id"]
+    return key.join(routes, "pack_id", "left").select(*key.columns, *counts)
+
+
 def name_code(text) -> Column:
     """A name as a whole number: the first 60 bits of its SHA-256; null stays null."""
     c = F.col(text) if isinstance(text, str) else text

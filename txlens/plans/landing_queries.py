@@ -283,6 +283,8 @@ def q_family_fields(spark, d):
         ST.family_field("family", "accounts").alias("accounts"))
 
 
+CODE_SQL = "coalesce(('0x' || substr(sha256({}), 1, 15))::BIGINT, 0)"
+
 FAMILIES, PROGRAMS = ["ECONOMY", "SMALL"], ["P1", "P2", "P3"]
 S.CTE["legs"] = """
   SELECT route, rn AS leg_no, p_type AS family, 'P' || (p_partkey % 7) AS program FROM
@@ -301,12 +303,17 @@ def legs(spark, d):
   WITH rt AS (SELECT route, count(*) AS hops, string_agg(family, '>' ORDER BY leg_no) AS pattern, """ +
     ", ".join(f"count(*) FILTER (family = '{f}') AS f_{f}" for f in FAMILIES) + ", count(*) FILTER (family NOT IN ('ECONOMY', 'SMALL')) AS f_other, " +
     ", ".join(f"count(*) FILTER (program = '{p}') AS p_{p}" for p in PROGRAMS) + """, count(*) FILTER (program NOT IN ('P1', 'P2', 'P3')) AS p_other FROM legs GROUP BY route)
-  SELECT pack_id, count(*) AS route_count, min(hops) AS hops_min, max(hops) AS hops_max, sum(hops) AS hops_sum, count(*) FILTER (hops = 2) AS routes_2hop,
+  , f AS (SELECT pack_id, count(*) AS route_count, min(hops) AS hops_min, max(hops) AS hops_max, sum(hops) AS hops_sum, count(*) FILTER (hops = 2) AS routes_2hop,
          count(*) FILTER (hops = 3) AS routes_3hop, count(*) FILTER (hops = 4) AS routes_4hop, count(*) FILTER (hops >= 5) AS routes_5plus_hop,
          count(DISTINCT pattern) AS distinct_patterns, """ + ", ".join(f"sum(f_{f}) AS legs_{f}" for f in [*FAMILIES, "other"]) + ", " +
-    ", ".join(f"sum(p_{p}) AS legs_p_{p}" for p in [*PROGRAMS, "other"]) + " FROM pack_routes JOIN rt USING (route) GROUP BY pack_id"))
+    ", ".join(f"sum(p_{p}) AS legs_p_{p}" for p in [*PROGRAMS, "other"]) + f""" FROM pack_routes JOIN rt USING (route) GROUP BY pack_id)
+  SELECT f.*, CASE layer WHEN 'TOP_LEVEL' THEN 0 WHEN 'INNER' THEN 1 WHEN 'ATTRIBUTED' THEN 2 ELSE 3 END AS layer_code, {CODE_SQL.format('program')} AS program_hash,
+    {CODE_SQL.format("'prefix' || (gain % 9) || ':00ff:len' || gain || ':accounts' || j")} AS family_hash, gain % 9 AS family_prefix_bytes, gain AS family_data_len, j AS family_account_count
+  FROM f JOIN packs USING (pack_id)"""))
 def q_pack_structure(spark, d):
-    return ST.pack_features(S.pack_routes(S.packs(spark, d)), legs(spark, d), FAMILIES, PROGRAMS)
+    packs = S.packs(spark, d)
+    family = F.concat(F.lit("prefix"), F.col("gain") % 9, F.lit(":00ff:len"), F.col("gain"), F.lit(":accounts"), F.col("j"))
+    return ST.pack_structure(packs.withColumn("family", family), S.pack_routes(packs), legs(spark, d), FAMILIES, PROGRAMS)
 
 
 ROLE_SQL = "CASE pos WHEN 1 THEN 'POOL_STATE' WHEN 2 THEN 'VAULT' WHEN 3 THEN 'MINT' WHEN 4 THEN 'ORACLE' WHEN 5 THEN 'PROGRAM' ELSE 'TICK_ARRAY' END"
@@ -368,7 +375,6 @@ STATIC_INPUTS = ST.LANDING_NUMBERS + ST.LANDING_HASHES
 
 S.CTE["land_ixs"] = """
   SELECT *, prog % 10 = 0 AS is_budget, prog % 7 = 0 AS is_transfer, prog % 7 = 0 AND n_acc > 1 AS is_tip, prog % 2 = 1 AS is_swap, prog % 3 = 0 AS is_router FROM ixs"""
-CODE_SQL = "coalesce(('0x' || substr(sha256({}), 1, 15))::BIGINT, 0)"
 
 
 @query("landing_static", with_ctes("""
