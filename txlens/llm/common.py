@@ -45,15 +45,18 @@ def crc_of_id(column: Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")), F.lit(0).cast("long"))
 
 
-#: Rows of an Arrow batch of whole texts.
-TEXT_ROWS = 1_000
+#: Rows of an Arrow batch of whole texts, and its bytes.
+TEXT_ROWS, TEXT_BYTES = 1_000, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Limits the rows of an Arrow batch: with whole texts the default of 10,000 takes tens of megabytes, several times per task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
-        spark.conf.set(name, str(TEXT_ROWS))
+    """Limits the rows and bytes of an Arrow batch: whole texts, or pairs with their sets of shingles, would take tens of
+    megabytes, several times per task. The session keeps the limits; they change no result."""
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 #: Bytes of an Arrow batch within `byte_batches`.
