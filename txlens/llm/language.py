@@ -132,8 +132,9 @@ def learn(documents: DataFrame, learnable: Column, key: str = "doc_id", text: st
             packed = [row.tobytes() for _, _, p in blocks(b.column("body")) for row in np.packbits(p, axis=1)]
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array(packed, pa.binary())], ["h", "lang", "bits"])
 
-    # a text is taken once, however many rows hold it under one id
-    taken = known.join(chosen, ["id", "k", "lang"]).dropDuplicates(["id", "k", "lang"]).select("h", "lang", "body")
+    # a text is taken once, however many rows hold it under one id; a few numbers per language are broadcast, less than
+    # the model itself holds of it
+    taken = known.join(F.broadcast(chosen), ["id", "k", "lang"]).dropDuplicates(["id", "k", "lang"]).select("h", "lang", "body")
     rows: pd.DataFrame = taken.mapInArrow(bits, "h long, lang string, bits binary").toPandas().sort_values(["h", "lang", "bits"])
     if rows.empty:
         return Model([], np.zeros((PLACES, 0), np.float32), np.zeros(0))
