@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from txlens.functions import ordstat
-from txlens.functions.numbers import beside, count_if, each, ratio, sum_if, wilson_bounds
+from txlens.functions.numbers import count_if, each, ratio, sum_if, wilson_bounds
 from txlens.operators.splits import cut_bin
 from txlens.session import materialise
 

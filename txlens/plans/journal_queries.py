@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txlens.functions.numbers import beside, cents, count_if, rounded, rounded_all, sum_if
+from txlens.functions.numbers import beside, cents, count_if, rounded_all
 from txlens.functions.ordstat import index_percentiles
 from txlens.operators import funnel as FU
 from txlens.operators import truth as T

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txlens.functions.numbers import count_if, rounded, rounded_all
+from txlens.functions.numbers import count_if, rounded_all
 from txlens.operators import landing as LA
 from txlens.operators import metrics as M
-from txlens.operators import splits as SP
 from txlens.operators import structure as ST
 from txlens.plans import standin as S
 from txlens.plans.registry import query

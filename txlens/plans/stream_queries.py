@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from txlens.functions.numbers import beside, count_if, rounded, rounded_all
+from txlens.functions.numbers import beside, count_if, rounded_all
 from txlens.functions.bits import SAMPLE_SEED  # noqa: F401
-from txlens.operators import truth as T
 from txlens.plans import journal_queries as JQ
 from txlens.plans import landing_queries as LA
 from txlens.plans import model_queries as MO
 from txlens.plans import pool_queries as PQ
 from txlens.plans import standin as S
-from txlens.plans import truth_queries as TQ
 from txlens.plans.registry import query
 from txlens.plans.standin import r6, with_ctes
 from txlens.session import new_dir

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txlens.functions import ordstat
-from txlens.functions.numbers import beside, count_if, ratio, rounded, rounded_all, sum_if
+from txlens.functions.numbers import beside, count_if, ratio, rounded, rounded_all
 from txlens.operators import funnel as FU
 from txlens.operators import graph as G
-from txlens.operators import labels as L
 from txlens.operators import metrics as M
 from txlens.operators import sets as SE
 from txlens.operators import live as LV
