@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_near_copies import kept
+from tests.llm.test_near_copies_by_simhash import kept
 from txlens import session
 from txlens.llm import op4_query
 

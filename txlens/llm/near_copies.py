@@ -1,7 +1,11 @@
-"""One document of each group of near copies: an exact join at a shingle similarity.
+"""One document of each group of near copies: by SimHash, or by an exact join at a shingle similarity.
 
-Two texts link if the Jaccard similarity of their sets of five-word shingles is at least 0.8. At that similarity a
-128-bit SimHash differs in 19 bits on average (standard deviation 4), so no number of bands that fits the disk finds
+`keep_one_by_simhash`, which the pipeline runs, links texts as operator 10 does: 64-bit fingerprints over three-word
+shingles that differ in at most two bits, found through buckets of pivot distances, every pair of the table. Texts
+without words have fingerprint zero and are one group.
+
+`keep_one` is wider and dearer; no query runs it. Two texts link if the Jaccard similarity of their sets of five-word
+shingles is at least 0.8. At that similarity a 128-bit SimHash differs in 19 bits on average (standard deviation 4), so no number of bands that fits the disk finds
 all pairs of a large table. Candidates therefore come from an exact join. All shingles have one order, rare ones first.
 Two sets of similarity 0.8 share a shingle among the first fifth (and one) of each, their prefixes; in the bucket of
 the first shingle they share, sizes and what both have left from there on bound their similarity. Pairs within the
@@ -291,19 +295,37 @@ def links(source: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, Data
     return nodes.select("text_key", "first", "copies"), linked
 
 
-def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The documents without near copies of a kept one, with all their columns."""
-    nodes, linked = links(repeats.keyed(documents, key, text), least)
-    found = components(linked)
-    named = nodes.join(found, nodes.text_key == found.node, "left").select("text_key", "first", "copies", F.coalesce("component", "text_key").alias("component"))
-    named = step(named, "named")
+def _one_of_each(documents: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents with one row of each component; named: each text (text_key) with its first id, copies and component."""
     group = named.groupBy("component").agg(F.min(F.struct("first", "text_key")).alias("kept"), F.sum("copies").alias("members"))
     kept = step(group.where("members > 1").select("kept.first", "kept.text_key", "component"), "kept")
     touched = repeats.key_filter(named.join(kept.select("component"), "component", "left_semi"))
+    alone = named.join(kept.select("component"), "component", "left_anti").select("text_key", "first")
+    # of texts that only seem to be in the filter, whole rows are shuffled; of the others only what stays
+    own = F.xxhash64("text_key", "first").alias("row_key")
+    seeming = repeats.rows_in(alone, touched, True)
+    staying = step(kept.select("text_key", "first").union(seeming).withColumn("row_key", own), "staying")
+    wanted = repeats.key_filter(staying.select(F.col("row_key").alias("text_key")))
     # one struct column carries the row, so no name of the documents can clash
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), id_order(F.col(f"`{key}`")).alias("first"), F.xxhash64(body).alias("text_key"))
-    alone = named.join(kept.select("component"), "component", "left_anti").select("text_key", "first")
-    staying = step(kept.select("text_key", "first").union(alone), "staying")
-    one = repeats.rows_in(rows, touched, True).join(staying, ["text_key", "first"]).groupBy("text_key").agg(F.first("row").alias("row"))
+    met = repeats.rows_in(repeats.rows_in(rows, touched, True).withColumn("row_key", own), wanted, True, "row_key")
+    one = met.join(staying.select("text_key", "first"), ["text_key", "first"]).groupBy("text_key").agg(F.first("row").alias("row"))
     return repeats.rows_in(rows, touched, False).select("row.*").union(one.select("row.*"))
+
+
+def keep_one(documents: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The documents without near copies, by shingle similarity, of a kept one, with all their columns."""
+    nodes, linked = links(repeats.keyed(documents, key, text), least)
+    found = components(linked)
+    named = nodes.join(found, nodes.text_key == found.node, "left").select("text_key", "first", "copies", F.coalesce("component", "text_key").alias("component"))
+    return _one_of_each(documents, step(named, "named"), key, text)
+
+
+def keep_one_by_simhash(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
+    """The documents with one of each group of linked SimHash fingerprints (see `simhash.links`), with all their columns."""
+    marked = simhash.fingerprints(repeats.keyed(documents, key, text), "id", "body", n, also=("text_key",))
+    nodes = step(marked.groupBy("text_key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("copies")), "nodes")
+    found = components(simhash.links(nodes.select("fp").distinct()))
+    named = nodes.join(found, nodes.fp == found.node, "left").select("text_key", "first", "copies", F.coalesce("component", "fp").alias("component"))
+    return _one_of_each(documents, step(named, "named"), key, text)

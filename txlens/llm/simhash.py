@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txlens.llm.common import worker_cache
 from txlens.llm.components import components
 from txlens.session import materialise
 
@@ -72,15 +73,17 @@ def fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed 64-bit number."""
+def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns `also`: fp as a signed 64-bit number."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for b in batches:
             fp = np.array([fingerprint(hashes(t.as_py() or b"", n)) for t in b.column("body")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), *(b.column(c) for c in also)], ["doc_id", "fp", *also])
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body")).mapInArrow(make, "doc_id long, fp long")
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("body"), *also)
+    return rows.mapInArrow(make, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def coordinates(fp: np.ndarray, pivots: np.ndarray = PIVOTS, mask: int = 2**64 - 1) -> np.ndarray:
