@@ -21,7 +21,7 @@ Only the text and language columns are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txlens.llm.common import byte_batches, partitions, step
+from txlens.llm.common import byte_batches, partitions, step, trim, trimmed
 
 #: Ends of pieces, and what lies between words.
 PIECE_END, BETWEEN = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
@@ -42,6 +42,8 @@ SCALE = 1_000_000
 LISTED = 2000
 #: Bytes of text that are counted together, length from which a text is cut between pieces, and bytes of text per bucket.
 BLOCK, LONG, BUCKET = 8 << 20, 4 << 20, 16 << 20
+#: Bytes of text that are split at once, and runs of a bucket that are sorted at once.
+SLICE, PART = 1 << 20, 1 << 19
 
 RUNS = "bucket int, words int, run binary"
 STREAM = "lang string, w1 string, w2 string, w3 string, n long"
@@ -68,19 +70,27 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def _grouped(columns: list[np.ndarray], sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Different rows of numbered columns in order: their columns, the order of the rows, and where each begins in it."""
-    key, room = columns[0], sizes[0]
-    for column, size in zip(columns[1:], sizes[1:]):
+def _keys(columns: Iterable[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """A number for each row of numbered columns, in the order of the rows; one column is held at a time."""
+    key, room = None, 1
+    for column, size in zip(columns, sizes):
         if room * size >= 2**62:
             found, key = np.unique(key, return_inverse=True)
             room = len(found)
-        key, room = key * size + column, room * size
+        if key is None:
+            key = column.astype(np.int64)
+        else:
+            key *= size
+            key += column
+        room *= size
+    return key
+
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by key, and where each different key begins in it."""
     order = np.argsort(key, kind="stable")
     key = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    first = order[starts]
-    return [c[first] for c in columns], order, starts
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
 def _packed(columns: list[np.ndarray], tables: list[pa.Array], n: np.ndarray) -> bytes:
@@ -96,36 +106,67 @@ def _packed(columns: list[np.ndarray], tables: list[pa.Array], n: np.ndarray) ->
     return sink.getvalue().to_pybytes()
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(number of the first text, texts) of about SLICE bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, side="right")))
+        yield i, texts.slice(i, j - i)
+        i = j
+
+
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of each word of the texts its number, then the different words, and of each word its piece and its text. What splits
+    the texts is in memory for a slice of them at a time."""
+    word, piece_of, text_of, before = [], [], [], 0
+    for first, part in _slices(texts):
+        pieces = pc.split_pattern_regex(pc.ascii_lower(part), pattern=PIECE_END)
+        text, piece = pc.list_parent_indices(pieces).to_numpy(), pc.list_flatten(pieces)
+        words = pc.split_pattern_regex(piece, pattern=BETWEEN)
+        at, found = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
+        some = pc.not_equal(found, "")
+        at = at[some.to_numpy(zero_copy_only=False)]
+        word.append(found.filter(some))
+        piece_of.append((at + before).astype(np.int32))
+        text_of.append((text[at] + first).astype(np.int32))
+        before += len(piece)
+    coded = pa.chunked_array(word, pa.string()).dictionary_encode()
+    names = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.string())
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *(c.indices.to_numpy() for c in coded.chunks)]), names, np.concatenate([none, *piece_of]), np.concatenate([none, *text_of])
+
+
 def _block_runs(block: pa.Table, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of RUNS: the different runs of one, two and three words of a block with their counts."""
     block = block.combine_chunks()
-    pieces = pc.split_pattern_regex(pc.ascii_lower(block["text"].combine_chunks()), pattern=PIECE_END)
-    row, piece = pc.list_parent_indices(pieces).to_numpy(), pc.list_flatten(pieces)
-    words = pc.split_pattern_regex(piece, pattern=BETWEEN)
-    at, word = pc.list_parent_indices(words).to_numpy(), pc.list_flatten(words)
-    some = pc.not_equal(word, "")
-    at, coded = at[some.to_numpy(zero_copy_only=False)], word.filter(some).dictionary_encode()
-    del words, word, piece, pieces, some
-    code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    code, names, at, text = _numbered(block["text"].combine_chunks())
     langs = block["lang"].combine_chunks().dictionary_encode()
-    lang, tables = langs.indices.to_numpy().astype(np.int64)[row[at]], [langs.dictionary, names, names, names]
+    lang, tables = langs.indices.to_numpy()[text], [langs.dictionary, names, names, names]
+    del block, text
+    trim()
     hashes = [_hashes(langs.dictionary), *[_hashes(names)] * 3]
-    starts = np.arange(len(code))
+    starts = np.arange(len(code), dtype=np.int32)
     for length in (1, 2, 3):
         if length > 1:
             starts = starts[:len(starts) - int(len(starts) > 0 and starts[-1] + length > len(code))]
             starts = starts[at[starts] == at[starts + length - 1]]
-        columns, _, cuts = _grouped([lang[starts], *(code[starts + i] for i in range(length))], [len(langs.dictionary), *[len(names)] * length])
+        # the numbers of a column of these runs: language, then words
+        column = [lambda s: lang[s], *((lambda s, i=i: code[s + i]) for i in range(length))]
+        order, cuts = _grouped(_keys((c(starts) for c in column), [len(langs.dictionary), *[len(names)] * length]))
         n = np.diff(np.append(cuts, len(starts)))
-        key = hashes[0][columns[0]]
-        for c, h in zip(columns[1:], hashes[1:]):
-            key = _mix(key, h[c])
+        first = starts[order[cuts]]
+        del order, cuts
+        key = hashes[0][column[0](first)]
+        for c, h in zip(column[1:], hashes[1:]):
+            key = _mix(key, h[c(first)])
         bucket = (key % np.uint64(buckets)).astype(np.int32)
+        del key
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             part = order[edges[b]:edges[b + 1]]
-            run = _packed([c[part] for c in columns], tables, n[part])
+            run = _packed([c(first[part]) for c in column], tables, n[part])
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([length], pa.int32()), pa.array([run])], ["bucket", "words", "run"])
 
 
@@ -146,28 +187,45 @@ def sorted_runs(documents: DataFrame, buckets: int) -> DataFrame:
                 if size >= BLOCK:
                     yield from _block_runs(pa.concat_tables(held), buckets)
                     held, size = [], 0
-                    pa.default_memory_pool().release_unused()
+                    trim()
         if size:
             yield from _block_runs(pa.concat_tables(held), buckets)
 
-    return documents.mapInArrow(run, RUNS)
+    return documents.mapInArrow(trimmed(run), RUNS)
+
+
+def _column(parts: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of a column in one dictionary, and this dictionary."""
+    whole = pa.chunked_array(parts).unify_dictionaries()
+    return np.concatenate([c.indices.to_numpy() for c in whole.chunks]), whole.chunk(0).dictionary
 
 
 def _added(runs: list[bytes], least: int) -> Iterator[pa.RecordBatch]:
-    """STREAM rows of the runs of one length in a bucket; single words also give rows without words: words per language."""
-    table = pa.concat_tables([pa.ipc.open_stream(r).read_all() for r in runs]).unify_dictionaries().combine_chunks()
-    words = [table[c].chunk(0) for c in table.column_names[:-1]]
-    n = table["n"].to_numpy()
-    del table
-    columns, order, starts = _grouped([w.indices.to_numpy().astype(np.int64) for w in words], [len(w.dictionary) for w in words])
-    sums = np.add.reduceat(n[order], starts)
-    kept = np.flatnonzero(sums >= least)
-    fields = [w.dictionary.take(pa.array(c[kept])) for w, c in zip(words, columns)]
-    blank = [pa.nulls(len(kept), pa.string())] * (4 - len(fields))
-    yield pa.RecordBatch.from_arrays([*fields, *blank, pa.array(sums[kept])], [*_NAMES, "n"])
+    """STREAM rows of the runs of one length in a bucket; single words also give rows without words: words per language.
+
+    A column is joined at a time, and a part of the different runs is sorted at a time.
+    """
+    parts = [[c.chunk(0) for c in pa.ipc.open_stream(r).read_all().columns] for r in runs]
+    n = np.concatenate([p.pop().to_numpy() for p in parts])
+    words = [_column([p.pop(0) for p in parts]) for _ in range(len(parts[0]))]
+    key = _keys((c for c, _ in words), [len(d) for _, d in words])
+    count = 1 + len(key) // PART
+    part = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    part >>= np.uint64(40)
+    part %= np.uint64(count)
+    for i in range(count):
+        mine = np.flatnonzero(part == i)
+        order, starts = _grouped(key[mine])
+        sums = np.add.reduceat(n[mine[order]], starts) if len(starts) else np.zeros(0, np.int64)
+        kept = np.flatnonzero(sums >= least)
+        first = mine[order[starts[kept]]]
+        fields = [d.take(pa.array(c[first])) for c, d in words]
+        blank = [pa.nulls(len(kept), pa.string())] * (4 - len(fields))
+        yield pa.RecordBatch.from_arrays([*fields, *blank, pa.array(sums[kept])], [*_NAMES, "n"])
     if len(words) == 2:
-        total = np.bincount(columns[0], sums, len(words[0].dictionary)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([words[0].dictionary, *[pa.nulls(len(total), pa.string())] * 3, pa.array(total)], [*_NAMES, "n"])
+        langs, names = words[0]
+        total = np.bincount(langs, n, len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([names, *[pa.nulls(len(total), pa.string())] * 3, pa.array(total)], [*_NAMES, "n"])
 
 
 def count_streams(runs: DataFrame, least: int) -> DataFrame:
@@ -180,13 +238,13 @@ def count_streams(runs: DataFrame, least: int) -> DataFrame:
                 if held and held[0] != key:
                     yield from _added(held[1], least)
                     held = None
-                    pa.default_memory_pool().release_unused()
+                    trim()
                 held = (key, [*(held[1] if held else []), packed.as_py()])
         if held:
             yield from _added(held[1], least)
 
     spark = runs.sparkSession
-    return runs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "words").mapInArrow(run, STREAM)
+    return runs.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "words").mapInArrow(trimmed(run), STREAM)
 
 
 def lockstep(streams: DataFrame, order: list[str], side: str) -> DataFrame:
