@@ -218,16 +218,19 @@ def program_hashes(ixs: DataFrame, budget: Column) -> DataFrame:
 def pack_features(pack_routes: DataFrame, legs: DataFrame, families: list[str], programs: list[str]) -> DataFrame:
     """Hops, route counts by hops, distinct leg patterns, and legs by family and program of every pack.
 
-    `legs`: (route, leg_no, family, program), at most a handful per route.
+    `legs`: (route, leg_no, family, program). A pattern is as long as its route, so routes of one pattern share a
+    name, the smallest of theirs, and only that travels with the packs.
     """
     fam, prog = F.col("family"), F.col("program")
     route = legs.groupBy("route").agg(
         F.count(F.lit(1)).alias("hops"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("leg_no", "family"))), lambda x: x["family"]), ">").alias("pattern"),
         *[count_if(fam == f).alias(f"f_{f}") for f in families], count_if(~fam.isin(*families)).alias("f_other"),
         *[count_if(prog == p).alias(f"p_{p}") for p in programs], count_if(~prog.isin(*programs)).alias("p_other"))
-    j = pack_routes.join(route, "route")
+    alike = W.partitionBy("pattern")
+    named = route.withColumn("pattern", F.sha2("pattern", 256)).withColumn("pattern", F.min("route").over(alike))
+    j = pack_routes.join(named, "route")
     h = F.col("hops")
-    legs_by = [c for c in route.columns if c.startswith(("f_", "p_"))]
+    legs_by = [c for c in named.columns if c.startswith(("f_", "p_"))]
     return j.groupBy("pack_id").agg(
         F.count(F.lit(1)).alias("route_count"), F.min(h).alias("hops_min"), F.max(h).alias("hops_max"), F.sum(h).alias("hops_sum"),
         count_if(h == 2).alias("routes_2hop"), count_if(h == 3).alias("routes_3hop"), count_if(h == 4).alias("routes_4hop"),
