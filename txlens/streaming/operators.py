@@ -102,19 +102,23 @@ def reputation(events: DataFrame, lag: int, half_life: int, late_slots: int = 60
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         landed, failed, epoch, until, slots, oks, fails = state.get if state.exists else (0.0, 0.0, 0, None, [], [], [])
-        rows = pd.concat(list(batches))
-        added = rows.groupby("slot")["landed"].agg(ok="sum", n="count")
-        known = pd.DataFrame({"slot": [*slots, *added.index], "ok": [*oks, *added["ok"]], "fail": [*fails, *(added["n"] - added["ok"])]})
-        known = known.groupby("slot", as_index=False).sum().sort_values("slot")
-        at, ok, fail = known["slot"].to_numpy(np.int64), known["ok"].to_numpy(float), known["fail"].to_numpy(float)
-        ask = rows["slot"].to_numpy(np.int64)
+        rows = list(batches)
+        rows = rows[0] if len(rows) == 1 else pd.concat(rows)
+        # a call per payer: arrays, no tables
+        ask, landed_now = rows["slot"].to_numpy(np.int64), rows["landed"].to_numpy(float, na_value=np.nan)
+        placed, known = rows["slot"].notna().to_numpy(), ~np.isnan(landed_now)
+        every = np.concatenate([np.array(slots, np.int64), ask[placed]])
+        at, place = np.unique(every, return_inverse=True)
+        counted, won = known[placed].astype(float), np.where(known, landed_now, 0.0)[placed]
+        ok = np.bincount(place, np.concatenate([np.array(oks, float), won]), len(at))
+        fail = np.bincount(place, np.concatenate([np.array(fails, float), counted - won]), len(at))
         seen = np.searchsorted(at, ask - lag - 1, side="right")
         late = ask - lag - 1 < until if until is not None else np.zeros(len(ask), bool)
         answers = [decayed(b, epoch, at, c, seen, ask // half_life) for b, c in ((landed, ok), (failed, fail))]
-        any_seen = pd.Series(((seen > 0) | (until is not None)).astype("int32"), dtype="Int32").mask(late)
+        any_seen = pd.arrays.IntegerArray(((seen > 0) | (until is not None)).astype("int32"), late.copy())
         yield pd.DataFrame({"tx_id": rows["tx_id"].to_numpy(), "payer": key[0], "slot": ask, "rep_landed": np.where(late, np.nan, answers[0]),
                             "rep_failed": np.where(late, np.nan, answers[1]), "rep_seen": any_seen, "late": late})
-        old = at < at[-1] - late_slots
+        old = at < at[-1:] - late_slots
         if old.any():
             until = max(int(at[old][-1]), until if until is not None else int(at[old][-1]))
             now = max(epoch, int(until // half_life))

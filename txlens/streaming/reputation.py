@@ -17,6 +17,7 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,18 +56,24 @@ class _Counts(StatefulProcessor):
             self.timer.update((slot,))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = None
+        # a call per key: plain numbers, and one request per entry of a map
+        counts, slots = {}, set()
         for batch in rows:
-            own = batch[batch["own"]].groupby("slot")["landed"].agg(["sum", "count"])
-            for slot, ok, n in own.itertuples():
-                was = self.recent.getValue((slot,)) if self.recent.containsKey((slot,)) else (0, 0)
-                self.recent.updateValue((slot,), (int(was[0] + ok), int(was[1] + n - ok)))
-            for slot in batch["slot"].unique().tolist():
-                self.asked.updateValue((slot,), (True,))
-                first = slot if first is None else min(first, slot)
-        if first is not None:
-            self._wake(first - self.lag)
-        yield pd.DataFrame({c.split()[0]: pd.Series([], dtype=t) for c, t in zip(PARTIAL.split(", "), ("int64", "int32", "int64", "float64", "float64", "int64"))})
+            for slot, landed, own in zip(batch["slot"].tolist(), batch["landed"].tolist(), batch["own"].tolist()):
+                slots.add(slot)
+                if own:
+                    ok, fail = counts.get(slot, (0, 0))
+                    known = landed is not None and landed == landed
+                    counts[slot] = (ok + int(landed), fail + 1 - int(landed)) if known else (ok, fail)
+        before = {k[0]: v for k, v in self.recent.iterator()} if counts and self.recent.exists() else {}
+        for slot, (ok, fail) in counts.items():
+            was = before.get(slot, (0, 0))
+            self.recent.updateValue((slot,), (int(was[0] + ok), int(was[1] + fail)))
+        for slot in slots:
+            self.asked.updateValue((slot,), (True,))
+        if slots:
+            self._wake(min(slots) - self.lag)
+        return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         payer, part = key
@@ -91,11 +98,14 @@ class _Counts(StatefulProcessor):
             add(slot - self.lag - 1)
             back = min(0, epoch - slot // self.half_life)
             out.append((payer, part, slot, math.ldexp(landed, back), math.ldexp(failed, back), seen))
-            self.asked.removeKey((slot,))
         # rows still to come are not older than the mark
         add(mark - self.lag - 1)
-        for slot, _, _ in slots[:at]:
-            self.recent.removeKey((slot,))
+        for state, gone, held in ((self.asked, due, pending), (self.recent, [s for s, _, _ in slots[:at]], slots)):
+            if gone and len(gone) == len(held):
+                state.clear()
+            else:
+                for slot in gone:
+                    state.removeKey((slot,))
         total = math.ldexp(landed + failed, min(0, epoch - mark // self.half_life))
         if at == len(slots) and len(due) == len(pending) and (total < self.least or total == 0):
             for state in (self.old, self.timer, self.recent, self.asked):
@@ -108,7 +118,9 @@ class _Counts(StatefulProcessor):
                 self._wake(slots[at][0] + self.lag + 1)
             elif self.least > 0:
                 self._wake((epoch + int(math.log2((landed + failed) / self.least)) + 1) * self.half_life + 1)
-        yield pd.DataFrame(out, columns=["payer", "part", "slot", "landed", "failed", "seen"]).astype({"part": "int32"})
+        if out:
+            kinds = ("int64", "int32", "int64", "float64", "float64", "int64")
+            yield pd.DataFrame({c.split()[0]: np.array(x, t) for c, x, t in zip(PARTIAL.split(", "), zip(*out), kinds)})
 
 
 def settled(events: DataFrame, lag: int, half_life: int, delay: int, hot: DataFrame | None = None, least: float = LEAST) -> DataFrame:
