@@ -87,3 +87,8 @@ def test_a_level_has_few_tasks_and_blocks_do_not_pile_up(spark, rows, tmp_path):
     assert len(m.trees) == 200 and tasks and max(tasks) <= 16
     tables = {x for x in os.listdir(tmp_path / "m") if not x.startswith("block-")}
     assert tables == {"start", "batch-0", "batch-1", *(f"{name}-{i}" for name in ("train", "val") for i in range(2))}
+
+
+def test_one_input_is_scored(spark, rows, tmp_path):
+    m = B.fit(rows, ["a"], "y", settings=B.Settings(rounds=10, depth=2), folder=str(tmp_path / "m"))
+    assert B.score(m, rows, "p").where("p > 0 AND p < 1").count() == 4000
